@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import simhash, token_parquet, warc
+from seqspark.llm import decontaminate, license_scan, mixing, simhash, token_parquet, warc
 from seqspark.llm.common import new_path, table
 
 
@@ -22,7 +22,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_token_parquet": op2_token_parquet, "op3_simhash": op3_simhash}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_token_parquet": op2_token_parquet,
+    "op3_simhash": op3_simhash,
+    "op8_mixing": op8_mixing,
+    "op9_license_scan": op9_license_scan,
+    "op10_decontaminate": op10_decontaminate,
+}
 
 ORACLE = {
     "op1_warc": """
@@ -34,4 +53,21 @@ ORACLE = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d
     """,
+    "op8_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || 'mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+        w AS (SELECT *, CAST((k - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) / ((k - 1) % 3 + 1) AS ratio FROM s),
+        l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+              FROM w WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT *, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight, 0)) AS target FROM l),
+        g AS (SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS INT) AS copies FROM t),
+        h AS (SELECT *, target - copies * source_size AS rest, coalesce((target - copies * source_size) / nullif(source_size, 0), 0) AS p FROM g),
+        r AS (SELECT d.doc_id, d.size, h.*, u / (1 - u) / (p / (1 - p)) AS odds FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+        c AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id) AS BIGINT) AS till FROM r WHERE p > 0),
+        b AS (SELECT source, rest, min(abs(till - rest)) AS off FROM (SELECT source, rest, till FROM c UNION ALL SELECT source, rest, 0 FROM h WHERE p > 0) GROUP BY source, rest),
+        e AS (SELECT b.source, min(till) AS last FROM b JOIN (SELECT source, till FROM c UNION ALL SELECT source, 0 FROM h) x ON x.source IS NOT DISTINCT FROM b.source WHERE abs(till - rest) = off GROUP BY b.source)
+        SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.copies + CASE WHEN r.p > 0 AND c.till <= e.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND c.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM r.source
+    """,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontaminate, license_scan, mixing, simhash, token_parquet, warc
+from seqspark.llm import decontaminate, license_scan, mixing, simhash, token_parquet, toxicity, warc
 from seqspark.llm.common import new_path, table
 
 
@@ -22,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_parquet": op2_token_parquet,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,

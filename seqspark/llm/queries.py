@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontaminate, license_scan, mixing, simhash, token_parquet, toxicity, warc
+from seqspark.llm import decontaminate, embed_caps, license_scan, mixing, simhash, token_parquet, toxicity, warc
 from seqspark.llm.common import new_path, table
 
 
@@ -26,6 +26,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_token_parquet": op2_token_parquet,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_embedding_caps": op5_embedding_caps,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,

@@ -14,6 +14,7 @@ this tokenizer never joins characters.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 
@@ -27,12 +28,11 @@ from seqspark.llm.common import new_path
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Bytes of text that are split into words at once; words remembered by one Python worker.
-PIECE_BYTES, WORDS_KEPT = 1 << 20, 400_000
+#: Bytes of text that are split at once; distinct pieces remembered by one Python worker.
+PIECE_BYTES, WORDS_KEPT = 1 << 20, 600_000
 TOKENIZER = "word_bpe_49k.json"
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
-_ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -54,66 +54,40 @@ def pieces(data: bytes, size: int = PIECE_BYTES):
     yield data[at:]
 
 
-class WordEncoder(dict):
-    """Encodes text word by word and remembers words: word -> its place in the id pool.
+#: Lower case within Latin-1, and what the tokenizer splits lower-case Latin-1 text into.
+_LOWER = bytes(ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in map(chr, range(256)))
+_LETTERS = "".join(re.escape(c) for c in map(chr, range(256)) if c.isalpha()).encode("latin-1")
+_NUMBERS = "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == "N").encode("latin-1")
+_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTERS + rb"]+|[" + _NUMBERS + rb"]|[^ \t-\r\x85\xa0" + _LETTERS + _NUMBERS + rb"]+")
+#: How byte-level tokenizers write a byte: visible Latin-1 characters stand for themselves, the others follow from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = dict(zip([*_VISIBLE, *sorted(set(range(256)) - set(_VISIBLE))], map(chr, [*_VISIBLE, *range(256, 512 - len(_VISIBLE))]), strict=True))
 
-    The tokenizer drops white space and splits a letter from the ASCII mark that follows it, so the
-    ids of a text are those of its words, and those of a word are those of its stem and of the run
-    of marks at its end. Stems that are ASCII are looked up in lower case, as the tokenizer itself
-    lowers them.
-    """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+class _Places(dict):
+    """key -> place of its token ids in the pool; ids_of finds those of a new key."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[bytes, list[int]] = {}
+    def __init__(self, ids_of) -> None:
+        self.ids_of = ids_of
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.parts.clear()
         self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
 
-    def _part(self, part: bytes) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
-            if len(part) < 64:
-                self.parts[part] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> int:
-        if b"<|" in word:  # may hold a special token, which the library finds before all else
-            ids = self._part(word)
-        else:
-            if word.isascii():
-                word_ = word.lower()
-                stem = word_.rstrip(_ASCII_MARKS)
-            else:
-                word_ = word
-                stem = word.rstrip(_ASCII_MARKS)
-                if stem and not stem.decode("utf-8", "replace")[-1].isalpha():
-                    stem = word_
-            marks = word_[len(stem) :]
-            ids = (self._part(stem) if stem else []) + (self._part(marks) if marks else [])
-        place = len(self.starts)
+    def __missing__(self, key: bytes) -> int:
+        ids, place = self.ids_of(key), len(self.starts)
         self.starts.append(len(self.pool))
         self.sizes.append(len(ids))
         self.pool.extend(ids)
-        if len(word) < 64:
-            self[word] = place
+        if len(key) < 64:
+            self[key] = place
         return place
 
-    def encode(self, data: bytes) -> np.ndarray:
-        """Token ids (int32) of UTF-8 text."""
-        out = [self._encode_piece(x) for x in pieces(data)]
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
-    def _encode_piece(self, data: bytes) -> np.ndarray:
-        if len(self) > WORDS_KEPT or len(self.pool) > 8 * WORDS_KEPT:
+    def ids(self, keys: list[bytes]) -> np.ndarray:
+        if len(self.starts) > WORDS_KEPT:
             self.forget()
-        places = np.array(list(map(self.__getitem__, data.split())), dtype=np.int64)
+        places = np.array(list(map(self.__getitem__, keys)), dtype=np.int64)
         if not len(places):
             return np.empty(0, np.int32)
         sizes = np.frombuffer(self.sizes, np.int64)[places]
@@ -123,13 +97,50 @@ class WordEncoder(dict):
         return np.frombuffer(self.pool, np.int32)[at]
 
 
-_encoders: dict[str, WordEncoder] = {}
+class TextEncoder:
+    """Token ids of texts, the same as the tokenizer's own, with remembered pieces.
+
+    Latin-1 text is split by the tokenizer's pattern, and its model encodes each distinct piece
+    once. Text with other characters, or with what may be a special token, is split at ASCII white
+    space only, and the tokenizer encodes each distinct word.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.tokens, self.words = _Places(self._token_ids), _Places(self._word_ids)
+
+    def _token_ids(self, token: bytes) -> list[int]:
+        text = "".join(map(_BYTE_CHARS.__getitem__, token.decode("latin-1").encode()))
+        return [x.id for x in self.model.tokenize(text)]
+
+    def _word_ids(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def encode(self, data: bytes) -> np.ndarray:
+        """Token ids (int32) of UTF-8 text."""
+        out = [self._encode_piece(x) for x in pieces(data)]
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def _encode_piece(self, data: bytes) -> np.ndarray:
+        if b"<|" not in data:
+            try:
+                plain = data if data.isascii() else data.decode().encode("latin-1")
+                return self.tokens.ids(_TOKENS.findall(plain.translate(_LOWER)))
+            except UnicodeError:
+                pass
+        return self.words.ids(data.split())
+
+
+_encoders: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     """One encoder a Python worker, kept between tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 

@@ -17,7 +17,7 @@ def brute(texts):
 
 
 def test_encoder_equals_the_library(monkeypatch):
-    encoder = tp.WordEncoder(tp.default_tokenizer())
+    encoder = tp.TextEncoder(tp.default_tokenizer())
     for text, ids in zip(TEXTS, brute(TEXTS), strict=True):
         assert encoder.encode((text or "").encode()).tolist() == ids[:-1]
     monkeypatch.setattr(tp, "PIECE_BYTES", 10)

@@ -20,13 +20,13 @@ def brute(rows, cosine=0.9):
 def test_against_brute_force_with_small_tiles(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 24))
-    vectors = [b + rng.normal(size=24) * s for b in base for s in (0, 0.05, 0.1, 0.3)] + [base[0] + rng.normal(size=24) * 0.02 for _ in range(30)]
+    vectors = [b + rng.normal(size=24) * s for b in base[:20] for s in (0, 0.05, 0.1, 0.3)] + [base[0] + rng.normal(size=24) * 0.02 for _ in range(30)]
     rows = [(i * 2, [float(x) for x in np.float32(v)]) for i, v in enumerate(vectors)]
     rows += [(1001, rows[5][1]), (1003, rows[5][1]), (1003, rows[5][1]), (1005, None), (1007, [0.0] * 24), (1009, [1.0, None]), (1011, [math.nan] * 24), (1013, [math.inf, 1.0]), (1015, []), (None, rows[0][1]), (1017, [1.0, 2.0]), (1019, [-0.0, 0.0, 3.0]), (1021, [0.0, -0.0, 3.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, filter int")
     want = brute(rows)
     for tile in (8, 1024):  # a low share makes decoding complete
-        assert sorted(map(tuple, embed_caps.near_duplicates(df, share=0.4, tile=tile).collect()), key=str) == want
+        assert sorted(map(tuple, embed_caps.near_duplicates(df, share=0.8, tile=tile).collect()), key=str) == want
 
 
 def test_recall_at_the_threshold():

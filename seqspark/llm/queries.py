@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqspark.llm import decontaminate, embed_caps, license_scan, mixing, simhash, suffix_dedup, token_parquet, toxicity, warc
+from seqspark.llm import decontaminate, embed_caps, license_scan, maxent, mixing, simhash, suffix_dedup, token_parquet, toxicity, warc
 from seqspark.llm.common import new_path, table
 
 
@@ -30,6 +30,10 @@ def op5_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.report(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_caps": op5_embedding_caps,
+    "op6_maxent": op6_maxent,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,

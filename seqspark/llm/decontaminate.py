@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -87,8 +86,7 @@ class Index:
 
     def candidates(self, words: list[bytes]) -> np.ndarray:
         """Items that some passage of the words may bring to the threshold."""
-        found = np.array(list(map(self.terms.get, words, repeat(-1))), dtype=np.int64)
-        found = np.unique(found[found >= 0])
+        found = np.array([self.terms[w] for w in self.terms.keys() & set(words)], dtype=np.int64)
         if not len(found):
             return found
         sizes = self.starts[found + 1] - self.starts[found]

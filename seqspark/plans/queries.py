@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
-from seqspark.operators import kmers, sampling, sites, structure, vectors
+from seqspark.operators import content, kmers, sampling, sites, structure, vectors
 from seqspark.plans import tables as T
 
 QUERIES: dict = {}
@@ -338,8 +338,6 @@ def d16(spark, d):
     round(least(greatest(avg(p) - stddev_pop(p), 1e-5), 1 - 1e-5), 9) AS lo_var, round(least(greatest(avg(p) + stddev_pop(p), 1e-5), 1 - 1e-5), 9) AS hi_var FROM p GROUP BY b""",
 )
 def d11(spark, d):
-    from pyspark.sql import Window
-
     counts = T.seqs(spark, d).select(sampling.partition_of(F.col("seq_id"), 10).alias("part"), F.explode(F.split("seq", "")).alias("base")).where("base <> ''").groupBy("part", "base").agg(F.count("*").alias("n"))
     rows = kmers.partition_stats(counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("part"))), ["base"])
     return rows.select("base", *(F.round(c, 9).alias(c) for c in rows.columns if c != "base"))
@@ -544,3 +542,89 @@ def e14(spark, d):
 @query("e15_sigmoid_unit")
 def e15(spark, d):
     return sites.sigmoid_unit(neuron_rows(spark, d).withColumn("target", (F.col("target") > 0).cast("double")), epochs=10)
+
+
+# Content scores, clusters, reading frames
+
+
+@query("d4_shadow_counts", f"""WITH {T.SEQS}, r AS (SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS s FROM seqs),
+    six AS (SELECT 3 + CAST((i + (3 - length(s) % 3) % 3) % 3 AS INT) AS model, substr(s, CAST(i AS INT) + 1, 6) AS h, count(*) AS n FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM r) GROUP BY ALL)
+    SELECT model, k, substr(h, 1, k - 1) AS hist, substr(h, k, 1) AS base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, CAST(unnest(range(1, 7)) AS INT) AS k FROM six) GROUP BY ALL""")
+def d4(spark, d):
+    return content.count_kmers_shadow(T.seqs(spark, d))
+
+
+FLANK_SQL = f"""{FIXED_SQL}, fm AS (SELECT seq_id, pos, substr(seq, pos - 101, 96) AS up, substr(seq, pos + 6, 96) AS down FROM
+      (SELECT seq_id, seq, CAST(unnest(range(102, length(seq) - 100, 3)) AS INT) AS pos FROM seqs) WHERE substr(seq, pos, 3) = 'ATG' AND pos - 101 >= 1 AND pos + 101 <= length(seq)),
+    fl AS (SELECT seq_id, pos, 'up' AS side, up AS s FROM fm UNION ALL SELECT seq_id, pos, 'down', down FROM fm), fx AS (SELECT seq_id, pos, side, s, CAST(unnest(range(0, 91)) AS INT) AS i FROM fl),
+    fs AS (SELECT seq_id, pos, side, m, sum(ln(p)) AS l FROM fx, (SELECT unnest([0, 1, 2]) AS m) JOIN fo ON fo.model = (i + m) % 3 AND fo.hist = substr(s, i + 1, 5) AND fo.base = substr(s, i + 6, 1) GROUP BY ALL),
+    fp AS (SELECT seq_id, pos, side, sum(exp(l - t)) / 6 AS c, max(exp(l - t)) FILTER (m = 0) / 2 AS z FROM (SELECT *, max(l) OVER (PARTITION BY seq_id, pos, side) AS t FROM fs) GROUP BY ALL),
+    fq AS (SELECT seq_id, pos, max(c / (c + z)) FILTER (side = 'up') AS post_up, max(c / (c + z)) FILTER (side = 'down') AS post_down FROM fp GROUP BY ALL)"""
+
+
+@query("f9_flank_posterior", f"WITH {FLANK_SQL} SELECT seq_id, pos, round(post_up, 6) AS post_up, round(post_down, 6) AS post_down, round(ln(post_down / post_up), 6) AS mcratio FROM fq")
+def f9(spark, d):
+    rows = content.flank_posteriors(content.flanked_sites(T.seqs(spark, d)), kmers.train_fixed_order(periodic(spark, d)))
+    return rows.select("seq_id", "pos", F.round("post_up", 6).alias("post_up"), F.round("post_down", 6).alias("post_down"), "mcratio")
+
+
+def content_scored(spark, d):
+    wam = sites.train_wam(training(spark, d), ["hyp"])
+    flanked = content.flank_posteriors(content.flanked_sites(T.seqs(spark, d)), kmers.train_fixed_order(periodic(spark, d)))
+    return sites.with_llkr(flanked, wam)
+
+
+@query("f13_predict_mfcwllkr")
+def f13(spark, d):
+    return content.predict_content(content_scored(spark, d))
+
+
+@query("f14_predict_nfcwllkr")
+def f14(spark, d):
+    rows = content_scored(spark, d)
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy("seq_id"))
+    fed = rows.withColumn("x", F.col("llkr") + 3 * F.log(sites.position_weight())).where("x IS NOT NULL AND seq_id % 10 < 8")
+    neuron = sites.linear_unit(fed.select("x", F.col("mcratio").alias("y"), F.when(first, 1.0).otherwise(-1.0).alias("target")))
+    return content.predict_content(rows, neuron)
+
+
+@query("f7_imm_loglik")
+def f7(spark, d):
+    return content.imm_loglik(T.seqs(spark, d), kmers.train_chi2_imm(periodic(spark, d))).withColumn("loglik", F.round("loglik", 4))
+
+
+@query("e11_dynamic_model")
+def e11(spark, d):
+    part = sampling.partition_of(F.col("seq_id"), 3)
+    seqs = T.seqs(spark, d).withColumn("part", part)
+    parts = [kmers.count_kmers(seqs.where(F.col("part") == k), F.pmod(F.col("i"), F.lit(3))).withColumn("part", F.lit(k)) for k in range(3)]
+    return content.dynamic_model(parts[0].union(parts[1]).union(parts[2]))
+
+
+@query("f8_dynamic_loglik")
+def f8(spark, d):
+    return content.dynamic_loglik(T.seqs(spark, d), e11(spark, d)).withColumn("loglik", F.round("loglik", 4))
+
+
+@query("f15_cluster_predict")
+def f15(spark, d):
+    rows = sites.nearest_medoid(sites.labelled_sites(sites.met_sites(T.seqs(spark, d))), medoids(spark))
+    true = sites.train_wam(rows.where("hyp = 'T' AND seq_id % 10 < 8"), ["cluster"])
+    false = sites.train_wam(rows.where("hyp = 'F' AND seq_id % 10 < 8").withColumn("all", F.lit(0)), ["all"]).drop("all")
+    every = sites.nearest_medoid(sites.met_sites(T.seqs(spark, d)), medoids(spark))
+    return sites.predict_llkr(content.with_cluster_llkr(every, true, false))
+
+
+@query("d15_best_tallies")
+def d15(spark, d):
+    return kmers.best_tallies(f19(spark, d))
+
+
+@query("f16_maximal_orf", f"""WITH {T.EXONS}, ge AS (SELECT gene, contig_id, strand, arg_min(start, exon_no) AS start, arg_max(stop, exon_no) AS stop FROM exons GROUP BY ALL),
+    o AS (SELECT gene, strand, length(seq) AS n, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS g, CASE WHEN strand = '-' THEN length(seq) - start + 1 ELSE start END AS a, CASE WHEN strand = '-' THEN length(seq) - stop + 1 ELSE stop END AS b FROM ge JOIN contigs USING (contig_id)),
+    v AS (SELECT *, (SELECT max(p) FROM (SELECT unnest(range((a - 1) % 3 + 1, a, 3)) AS p) WHERE substr(g, CAST(p AS INT), 3) IN ('TAA', 'TAG', 'TGA')) AS u, (SELECT min(p) FROM (SELECT unnest(range(b - 2, n - 1, 3)) AS p) WHERE substr(g, CAST(p AS INT), 3) IN ('TAA', 'TAG', 'TGA')) AS w
+      FROM o WHERE a >= 1 AND b <= n AND b - a >= 2),
+    z AS (SELECT *, coalesce(u + 3, a) AS x, coalesce(w + 2, b) AS y FROM v) SELECT gene, strand, CASE WHEN strand = '-' THEN n - x + 1 ELSE x END AS start, CASE WHEN strand = '-' THEN n - y + 1 ELSE y END AS stop FROM z WHERE x - 5 >= 1 AND y + 3 <= n""")
+def f16(spark, d):
+    genes = T.exons(spark, d).groupBy("gene", "contig_id", "strand").agg(F.min_by("start", "exon_no").alias("start"), F.max_by("stop", "exon_no").alias("stop"))
+    return content.maximal_orf(genes, T.contigs(spark, d)).select("gene", "strand", "start", "stop")

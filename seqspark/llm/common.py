@@ -50,9 +50,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps now, not whenever the
-    driver happens to collect garbage; the next step needs the disk."""
+    driver happens to collect garbage; the next step needs the disk. A small job comes first:
+    the driver still refers to the shuffles of the last one."""
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -3,14 +3,15 @@
 Each byte that a WINDOW-byte string covers which also starts in a document with a smaller id is
 removed. Buckets of equal strings have 64-bit identifiers that are the same in every task: the
 identifier of 2k bytes at p is made from those of k bytes at p and at the later offset p + k, and
-each level reuses the one before (1, 2, 4, 8, 16, then 24, 32 and 50 bytes). Equal 64-bit
+each level reuses the one before (1, 2, 4, 8, 16, then 24, 32, 37 and 50 bytes). Equal 64-bit
 identifiers are taken as equal strings.
 
 Every window has one anchor, the GRAM-byte string in it with the least identifier, so equal windows
 have equal anchors at the same place. First the anchors' buckets are formed over all documents. An
 anchor's surroundings that hold all its windows have an identifier too: where it occurs with a
-smaller document, all the anchor's windows do, and it is settled. Only buckets that hold several
-surroundings are refined to windows, and their windows are grouped by identifier.
+smaller document, all the anchor's windows do, and it is settled. Other anchors are refined: those
+that agree with another document's on the bytes to one side, half of the rest of a window, are
+refined to windows, and windows are grouped by identifier.
 
 Rows travel packed: a row is one bucket's share of a batch as arrays. A batch sends a repeated
 surrounding or window once, with its smallest document, and settles the others itself, so a passage
@@ -34,6 +35,9 @@ from seqspark.llm.common import cut, free_shuffles
 
 WINDOW, GRAM = 50, 24
 REACH = WINDOW - GRAM
+#: A window holds at least half of REACH more bytes on one side of its anchor: GRAM + HALF bytes.
+HALF = REACH // 2
+SIDE = GRAM + HALF
 #: Bytes of text handled at once in numpy; bytes of text behind one bucket and one group of documents.
 SLICE, BUCKET_BYTES, GROUP_BYTES = 1 << 20, 32 << 20, 16 << 20
 LAST = np.iinfo(np.int64).max
@@ -68,6 +72,7 @@ def levels(data: np.ndarray) -> dict[int, np.ndarray]:
     for k in (1, 2, 4, 8, 16):
         out[2 * k] = _refine(out[k], k)
     out[GRAM] = _refine(out[16], 16, GRAM - 16)
+    out[SIDE] = _refine(out[32], 32, SIDE - 32)
     out[WINDOW] = _refine(out[32], 32, WINDOW - 32)
     return out
 
@@ -80,28 +85,32 @@ def _window_minimum(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: int, till: int):
-    """Anchors of the windows that start in data[at:till]; first[p] and last[p] bound p's document.
+def anchors(data: np.ndarray, begin: np.ndarray, at: int, till: int):
+    """Anchors of the windows that start in data[at:till]; begin has where documents start, and the end.
 
-    Returns arrays: bucket identifier of the anchor, identifier of its surroundings, and where the
-    surroundings start and end (REACH bytes on either side, or less at the document's edges)."""
+    Returns arrays: bucket identifier of the anchor, identifier of its surroundings, short identifiers
+    of the sides (0 where the document ends before), and where the surroundings start and end (REACH
+    bytes on either side, or less at the document's edges)."""
     lo, hi = max(0, at - REACH), min(len(data), till + 2 * WINDOW)
     starts = np.arange(at, min(till, hi - WINDOW + 1))
-    starts = starts[starts + WINDOW <= last[starts]]
+    starts = starts[starts + WINDOW <= begin[np.searchsorted(begin, starts, "right")]]
     if not len(starts):
         return None
     own = levels(data[lo:hi])
-    gram, window = own[GRAM], own[WINDOW]
+    gram, side, window = own[GRAM], own[SIDE], own[WINDOW]
     del own
     # The place takes the low bits, so the leftmost of equal anchors counts.
     mask = np.uint64((1 << 22) - 1)
     keys = (gram & ~mask) | np.arange(len(gram), dtype=np.uint64)
     place = np.unique(_window_minimum(keys, REACH + 1)[starts - lo] & mask).astype(np.int64)
     where = place + lo
-    start, end = np.maximum(where - REACH, first[where]), np.minimum(where + WINDOW, last[where])
+    own_end = np.searchsorted(begin, where, "right")
+    start, end = np.maximum(where - REACH, begin[own_end - 1]), np.minimum(where + WINDOW, begin[own_end])
     edges = ((where - start) * 64 + end - where).astype(np.uint64)
     around = _join(_join(window[start - lo], window[end - WINDOW - lo]), edges)
-    return gram[place], around, start, end
+    short = lambda at, fits: np.where(fits, side[np.where(fits, at, 0)] % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+    left, right = short(place - HALF, where - HALF >= begin[own_end - 1]), short(place, where + SIDE <= begin[own_end])
+    return gram[place], around, left, right, start, end
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -131,10 +140,9 @@ class Batch:
         self.row, self.doc = np.asarray(row, np.int64), np.asarray(doc, np.int64)
         self.begin = np.concatenate([[0], np.cumsum(size)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.first, self.last = np.repeat(self.begin[:-1], size), np.repeat(self.begin[1:], size)
 
     def anchors(self):
-        parts = [x for at in range(0, len(self.data), SLICE) if (x := anchors(self.data, self.first, self.last, at, min(at + SLICE, len(self.data)))) is not None]
+        parts = [x for at in range(0, len(self.data), SLICE) if (x := anchors(self.data, self.begin, at, min(at + SLICE, len(self.data)))) is not None]
         return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
 
     def owner(self, place: np.ndarray) -> np.ndarray:
@@ -150,6 +158,11 @@ def least_doc(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _differ(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each element whether its id occurs with more than one doc."""
+    return least_doc(ids, doc) < -least_doc(ids, -doc)
+
+
 def _dealt(kind: int, bucket: np.ndarray, *arrays: np.ndarray):
     """Rows of PACK, one per bucket, in which the arrays keep their order."""
     order = np.argsort(bucket, kind="stable")
@@ -177,7 +190,7 @@ def _frame(rows) -> pd.DataFrame:
 
 
 SPAN = ("<i4", "<i4")  # start and end in a document
-ANCHOR = ("<u4", "<u8", "<i4", "<i4")  # gram, surroundings, start, end
+ANCHOR = ("<u4", "<u8", "<u2", "<u2", "<i4", "u1")  # gram, surroundings, sides, start, length
 REFINED = ("<u8", "<i4")  # window, start
 
 
@@ -202,14 +215,15 @@ def find_anchors(buckets: int, groups: int):
             found = batch.anchors()
             if found is None:
                 continue
-            gram, around, start, end = found
+            gram, around, left, right, start, end = found
             own = batch.owner(start)
             row, doc, base = batch.row[own], batch.doc[own], batch.begin[own]
             start, end = (start - base).astype(np.int32), (end - base).astype(np.int32)
             done = doc > least_doc(around, doc)
             yield _frame(_settle(groups, row[done], doc[done], start[done], end[done]))
-            row, doc, gram, around, start, end = (x[~done] for x in (row, doc, gram, around, start, end))
-            yield _frame(_dealt(ITEMS, (gram % np.uint64(buckets)).astype(np.int64), row, doc, (gram >> np.uint64(32)).astype(np.uint32), around, start, end))
+            row, doc, gram, around, left, right, start, end = (x[~done] for x in (row, doc, gram, around, left, right, start, end))
+            bucket, gram = (gram % np.uint64(buckets)).astype(np.int64), (gram >> np.uint64(32)).astype(np.uint32)
+            yield _frame(_dealt(ITEMS, bucket, row, doc, gram, around, left, right, start, (end - start).astype(np.uint8)))
 
     return find
 
@@ -221,21 +235,21 @@ def form_buckets(groups: int):
         if pdf["kind"].iloc[0] == SETTLED:
             return pdf
         parts = [_unruns(x, *ANCHOR) for x in pdf["data"]]
-        row, doc, gram, around, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        row, doc, gram, around, left, right, start, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        end = start + length
         least = least_doc(around, doc)
         done = doc > least
         out = list(_settle(groups, row[done], doc[done], start[done], end[done]))
-        row, doc, gram, around, start, end = (x[~done] for x in (row, doc, gram, around, start, end))
-        # What is left has the smallest document of its surroundings. Where another of the bucket's
-        # surroundings has a smaller one, windows must be compared: all up to the largest document.
-        if len(row):
-            several = np.zeros(len(row), bool)
-            order = np.argsort(gram, kind="stable")
-            new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
-            at = np.nonzero(new)[0]
-            differ = np.minimum.reduceat(doc[order], at) < np.maximum.reduceat(doc[order], at)
-            several[order] = differ[np.cumsum(new) - 1]
-            row, doc, start, end = (x[several] for x in (row, doc, start, end))
+        row, doc, gram, left, right, start, end = (x[~done] for x in (row, doc, gram, left, right, start, end))
+        # What is left has the smallest document of its surroundings. A window of it can only occur in
+        # another document that agrees with it on one side.
+        open_ = np.zeros(len(row), bool)
+        for side in (left, right):
+            at = np.nonzero(side)[0]
+            if len(at):
+                open_[at] |= _differ(gram[at].astype(np.uint64) << np.uint64(16) | side[at], doc[at])
+        if open_.any():
+            row, doc, start, end = (x[open_] for x in (row, doc, start, end))
             out += _dealt(ITEMS, row % groups, row, doc, start, end)
         return _frame(out)
 

@@ -157,3 +157,19 @@ def partition_stats(models: DataFrame, keys: list[str]) -> DataFrame:
     out = models.groupBy(*keys).agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"), F.min("p").alias("lo_rng"), F.max("p").alias("hi_rng"))
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-5)), F.lit(1 - 1e-5))
     return out.withColumn("lo_var", clip(F.col("mean") - F.col("sd"))).withColumn("hi_var", clip(F.col("mean") + F.col("sd")))
+
+
+def gc_quantiles(histogram: DataFrame, parts: int = 4) -> DataFrame:
+    """(q, bound): GC percents that end each of `parts` equal-count bins of histogram(gc, n).
+
+    The histogram has at most 101 rows, which is what its window without partitions sorts."""
+    own = Window.orderBy("gc")
+    rows = histogram.select("gc", F.sum("n").over(own).alias("till"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    cuts = rows.select("gc", "till", "total", F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("q"))
+    return cuts.where(F.col("till") * parts >= F.col("q") * F.col("total")).groupBy("q").agg(F.min("gc").alias("bound"))
+
+
+def genmark_call(posteriors: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, coding): whether the posteriors(key, model, posterior) of all coding models exceed one half."""
+    total = F.sum(F.when(F.col("model") != NONCODING, F.col("posterior")).otherwise(0.0))
+    return posteriors.groupBy(key).agg((total > 0.5).alias("coding"))

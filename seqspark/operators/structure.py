@@ -187,3 +187,28 @@ def false_splice_sites(pieces: DataFrame, motif: str, side: int = 50) -> DataFra
     rows = pieces.where(n >= 2 * side + 2).select("kind", n.alias("n"), F.col("seq").cast("binary").alias("b"))
     words = F.transform(F.sequence(F.lit(1), F.col("n") - 2 * side - 1), lambda i: F.substring("b", i, F.lit(2 * side + 2)).cast("string"))
     return rows.select("kind", F.explode(words).alias("site")).where(F.substring("site", side + 1, 2) == motif)
+
+
+def locus_join(isoforms: DataFrame, loci: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(isoforms with their locus's sequence, isoforms whose locus is missing), on locus_id."""
+    own = loci.select("locus_id", "seq")
+    return isoforms.join(own, "locus_id"), isoforms.join(own, "locus_id", "left_anti")
+
+
+def remap_ids(features: DataFrame, idmap: DataFrame) -> DataFrame:
+    """features with contig_id replaced by idmap(contig_id, new_id); ids without an entry stay."""
+    rows = features.join(idmap.select("contig_id", "new_id"), "contig_id", "left")
+    return rows.withColumn("contig_id", F.coalesce("new_id", "contig_id")).drop("new_id")
+
+
+def annotate(structures: DataFrame, predictions: DataFrame, method: str) -> DataFrame:
+    """structures(gene, ..., [annots]) with one more annotation of predictions(gene, start_codon,
+    stop_codon, score, met_seen); earlier annotations stay."""
+    item = F.struct(
+        F.lit(method).alias("method"), F.abs(F.col("stop_codon") - F.col("start_codon")).alias("orf_extent"), "start_codon", "stop_codon",
+        F.col("score").alias("best_tis_score"), F.col("met_seen").alias("met_seen"),
+    )
+    new = predictions.select("gene", F.array(item).alias("__new"))
+    rows = structures.join(new, "gene", "left").withColumn("__new", F.coalesce("__new", F.array()))
+    kept = F.concat("annots", "__new") if "annots" in structures.columns else F.col("__new")
+    return rows.withColumn("annots", kept).drop("__new")

@@ -628,3 +628,12 @@ def d15(spark, d):
 def f16(spark, d):
     genes = T.exons(spark, d).groupBy("gene", "contig_id", "strand").agg(F.min_by("start", "exon_no").alias("start"), F.max_by("stop", "exon_no").alias("stop"))
     return content.maximal_orf(genes, T.contigs(spark, d)).select("gene", "strand", "start", "stop")
+
+
+@query(
+    "d17_gc_quantiles",
+    ORACLE["d16_gc_histogram"].replace(" SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM w GROUP BY ALL", ", h AS (SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM w GROUP BY ALL)")
+    + ", c AS (SELECT gc, sum(n) OVER (ORDER BY gc) AS t, sum(n) OVER () AS a FROM h) SELECT CAST(q AS INT) AS q, min(gc) AS bound FROM c, range(1, 5) r(q) WHERE t * 4 >= q * a GROUP BY ALL",
+)
+def d17(spark, d):
+    return kmers.gc_quantiles(d16(spark, d))

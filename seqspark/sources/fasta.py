@@ -76,3 +76,21 @@ def gff_lines(features: DataFrame) -> DataFrame:
     group = F.concat(F.lit("src="), "kind", F.lit(";grp=gene."), F.col("gene").cast("string"), F.lit(";pri=10"))
     lo, hi = F.least("start", "stop"), F.greatest("start", "stop")
     return features.select(F.concat_ws("\t", "contig", F.lit("seqspark"), "feature", lo.cast("string"), hi.cast("string"), F.lit("."), "strand", "frame", group).alias("value"))
+
+
+def parse_orf_text(spark: SparkSession, path: str) -> DataFrame:
+    """Predicted reading frames in alignment text, (seq_id, descr, seq, len): digits and blanks go."""
+    rows = read_fasta(spark, path)
+    seq = F.regexp_replace("seq", r"[\d\s]", "")
+    return rows.select("seq_id", "descr", seq.alias("seq"), F.length(seq).alias("len"))
+
+
+def featvec_lines(features: DataFrame) -> DataFrame:
+    """features(label, metwam, mcratio) as text rows '(+;<metwam,mcratio>)'."""
+    return features.select(F.format_string("(%s;<%.6f,%.6f>)", "label", "metwam", "mcratio").alias("value"))
+
+
+def parse_featvecs(lines: DataFrame) -> DataFrame:
+    part = lambda k: F.regexp_extract("value", r"^\(([+-]);<([^,]+),([^>]+)>\)$", k)
+    rows = lines.select(part(1).alias("label"), part(2).alias("metwam"), part(3).alias("mcratio")).where("label <> ''")
+    return rows.select("label", F.col("metwam").cast("double"), F.col("mcratio").cast("double"))

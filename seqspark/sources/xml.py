@@ -55,3 +55,11 @@ def read_medoids(spark: SparkSession, path: str) -> DataFrame:
     if any(wrong):
         raise ValueError("medoids must be numbered 1..k and have the stated length")
     return rows.drop("_stringsize")
+
+
+def write_medoids(medoids: DataFrame, path: str) -> None:
+    """medoids(cluster, site, k, error) as one document with the attributes that read_medoids() expects."""
+    item = F.struct(F.col("cluster").alias("_id"), F.col("site").alias("_VALUE"))
+    rows = medoids.groupBy("k", "error").agg(F.array_sort(F.collect_list(item)).alias("medoid"), F.max(F.length("site")).alias("_stringsize"))
+    rows = rows.select("_stringsize", F.col("k").alias("_k"), F.col("error").alias("_error"), "medoid")
+    rows.coalesce(1).write.format("xml").option("rootTag", "clusters").option("rowTag", "kmedoids").save(path)

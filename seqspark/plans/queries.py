@@ -526,12 +526,12 @@ def v3(spark, d):
 def e13(spark, d):
     """Weighted log-likelihood ratio and position of every labelled site."""
     rows = sites.labelled_sites(scored(spark, d))
-    return rows.select("seq_id", "pos", "hyp", F.round(F.col("llkr") + 3 * F.log(sites.position_weight()), 6).alias("metwam"), F.round(sites.position_weight(), 6).alias("share"))
+    return rows.select("seq_id", "pos", "hyp", F.round(F.col("llkr") + 3 * F.log(sites.position_weight()), 6).alias("site_ratio"), F.round(sites.position_weight(), 6).alias("share"))
 
 
 def neuron_rows(spark, d):
-    rows = e13(spark, d).where("metwam IS NOT NULL")
-    return rows.select(F.col("metwam").alias("x"), F.col("share").alias("y"), F.when(F.col("hyp") == "T", 1.0).otherwise(-1.0).alias("target"))
+    rows = e13(spark, d).where("site_ratio IS NOT NULL")
+    return rows.select(F.col("site_ratio").alias("x"), F.col("share").alias("y"), F.when(F.col("hyp") == "T", 1.0).otherwise(-1.0).alias("target"))
 
 
 @query("e14_linear_unit")

@@ -86,11 +86,11 @@ def parse_orf_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def featvec_lines(features: DataFrame) -> DataFrame:
-    """features(label, metwam, mcratio) as text rows '(+;<metwam,mcratio>)'."""
-    return features.select(F.format_string("(%s;<%.6f,%.6f>)", "label", "metwam", "mcratio").alias("value"))
+    """features(label, site_ratio, mcratio) as text rows '(+;<site_ratio,mcratio>)'."""
+    return features.select(F.format_string("(%s;<%.6f,%.6f>)", "label", "site_ratio", "mcratio").alias("value"))
 
 
 def parse_featvecs(lines: DataFrame) -> DataFrame:
     part = lambda k: F.regexp_extract("value", r"^\(([+-]);<([^,]+),([^>]+)>\)$", k)
-    rows = lines.select(part(1).alias("label"), part(2).alias("metwam"), part(3).alias("mcratio")).where("label <> ''")
-    return rows.select("label", F.col("metwam").cast("double"), F.col("mcratio").cast("double"))
+    rows = lines.select(part(1).alias("label"), part(2).alias("site_ratio"), part(3).alias("mcratio")).where("label <> ''")
+    return rows.select("label", F.col("site_ratio").cast("double"), F.col("mcratio").cast("double"))

@@ -74,7 +74,7 @@ def test_supported_structures(spark):
 def test_small_readers_and_writers(spark, tmp_path):
     from seqspark.sources import fasta, xml
 
-    rows = spark.createDataFrame([("+", 1.5, -0.25), ("-", -2.0, 0.0)], "label string, metwam double, mcratio double")
+    rows = spark.createDataFrame([("+", 1.5, -0.25), ("-", -2.0, 0.0)], "label string, site_ratio double, mcratio double")
     assert sorted(map(tuple, fasta.parse_featvecs(fasta.featvec_lines(rows)).collect())) == sorted(map(tuple, rows.collect()))
     (tmp_path / "o.txt").write_text(">x+ (1  9)\n  1 ACG TTA\n 61 GG\n")
     assert fasta.parse_orf_text(spark, str(tmp_path / "o.txt")).first()["seq"] == "ACGTTAGG"

@@ -169,7 +169,7 @@ def gc_quantiles(histogram: DataFrame, parts: int = 4) -> DataFrame:
     return cuts.where(F.col("till") * parts >= F.col("q") * F.col("total")).groupBy("q").agg(F.min("gc").alias("bound"))
 
 
-def genmark_call(posteriors: DataFrame, key: str = "seq_id") -> DataFrame:
+def coding_call(posteriors: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, coding): whether the posteriors(key, model, posterior) of all coding models exceed one half."""
     total = F.sum(F.when(F.col("model") != NONCODING, F.col("posterior")).otherwise(0.0))
     return posteriors.groupBy(key).agg((total > 0.5).alias("coding"))

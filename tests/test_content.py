@@ -102,4 +102,4 @@ def test_quantiles_and_calls(spark):
     h = spark.createDataFrame([(10, 25), (20, 25), (30, 49), (40, 1)], "gc int, n long")
     assert {r["q"]: r["bound"] for r in kmers.gc_quantiles(h).collect()} == {1: 10, 2: 20, 3: 30, 4: 40}
     p = spark.createDataFrame([(1, 0, 0.3), (1, 4, 0.3), (1, 3, 0.4), (2, 3, 0.9), (2, 1, 0.1)], "seq_id long, model int, posterior double")
-    assert {r["seq_id"]: r["coding"] for r in kmers.genmark_call(p).collect()} == {1: True, 2: False}
+    assert {r["seq_id"]: r["coding"] for r in kmers.coding_call(p).collect()} == {1: True, 2: False}

@@ -29,7 +29,7 @@ from seqspark.llm.common import new_path
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 #: Bytes of text that are split at once; distinct pieces remembered by one Python worker.
-PIECE_BYTES, WORDS_KEPT = 1 << 20, 600_000
+PIECE_BYTES, WORDS_KEPT = 1 << 19, 300_000
 TOKENIZER = "word_bpe_49k.json"
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -155,7 +155,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
             at = 0
             while at < len(texts):
                 size, rows, till = 0, [], at
-                while till < len(texts) and size < 4 * PIECE_BYTES:
+                while till < len(texts) and size < 8 * PIECE_BYTES:
                     text = texts[till].as_py() or b""
                     rows += [words.encode(text), [end_id]]
                     size, till = size + len(text), till + 1

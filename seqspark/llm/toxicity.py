@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from seqspark.llm.common import cut
 
 #: Rows that are learned from; entries of the learned lexicon; support and log odds of an entry.
 MAX_LABELLED, MAX_LEXICON, MIN_DOCS, MIN_LOG_ODDS = 20_000, 4000, 5, 3.0
-FOLDS, STEM_SIZES, NEAR, WORDS_KEPT, FIELDS = 5, (4, 5, 6), 5, 400_000, 7
+FOLDS, STEM_SIZES, NEAR, WORDS_KEPT, ENTRIES_KEPT, FIELDS = 5, (4, 5, 6), 5, 250_000, 300_000, 7
 ROUNDS, DEPTH = 20, 4
 
 #: Insults, and words for the second person in four languages.
@@ -151,14 +152,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
 
 
 def _entry_counts(batches):
-    """Documents of either kind that hold a lexicon entry, summed within the task."""
+    """Documents of either kind that hold a lexicon entry, summed within the task as far as memory allows."""
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def rows():
+        parts = [pd.DataFrame({"entry": list(c.keys()), "clean": 0, "toxic": 0}).assign(**{kind: list(c.values())}) for kind, c in zip(("clean", "toxic"), counts, strict=True)]
+        for c in counts:
+            c.clear()
+        return pd.concat(parts).astype({"clean": "int64", "toxic": "int64"})
+
     for pdf in batches:
-        counts: dict[str, list[int]] = {}
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
             words = set(_LETTERS.findall((text or "").lower()))
-            for key in {k for w in words if len(w) < 40 for k in entries(w)}:
-                counts.setdefault(key, [0, 0])[bool(toxic)] += 1
-        yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["entry", "clean", "toxic"])
+            counts[bool(toxic)].update({k for w in words if len(w) < 40 for k in entries(w)})
+            if len(counts[0]) + len(counts[1]) > ENTRIES_KEPT:
+                yield rows()
+    yield rows()
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:

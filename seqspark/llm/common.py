@@ -106,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = _with_least(down)
         small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("u"), F.col("m")))
         stars = cut(small.where("a <> b").distinct(), "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

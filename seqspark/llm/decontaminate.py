@@ -8,8 +8,9 @@ block only if its rarer terms reach the threshold together with that bound. What
 passage by passage, and every (passage, item) at or above the threshold is verified: of the word
 shingles of the item's question and of its answer, at least OVERLAP must occur in the passage.
 
-Items without columns question and answer give the last fifth of their words (a shingle at least)
-as the answer and the rest as the question. An index is built for SHARD_BYTES of item text at a
+Items without an answer of their own give the last fifth of their words (a shingle at least) as the
+answer and the rest as the question. As that cut is arbitrary, they are leaks also where OVERLAP of
+the shingles of the whole item occur in such a passage. An index is built for SHARD_BYTES of item text at a
 time, which bounds what is broadcast; document frequencies always count all items.
 
 Defined results for odd rows: null and blank texts and items match nothing; an item of fewer than
@@ -33,7 +34,7 @@ PASSAGE_WORDS, BLOCK, SHARD_BYTES = 128, 16, 8 << 20
 
 #: Lower case for A-Z; white space for every other ASCII byte that is no letter or digit.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
-LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long, n_passages int"
+LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long, n_passages int, item_overlap double"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -45,15 +46,17 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set:
 
 
 class Index:
-    """Impact index of one shard of items: lists of (item_id, question words, answer words)."""
-
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
-        self.ids = [i for i, _, _ in items]
-        self.question = [shingles(q) for _, q, _ in items]
-        self.answer = [shingles(a) for _, _, a in items]
+    """Impact index of one shard of items: lists of (item_id, question words, answer words,
+    whether the answer was cut off)."""
+
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes], bool]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
+        self.ids = [i for i, *_ in items]
+        self.question = [shingles(q) for _, q, _, _ in items]
+        self.answer = [shingles(a) for _, _, a, _ in items]
+        self.whole = [shingles(q + a) if cut_off else None for _, q, a, cut_off in items]
         self.impacts: list[dict[bytes, float]] = []
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for k, (_, q, a) in enumerate(items):
+        for k, (_, q, a, _) in enumerate(items):
             counts: dict[bytes, int] = defaultdict(int)
             for w in q + a:
                 counts[w] += 1
@@ -97,7 +100,7 @@ class Index:
         return np.nonzero((sums > 0) & (bound >= THRESHOLD))[0]
 
     def search(self, words: list[bytes], passage: int) -> list[tuple]:
-        """(item_id, bm25, question_overlap, answer_overlap, first_word, n_passages) of each leak."""
+        """(item_id, bm25, question_overlap, answer_overlap, first_word, n_passages, item_overlap) of each leak."""
         out = []
         for k in self.candidates(words):
             impacts, best = self.impacts[k], None
@@ -109,11 +112,12 @@ class Index:
                     continue
                 own = shingles(part) if len(part) >= SHINGLE else {tuple(part)}
                 share = [self._share(x[k], own, part) for x in (self.question, self.answer)]
-                if min(share) >= OVERLAP:
+                whole = self._share(self.whole[k], own, part) if self.whole[k] else None
+                if min(share) >= OVERLAP or (whole or 0.0) >= OVERLAP:
                     n += 1
-                    best = max(best or (0.0,), (round(score, 9), round(share[0], 9), round(share[1], 9), -at))
+                    best = max(best or (0.0,), (round(score, 9), round(share[0], 9), round(share[1], 9), -at, whole))
             if n:
-                out.append((self.ids[k], *best[:3], -best[3], n))
+                out.append((self.ids[k], *best[:3], -best[3], n, best[4]))
         return out
 
     @staticmethod
@@ -167,15 +171,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
     out = spark.createDataFrame([], LEAKS)
     for shard in range(n_shards if n_items else 0):
         own = items.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(n_shards)) == shard)
-        texts = [(r["item_id"], *_question_answer(r["question"], r["answer"])) for r in own.collect()]  # at most about shard_bytes
+        texts = [(r["item_id"], *_question_answer(r["question"], r["answer"]), r["answer"] is None) for r in own.collect()]  # at most about shard_bytes
         texts = sorted(x for x in texts if x[1] or x[2])
         if not texts:
             continue
-        vocabulary = sorted({w for _, q, a in texts for w in q + a})
+        vocabulary = sorted({w for _, q, a, _ in texts for w in q + a})
         wanted = terms if n_shards == 1 else terms.join(spark.createDataFrame([(bytearray(w),) for w in vocabulary], "term binary"), "term", "left_semi")
         df = {bytes(r["term"]): r["df"] for r in wanted.where("term IS NOT NULL").select("term", "df").collect()}
         index = spark.sparkContext.broadcast(Index(texts, df, n_items, n_words / n_items))
-        passage = max(PASSAGE_WORDS, 2 * max(len(q) + len(a) for _, q, a in texts))
+        passage = max(PASSAGE_WORDS, 2 * max(len(q) + len(a) for _, q, a, _ in texts))
         found = rows.mapInPandas(_search(index, passage), LEAKS)
         out = found if shard == 0 else out.union(found)
     return out
@@ -187,7 +191,7 @@ def _search(index, passage: int):
         for pdf in batches:
             hits = [(i, *hit) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for hit in own.search(words_of(text), passage)]
             if hits:
-                frame = pd.DataFrame(hits, columns=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "first_word", "n_passages"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                frame = pd.DataFrame(hits, columns=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "first_word", "n_passages", "item_overlap"])
+                yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "item_overlap": "float64"})
 
     return search

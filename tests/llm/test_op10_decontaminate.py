@@ -48,3 +48,24 @@ def test_empty_tables(spark):
     docs, tests = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.leaks(docs.where("false"), tests).collect() == [] and dc.leaks(docs, tests.where("false")).collect() == []
     assert [r["item_id"] for r in dc.leaks(docs, tests).collect()] == [1]
+
+
+def test_edited_items_are_found_by_their_whole_overlap(spark):
+    random.seed(9)
+    lexicon = [f"w{i}" for i in range(400)]
+    items = {k: random.choices(lexicon, k=random.randint(30, 60)) for k in range(8)}
+    docs, want, halves = [], set(), set()
+    for k, words in items.items():
+        for at in range(len(words)):
+            edited = [*words[:at], "changed", *words[at + 1 :]]
+            i = 100 * k + at
+            docs.append((i, " ".join(random.choices(lexicon, k=40) + edited + random.choices(lexicon, k=40))))
+            own, whole = dc.shingles(edited), dc.shingles(words)
+            if len(whole & own) >= 0.8 * len(whole):
+                want.add((i, k))
+            if all(len(p & own) >= 0.8 * len(p) for p in map(dc.shingles, dc._question_answer(" ".join(words).encode(), None))):
+                halves.add((i, k))
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), tests).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | halves and len(want - halves) > 50
+    assert all(r["item_overlap"] >= 0.8 for r in got if (r["doc_id"], r["item_id"]) in want)

@@ -47,6 +47,8 @@ REACH = WINDOW - GRAM
 AROUND, WIDTH = REACH + WINDOW, 80
 #: Bytes of text handled at once in numpy, and dealt out together; bytes of text behind one bucket and one group of documents.
 STEP, SLICE_BYTES, BUCKET_BYTES, GROUP_BYTES = 1 << 20, 8 << 20, 24 << 20, 8 << 20
+#: Bytes of text behind one task of a shuffle.
+TASK_BYTES = 48 << 20
 #: Suffixes of one anchor beyond which it is dealt out by windows; the most anchors dealt so, those with most suffixes first.
 HOT, HOT_ANCHORS = 200_000, 100_000
 LAST = np.iinfo(np.int64).max
@@ -509,17 +511,23 @@ def dedup(docs: DataFrame, keep_text: bool = True, hot: int = HOT, id_bits: int
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = max(12, total // BUCKET_BYTES), max(12, total // GROUP_BYTES)
     mask = np.uint64(((1 << id_bits) - 1) << (64 - id_bits))
-    by_group = rows.withColumn("bucket", F.pmod("row", F.lit(groups)).cast("int")).groupBy("bucket")
+    parts = total // TASK_BYTES
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        """df by keys in as many partitions as the text asks for, where that is more than the session's number."""
+        return df.repartition(parts, *keys) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+    by_group = dealt(rows.withColumn("bucket", F.pmod("row", F.lit(groups)).cast("int")), "bucket").groupBy("bucket")
 
     def of(df: DataFrame, kind: int) -> DataFrame:
-        return df.where(F.col("kind") == kind)
+        return dealt(df.where(F.col("kind") == kind), "bucket")
 
-    found = rows.select("row", "text").mapInArrow(find_anchors(buckets, groups, mask), PACK)
+    found = dealt(rows.select("row", "text").mapInArrow(find_anchors(buckets, groups, mask), PACK), "kind", "bucket")
     first = cut(found.groupBy("kind", "bucket").applyInPandas(form_buckets(groups, hot), PACK), "anchors")
     del found
     free_shuffles(spark)
-    crowded = spark.sparkContext.broadcast(_crowded(of(first, CROWDED)))
-    contexts = by_group.cogroup(of(first, SHARED).groupBy("bucket")).applyInArrow(find_contexts(buckets, groups, crowded, mask), PACK)
+    crowded = spark.sparkContext.broadcast(_crowded(first.where(F.col("kind") == CROWDED)))
+    contexts = dealt(by_group.cogroup(of(first, SHARED).groupBy("bucket")).applyInArrow(find_contexts(buckets, groups, crowded, mask), PACK), "kind", "bucket")
     second = cut(contexts.groupBy("kind", "bucket").applyInPandas(refine_buckets(groups), PACK), "spans")
     del contexts
     free_shuffles(spark)

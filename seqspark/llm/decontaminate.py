@@ -1,17 +1,27 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of test items.
 
 The index holds, for each term, the items that have it with their impacts: BM25 weights divided by
-the item's own total, so that an item's full text scores 1 and one threshold serves all items.
-Search is block-max WAND: the items are blocks of BLOCK postings' owners; for each block the most
-that the frequent terms can add to any of its items is known, so a document is scored against a
-block only if its rarer terms reach the threshold together with that bound. What is left is scored
-passage by passage, and every (passage, item) at or above the threshold is verified: of the word
-shingles of the item's question and of its answer, at least OVERLAP must occur in the passage.
+the item's own total, so that an item's full text scores 1. Each item has its own threshold: the
+least score that a passage can have which holds OVERLAP of the item's shingles (each missing word
+costs a shingle at least, so it is 1 less the largest impacts of as many words as shingles may be
+missing). So retrieval loses no leak, and whether an item is a leak depends on no other item.
+
+Search is block-max WAND, for all passages of some texts at once. Posting lists are in order of
+items and cut into blocks of BLOCK items with the largest impact of each. (1) A passage's terms are
+put in order of falling frequency; up to the pivot their largest impacts stay below the threshold
+together, so an item must have a term from the pivot on: only blocks of those lists are entered.
+(2) A block goes on if the block maxima of all the passage's terms reach the threshold. (3) Items of
+such blocks are scored. Every (passage, item) at its threshold is verified: of the word shingles of
+the item's question and of its answer, at least OVERLAP must occur in the passage.
+
+Passages are windows of words, half overlapping, of PASSAGE_WORDS or the power of two times that
+which is twice the item's length at least; items of one such class have their index in common.
 
 Items without an answer of their own give the last fifth of their words (a shingle at least) as the
 answer and the rest as the question. As that cut is arbitrary, they are leaks also where OVERLAP of
-the shingles of the whole item occur in such a passage. An index is built for SHARD_BYTES of item text at a
-time, which bounds what is broadcast; document frequencies always count all items.
+the shingles of the whole item occur in such a passage. All items go into one pass over the
+documents up to SHARD_BYTES of their text, which bounds what is broadcast; more take a pass for each
+SHARD_BYTES. Document frequencies always count all items.
 
 Defined results for odd rows: null and blank texts and items match nothing; an item of fewer than
 SHINGLE words is one shingle; repeated rows of documents give repeated rows, of items one; empty
@@ -22,18 +32,26 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqspark.llm.token_parquet import pieces
+
 K1, B = 1.2, 0.75
-THRESHOLD, SHINGLE, OVERLAP = 0.5, 5, 0.8
-PASSAGE_WORDS, BLOCK, SHARD_BYTES = 128, 16, 8 << 20
+SHINGLE, OVERLAP = 5, 0.8
+PASSAGE_WORDS, BLOCK, SHARD_BYTES = 128, 8, 32 << 20
+#: Bytes of text searched at once, and split into words at once; how far sums may be off by rounding.
+SLICE_BYTES, PIECE_BYTES, ROUNDING = 4 << 20, 1 << 20, 1e-9
+UNKNOWN, PART = -1, -2
 
 #: Lower case for A-Z; white space for every other ASCII byte that is no letter or digit.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
+_PART = b"\x00"  # no folded text has it
 LEAKS = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, first_word long, n_passages int, item_overlap double"
 
 
@@ -41,93 +59,183 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def shingles(words: list[bytes], n: int = SHINGLE) -> set:
+def shingles(words: list, n: int = SHINGLE) -> set:
     return set(zip(*(words[i:] for i in range(n)))) if len(words) >= n else {tuple(words)} if words else set()
 
 
-class Index:
-    """Impact index of one shard of items: lists of (item_id, question words, answer words,
-    whether the answer was cut off)."""
+def _may_miss(wanted: set) -> int:
+    return math.floor((1 - OVERLAP) * len(wanted) + ROUNDING)
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes], bool]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
+
+def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term its places from starts[term] to starts[term + 1]: (index into terms, place)."""
+    sizes = starts[terms + 1] - starts[terms]
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(terms)), sizes)
+    return owner, np.arange(len(owner)) + (starts[terms] - ends + sizes)[owner]
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their values."""
+    names, slot = np.unique(keys, return_inverse=True)
+    return names, np.bincount(slot, values, minlength=len(names))
+
+
+class Class:
+    """Block-max index of the items of one passage length: (item_id, question, answer, whether the
+    answer was cut off) with words as numbers, and each item's raw BM25 weights."""
+
+    def __init__(self, passage: int, items: list[tuple], weights: list[dict[int, float]], n_terms: int) -> None:
+        self.step = passage // 2
         self.ids = [i for i, *_ in items]
         self.question = [shingles(q) for _, q, _, _ in items]
         self.answer = [shingles(a) for _, _, a, _ in items]
         self.whole = [shingles(q + a) if cut_off else None for _, q, a, cut_off in items]
-        self.impacts: list[dict[bytes, float]] = []
-        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for k, (_, q, a, _) in enumerate(items):
-            counts: dict[bytes, int] = defaultdict(int)
-            for w in q + a:
-                counts[w] += 1
-            norm = K1 * (1 - B + B * len(q + a) / mean_words)
-            raw = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in counts.items()}
+        threshold = []
+        for k, raw in enumerate(weights):
+            most = max(_may_miss(self.question[k]) + _may_miss(self.answer[k]), _may_miss(self.whole[k] or set()))
             total = sum(raw.values())
-            self.impacts.append({w: x / total for w, x in raw.items()})
-            for w, x in self.impacts[-1].items():
-                postings[w].append((k, x))
-        # Terms by falling document frequency are set aside as long as, in every block, what they
-        # add to any item stays below half the threshold; the others are the essential ones.
-        rest = np.zeros(len(items))
-        self.terms: dict[bytes, int] = {}
-        lists: list[list[tuple[int, float]]] = []
-        aside = True
-        for w in sorted(postings, key=lambda w: (-len(postings[w]), w)):
-            if aside:
-                own = np.array([k for k, _ in postings[w]])
-                grown = rest.copy()
-                grown[own] += [x for _, x in postings[w]]
-                if aside := len(own) > 1 and grown.max() < THRESHOLD / 2:
-                    rest = grown
-                    continue
-            self.terms[w] = len(lists)
-            lists.append(postings[w])
-        self.block_rest = np.array([rest[i : i + BLOCK].max() for i in range(0, len(items), BLOCK)])
-        self.starts = np.cumsum([0] + [len(x) for x in lists])
-        self.items = np.array([k for x in lists for k, _ in x], dtype=np.int64)
-        self.values = np.array([v for x in lists for _, v in x])
-
-    def candidates(self, words: list[bytes]) -> np.ndarray:
-        """Items that some passage of the words may bring to the threshold."""
-        found = np.array([self.terms[w] for w in self.terms.keys() & set(words)], dtype=np.int64)
-        if not len(found):
-            return found
-        sizes = self.starts[found + 1] - self.starts[found]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[found] - ends + sizes, sizes)
-        sums = np.bincount(self.items[at], self.values[at], minlength=len(self.ids))
-        bound = sums + np.repeat(self.block_rest, BLOCK)[: len(sums)]
-        return np.nonzero((sums > 0) & (bound >= THRESHOLD))[0]
-
-    def search(self, words: list[bytes], passage: int) -> list[tuple]:
-        """(item_id, bm25, question_overlap, answer_overlap, first_word, n_passages, item_overlap) of each leak."""
-        out = []
-        for k in self.candidates(words):
-            impacts, best = self.impacts[k], None
-            n = 0
-            for at in range(0, max(1, len(words) - passage // 2), passage // 2):
-                part = words[at : at + passage]
-                score = sum(map(impacts.__getitem__, impacts.keys() & set(part)))
-                if score < THRESHOLD:
-                    continue
-                own = shingles(part) if len(part) >= SHINGLE else {tuple(part)}
-                share = [self._share(x[k], own, part) for x in (self.question, self.answer)]
-                whole = self._share(self.whole[k], own, part) if self.whole[k] else None
-                if min(share) >= OVERLAP or (whole or 0.0) >= OVERLAP:
-                    n += 1
-                    best = max(best or (0.0,), (round(score, 9), round(share[0], 9), round(share[1], 9), -at, whole))
-            if n:
-                out.append((self.ids[k], *best[:3], -best[3], n, best[4]))
-        return out
+            # At least one shingle, so one word, is there.
+            threshold.append(max(1 - sum(sorted(raw.values(), reverse=True)[:most]) / total, min(raw.values()) / total))
+        self.threshold = np.array(threshold)
+        # Impacts divided by the item's threshold: the bound is 1 for all.
+        rows = [(w, k, x / sum(raw.values()) / threshold[k]) for k, raw in enumerate(weights) for w, x in raw.items()]
+        term, item, value = (np.array(x) for x in zip(*rows, strict=True))
+        order = np.lexsort((item, term))
+        term, self.items, self.values = term[order], item[order], value[order]
+        self.starts = np.searchsorted(term, np.arange(n_terms + 1))
+        new = np.nonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.items[1:] // BLOCK != self.items[:-1] // BLOCK)]))[0]
+        self.blocks, self.block_most = self.items[new] // BLOCK, np.maximum.reduceat(self.values, new)
+        self.block_starts = np.searchsorted(term[new], np.arange(n_terms + 1))
+        self.n_blocks = len(items) // BLOCK + 1
+        self.most = np.zeros(n_terms)
+        np.maximum.at(self.most, term, self.values)
+
+    def passages(self, words: np.ndarray, begin: np.ndarray):
+        """(first passage of each text, passage, term) with each passage's distinct terms in ascending order."""
+        at = np.nonzero(words >= 0)[0]
+        at = at[self.most[words[at]] > 0]
+        text = np.searchsorted(begin, at, "right") - 1
+        n = np.maximum(1, -(-np.diff(begin) // self.step) - 1)
+        first = np.concatenate([[0], np.cumsum(n)])
+        k = (at - begin[text]) // self.step
+        own, before = k < n[text], k > 0
+        n_terms = len(self.most)
+        keys = np.concatenate([(first[text] + k)[own] * n_terms + words[at[own]], (first[text] + k - 1)[before] * n_terms + words[at[before]]])
+        return first, *np.divmod(np.unique(keys), n_terms)
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) at or above the items' thresholds; a score of 1 is the threshold."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if not len(term):
+            return none
+        bound = 1 - ROUNDING
+        # The pivot: terms are numbered by falling frequency.
+        sums = np.cumsum(self.most[term])
+        new = np.concatenate([[True], passage[1:] != passage[:-1]])
+        own = sums - (sums - self.most[term])[np.maximum.accumulate(np.where(new, np.arange(len(term)), 0))]
+        essential = own >= bound
+        if not essential.any():
+            return none
+        rest = np.zeros(passage[-1] + 1)
+        np.maximum.at(rest, passage[~essential], own[~essential])
+        owner, at = _expand(self.block_starts, term[essential])
+        block, most = _sums(passage[essential][owner] * self.n_blocks + self.blocks[at], self.block_most[at])
+        go = most + rest[block // self.n_blocks] >= bound
+        block, most = block[go], most[go]
+        # The other terms' block maxima, for passages that are left.
+        left = np.zeros(len(rest), bool)
+        left[block // self.n_blocks] = True
+        other = ~essential & left[passage]
+        owner, at = _expand(self.block_starts, term[other])
+        keys, more = self._within(block, passage[other][owner] * self.n_blocks + self.blocks[at], self.block_most[at])
+        np.add.at(most, keys, more)
+        block = block[most >= bound]
+        # Items of the blocks that are left.
+        left[:] = False
+        left[block // self.n_blocks] = True
+        use = left[passage]
+        owner, at = _expand(self.starts, term[use])
+        p, item, value = passage[use][owner], self.items[at], self.values[at]
+        inside = self._inside(block, p * self.n_blocks + item // BLOCK)
+        pairs, score = _sums(p[inside] * len(self.ids) + item[inside], value[inside])
+        found = score >= bound
+        return *np.divmod(pairs[found], len(self.ids)), score[found]
 
     @staticmethod
-    def _share(wanted: set, own: set, part: list[bytes]) -> float:
+    def _inside(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether keys are among the sorted names."""
+        if not len(names):
+            return np.zeros(len(keys), bool)
+        return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys
+
+    def _within(self, names: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = self._inside(names, keys)
+        return np.searchsorted(names, keys[inside]), values[inside]
+
+    def search(self, words: np.ndarray, begin: np.ndarray):
+        """(text, item_id, bm25, question_overlap, answer_overlap, first_word, n_passages, item_overlap) of each leak."""
+        first, passage, term = self.passages(words, begin)
+        best: dict[tuple[int, int], tuple] = {}
+        n: dict[tuple[int, int], int] = defaultdict(int)
+        for p, k, score in zip(*(x.tolist() for x in self.retrieve(passage, term)), strict=True):
+            text = int(np.searchsorted(first, p, "right")) - 1
+            at = (p - int(first[text])) * self.step
+            part = words[begin[text] + at : min(begin[text] + at + 2 * self.step, begin[text + 1])].tolist()
+            own = shingles(part) if len(part) >= SHINGLE else {tuple(part)}
+            share = [self._share(x[k], own, part) for x in (self.question, self.answer)]
+            whole = self._share(self.whole[k], own, part) if self.whole[k] else None
+            if min(share) >= OVERLAP or (whole or 0.0) >= OVERLAP:
+                n[text, k] += 1
+                found = (round(score * self.threshold[k], 9), round(share[0], 9), round(share[1], 9), -at, whole)
+                best[text, k] = max(best.get((text, k), (0.0,)), found)
+        for (text, k), x in best.items():
+            yield text, self.ids[k], *x[:3], -x[3], n[text, k], x[4]
+
+    @staticmethod
+    def _share(wanted: set, own: set, part: list) -> float:
         if not wanted:
             return 1.0
         size = len(next(iter(wanted)))
         return len(wanted & (own if size == SHINGLE else shingles(part, size))) / len(wanted)
 
 
+class Index:
+    """The indexes of all classes of some items: lists of (item_id, question words, answer words,
+    whether the answer was cut off)."""
+
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes], bool]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
+        vocabulary = sorted({w for _, q, a, _ in items for w in q + a}, key=lambda w: (-df[w], w))
+        self.numbers = {w: k for k, w in enumerate(vocabulary)} | {_PART: PART}
+        idf = [math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) for w in vocabulary]
+        classes: dict[int, list] = defaultdict(list)
+        for i, q, a, cut_off in items:
+            numbers = [[self.numbers[w] for w in x] for x in (q, a)]
+            counts: dict[int, int] = defaultdict(int)
+            for w in numbers[0] + numbers[1]:
+                counts[w] += 1
+            norm = K1 * (1 - B + B * len(q + a) / mean_words)
+            passage = PASSAGE_WORDS << max(0, math.ceil(math.log2(2 * len(q + a) / PASSAGE_WORDS)))
+            classes[passage].append(((i, *numbers, cut_off), {w: idf[w] * c * (K1 + 1) / (c + norm) for w, c in counts.items()}))
+        self.classes = [Class(passage, *map(list, zip(*own, strict=True)), len(vocabulary)) for passage, own in sorted(classes.items())]
+
+    def numbers_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts joined, and where each text's words start, and the end."""
+        data = (b" " + _PART + b" ").join(t.translate(_FOLD) for t in texts)
+        number, parts = self.numbers.get, []
+        for piece in pieces(data, PIECE_BYTES):
+            words = piece.split()
+            parts.append(np.fromiter(map(number, words, repeat(UNKNOWN)), np.int32, len(words)))
+        words = np.concatenate(parts)
+        edges = np.nonzero(words == PART)[0]
+        return words[words != PART].astype(np.int64), np.concatenate([[0], edges - np.arange(len(edges)), [len(words) - len(edges)]])
+
+    def search(self, texts: list[bytes]):
+        words, begin = self.numbers_of(texts)
+        for own in self.classes:
+            yield from own.search(words, begin)
+
+
 def _split_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) with texts as binary; answer null where it is to be cut off."""
     cast = lambda c: F.col(c).cast("binary")
@@ -179,19 +287,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES)
         wanted = terms if n_shards == 1 else terms.join(spark.createDataFrame([(bytearray(w),) for w in vocabulary], "term binary"), "term", "left_semi")
         df = {bytes(r["term"]): r["df"] for r in wanted.where("term IS NOT NULL").select("term", "df").collect()}
         index = spark.sparkContext.broadcast(Index(texts, df, n_items, n_words / n_items))
-        passage = max(PASSAGE_WORDS, 2 * max(len(q) + len(a) for _, q, a, _ in texts))
-        found = rows.mapInPandas(_search(index, passage), LEAKS)
+        found = rows.mapInArrow(_search(index), LEAKS)
         out = found if shard == 0 else out.union(found)
     return out
 
 
-def _search(index, passage: int):
+def _slices(texts):
+    """Row ranges of about SLICE_BYTES of text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size > SLICE_BYTES:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _search(index):
+    names = [x.split()[0] for x in LEAKS.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in LEAKS.split(", ")]
+
     def search(batches):
         own = index.value
-        for pdf in batches:
-            hits = [(i, *hit) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for hit in own.search(words_of(text), passage)]
-            if hits:
-                frame = pd.DataFrame(hits, columns=["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "first_word", "n_passages", "item_overlap"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "item_overlap": "float64"})
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in _slices(texts):
+                hits = [(ids[a + text], *hit) for text, *hit in own.search([t or b"" for t in texts[a:b]])]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*hits, strict=True), kinds, strict=True)], names=names)
 
     return search

@@ -2,16 +2,18 @@
 
 Features of a text (see FEATURES): densities of lexicon words and stems, their weights, how near
 they stand to second-person words, capitals, punctuation and obfuscation. The lexicon is learned
-from labelled training rows: words and word stems whose share among toxic texts exceeds that among
-others by far; it is joined with a short list of English insults. At most MAX_LABELLED training
-rows are used, picked by a hash of the id; that bound holds for lexicon, trees and calibration.
+from all labelled training rows: words and word stems whose share among toxic texts exceeds that
+among others by far; it is joined with a short list of English insults. An entry stands in MIN_DOCS
+toxic texts at least and in MIN_SHARE of them, which bounds the lexicon by the entries of a text
+divided by MIN_SHARE. Trees and calibration are fitted on at most about MAX_LABELLED of these rows,
+picked by a hash of the id.
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are never read. Of the rest,
 a hash of the id sets a fifth of the rows aside for calibration.
 
 Defined results for odd rows: a null text is scored as an empty one; repeated rows get the same
 score; a row with a null doc_id is scored and not learned from; a document with both labels counts
-as toxic; without labelled rows of both kinds every score is the toxic share, 0.0 if there are
+as toxic; texts that share an id are all learned from; without labelled rows of both kinds every score is the toxic share, 0.0 if there are
 none; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -21,6 +23,7 @@ import math
 import re
 from array import array
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import cut
 
-#: Rows that are learned from; entries of the learned lexicon; support and log odds of an entry.
-MAX_LABELLED, MAX_LEXICON, MIN_DOCS, MIN_LOG_ODDS = 20_000, 4000, 5, 3.0
+#: Rows that trees and calibration are fitted on; support of a lexicon entry among toxic texts, and its log odds.
+MAX_LABELLED, MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS = 20_000, 5, 1e-4, 3.0
 FOLDS, STEM_SIZES, NEAR, WORDS_KEPT, ENTRIES_KEPT, FIELDS = 5, (4, 5, 6), 5, 250_000, 300_000, 7
 ROUNDS, DEPTH = 20, 4
 
@@ -59,7 +62,8 @@ def entries(word: str) -> list[str]:
 
 
 class Words(dict):
-    """raw word -> row of (word hit, stem hit, weight, second person, all caps, disguised, mixed)."""
+    """raw word -> row of (word hits, stem hits, weight, second person, all caps, disguised, mixed). A raw
+    word holds any number of runs of letters; each counts."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
@@ -73,9 +77,9 @@ class Words(dict):
         word = raw.decode("utf-8", "replace")
         found = _LETTERS.findall(word.lower())
         weight = hit = stem = person = 0
-        for x in found[:8]:
+        for x in found:
             keys = [self.lexicon.get(k, 0.0) for k in entries(x)]
-            weight, hit, stem = max(weight, *keys), hit or keys[0] > 0, stem or max(keys[1:], default=0) > 0
+            weight, hit, stem = max(weight, *keys), hit + (keys[0] > 0), stem + (max(keys[1:], default=0) > 0)
             person = person or x in _PERSONS
         bare = word.strip(".,;:!?\"'()[]")
         mixed = bare != "" and not bare.isalpha() and any(map(str.isalpha, bare))
@@ -93,7 +97,9 @@ class Words(dict):
         """FIELDS columns for each word."""
         if len(self.flat) > FIELDS * WORDS_KEPT:
             self.forget()
-        places = list(map(self.__getitem__, raw))
+        places = np.fromiter(map(self.get, raw, repeat(-1)), np.int64, len(raw))
+        for i in np.nonzero(places < 0)[0].tolist():
+            places[i] = self[raw[i]]
         return np.frombuffer(self.flat, np.float64).reshape(-1, FIELDS)[places]
 
 
@@ -139,16 +145,23 @@ def with_features(docs: DataFrame, lexicon) -> DataFrame:
     return rows.mapInPandas(compute, "doc_id long, features array<double>")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """At most about `most` labelled rows that are not held out: (doc_id, text, toxic).
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The labelled rows that are not held out, (doc_id, text, toxic), and the number of their ids.
 
-    A hash of the id picks them, so the bound costs one count of labels and no sort."""
+    The marks are a written table, so Spark knows their size and broadcasts them only where they are small."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.where(~held_out(F.col("doc_id")))
-    n = marks.count()
+    marks = cut(marks.where(~held_out(F.col("doc_id"))), "marks")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id"), marks.count()
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """At most about `most` of labelled_rows(); a hash of the id picks them."""
+    return _picked(*labelled_rows(docs, labels), most)
+
+
+def _picked(rows: DataFrame, n: int, most: int) -> DataFrame:
     share = min(1.0, most / max(1, n))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id").dropDuplicates(["doc_id"])
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id", "text"])
 
 
 def _entry_counts(batches):
@@ -164,22 +177,22 @@ def _entry_counts(batches):
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
             words = set(_LETTERS.findall((text or "").lower()))
-            counts[bool(toxic)].update({k for w in words if len(w) < 40 for k in entries(w)})
+            counts[bool(toxic)].update({k for w in words for k in entries(w)})
             if len(counts[0]) + len(counts[1]) > ENTRIES_KEPT:
                 yield rows()
     yield rows()
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """entry -> log odds; at most MAX_LEXICON entries, the most telling ones."""
+    """entry -> log odds, of all rows(text, toxic)."""
     lexicon = {w: 2.0 for w in INSULTS}
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return lexicon
     counts = rows.mapInPandas(_entry_counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
-    best = counts.where(F.col("t") >= MIN_DOCS).select("entry", odds.alias("odds"), "t").where(F.col("odds") >= MIN_LOG_ODDS)
-    return lexicon | {r["entry"]: r["odds"] for r in best.orderBy(F.desc("t"), "entry").limit(MAX_LEXICON).collect()}
+    best = counts.where(F.col("t") >= max(MIN_DOCS, MIN_SHARE * n[1])).select("entry", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
+    return lexicon | {r["entry"]: r["odds"] for r in best.collect()}
 
 
 class Model:
@@ -187,14 +200,15 @@ class Model:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> None:
         self.trees = None
-        rows = cut(training_rows(docs, labels, most), "labelled")
+        every, n = labelled_rows(docs, labels)
+        rows = cut(_picked(every, n, most), "labelled")
         counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
         self.constant = counts.get(1, 0) / max(1, sum(counts.values()))
-        self.lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(rows))
+        self.lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(every.select("text", "toxic")))
         if not counts.get(1) or not counts.get(0):
             return
         # The bounded sample as feature rows, in few partitions: each round of boosting is a few small jobs.
-        fed = with_features(rows, self.lexicon).join(rows.select("doc_id", "toxic"), "doc_id")
+        fed = with_features(rows, self.lexicon).join(rows.select("doc_id", "toxic").distinct(), "doc_id")
         fed = cut(fed.select("doc_id", "features", F.col("toxic").cast("double").alias("toxic")).coalesce(4), "features")
         fed = fed.select("doc_id", array_to_vector("features").alias("features"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0).alias("aside"))
         booster = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, seed=7, cacheNodeIds=False)

@@ -56,3 +56,25 @@ def test_features_of_pieces_and_near_persons():
     named = dict(zip(toxicity.FEATURES, toxicity.features(b"You IDIOT! a b c d e f g h zarkling 1d1ot", words), strict=True))
     assert (named["word_hits"], named["stem_hits"], named["disguised_hits"], named["hits_near_person"]) == (1, 1, 1, 1)
     assert len(toxicity.features(None, words)) == len(toxicity.FEATURES)
+
+
+def test_every_run_of_letters_counts():
+    words = toxicity.Words({"idiot": 2.0, "zark*": 1.0})
+    for text, hits, stems in ((b"a,b,c,idiot", 1, 0), (b"a,b,c,d,e,f,g,h,idiot", 1, 0), (b"idiot/idiot.zarkwad" + b",x" * 5000 + b",idiot", 3, 1)):
+        named = dict(zip(toxicity.FEATURES, toxicity.features(text, words), strict=True))
+        assert (named["word_hits"], named["stem_hits"]) == (hits, stems)
+
+
+def test_lexicon_covers_all_labelled_rows_and_long_words(spark):
+    long = "q" * 60
+    rows = [(f"calm words {long if k < 6 else ''}", 1) for k in range(40)] + [("calm words only", 0)] * 200
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert long in lexicon and "calm" not in lexicon
+
+
+def test_texts_that_share_an_id_are_all_learned_from(spark):
+    docs = spark.createDataFrame([(1, "one"), (1, "two"), (1, "two"), (2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert sorted(r["text"] for r in rows) in (["one", "two"], [])  # id 1 may be held out
+    assert len(rows) == 2

@@ -74,20 +74,23 @@ ORACLE = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d
     """,
     "op8_mixing": r"""
-        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || 'mix'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(bin(CAST(strlen(coalesce(text, '')) AS BIGINT))) AS digits,
+                md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || 'mix' || md5(coalesce(text, ''))) AS key FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
         w AS (SELECT *, CAST((k - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) / ((k - 1) % 3 + 1) AS ratio FROM s),
         l AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
               FROM w WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT *, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight, 0)) AS target FROM l),
-        g AS (SELECT *, CAST(coalesce(floor(target / nullif(source_size, 0)), 0) AS INT) AS copies FROM t),
-        h AS (SELECT *, target - copies * source_size AS rest, coalesce((target - copies * source_size) / nullif(source_size, 0), 0) AS p FROM g),
-        r AS (SELECT d.doc_id, d.size, h.*, u / (1 - u) / (p / (1 - p)) AS odds FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
-        c AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id) AS BIGINT) AS till FROM r WHERE p > 0),
-        b AS (SELECT source, rest, min(abs(till - rest)) AS off FROM (SELECT source, rest, till FROM c UNION ALL SELECT source, rest, 0 FROM h WHERE p > 0) GROUP BY source, rest),
-        e AS (SELECT b.source, min(till) AS last FROM b JOIN (SELECT source, till FROM c UNION ALL SELECT source, 0 FROM h) x ON x.source IS NOT DISTINCT FROM b.source WHERE abs(till - rest) = off GROUP BY b.source)
-        SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.copies + CASE WHEN r.p > 0 AND c.till <= e.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM r LEFT JOIN c ON c.doc_id = r.doc_id AND c.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON e.source IS NOT DISTINCT FROM r.source
+        t AS (SELECT source, source_size, least(source_size * 3.0::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight, 0)) AS target FROM l),
+        c AS (SELECT t.*, digits, words FROM (SELECT source, digits, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL) x JOIN t ON t.source IS NOT DISTINCT FROM x.source),
+        cl AS (SELECT *, 3.0::DOUBLE / digits AS ratio, (target - 3 * coalesce(CAST(sum(words) OVER o AS BIGINT), 0)) / nullif(CAST(sum(words * digits) OVER (PARTITION BY source) - coalesce(sum(words * digits) OVER o, 0) AS DOUBLE), 0) AS level
+               FROM c WINDOW o AS (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        cr AS (SELECT *, CASE WHEN target > 0 THEN least(3.0::DOUBLE, coalesce(arg_max(level, digits) FILTER (level <= ratio) OVER (PARTITION BY source) * digits, 3.0)) ELSE 0 END AS r FROM cl),
+        g AS (SELECT *, CAST(floor(r) AS INT) AS copies, r - floor(r) AS p, target - CAST(sum(CAST(floor(r) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM cr),
+        u AS (SELECT *, (CAST(('0x' || substr(key, 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u, row_number() OVER () AS n FROM d),
+        r AS (SELECT u.*, source_size, target, copies, p, rest, u / (1 - u) / (p / (1 - p)) AS odds FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source AND u.digits = g.digits),
+        o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), key, n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS till FROM r WHERE p > 0),
+        e AS (SELECT source, arg_min(till, abs(till - rest) * 4 + CASE WHEN till > rest THEN 1 ELSE 0 END) AS last FROM (SELECT source, rest, till FROM o UNION ALL SELECT DISTINCT source, rest, 0 FROM g) GROUP BY source)
+        SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * (r.copies + CASE WHEN r.p > 0 AND o.till <= e.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM r LEFT JOIN o ON o.n = r.n LEFT JOIN e ON e.source IS NOT DISTINCT FROM r.source
     """,
 }

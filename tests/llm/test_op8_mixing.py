@@ -1,6 +1,9 @@
+import duckdb
+import pyarrow as pa
 import pytest
 
 from seqspark.llm import mixing
+from seqspark.llm.queries import ORACLE
 
 
 def rows_of():
@@ -56,3 +59,28 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.report(spark.createDataFrame([], schema)).collect() == []
     got = mixing.report(spark.createDataFrame([(1, "a", ""), (2, "b", None)], schema)).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_documents_have_unequal_probabilities_and_agree_with_sql(spark):
+    rows = [(k, "ab"[k % 2], " ".join(["w"] * (1 + k * k % 97)), 1) for k in range(900)] + rows_of()
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, rank int")
+    by_digits = {}
+    for r in mixing.shares(mixing.sizes_of(df)).where("source = 'a'").collect():
+        by_digits[r["digits"]] = r["copies"] + r["p"]
+    assert len(set(by_digits.values())) > 3 and all(by_digits[a] <= by_digits[b] for a in by_digits for b in by_digits if a < b)
+    documents = pa.table({"doc_id": [r[0] for r in rows], "source": [r[1] for r in rows], "text": [r[2] for r in rows]})
+    want = duckdb.sql(ORACLE["op8_mixing"]).fetchall() if documents.num_rows else None
+    got = mixing.report(df).collect()
+    close = lambda x: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in x), key=str)
+    assert close(got) == close(want)
+
+
+@pytest.mark.parametrize("text", ["one text for all rows", None])
+def test_rows_without_ids_come_near_the_target(spark, text):
+    rows = [(None, "a", text or f"own text {k} " * (k % 9 + 1)) for k in range(500)] + [(k, "b", "w " * 30) for k in range(100)] + [(7, "c", "w w w w w")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = [(r["source_size"], r["target"], r["taken"], r["size"]) for r in mixing.report(df).collect()]
+    for size, target in {x[:2] for x in got}:
+        own = [x for x in got if x[:2] == (size, target)]
+        assert abs(sum(x[2] for x in own) - target) <= max(x[3] for x in own)
+    assert mixing.mix(df).count() == sum(1 for x in got for _ in range(x[2] // x[3]))

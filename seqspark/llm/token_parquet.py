@@ -13,10 +13,12 @@ this tokenizer never joins characters.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,11 @@ from seqspark.llm.common import new_path
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 #: Bytes of text that are split at once; distinct pieces remembered by one Python worker.
-PIECE_BYTES, WORDS_KEPT = 1 << 19, 300_000
+PIECE_BYTES, WORDS_KEPT = 1 << 19, 500_000
+#: Bits for the number of token ids of one piece of text.
+SIZE_BITS = 22
+#: Bytes of text that part rows of one doc_id into ranges.
+HEAD_BYTES = 32
 TOKENIZER = "word_bpe_49k.json"
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -64,8 +70,21 @@ _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = dict(zip([*_VISIBLE, *sorted(set(range(256)) - set(_VISIBLE))], map(chr, [*_VISIBLE, *range(256, 512 - len(_VISIBLE))]), strict=True))
 
 
+#: How the tokenizers that this splitting is for normalize and split.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class _Places(dict):
-    """key -> place of its token ids in the pool; ids_of finds those of a new key."""
+    """key -> where its token ids are in the pool, start and size in one number; ids_of finds those of a new key."""
 
     def __init__(self, ids_of) -> None:
         self.ids_of = ids_of
@@ -73,27 +92,27 @@ class _Places(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.pool, self.starts, self.sizes = array("i"), array("q"), array("q")
+        self.pool = array("i")
 
     def __missing__(self, key: bytes) -> int:
-        ids, place = self.ids_of(key), len(self.starts)
-        self.starts.append(len(self.pool))
-        self.sizes.append(len(ids))
+        ids = self.ids_of(key)
+        place = len(self.pool) << SIZE_BITS | len(ids)
         self.pool.extend(ids)
         if len(key) < 64:
             self[key] = place
         return place
 
     def ids(self, keys: list[bytes]) -> np.ndarray:
-        if len(self.starts) > WORDS_KEPT:
+        if len(self) > WORDS_KEPT or len(self.pool) > 8 * WORDS_KEPT:
             self.forget()
-        places = np.array(list(map(self.__getitem__, keys)), dtype=np.int64)
-        if not len(places):
+        if not keys:
             return np.empty(0, np.int32)
-        sizes = np.frombuffer(self.sizes, np.int64)[places]
-        starts = np.frombuffer(self.starts, np.int64)[places]
+        places = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        for i in np.nonzero(places < 0)[0].tolist():
+            places[i] = self[keys[i]]
+        sizes = places & ((1 << SIZE_BITS) - 1)
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        at = np.arange(ends[-1]) + np.repeat((places >> SIZE_BITS) - ends + sizes, sizes)
         return np.frombuffer(self.pool, np.int32)[at]
 
 
@@ -102,7 +121,8 @@ class TextEncoder:
 
     Latin-1 text is split by the tokenizer's pattern, and its model encodes each distinct piece
     once. Text with other characters, or with what may be a special token, is split at ASCII white
-    space only, and the tokenizer encodes each distinct word.
+    space only, and the tokenizer encodes each distinct word. Both hold for tokenizers that
+    normalize and split as KNOWN says; any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -110,10 +130,14 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        stated = json.loads(self.tokenizer.to_str())
+        self.known = all(stated[k] == v for k, v in KNOWN.items())
         self.tokens, self.words = _Places(self._token_ids), _Places(self._word_ids)
 
     def _token_ids(self, token: bytes) -> list[int]:
-        text = "".join(map(_BYTE_CHARS.__getitem__, token.decode("latin-1").encode()))
+        text = token.decode("latin-1")
+        if not (text.isascii() and text.isprintable()):
+            text = "".join(map(_BYTE_CHARS.__getitem__, text.encode()))
         return [x.id for x in self.model.tokenize(text)]
 
     def _word_ids(self, word: bytes) -> list[int]:
@@ -121,6 +145,8 @@ class TextEncoder:
 
     def encode(self, data: bytes) -> np.ndarray:
         """Token ids (int32) of UTF-8 text."""
+        if not self.known:
+            return np.array(self._word_ids(data), np.int32)
         out = [self._encode_piece(x) for x in pieces(data)]
         return out[0] if len(out) == 1 else np.concatenate(out)
 
@@ -170,7 +196,9 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                 start, at = start + int(offsets[-1]), till
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
+    # Ranges by id and the start of the text: many equal or null ids are split, and order is that of (id, text).
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD_BYTES))
+    return rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
 
 
 def write_tokens(encoded: DataFrame, path: str) -> None:

@@ -40,5 +40,26 @@ def test_files_and_checksums(spark, tmp_path):
     assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and columns["doc_id"].has_column_index
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = tp.TextEncoder(path)
+    assert not own.known and tp.TextEncoder(tp.default_tokenizer()).known
+    for text in ("Two  blanks, Capitals\n\nand lines", "naïve Σ", ""):
+        assert own.encode(text.encode()).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_one_id_fall_into_several_files(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("CAST(NULL AS long) doc_id", "concat(id * 7919 % 4000, ' words') text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tp.write_tokens(tp.encode_documents(docs), str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 1
+    got = tp.read_tokens(spark, str(tmp_path / "t")).orderBy("start").select("start", "n_tokens").collect()
+    assert len(got) == 4000 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
 def test_empty_table(spark):
     assert tp.round_trip(spark.createDataFrame([], "doc_id long, text string")).collect() == []

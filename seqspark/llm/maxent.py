@@ -1,17 +1,20 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). Words are put into classes: the CLUSTERED
-most frequent words by k-means on what stands one and two places before them, all others by the
-class that words of the same ending mostly have. P(class | before) is a softmax whose weights are
-hashed features of the classes before: the n-grams (one back) and (one and two back), the skip
-(two back without the one between), and a bias. P(word | class) counts the word in its class,
-smoothed as the base score is.
-
-Counts, class statistics and gradients cover all training documents: a pass counts words, one
-gathers the neighbours of frequent words, one the class n-grams; each gradient update then sums
-over the class n-grams, which lie spread over tasks. Scoring looks words up in numpy batches; the
-HEAD most frequent words are broadcast (a bound on the table), the counts of all others are joined
-by bucket of the word's hash, packed as arrays.
+P(word | before) = P(class | before) * P(word | class, before). Words are put into classes: the
+CLUSTERED most frequent words by k-means on what stands one and two places before them, all others
+by the class that words of the same ending mostly have. Every word is hashed into one of SLOTS slots
+of its class. P(class | before) is a softmax over hashed features of the words before: the n-gram
+(word slot one back, and its class), the skip (word slot two back, and its class), both together
+hashed into PAIR_SLOTS, and a bias. P(word | class, before) is a softmax over the words of the class;
+its features are the word itself, whose weight is its smoothed count, and for the TOP most frequent
+words the n-gram with the word slot one back.
+
+Counts, statistics and gradients cover all training documents: a pass counts words, one gathers the
+neighbours of frequent words, one how often each class, and each TOP word, follows its contexts. Each
+gradient update of the class weights sums over these statistics, which lie spread over tasks; the
+weights within classes need only the statistics of their own word slot, so a task updates them by
+itself. Scoring looks words up in numpy batches; the HEAD most frequent words are broadcast (a bound
+on the table), the counts of all others are joined by bucket of the word's hash, packed as arrays.
 
 Rows with crc32(doc_id as text) mod 5 = 1 are held out of all of this.
 
@@ -22,8 +25,9 @@ count log10 of 0.5 over 0.5 * 1; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from itertools import islice
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,13 +42,15 @@ FOLDS, FOLD = 5, 1
 HEAD, CLUSTERED, ANCHORS = 200_000, 32_768, 64
 CLUSTERS, ENDING_CLASSES, ENDING = 48, 16, 3
 CLASSES = CLUSTERS + ENDING_CLASSES
-#: Features: a bias, one back, two back, and the hashed pair.
-PAIR_SLOTS, UPDATES, SHRINK, BLOCKS = 1 << 13, 20, 1.0, 12
-CONTEXTS = (CLASSES + 1) ** 2
+#: Word slots of a class one back and two back; contexts are pairs of them, the last of each for no word.
+SLOTS, FAR_SLOTS = 16, 2
+NEAR, FAR = CLASSES * SLOTS + 1, CLASSES * FAR_SLOTS + 1
+#: Slots of both together; words with n-gram weights within their class; updates and shrinking of both softmaxes.
+PAIR_SLOTS, TOP, UPDATES, INNER_UPDATES, SHRINK = 1 << 12, 4096, 20, 15, 1.0
 END = b" "  # no word holds a blank
-WORDS_KEPT, FLUSH_WORDS, BUCKET_WORDS = 300_000, 400_000, 500_000
-#: Packed sums added up at once; FAN ** LEVELS tasks are enough for any input.
-FAN, LEVELS = 128, 3
+WORDS_KEPT, FLUSH_WORDS, BUCKET_WORDS = 250_000, 400_000, 500_000
+#: Packed sums added up at once; parts of the sums of a task, and of those by word slot (a divisor of NEAR).
+FAN, BLOCKS, INNER_BLOCKS = 128, 48, 41
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,11 +100,15 @@ class Places(dict):
             self[word] = number
         return number
 
-    def of(self, batch) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the batch's tokens and where its texts start."""
-        lists = [list(map(self.__getitem__, tokens(t))) for t in batch]
+    def of(self, batch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers (from 0 on) of the batch's tokens, where its texts start, and the tokens."""
+        lists = [tokens(t) for t in batch]
         starts = np.cumsum([0] + [len(x) for x in lists])
-        return np.fromiter((n for x in lists for n in x), np.int32, starts[-1]), starts
+        words = list(chain.from_iterable(lists))
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+        for i in np.nonzero(numbers < 0)[0].tolist():
+            numbers[i] = self[words[i]]
+        return numbers, starts, words
 
 
 def _slices(pdf: pd.DataFrame, most: int = 1 << 20):
@@ -123,18 +133,19 @@ def _before(numbers: np.ndarray, starts: np.ndarray, k: int, none: int) -> np.nd
     return out
 
 
-def _sums(key_count: int, keys_of):
-    """Map step: sums of keys over a task, dealt out in BLOCKS packed rows."""
+def _sums(key_count: int, keys_of, blocks: int):
+    """Map step: sums of keys over a task, dealt out in packed rows of equal parts."""
 
     def add(batches):
-        total = np.zeros(key_count, np.int64)
+        total = np.zeros(key_count, np.int32)
         for pdf in batches:
             for a, b in _slices(pdf):
-                total += np.bincount(keys_of(pdf["text"].iloc[a:b]), minlength=key_count)
-        size = -(-key_count // BLOCKS)
+                np.add.at(total, keys_of(pdf["text"].iloc[a:b]), 1)
+        size = -(-key_count // blocks)
         part = TaskContext.get().partitionId()
-        rows = [(k, part, pack(total[k * size : (k + 1) * size])) for k in range(BLOCKS)]
-        yield pd.DataFrame(rows, columns=["block", "part", "data"]).astype({"block": "int32", "part": "int32"})
+        for k in range(blocks):
+            data = pack(total[k * size : (k + 1) * size].astype(np.int64))
+            yield pd.DataFrame({"block": [k], "part": [part], "data": [data]}).astype({"block": "int32", "part": "int32"})
 
     return add
 
@@ -144,14 +155,15 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[:1].assign(data=[pack(total)])
 
 
-def _gathered(train: DataFrame, key_count: int, keys_of) -> DataFrame:
-    """The sums in BLOCKS rows. They are added up as a tree, FAN at a time, so no step holds more than
-    FAN packed rows, however many tasks there are."""
+def _gathered(train: DataFrame, key_count: int, keys_of, blocks: int = BLOCKS) -> DataFrame:
+    """The sums in rows of one block each. They are added up as a tree, FAN at a time, so no step holds
+    more than FAN packed rows, however many tasks there are."""
     schema = "block int, part int, data binary"
-    sums = train.mapInPandas(_sums(key_count, keys_of), schema)
-    for _ in range(LEVELS):
+    sums = cut(train.mapInPandas(_sums(key_count, keys_of, blocks), schema), "sums")
+    while (sums.agg(F.max("part")).first()[0] or 0) > 0:
         sums = sums.withColumn("part", F.expr(f"CAST(part div {FAN} AS int)")).groupBy("block", "part").applyInPandas(_add_up, schema)
-    return cut(sums, "sums")
+        sums = cut(sums, "sums")
+    return sums
 
 
 def _joined(sums: DataFrame) -> np.ndarray:
@@ -202,73 +214,111 @@ class Classes:
         return CLUSTERS + self.endings.get(end, 0)
 
 
-def _features() -> np.ndarray:
-    """(CONTEXTS, 4) feature numbers: bias, one back, two back, hashed pair."""
-    two, one = np.divmod(np.arange(CONTEXTS), CLASSES + 1)
-    pair = (one.astype(np.uint64) * np.uint64(0x9E3779B1) + two.astype(np.uint64) * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    base = 1 + 2 * (CLASSES + 1)
-    return np.stack([np.zeros(CONTEXTS, np.int64), 1 + one, 1 + CLASSES + 1 + two, base + (pair % np.uint64(PAIR_SLOTS)).astype(np.int64)], axis=1)
+#: Where each kind of class feature starts: bias, class and slot one back, class and slot two back, both slots hashed.
+_FIRST = np.cumsum([0, 1, CLASSES + 1, NEAR, CLASSES + 1, FAR, PAIR_SLOTS])
+N_FEATURES = int(_FIRST[-1])
 
 
-N_FEATURES = 1 + 2 * (CLASSES + 1) + PAIR_SLOTS
+def _pairs(far: int) -> np.ndarray:
+    """Hashed slots of the word slot two back together with each one back."""
+    mixed = np.arange(NEAR, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(far + 1) * np.uint64(0x85EBCA77)
+    return ((mixed >> np.uint64(7)) % np.uint64(PAIR_SLOTS)).astype(np.int64)
 
 
-def log_classes(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | context) for rows of features, a sparse sum of weights."""
-    score = weights[features].sum(axis=1)
+def log_classes(weights: np.ndarray, far: int) -> np.ndarray:
+    """Natural log of P(class | context) for the contexts of one word slot two back, a sum of hashed weights."""
+    part = [weights[_FIRST[k] : _FIRST[k + 1]] for k in range(6)]
+    score = part[2] + part[1][np.arange(NEAR) // SLOTS] + part[5][_pairs(far)] + (part[0][0] + part[3][far // FAR_SLOTS] + part[4][far])
     score -= score.max(axis=1, keepdims=True)
     return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
 
-def _gradients(weights, sums_size: int):
-    """Map step: gradient and curvature of the class n-grams in each packed row."""
+def _add_features(out: np.ndarray, values: np.ndarray, far: int) -> None:
+    """Add values (contexts of one slot two back, classes) to the features of each context."""
+    every = values.sum(axis=0)
+    out[_FIRST[0]] += every
+    out[_FIRST[1] : _FIRST[2]] += np.add.reduceat(values, np.arange(0, NEAR, SLOTS), axis=0)
+    out[_FIRST[2] : _FIRST[3]] += values
+    out[_FIRST[3] + far // FAR_SLOTS] += every
+    out[_FIRST[4] + far] += every
+    np.add.at(out, _FIRST[5] + _pairs(far), values)
+
+
+def _gradients(weights):
+    """Map step: gradient and curvature summed over the contexts of a task."""
 
     def step(batches):
-        features = _features()
+        out, any_ = np.zeros((2, N_FEATURES, CLASSES)), False
         for pdf in batches:
-            for block, data in zip(pdf["block"], pdf["data"], strict=True):
-                n = unpack(data, "<i8")[0]
+            for far, data in zip(pdf["block"], pdf["data"], strict=True):
+                n = unpack(data, "<i8")[0].reshape(NEAR, CLASSES)
                 if not n.any():
                     continue
-                at = block * sums_size + np.nonzero(n)[0]
-                context, label = np.divmod(at, CLASSES)
-                own, row = np.unique(context, return_inverse=True)
-                seen = np.zeros((len(own), CLASSES))
-                seen[row, label] = n[n > 0]
-                p = np.exp(log_classes(weights.value, features[own]))
-                total = seen.sum(axis=1, keepdims=True)
-                used, slot = np.unique(features[own], return_inverse=True)
-                slot = slot.reshape(len(own), -1)
-                out = np.zeros((2, len(used), CLASSES))
-                for f in range(features.shape[1]):
-                    np.add.at(out[0], slot[:, f], seen - total * p)
-                    np.add.at(out[1], slot[:, f], total * p * (1 - p))
-                yield pd.DataFrame({"data": [pack(used, out[0].ravel(), out[1].ravel())]})
+                any_ = True
+                total = n.sum(axis=1, keepdims=True)
+                p = np.exp(log_classes(weights.value, far))
+                _add_features(out[0], n - total * p, far)
+                _add_features(out[1], total * p * (1 - p), far)
+        if any_:
+            yield pd.DataFrame({"data": [pack(out.astype(np.float32).ravel())]})
 
     return step
 
 
 def train(stats: DataFrame, class_counts: np.ndarray) -> np.ndarray:
-    """Weights (feature, class) from the packed class n-grams, by damped Newton steps on the diagonal;
-    the bias starts at the classes' own shares."""
+    """Weights (feature, class) from the packed statistics, by damped Newton steps on the diagonal; the
+    bias starts at the classes' own shares."""
     spark = stats.sparkSession
     weights = np.zeros((N_FEATURES, CLASSES))
     weights[0] = np.log(class_counts + 0.5) - np.log(class_counts.sum() + 1)
-    size = -(-CONTEXTS * CLASSES // BLOCKS)
     for _ in range(UPDATES):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast(weights.astype(np.float32))
         slope, curve = -SHRINK * weights, np.full_like(weights, SHRINK)
         slope[0] = 0.0  # the bias is not shrunk
-        for r in stats.mapInPandas(_gradients(shared, size), "data binary").collect():  # BLOCKS model-sized rows
-            used, g, h = unpack(r["data"], "<i8", "<f8", "<f8")
-            slope[used] += g.reshape(-1, CLASSES)
-            curve[used] += h.reshape(-1, CLASSES)
-        # Four features meet in each context, so a full step on each would go four times too far.
-        weights = weights + np.clip(slope / curve / 4, -1, 1)
+        for r in stats.mapInPandas(_gradients(shared), "data binary").collect():  # a model-sized row for each of the few tasks
+            g, h = unpack(r["data"], "<f4")[0].reshape(2, N_FEATURES, CLASSES)
+            slope += g
+            curve += h
+        # Six features meet in each context, so a full step on each would go six times too far.
+        weights = weights + np.clip(slope / curve / 6, -1, 1)
         shared.unpersist()
     return weights
 
 
+def inner_weights(n: np.ndarray, base: np.ndarray, kind: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of (word slot, TOP word) and the natural log of the classes' sums in each word slot.
+
+    n: counts (word slot, TOP words and then the classes' other words); base: each word's share of its
+    class; kind: its class; rest: what share of each class other words have. Damped Newton steps."""
+    some = np.zeros((len(kind), CLASSES))
+    some[np.arange(len(kind)), kind] = 1
+    seen = n[:, : len(kind)].astype(float)
+    total = (seen @ some + n[:, len(kind) :])[:, kind]
+    weights = np.zeros_like(seen)
+
+    def sums():
+        return (base * np.exp(weights)) @ some + rest
+
+    for _ in range(INNER_UPDATES):
+        p = base * np.exp(weights) / sums()[:, kind]
+        weights += np.clip((seen - total * p - SHRINK * weights) / (total * p * (1 - p) + SHRINK), -1, 1)
+    return weights, np.log(sums())
+
+
+def _inner(model):
+    """Map step: the weights within classes of the word slots in each packed row."""
+
+    def step(batches):
+        base, kind, rest = model.value
+        for pdf in batches:
+            for block, data in zip(pdf["block"], pdf["data"], strict=True):
+                n = unpack(data, "<i8")[0].reshape(-1, len(kind) + CLASSES)
+                weights, sums = inner_weights(n, base, kind, rest)
+                yield pd.DataFrame({"block": [block], "data": [pack(weights.astype(np.float32).ravel(), sums.astype(np.float32).ravel())]})
+
+    return step
+
+
 class Model:
     """All that scoring needs; its size does not depend on the input."""
 
@@ -286,23 +336,41 @@ class Model:
         self.numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(some)})
         neighbours = _joined(_gathered(train_rows, max(1, len(some)) * ANCHORS, _neighbour_keys(self.numbers))) if some else np.zeros(ANCHORS)
         self.classes = Classes(some, counts[:CLUSTERED], neighbours.reshape(-1, ANCHORS)[: len(some)])
-        shared = spark.sparkContext.broadcast(self.classes)
-        stats = _gathered(train_rows, CONTEXTS * CLASSES, _context_keys(shared))
+        shared = spark.sparkContext.broadcast((self.classes, {w: i for i, w in enumerate(words[:TOP])}))
+        top = len(words[:TOP])
+        stats = _gathered(train_rows, FAR * NEAR * CLASSES, _context_keys(shared), FAR).repartition(BLOCKS // 4, "block")
+        inner = _gathered(train_rows, NEAR * (top + CLASSES), _inner_keys(shared), INNER_BLOCKS).repartition(BLOCKS // 4, "block")
         free_shuffles(spark)
         sizes = self.counts.mapInPandas(_class_of(shared), "class int, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
         known, distinct = np.zeros((2, CLASSES))
         for r in sizes.collect():
             known[r["class"]], distinct[r["class"]] = r["n"], r["v"]
-        self.weights = train(stats, known)
-        self.log_class = log_classes(self.weights, _features()) / np.log(10)
         self.class_sum = known + 0.5 * (distinct + 1)
         self.base_sum = self.n + 0.5 * (self.v + 1)
-        # Each head word's class and count; number len(words) + class stands for any other word.
+        weights = train(cut(stats, "stats"), known)
+        self.log_class = np.concatenate([log_classes(weights, far) for far in range(FAR)]).astype(np.float32) / np.float32(np.log(10))
+
+        # Each head word's slot and count; number len(words) + slot stands for any other word of that slot.
         self.head = {w: i for i, w in enumerate(words)}
-        kind = np.array([self.classes.of(w) for w in words], np.int32)
-        self.kind = np.concatenate([kind, np.arange(CLASSES, dtype=np.int32)])
-        self.base = np.concatenate([np.log10((counts + 0.5) / self.base_sum), np.zeros(CLASSES)])
-        self.inside = np.concatenate([np.log10((counts + 0.5) / self.class_sum[kind]), np.zeros(CLASSES)])
+        slot = np.array([slot_of(self.classes.of(w), w) for w in words], np.int32)
+        self.slot = np.concatenate([slot, np.arange(NEAR - 1, dtype=np.int32)])
+        kind = slot // SLOTS
+        self.base = np.concatenate([np.log10((counts + 0.5) / self.base_sum), np.zeros(NEAR - 1)])
+        inside = (counts + 0.5) / self.class_sum[kind]
+        self.inside = np.concatenate([np.log10(inside), np.zeros(NEAR - 1)])
+        self.top = top
+        share = np.bincount(kind[:top], inside[:top], minlength=CLASSES)
+        given = spark.sparkContext.broadcast((inside[:top], kind[:top], np.maximum(1 - share, 1e-12)))
+        self.inner, self.inner_sums = np.zeros((NEAR, top), np.float32), np.zeros((NEAR, CLASSES), np.float32)
+        for r in cut(inner, "inner").mapInPandas(_inner(given), "block int, data binary").toLocalIterator():  # NEAR rows of TOP numbers
+            own, sums = unpack(r["data"], "<f4", "<f4")
+            at = slice(r["block"] * (NEAR // INNER_BLOCKS), (r["block"] + 1) * (NEAR // INNER_BLOCKS))
+            self.inner[at], self.inner_sums[at] = own.reshape(NEAR // INNER_BLOCKS, top) / np.log(10), sums.reshape(-1, CLASSES) / np.log(10)
+
+
+def slot_of(kind: int, word: bytes) -> int:
+    """A word's hashed slot within the slots of its class."""
+    return kind * SLOTS + zlib.crc32(word) % SLOTS
 
 
 def _neighbour_keys(numbers):
@@ -310,8 +378,9 @@ def _neighbour_keys(numbers):
 
     def keys(texts) -> np.ndarray:
         if not places:
-            places.append(Places(numbers.value, lambda w: -1))
-        own, starts = places[0].of(texts)
+            places.append(Places(numbers.value, lambda w: len(numbers.value)))
+        own, starts, _ = places[0].of(texts)
+        own[own == len(numbers.value)] = -1
         out = []
         for k in (1, 2):
             prior = _before(own, starts, k, -1)
@@ -322,27 +391,54 @@ def _neighbour_keys(numbers):
     return keys
 
 
-def _contexts(kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    one, two = (_before(kind, starts, k, CLASSES).astype(np.int64) for k in (1, 2))
-    return two * (CLASSES + 1) + one
+def _far(slot: np.ndarray) -> np.ndarray:
+    """The coarser slots of words two back."""
+    return np.where(slot == NEAR - 1, FAR - 1, slot // SLOTS * FAR_SLOTS + slot % FAR_SLOTS)
+
+
+def _contexts(slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, word slot one back) of every token."""
+    one, two = (_before(slot, starts, k, NEAR - 1).astype(np.int64) for k in (1, 2))
+    return _far(two) * NEAR + one, one
+
+
+def _slots(shared) -> Places:
+    classes, top = shared.value
+    return Places({}, lambda w: slot_of(classes.of(w), w) + NEAR * (1 + top.get(w, -1)))
+
+
+def _context_keys(shared):
+    places: list[Places] = []
+
+    def keys(texts) -> np.ndarray:
+        if not places:
+            places.append(_slots(shared))
+        code, starts, _ = places[0].of(texts)
+        slot = code % NEAR
+        return _contexts(slot, starts)[0] * CLASSES + slot // SLOTS
+
+    return keys
 
 
-def _context_keys(classes):
+def _inner_keys(shared):
     places: list[Places] = []
 
     def keys(texts) -> np.ndarray:
         if not places:
-            places.append(Places({}, classes.value.of))
-        kind, starts = places[0].of(texts)
-        return _contexts(kind, starts) * CLASSES + kind
+            places.append(_slots(shared))
+        code, starts, _ = places[0].of(texts)
+        top, slot = np.divmod(code, NEAR)
+        n = len(shared.value[1])
+        return _contexts(slot, starts)[1] * (n + CLASSES) + np.where(top > 0, top - 1, n + slot // SLOTS)
 
     return keys
 
 
-def _class_of(classes):
+def _class_of(shared):
     def add(batches):
+        classes = shared.value[0]
         for pdf in batches:
-            yield pd.DataFrame({"class": np.array([classes.value.of(w) for w in pdf["word"]], np.int32), "c": pdf["c"]})
+            yield pd.DataFrame({"class": np.array([classes.of(w) for w in pdf["word"]], np.int32), "c": pdf["c"]})
 
     return add
 
@@ -358,28 +454,28 @@ def _score(model, buckets: int):
         import xxhash
 
         own = model.value
-        head = len(own.kind) - CLASSES
-        places = Places(own.head, lambda w: head + own.classes.of(w))
+        head = len(own.slot) - (NEAR - 1)
+        places = Places(own.head, lambda w: head + slot_of(own.classes.of(w), w))
         row = TaskContext.get().partitionId() << 40
         for pdf in batches:
             for a, b in _slices(pdf):
                 part = pdf.iloc[a:b]
-                number, starts = places.of(part["text"])
-                kind, n = own.kind[number], len(part)
+                number, starts, every = places.of(part["text"])
+                slot, n = own.slot[number], len(part)
+                kind = slot // SLOTS
+                context, one = _contexts(slot, starts)
+                given = own.log_class[context, kind] - own.inner_sums[one, kind]
+                top = np.nonzero(number < own.top)[0]
+                given[top] += own.inner[one[top], number[top]]
                 text = np.repeat(np.arange(n), np.diff(starts))
                 total = lambda x, text=text, n=n: np.bincount(text, x, minlength=n)
                 tail = number >= head
                 yield _frame(
                     n, kind=DOC, bucket=-1, data=None, row=row + np.arange(n), doc_id=part["doc_id"].to_numpy(), held_out=part["held_out"].to_numpy(),
-                    n_tokens=np.diff(starts), n_known=total(~tail).astype(np.int64), base=total(own.base[number]),
-                    score=total(own.log_class[_contexts(kind, starts), kind] + own.inside[number]),
+                    n_tokens=np.diff(starts), n_known=total(~tail).astype(np.int64), base=total(own.base[number]), score=total(given + own.inside[number]),
                 )
                 at = np.nonzero(tail)[0]
-                every = (w for t in part["text"] for w in tokens(t))
-                words, last = [], -1
-                for i in at.tolist():
-                    words.append(next(islice(every, i - last - 1, None)))
-                    last = i
+                words = [every[i] for i in at.tolist()]
                 hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
                 bucket = (hashes % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -445,7 +541,7 @@ def report(docs: DataFrame) -> DataFrame:
     model = Model(docs)
     buckets = int(max(12, model.n // BUCKET_WORDS))
     counts, n, base_sum, class_sum = model.counts, model.n, model.base_sum, model.class_sum
-    model.counts = model.numbers = model.weights = None
+    model.counts = model.numbers = None
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     scored = cut(rows.mapInPandas(_score(shared, buckets), SCORED), "scored")

@@ -15,9 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one on a single machine
+    (tests); a cluster's executors could not see that, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -80,11 +83,11 @@ def _local_forest(batches):
         yield pd.DataFrame({"a": nodes, "b": [find(x) for x in nodes]}, dtype="int64")
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) rows with the least v of each u. Both join sides are plain exchanges over written
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) rows with the least v of each u, and the table of these. Both join sides are plain exchanges over written
     tables, so that Spark's adaptive skew join can split a node with very many neighbours."""
     least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
-    return pairs.join(least, "u")
+    return pairs.join(least, "u"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,14 +101,17 @@ def components(edges: DataFrame) -> DataFrame:
     stars = cut(edges.mapInPandas(_local_forest, "a long, b long").where("a <> b"), "forest")
     before = None
     while True:
+        old = [stars]
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = cut(both.union(both.select("v", "u")), "both")
-        joined = _with_least(both)
+        joined, least = _with_least(both)
         large = joined.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         down = cut(large.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "down")
-        joined = _with_least(down)
+        old += [both, least, down]
+        joined, least = _with_least(down)
         small = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("u"), F.col("m")))
         stars = cut(small.where("a <> b").distinct(), "stars")
+        drop(*old, least)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from seqspark.llm import embed_caps
 
@@ -29,16 +30,32 @@ def test_against_brute_force_with_small_tiles(spark):
         assert sorted(map(tuple, embed_caps.near_duplicates(df, share=0.8, tile=tile).collect()), key=str) == want
 
 
-def test_recall_at_the_threshold():
+def test_links_at_the_default_share(spark):
+    """No wrong link, and at least 0.97 of the right ones, most of them close to the threshold."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    vectors = [b + rng.normal(size=32) * 0.058 for b in base for _ in range(12)]
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(vectors)]
+    want = {r[0]: r[1] for r in brute(rows)}
+    got = {r["vec_id"]: r["n_links"] for r in embed_caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.97 * sum(want.values()) > 1000
+
+
+@pytest.mark.parametrize("centres", [16, 24, 32, 64])
+def test_recall_at_the_threshold(centres):
     rng = np.random.default_rng(4)
     x, r = rng.normal(size=(2, 400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     r -= (r * x).sum(1, keepdims=True) * x
     r /= np.linalg.norm(r, axis=1, keepdims=True)
-    code = embed_caps.Code(64)
+    code = embed_caps.Code(64, centres=centres)
     both = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(0.9 * x + math.sqrt(0.19) * r), strict=True)]
     assert np.mean(both) > 0.97
-    print(np.mean(both), np.mean([len(a) for a in code.decode(x)]))
+
+
+def test_centres_grow_with_the_vectors():
+    assert [embed_caps.centres_for(n) for n in (0, 10**6, 10**7, 10**9)] == [16, 16, 32, 80]
 
 
 def test_empty_table(spark):

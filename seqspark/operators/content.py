@@ -21,12 +21,6 @@ def flanked_sites(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
     return rows.select(*found.columns, up.alias("up"), down.alias("down"))
 
 
-def wide_model(chain: DataFrame) -> DataFrame:
-    """(hexamer, l0, l1, l2, l3): log probabilities of a fixed-order chain by model; 4,096 rows."""
-    logs = [S.log_or_inf(F.max(F.when(F.col("model") == m, F.col("p")))).alias(f"l{m}") for m in range(4)]
-    return chain.groupBy(F.concat("hist", "base").alias("hexamer")).agg(*logs)
-
-
 def flank_posteriors(flanked: DataFrame, chain: DataFrame, key: str = "seq_id", compat: bool = True) -> DataFrame:
     """flanked with post_up and post_down, the posterior of coding of either flank, and mcratio.
 
@@ -35,7 +29,7 @@ def flank_posteriors(flanked: DataFrame, chain: DataFrame, key: str = "seq_id",
     ends = F.array(F.struct(F.lit("up").alias("side"), F.col("up").alias("s")), F.struct(F.lit("down").alias("side"), F.col("down").alias("s")))
     rows = flanked.select(key, "pos", F.explode(ends).alias("e")).select(key, "pos", "e.side", "e.s")
     rows = rows.select(key, "pos", "side", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(S.FLANK - kmers.ORDER)), lambda i: F.substring("s", i, F.lit(kmers.ORDER + 1)))).alias("i", "hexamer"))
-    rows = rows.join(F.broadcast(wide_model(chain)), "hexamer")
+    rows = rows.join(F.broadcast(kmers.wide_model(chain)), "hexamer")
     turn = F.col("i") % 3
     phase = lambda m: F.sum(F.when((turn + m) % 3 == 0, F.col("l0")).when((turn + m) % 3 == 1, F.col("l1")).otherwise(F.col("l2")))
     sums = rows.groupBy(key, "pos", "side").agg(*(phase(m).alias(f"s{m}") for m in range(3)), F.sum("l3").alias("s3"))

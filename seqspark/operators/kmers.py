@@ -73,7 +73,8 @@ def chi2_confidence(x: Column) -> Column:
         lambda a: a["s"],
     )
     # half^1.5 e^-half / Gamma(2.5), Gamma(2.5) = 0.75 sqrt(pi)
-    return F.when(x <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.pow(half, F.lit(1.5)) * F.exp(-half) / (0.75 * F.sqrt(F.pi())) * terms))
+    # From 100 on the series would need more terms and the probability is 1 in double precision.
+    return F.when(x <= 0, 0.0).when(x >= 100, 1.0).otherwise(F.least(F.lit(1.0), F.pow(half, F.lit(1.5)) * F.exp(-half) / (0.75 * F.sqrt(F.pi())) * terms))
 
 
 def adjust_nulls(rows: DataFrame, own: Window) -> DataFrame:
@@ -111,17 +112,24 @@ def train_chi2_imm(kmers: DataFrame) -> DataFrame:
     return out
 
 
+def wide_model(chain: DataFrame) -> DataFrame:
+    """(hexamer, l0, l1, l2, l3): log probabilities of a fixed-order chain by model; 4,096 rows."""
+    logs = [S.log_or_inf(F.max(F.when(F.col("model") == m, F.col("p")))).alias(f"l{m}") for m in range(4)]
+    return chain.groupBy(F.concat("hist", "base").alias("hexamer")).agg(*logs)
+
+
 def fo_loglik(seqs: DataFrame, model: DataFrame, key: str = "seq_id", periodic: bool = True) -> DataFrame:
     """(key, model, loglik) under each phase table of a fixed-order chain; table (i - 5 + model) mod 3.
 
-    Hexamers meet the model in one join on 4096 x models rows; sums are combined map-side."""
-    n_models = 3 if periodic else 1
-    rows = _windows(seqs, key)
-    rows = rows.select(key, "i", "hexamer", F.explode(F.sequence(F.lit(0), F.lit(n_models - 1))).alias("start"))
-    table = model.select("model", F.concat("hist", "base").alias("hexamer"), S.log_or_inf(F.col("p")).alias("ln"))
-    rows = rows.withColumn("model", F.pmod(F.col("i") + F.col("start"), F.lit(3)).cast("int") if periodic else F.lit(NONCODING))
-    rows = rows.join(F.broadcast(table), ["model", "hexamer"])  # 4^6 rows for each of at most 7 models
-    return rows.groupBy(key, F.col("start").alias("model")).agg(F.sum("ln").alias("loglik"))
+    Each hexamer meets the model once, in a join on 4,096 rows, and adds to all phases; sums are combined
+    map-side."""
+    rows = _windows(seqs, key).join(F.broadcast(wide_model(model)), "hexamer")
+    if not periodic:
+        return rows.groupBy(key).agg(F.sum("l3").alias("loglik")).select(key, F.lit(0).alias("model"), "loglik")
+    turn = F.col("i") % 3
+    phase = lambda m: F.sum(F.when((turn + m) % 3 == 0, F.col("l0")).when((turn + m) % 3 == 1, F.col("l1")).otherwise(F.col("l2")))
+    sums = rows.groupBy(key).agg(*(phase(m).alias(f"s{m}") for m in range(3)))
+    return sums.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(3)))).alias("x")).select(key, "x.*")
 
 
 def classify_coding(seqs: DataFrame, coding: DataFrame, noncoding: DataFrame, key: str = "seq_id") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
 
+#: Sites of one piece of a sequence that is searched on all frames.
+CHUNK = 4096
 
 
 def met_sites(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -175,16 +177,21 @@ def predict_bayes(scored: DataFrame, key: str = "seq_id") -> DataFrame:
 
 def all_frame_sites(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
     """Every scorable ATG of both strands: (key, strand, pos, site), pos on the forward strand."""
-    n = F.length("seq")
-    both = seqs.select(key, F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), S.revcomp(F.col("seq")).alias("s")))).alias("x"), n.alias("n")).select(key, "n", "x.*")
+    # Pieces of CHUNK sites with what surrounds them, cut from bytes: long sequences stay linear.
+    rows = seqs.where(F.length("seq") >= S.SITE).select(key, F.length("seq").alias("n"), F.col("seq").cast("binary").alias("b"))
+    rows = rows.select(key, "n", "b", F.explode(F.sequence(F.lit(0), ((F.col("n") - S.SITE) / CHUNK).cast("int"))).alias("chunk"))
+    piece = F.substring("b", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + S.SITE - 1)).cast("string")
+    rows = rows.select(key, "n", (F.col("chunk") * CHUNK).alias("before"), piece.alias("seq")).withColumn("size", F.length("seq"))
+    both = rows.select(key, "n", "before", "size", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), S.revcomp(F.col("seq")).alias("s")))).alias("x"))
+    both = both.select(key, "n", "before", "size", "x.*")
     # ATG cannot overlap itself: its places follow from the lengths of what lies between.
     between = F.split("s", "ATG", -1)
     places = F.aggregate(
         F.slice(between, 1, F.size(between) - 1), F.array().cast("array<int>"),
         lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + 3, F.lit(1)) + F.length(x))),
     )
-    both = both.where("n >= 11").select(key, "strand", "s", "n", F.explode(places).alias("p")).where("p >= 6 AND p <= n - 5")
-    pos = F.when(F.col("strand") == "+", F.col("p")).otherwise(F.col("n") - F.col("p") + 1)
+    both = both.select(key, "strand", "s", "before", "size", F.explode(places).alias("p")).where("p >= 6 AND p <= size - 5")
+    pos = F.col("before") + F.when(F.col("strand") == "+", F.col("p")).otherwise(F.col("size") - F.col("p") + 1)
     return both.select(key, "strand", pos.alias("pos"), S.site_at(F.col("s"), F.col("p")).alias("site"))
 
 
@@ -198,41 +205,51 @@ def nearest_medoid(sites: DataFrame, medoids: DataFrame) -> DataFrame:
     return rows.withColumn("near", near).select(*sites.columns, F.col("near.cluster").alias("cluster"), F.col("near.dist").alias("dist"))
 
 
-def kmedoids(sites: DataFrame, k: int, restarts: int = 5, rounds: int = 100, seed: int = 1) -> DataFrame:
-    """(cluster, site, error): medoids of sites under Hamming distance, weighted by how often a site occurs.
+def kmedoids(sites: DataFrame, k: int, restarts: int = 30, rounds: int = 100, seed: int = 1) -> DataFrame:
+    """(cluster, site, k, error): medoids of sites under Hamming distance, weighted by how often a site occurs.
 
-    Work is on distinct sites; each round is one assignment and, per cluster, one minimum of summed
-    distances. Starts are picked by a hash, so runs agree."""
+    Work is on distinct sites. All restarts run side by side: a round is one assignment and, per restart
+    and cluster, one minimum of summed distances, until no restart's error falls any more. Starts are
+    picked by a hash, so runs agree."""
     weighted = sites.groupBy("site").agg(F.count("*").alias("w")).persist()
-    best = None
+    spark = sites.sparkSession
     try:
-        for start in range(restarts):
-            order = F.md5(F.concat(F.col("site"), F.lit(f":{seed}:{start}")))
-            chosen = [r["site"] for r in weighted.orderBy(order, "site").limit(k).collect()]  # k rows
-            if len(chosen) < k:
-                raise ValueError("k exceeds the number of distinct sites")
-            error = None
-            for _ in range(rounds):
-                medoids = sites.sparkSession.createDataFrame(list(enumerate(sorted(chosen), 1)), "cluster int, site string")
-                near = nearest_medoid(weighted, medoids)
-                total = near.agg(F.sum(F.col("w") * F.col("dist"))).first()[0]
-                if error is not None and total >= error:
-                    break
-                error, kept = total, sorted(chosen)
-                # A medoid minimises the sum of distances, place by place a sum over base counts.
-                counts = near.select("cluster", "w", F.posexplode(F.split("site", "")).alias("k", "b")).groupBy("cluster", "k", "b").agg(F.sum("w").alias("c"))
-                table = counts.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("k").cast("string"), "b"), "c"))).alias("m"), (F.sum("c") / F.count_distinct("k")).alias("n"))
-                agree = lambda s: F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("m", F.concat((i - 1).cast("string"), F.substring(s, i, F.lit(1)))), F.lit(0)))
-                costs = near.join(F.broadcast(table), "cluster").withColumn("agree", agree(F.col("site")))
-                chosen = [r["s"] for r in costs.groupBy("cluster").agg(F.min_by("site", F.struct(-F.col("agree"), "site")).alias("s")).collect()]
-                if len(set(chosen)) < k:
-                    break
-            if best is None or (error, kept) < best:
-                best = (error, kept)
+        # The first k sites of each restart's order; restarts * k rows.
+        starts = weighted.select("site", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
+        order = F.struct(F.md5(F.concat("site", F.lit(f":{seed}:"), F.col("run").cast("string"))).alias("h"), "site")
+        chosen: dict[int, list[str]] = {}
+        ranked = starts.select("run", "site", order.alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy("o")))
+        for r in ranked.where(F.col("r") <= k).collect():
+            chosen.setdefault(r["run"], []).append(r["site"])
+        if any(len(x) < k for x in chosen.values()) or not chosen:
+            raise ValueError("k exceeds the number of distinct sites")
+        best: dict[int, tuple[float, list[str]]] = {}
+        for _ in range(rounds):
+            rows = [(run, c, s) for run, own in chosen.items() for c, s in enumerate(sorted(own), 1)]
+            medoids = spark.createDataFrame(rows, "run int, cluster int, m string").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("cluster", "m"))).alias("medoids"))
+            near = F.array_min(F.transform("medoids", lambda m: F.struct(S.hamming(F.col("site"), m["m"]).alias("dist"), m["cluster"].alias("cluster"))))
+            placed = weighted.crossJoin(F.broadcast(medoids)).select("run", "site", "w", near.alias("near")).select("run", "site", "w", "near.*")  # a row a restart
+            # A medoid minimises the sum of distances, place by place a sum over base counts.
+            counts = placed.select("run", "cluster", "w", F.posexplode(F.split("site", "")).alias("k", "b")).groupBy("run", "cluster", "k", "b").agg(F.sum("w").alias("c"))
+            table = counts.groupBy("run", "cluster").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.col("k").cast("string"), "b"), "c"))).alias("m"))
+            agree = lambda s: F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("m", F.concat((i - 1).cast("string"), F.substring(s, i, F.lit(1)))), F.lit(0)))
+            costs = placed.join(F.broadcast(table), ["run", "cluster"]).withColumn("agree", agree(F.col("site")))
+            found = costs.groupBy("run", "cluster").agg(F.min_by("site", F.struct(-F.col("agree"), "site")).alias("s"), F.sum(F.col("w") * F.col("dist")).alias("error")).collect()
+            new: dict[int, list[str]] = {}
+            for run, own in list(chosen.items()):
+                error = float(sum(r["error"] for r in found if r["run"] == run))
+                if run not in best or error < best[run][0]:
+                    best[run] = (error, sorted(own))
+                    moved = sorted({r["s"] for r in found if r["run"] == run})
+                    if len(moved) == k and moved != sorted(own):
+                        new[run] = moved
+            chosen = new
+            if not chosen:
+                break
     finally:
         weighted.unpersist()
-    rows = [(i, s, k, float(best[0])) for i, s in enumerate(best[1], 1)]
-    return sites.sparkSession.createDataFrame(rows, "cluster int, site string, k int, error double")
+    error, kept = min(best.values())
+    return spark.createDataFrame([(i, s, k, error) for i, s in enumerate(kept, 1)], "cluster int, site string, k int, error double")
 
 
 def linear_unit(features: DataFrame) -> DataFrame:
@@ -249,19 +266,34 @@ def linear_unit(features: DataFrame) -> DataFrame:
     return features.sparkSession.createDataFrame([tuple(map(float, w))], "w0 double, w1 double, w2 double")
 
 
-def sigmoid_unit(features: DataFrame, rate: float = 0.5, epochs: int = 50) -> DataFrame:
-    """(w0, w1, w2) of a sigmoid unit by batch gradient descent on mean squared error; each epoch is one
-    aggregation. The order-dependent updates of single rows are replaced by batches on purpose."""
-    rows, w = features.persist(), [0.0, 0.0, 0.0]
+def sigmoid_unit(features: DataFrame, rate: float = 2.0, epochs: int = 500, least: float = 1e-5) -> DataFrame:
+    """(w0, w1, w2, epochs, converged) of a sigmoid unit by batch gradient descent on mean squared error.
+
+    An epoch is one aggregation; epochs end once the error falls by less than `least` of itself. A step
+    that would raise it is halved. The order-dependent updates of single rows are replaced by batches on purpose."""
+    rows, w, step, before, n = features.persist(), [0.0, 0.0, 0.0], rate, None, 0
+    converged = False
     try:
-        for _ in range(epochs):
+        kept, slope = w, [0.0, 0.0, 0.0]
+        for n in range(1, epochs + 1):
             out = 1 / (1 + F.exp(-(w[0] + w[1] * F.col("x") + w[2] * F.col("y"))))
-            delta = (F.col("target") - out) * out * (1 - out)
-            g = rows.agg(*(F.avg(delta * c) for c in (F.lit(1.0), F.col("x"), F.col("y")))).first()
-            w = [a + rate * float(b or 0) for a, b in zip(w, g, strict=True)]
+            off = F.col("target") - out
+            delta = off * out * (1 - out)
+            *g, error = rows.agg(*(F.avg(delta * c) for c in (F.lit(1.0), F.col("x"), F.col("y"))), F.avg(off * off)).first()
+            error = float(error or 0)
+            if before is not None and error > before:
+                step /= 2
+            else:
+                converged = before is not None and before - error <= least * before
+                before, kept, slope = error, w, [float(x or 0) for x in g]
+                if converged or not any(slope):
+                    converged = True
+                    break
+                step *= 1.1
+            w = [a + step * b for a, b in zip(kept, slope, strict=True)]
     finally:
         rows.unpersist()
-    return features.sparkSession.createDataFrame([tuple(w)], "w0 double, w1 double, w2 double")
+    return features.sparkSession.createDataFrame([(*map(float, kept), n, converged)], "w0 double, w1 double, w2 double, epochs int, converged boolean")
 
 
 def activation(x: Column, y: Column, w0: Column, w1: Column, w2: Column, sigmoid: bool = False) -> Column:

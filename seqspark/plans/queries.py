@@ -33,6 +33,16 @@ CODON_SQL = "substr('" + AA + "', 1 + 16 * (instr('TCAG', substr(c, 1, 1)) - 1)
 PEPTIDE_SQL = "array_to_string(list_transform(range(0, length(s) // 3), lambda i: (" + CODON_SQL.replace("c,", "substr(s, CAST(3 * i + 1 AS INT), 3),") + ")), '')"
 
 
+def wam_sql(name: str, rows: str, length: int, at: int, motif: str, smooth_first: bool = True) -> str:
+    """CTEs that end in name(g, pos, prev, base, p), the weight array matrices of rows(g, site)."""
+    motif_p = "".join(f" WHEN pos = {at + i} THEN CASE WHEN prev = '{motif[i - 1]}' AND base = '{motif[i]}' THEN 1 ELSE 0 END" for i in range(1, len(motif)))
+    return f"""{name}_gs AS (SELECT DISTINCT g FROM {rows}), {name}_cn AS (SELECT g, pos, CASE WHEN pos = 0 THEN '-' ELSE substr(site, pos, 1) END AS prev, substr(site, pos + 1, 1) AS base, count(*) AS n FROM (SELECT g, site, CAST(unnest(range(0, {length})) AS INT) AS pos FROM {rows}) GROUP BY ALL),
+    {name}_gr AS (SELECT g, 0 AS pos, '-' AS prev, base FROM {name}_gs, {T.BASES} UNION ALL SELECT g, CAST(k AS INT), p.base, b.base FROM {name}_gs, range(1, {length}) r(k), {T.BASES} p, {T.BASES} b),
+    {name}_fr AS (SELECT g, pos, prev, base, coalesce(CAST(coalesce(n, 0) AS DOUBLE) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY g, pos, prev), 0), 0.0) AS p FROM {name}_gr LEFT JOIN {name}_cn USING (g, pos, prev, base)),
+    {name}_sm AS (SELECT *, {T._SMOOTH} AS q FROM {name}_fr WINDOW w AS (PARTITION BY g, pos, prev)),
+    {name} AS (SELECT g, pos, prev, base, CAST(CASE WHEN pos = 0 THEN {'q' if smooth_first else 'p'} WHEN pos = {at} THEN CASE WHEN base = '{motif[0]}' THEN 1 ELSE 0 END{motif_p} WHEN pos = {at + len(motif)} AND prev <> '{motif[-1]}' THEN 0 ELSE q END AS DOUBLE) AS p FROM {name}_sm)"""
+
+
 # Sequences and columns
 
 
@@ -146,7 +156,7 @@ def d18(spark, d):
 
 @query("e16_kmedoids")
 def e16(spark, d):
-    return sites.kmedoids(sites.labelled_sites(sites.met_sites(T.seqs(spark, d))).where("hyp = 'T'"), 3, restarts=2, rounds=10)
+    return sites.kmedoids(sites.labelled_sites(sites.met_sites(T.seqs(spark, d))).where("hyp = 'T'"), 3)
 
 
 # Counts and matrices
@@ -310,12 +320,42 @@ def f6(spark, d):
     return kmers.fo_loglik(T.seqs(spark, d), chain).withColumn("loglik", F.round("loglik", 4))
 
 
-@query("e6_train_chi2_imm")
+#: Chi-square with three degrees of freedom below chi2, the series of kmers.chi2_confidence in logarithms.
+_CONFIDENCE = "CASE WHEN chi2 <= 0 THEN 0 WHEN chi2 >= 100 THEN 1 ELSE least(1.0, list_sum(list_transform(range(0, 201), lambda i: exp((i + 1.5) * ln(chi2 / 2) - chi2 / 2 - lgamma(i + 2.5))))) END"
+
+
+def _imm_sql() -> str:
+    """CTEs lv1 to lv6 (model, hist, base, p): the interpolated chain, each order from the one before."""
+    out = [KMERS_SQL.replace("km AS (", "km AS MATERIALIZED ("), "h0 AS (SELECT '' AS hist)", "lv1 AS MATERIALIZED (SELECT model, '' AS hist, base, n / sum(n) OVER (PARTITION BY model) AS p FROM km WHERE k = 1)"]
+    for k in range(2, 7):
+        out.append(f"""h{k - 1} AS (SELECT hist || base AS hist FROM h{k - 2}, {T.BASES}),
+    a{k} AS (SELECT g.*, q.p AS q, CAST(sum(g.n) OVER (PARTITION BY g.model, g.hist) AS BIGINT) AS total FROM (SELECT model, hist, base, coalesce(n, 0) AS n FROM (SELECT model, hist, base FROM (SELECT DISTINCT model FROM km), h{k - 1}, {T.BASES}) LEFT JOIN (SELECT * FROM km WHERE k = {k}) USING (model, hist, base)) g
+      JOIN lv{k - 1} q ON q.model = g.model AND q.hist = substr(g.hist, 2) AND q.base = g.base),
+    b{k} AS (SELECT *, sum(CASE WHEN mean > 0 THEN ((n - mean) * (n - mean) + (expected - mean) * (expected - mean)) / mean ELSE 0 END) OVER w AS chi2, min(least(mean, expected)) OVER w AS low FROM (SELECT *, total * q AS expected, (n + total * q) / 2 AS mean FROM a{k}) WINDOW w AS (PARTITION BY model, hist)),
+    c{k} AS (SELECT *, CASE WHEN total >= 400 THEN 1.0 WHEN low < 5 OR conf < 0.5 THEN 0.0 ELSE conf * total / 400 END AS l FROM (SELECT *, {_CONFIDENCE} AS conf FROM b{k})),
+    d{k} AS (SELECT model, hist, base, total, CASE WHEN total > 0 THEN l * n / total + (1 - l) * q ELSE q END AS p, greatest(5e-5::DOUBLE, 1.0::DOUBLE / nullif(total, 0)) AS fix FROM c{k}),
+    lv{k} AS MATERIALIZED (SELECT model, hist, base, CASE WHEN total > 0 AND min(p) OVER (PARTITION BY model, hist) < 1e-5 THEN CASE WHEN p < 1e-5 THEN fix ELSE p * (1 - 4 * fix) + fix END ELSE p END AS p FROM d{k})""")
+    return ", ".join(out)
+
+
+IMM_SQL = _imm_sql()
+
+
+@query("e6_train_chi2_imm", f"WITH {IMM_SQL} " + " UNION ALL ".join(f"SELECT model, {k} AS k, hist, base, round(p, 9) AS p FROM lv{k}" for k in range(1, 7)))
 def e6(spark, d):
-    return kmers.train_chi2_imm(periodic(spark, d))
+    return kmers.train_chi2_imm(periodic(spark, d)).withColumn("p", F.round("p", 9))
+
 
+CLASSIFIED_SQL = f"""{FIXED_SQL}, nsix AS (SELECT substr(s, CAST(i AS INT) + 1, 6) AS h, count(*) AS n FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM (SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS s FROM seqs)) GROUP BY ALL),
+    nfo AS (SELECT hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY hist) AS p FROM (SELECT hist, base FROM hh, {T.BASES}) LEFT JOIN (SELECT substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, n FROM nsix) USING (hist, base)),
+    w AS MATERIALIZED (SELECT seq_id, i, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs)),
+    lg AS (SELECT seq_id, m AS model, sum(ln(p)) AS l FROM (SELECT * FROM w, (SELECT unnest([0, 1, 2]) AS m)) JOIN fo ON fo.model = (i + m) % 3 AND fo.hist = substr(h, 1, 5) AND fo.base = substr(h, 6, 1) GROUP BY ALL
+      UNION ALL SELECT seq_id, 3, sum(ln(p)) FROM w JOIN nfo ON nfo.hist = substr(h, 1, 5) AND nfo.base = substr(h, 6, 1) GROUP BY ALL),
+    pw AS (SELECT seq_id, model, l + ln(CASE WHEN model = 3 THEN 0.5 ELSE 1.0::DOUBLE / 6 END) AS x FROM lg), pe AS (SELECT *, exp(x - max(x) OVER (PARTITION BY seq_id)) AS e FROM pw),
+    pp AS (SELECT seq_id, model, round(e / sum(e) OVER (PARTITION BY seq_id), 6) AS posterior FROM pe), cl AS (SELECT seq_id, model AS best, posterior FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY posterior DESC, model) AS r FROM pp) WHERE r = 1)"""
 
-@query("f19_classify_coding")
+
+@query("f19_classify_coding", f"WITH {CLASSIFIED_SQL} SELECT seq_id, best, posterior FROM cl")
 def f19(spark, d):
     chain = kmers.train_fixed_order(periodic(spark, d))
     noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3)))
@@ -437,11 +477,15 @@ def e17(spark, d):
     return structure.splice_sites(T.exons(spark, d), T.contigs(spark, d))
 
 
-@query("e20_train_bssm")
+@query(
+    "e20_train_bssm",
+    f"""WITH {SITE_SQL}, ts AS (SELECT * FROM (SELECT terminal AS g, {T.slice_sql('a', 'b')} AS site FROM ge JOIN contigs c USING (contig_id)) WHERE site IS NOT NULL), td AS (SELECT * FROM ts WHERE g = 'donor'), ta AS (SELECT * FROM ts WHERE g = 'acceptor'),
+    {wam_sql('wd', 'td', 102, 50, 'GT', False)}, {wam_sql('wa', 'ta', 102, 50, 'AG', False)} SELECT g AS terminal, pos, prev, base, round(p, 9) AS p FROM (SELECT * FROM wd UNION ALL SELECT * FROM wa)""",
+)
 def e20(spark, d):
     rows = structure.splice_sites(T.exons(spark, d), T.contigs(spark, d))
     donor = sites.train_wam(rows.where("terminal = 'donor'"), ["terminal"], 102, 50, "GT", smooth_first=False)
-    return donor.union(sites.train_wam(rows.where("terminal = 'acceptor'"), ["terminal"], 102, 50, "AG", smooth_first=False))
+    return donor.union(sites.train_wam(rows.where("terminal = 'acceptor'"), ["terminal"], 102, 50, "AG", smooth_first=False)).withColumn("p", F.round("p", 9))
 
 
 @query(
@@ -519,31 +563,6 @@ def v3(spark, d):
     return vectors.mean_distances(means, "label").withColumn("dist", F.round("dist", 6))
 
 
-# Neurons
-
-
-@query("e13_features")
-def e13(spark, d):
-    """Weighted log-likelihood ratio and position of every labelled site."""
-    rows = sites.labelled_sites(scored(spark, d))
-    return rows.select("seq_id", "pos", "hyp", F.round(F.col("llkr") + 3 * F.log(sites.position_weight()), 6).alias("site_ratio"), F.round(sites.position_weight(), 6).alias("share"))
-
-
-def neuron_rows(spark, d):
-    rows = e13(spark, d).where("site_ratio IS NOT NULL")
-    return rows.select(F.col("site_ratio").alias("x"), F.col("share").alias("y"), F.when(F.col("hyp") == "T", 1.0).otherwise(-1.0).alias("target"))
-
-
-@query("e14_linear_unit")
-def e14(spark, d):
-    return sites.linear_unit(neuron_rows(spark, d))
-
-
-@query("e15_sigmoid_unit")
-def e15(spark, d):
-    return sites.sigmoid_unit(neuron_rows(spark, d).withColumn("target", (F.col("target") > 0).cast("double")), epochs=10)
-
-
 # Content scores, clusters, reading frames
 
 
@@ -574,39 +593,127 @@ def content_scored(spark, d):
     return sites.with_llkr(flanked, wam)
 
 
-@query("f13_predict_mfcwllkr")
+CONTENT_SQL = f"""{T.SCORED}{FLANK_SQL[len(T.SEQS):]}, cs AS (SELECT s.seq_id, s.pos, s.len, s.llkr, s.llkr + 3 * ln(CAST(s.len - 200 - (s.pos - 102) AS DOUBLE) / (s.len - 200)) AS x, round(ln(post_down / post_up), 6) AS y FROM scored s JOIN fq USING (seq_id, pos))"""
+
+
+def solve_sql(rows: str) -> str:
+    """CTEs that end in nw(w0, w1, w2), the least-squares solution over rows(x, y, t) by Cramer's rule."""
+    det = lambda a: f"({a[0]} * ({a[4]} * {a[8]} - {a[5]} * {a[7]}) - {a[1]} * ({a[3]} * {a[8]} - {a[5]} * {a[6]}) + {a[2]} * ({a[3]} * {a[7]} - {a[4]} * {a[6]}))"
+    m, t = ["n", "sx", "sy", "sx", "sxx", "sxy", "sy", "sxy", "syy"], ["st", "sxt", "syt"]
+    own = [", ".join(f"{det([t[i // 3] if i % 3 == k else v for i, v in enumerate(m)])} / {det(m)} AS w{k}" for k in range(3))]
+    return f"""mo9 AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy, sum(t) AS st, sum(x * t) AS sxt, sum(y * t) AS syt FROM {rows}), nw AS (SELECT {own[0]} FROM mo9)"""
+
+
+@query("e13_features", f"WITH {CONTENT_SQL} SELECT cs.seq_id, cs.pos, hyp, round(x, 6) AS site_ratio, y AS mcratio FROM cs JOIN lab USING (seq_id, pos)")
+def e13(spark, d):
+    """Weighted log-likelihood ratio and content ratio of every labelled site with whole flanks."""
+    rows = content_scored(spark, d).withColumn("site_ratio", F.round(F.col("llkr") + 3 * F.log(sites.position_weight()), 6)).select("seq_id", "pos", "site_ratio", "mcratio")
+    labels = sites.labelled_sites(sites.met_sites(T.seqs(spark, d))).select("seq_id", "pos", "hyp")
+    return labels.join(rows, ["seq_id", "pos"]).select("seq_id", "pos", "hyp", "site_ratio", "mcratio")
+
+
+def neuron_rows(spark, d):
+    rows = e13(spark, d).where("site_ratio IS NOT NULL AND mcratio IS NOT NULL")
+    return rows.select(F.col("site_ratio").alias("x"), F.col("mcratio").alias("y"), F.when(F.col("hyp") == "T", 1.0).otherwise(-1.0).alias("target"))
+
+
+def rounded(weights: DataFrame) -> DataFrame:
+    return weights.select(*(F.round(f"w{k}", 6).alias(f"w{k}") for k in range(3)))
+
+
+@query(
+    "e14_linear_unit",
+    f"""WITH {CONTENT_SQL}, nr AS (SELECT round(x, 6) AS x, y, CASE WHEN hyp = 'T' THEN 1.0::DOUBLE ELSE -1.0 END AS t FROM cs JOIN lab USING (seq_id, pos) WHERE x IS NOT NULL AND y IS NOT NULL),
+    {solve_sql('nr')} SELECT round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM nw""",
+)
+def e14(spark, d):
+    return rounded(sites.linear_unit(neuron_rows(spark, d)))
+
+
+@query("e15_sigmoid_unit")
+def e15(spark, d):
+    return sites.sigmoid_unit(neuron_rows(spark, d).withColumn("target", (F.col("target") > 0).cast("double")))
+
+
+@query(
+    "f13_predict_mfcwllkr",
+    f"""WITH {CONTENT_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY v DESC, pos) AS r FROM (SELECT seq_id, pos, round(x + y, 6) AS v FROM cs WHERE (len - 98 - pos) // 3 >= 50 AND x IS NOT NULL))
+    SELECT seq_id, CASE WHEN v >= 0 THEN pos ELSE -1 END AS tis, v AS score FROM b WHERE r = 1""",
+)
 def f13(spark, d):
     return content.predict_content(content_scored(spark, d))
 
 
-@query("f14_predict_nfcwllkr")
+@query(
+    "f14_predict_nfcwllkr",
+    f"""WITH {CONTENT_SQL}, fr AS (SELECT *, pos = min(pos) OVER (PARTITION BY seq_id) AS first FROM cs), nr AS (SELECT x, y, CASE WHEN first THEN 1.0::DOUBLE ELSE -1.0 END AS t FROM fr WHERE x IS NOT NULL AND seq_id % 10 < 8),
+    {solve_sql('nr')}, b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY v DESC, pos) AS r FROM (SELECT seq_id, pos, round(w0 + w1 * x + w2 * y, 6) AS v FROM cs, nw WHERE (len - 98 - pos) // 3 >= 50 AND x IS NOT NULL))
+    SELECT seq_id, CASE WHEN v > 0 THEN pos ELSE -1 END AS tis, v AS score FROM b WHERE r = 1""",
+)
 def f14(spark, d):
     rows = content_scored(spark, d)
     first = F.col("pos") == F.min("pos").over(Window.partitionBy("seq_id"))
-    fed = rows.withColumn("x", F.col("llkr") + 3 * F.log(sites.position_weight())).where("x IS NOT NULL AND seq_id % 10 < 8")
-    neuron = sites.linear_unit(fed.select("x", F.col("mcratio").alias("y"), F.when(first, 1.0).otherwise(-1.0).alias("target")))
+    fed = rows.withColumn("first", first).withColumn("x", F.col("llkr") + 3 * F.log(sites.position_weight())).where("x IS NOT NULL AND seq_id % 10 < 8")
+    neuron = sites.linear_unit(fed.select("x", F.col("mcratio").alias("y"), F.when(F.col("first"), 1.0).otherwise(-1.0).alias("target")))
     return content.predict_content(rows, neuron)
 
 
-@query("f7_imm_loglik")
+@query(
+    "f7_imm_loglik",
+    f"""WITH {IMM_SQL}, w AS (SELECT seq_id, m, i, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs), (SELECT unnest([0, 1, 2]) AS m)),
+    tb AS (SELECT model, hist || base AS w, p FROM (SELECT * FROM lv1 UNION ALL SELECT * FROM lv2 UNION ALL SELECT * FROM lv3 UNION ALL SELECT * FROM lv4 UNION ALL SELECT * FROM lv5)), lo AS (SELECT model, hist || base AS h, ln(p) AS l FROM lv6),
+    bd AS (SELECT seq_id, m AS model, sum(l) AS l FROM w JOIN lo ON lo.model = (i + m) % 3 AND lo.h = w.h GROUP BY ALL),
+    hd AS (SELECT seq_id, model, sum(ln(p)) AS l FROM (SELECT seq_id, substr(seq, 1, CAST(unnest(range(1, 6)) AS INT)) AS w FROM seqs) JOIN tb USING (w) GROUP BY ALL)
+    SELECT seq_id, model, round(sum(l), 4) AS loglik FROM (SELECT * FROM bd UNION ALL SELECT * FROM hd) GROUP BY ALL""",
+)
 def f7(spark, d):
     return content.imm_loglik(T.seqs(spark, d), kmers.train_chi2_imm(periodic(spark, d))).withColumn("loglik", F.round("loglik", 4))
 
 
-@query("e11_dynamic_model")
+CLOUD_SQL = f"""{T.SEQS}, ps AS (SELECT seq_id, seq, CAST(('0x' || substr(md5(CAST(seq_id AS VARCHAR) || 's'), 1, 8)) AS BIGINT) % 3 AS part FROM seqs),
+    dk AS (SELECT part, model, substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, count(*) AS n FROM (SELECT part, CAST(i % 3 AS INT) AS model, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT part, seq, unnest(range(0, length(seq) - 5)) AS i FROM ps)) GROUP BY ALL), {GRID5},
+    dp AS (SELECT part, model, hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY part, model, hist) AS p FROM (SELECT part, model, hist, base FROM (SELECT DISTINCT part, model FROM dk), hh, {T.BASES}) LEFT JOIN dk USING (part, model, hist, base)),
+    dm AS (SELECT model, hist, base, avg(p) AS mean, stddev_pop(p) AS sd, min(p) AS lo_rng, max(p) AS hi_rng FROM dp GROUP BY ALL)"""
+
+
+@query(
+    "e11_dynamic_model",
+    f"""WITH {CLOUD_SQL} SELECT model, hist, base, round(mean, 9) AS mean, round(sd, 9) AS sd, round(lo_rng, 9) AS lo_rng, round(hi_rng, 9) AS hi_rng,
+    round(least(greatest(mean - sd, 1e-5), 1 - 1e-5), 9) AS lo_var, round(least(greatest(mean + sd, 1e-5), 1 - 1e-5), 9) AS hi_var FROM dm""",
+)
 def e11(spark, d):
-    part = sampling.partition_of(F.col("seq_id"), 3)
-    seqs = T.seqs(spark, d).withColumn("part", part)
+    rows = cloud(spark, d)
+    return rows.select("model", "hist", "base", *(F.round(c, 9).alias(c) for c in rows.columns if c not in ("model", "hist", "base")))
+
+
+def cloud(spark, d):
+    seqs = T.seqs(spark, d).withColumn("part", sampling.partition_of(F.col("seq_id"), 3))
     parts = [kmers.count_kmers(seqs.where(F.col("part") == k), F.pmod(F.col("i"), F.lit(3))).withColumn("part", F.lit(k)) for k in range(3)]
     return content.dynamic_model(parts[0].union(parts[1]).union(parts[2]))
 
 
-@query("f8_dynamic_loglik")
+@query(
+    "f8_dynamic_loglik",
+    f"""WITH {CLOUD_SQL}, fn AS (SELECT seq_id, model, substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, count(*) AS n FROM (SELECT seq_id, CAST(i % 3 AS INT) AS model, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs)) GROUP BY ALL),
+    rw AS (SELECT seq_id, model, hist, base, coalesce(n, 0) AS n, lo_rng AS lo, hi_rng AS hi FROM (SELECT DISTINCT seq_id, model, hist FROM fn) JOIN dm USING (model, hist) LEFT JOIN fn USING (seq_id, model, hist, base)),
+    sp AS (SELECT *, 1 - sum(lo) OVER (PARTITION BY seq_id, model, hist) - coalesce(sum(hi - lo) OVER (PARTITION BY seq_id, model, hist ORDER BY n DESC, base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM rw)
+    SELECT seq_id, round(sum(n * ln(lo + greatest(0, least(hi - lo, rest)))) FILTER (n > 0), 4) AS loglik FROM sp GROUP BY ALL""",
+)
 def f8(spark, d):
-    return content.dynamic_loglik(T.seqs(spark, d), e11(spark, d)).withColumn("loglik", F.round("loglik", 4))
+    return content.dynamic_loglik(T.seqs(spark, d), cloud(spark, d)).withColumn("loglik", F.round("loglik", 4))
 
 
-@query("f15_cluster_predict")
+CLUSTER_SQL = f"""{T.LABELLED}, {MEDOID_SQL}, nm AS (SELECT seq_id, pos, site, len, arg_min(cluster, dist * 100 + cluster) AS cluster FROM (SELECT seq_id, pos, site, len, cluster, len(list_filter(range(1, 12), lambda i: substr(site, CAST(i AS INT), 1) <> substr(m, CAST(i AS INT), 1))) AS dist FROM mets, med) GROUP BY ALL)"""
+
+
+@query(
+    "f15_cluster_predict",
+    f"""WITH {CLUSTER_SQL}, ct AS (SELECT cluster AS g, n.site FROM nm n JOIN lab USING (seq_id, pos) WHERE hyp = 'T' AND seq_id % 10 < 8), cf AS (SELECT 0 AS g, site FROM lab WHERE hyp = 'F' AND seq_id % 10 < 8), {wam_sql('wt', 'ct', 11, 5, 'ATG')}, {wam_sql('wf', 'cf', 11, 5, 'ATG')},
+    k AS (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM nm WHERE (len - 98 - pos) // 3 >= 50),
+    sc AS (SELECT seq_id, k.pos AS pos, round(sum(ln(t.p)) - sum(ln(f.p)), 6) AS llkr FROM k JOIN wt t ON t.g = k.cluster AND t.pos = k.k AND t.base = substr(site, k.k + 1, 1) AND t.prev = CASE WHEN k.k = 0 THEN '-' ELSE substr(site, k.k, 1) END
+      JOIN wf f ON f.pos = k.k AND f.base = t.base AND f.prev = t.prev GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY llkr DESC, pos) AS r FROM sc) SELECT seq_id, CASE WHEN llkr >= 0 THEN pos ELSE -1 END AS tis, llkr AS score FROM b WHERE r = 1""",
+)
 def f15(spark, d):
     rows = sites.nearest_medoid(sites.labelled_sites(sites.met_sites(T.seqs(spark, d))), medoids(spark))
     true = sites.train_wam(rows.where("hyp = 'T' AND seq_id % 10 < 8"), ["cluster"])
@@ -615,7 +722,7 @@ def f15(spark, d):
     return sites.predict_llkr(content.with_cluster_llkr(every, true, false))
 
 
-@query("d15_best_tallies")
+@query("d15_best_tallies", f"WITH {CLASSIFIED_SQL} SELECT best, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cl GROUP BY best")
 def d15(spark, d):
     return kmers.best_tallies(f19(spark, d))
 

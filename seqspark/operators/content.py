@@ -69,6 +69,15 @@ def with_cluster_llkr(clustered: DataFrame, true_wam: DataFrame, false_wam: Data
     return rows.withColumn("llkr", llkr).drop("ln_t", "ln_f")
 
 
+def best_cluster(found: DataFrame, models: DataFrame) -> DataFrame:
+    """found(site, ...) with cluster, the one whose matrix (packed, (cluster, ln)) scores the site best; the
+    lowest cluster on ties. All matrices travel as one array row."""
+    table = models.agg(F.array_sort(F.collect_list(F.struct("cluster", "ln"))).alias("__models"))
+    scores = F.transform("__models", lambda m: F.struct(F.round(sites.matrix_score(F.col("site"), m["ln"]), 9).alias("score"), (-m["cluster"]).alias("cluster")))
+    rows = found.crossJoin(F.broadcast(table)).withColumn("cluster", -F.array_max(scores)["cluster"])
+    return rows.drop("__models")
+
+
 def imm_loglik(seqs: DataFrame, chain: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, model, loglik) under each phase of an interpolated chain: all hexamers, plus orders 0 to 4 of
     the first five bases from the phase's own table."""

@@ -122,6 +122,20 @@ def matrix_score(site: Column, ln: Column, length: int = S.SITE) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0.0).cast("double"), lambda acc, k: acc + F.element_at(ln, at(k)))
 
 
+def packed_pwm(model: DataFrame, by: list[str], length: int = S.SITE) -> DataFrame:
+    """A position weight matrix in the layout of packed_model, the same for every base before: (by, ln array)."""
+    every = model.withColumn("prev", F.explode(F.when(F.col("pos") == 0, F.array(F.lit("-"))).otherwise(F.array(*map(F.lit, S.BASES)))))
+    return packed_model(every, by, length)
+
+
+def pwm_score(sites: DataFrame, model: DataFrame, by: str) -> DataFrame:
+    """sites with one row per group of the matrices and score, the sum of log probabilities along the site.
+
+    One row a group is broadcast."""
+    rows = sites.crossJoin(F.broadcast(packed_pwm(model, [by]).withColumnRenamed("ln", "__ln")))
+    return rows.withColumn("score", matrix_score(F.col("site"), F.col("__ln"))).drop("__ln")
+
+
 def with_llkr(sites: DataFrame, wam: DataFrame) -> DataFrame:
     """sites with llk_true, llk_false and llkr from a matrix trained by hypothesis T and F.
 

@@ -722,6 +722,72 @@ def f15(spark, d):
     return sites.predict_llkr(content.with_cluster_llkr(every, true, false))
 
 
+#: Models of a cluster's true sites, matrices of both kinds, and every candidate's choice by mode.
+MODE_SQL = {
+    "hamming": "SELECT seq_id, pos, site, cluster FROM nm",
+    "pwm": "SELECT seq_id, pos, site, arg_min(g, (-round(l, 9), g)) AS cluster FROM (SELECT n.seq_id, n.pos, n.site, m.g, sum(CASE WHEN m.p > 0 THEN ln(m.p) ELSE CAST('-infinity' AS DOUBLE) END) AS l FROM (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM nm) n JOIN wp m ON m.pos = n.k AND m.base = substr(n.site, n.k + 1, 1) GROUP BY ALL) GROUP BY ALL",
+    "wam": "SELECT seq_id, pos, site, arg_min(g, (-round(l, 9), g)) AS cluster FROM (SELECT n.seq_id, n.pos, n.site, m.g, sum(CASE WHEN m.p > 0 THEN ln(m.p) ELSE CAST('-infinity' AS DOUBLE) END) AS l FROM (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM nm) n JOIN wt m ON m.pos = n.k AND m.base = substr(n.site, n.k + 1, 1) AND m.prev = CASE WHEN n.k = 0 THEN '-' ELSE substr(n.site, n.k, 1) END GROUP BY ALL) GROUP BY ALL",
+}
+PWM_SQL = f"""pc AS (SELECT g, pos, substr(site, pos + 1, 1) AS base, count(*) AS n FROM (SELECT g, site, CAST(unnest(range(0, 11)) AS INT) AS pos FROM ct) GROUP BY ALL),
+    pf AS (SELECT g, pos, base, coalesce(CAST(coalesce(n, 0) AS DOUBLE) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY g, pos), 0), 0.25) AS p FROM (SELECT g, CAST(k AS INT) AS pos, base FROM (SELECT DISTINCT g FROM ct), range(0, 11) r(k), {T.BASES}) LEFT JOIN pc USING (g, pos, base)),
+    wp AS (SELECT g, pos, base, CASE WHEN pos BETWEEN 5 AND 7 THEN p ELSE {T._SMOOTH} END AS p FROM pf WINDOW w AS (PARTITION BY g, pos))"""
+
+
+def mode_sql(mode: str, static: bool) -> str:
+    first = "SELECT seq_id, pos, site, first_value(cluster) OVER (PARTITION BY seq_id ORDER BY pos) AS cluster FROM chosen SEMI JOIN ca USING (seq_id, pos)"
+    return f"""WITH {CLUSTER_SQL}, ct AS (SELECT cluster AS g, n.site FROM nm n JOIN lab USING (seq_id, pos) WHERE hyp = 'T' AND seq_id % 10 < 8), cf AS (SELECT 0 AS g, site FROM lab WHERE hyp = 'F' AND seq_id % 10 < 8), {wam_sql('wt', 'ct', 11, 5, 'ATG')}, {wam_sql('wf', 'cf', 11, 5, 'ATG')}, {PWM_SQL},
+    ca AS (SELECT seq_id, pos FROM nm WHERE (len - 98 - pos) // 3 >= 50), chosen AS ({MODE_SQL[mode]}), fin AS ({first if static else 'SELECT * FROM chosen SEMI JOIN ca USING (seq_id, pos)'}), k AS (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM fin),
+    sc AS (SELECT seq_id, k.pos AS pos, round(sum(ln(t.p)) - sum(ln(f.p)), 6) AS llkr FROM k JOIN wt t ON t.g = k.cluster AND t.pos = k.k AND t.base = substr(site, k.k + 1, 1) AND t.prev = CASE WHEN k.k = 0 THEN '-' ELSE substr(site, k.k, 1) END
+      JOIN wf f ON f.pos = k.k AND f.base = t.base AND f.prev = t.prev GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY llkr DESC, pos) AS r FROM sc) SELECT seq_id, CASE WHEN llkr >= 0 THEN pos ELSE -1 END AS tis, llkr AS score FROM b WHERE r = 1"""
+
+
+def cluster_mode(mode: str, static: bool):
+    def run(spark, d):
+        every = sites.nearest_medoid(sites.met_sites(T.seqs(spark, d)), medoids(spark))
+        rows = sites.labelled_sites(every).where("seq_id % 10 < 8")
+        of_true = rows.where("hyp = 'T'")
+        true = sites.train_wam(of_true, ["cluster"])
+        false = sites.train_wam(rows.where("hyp = 'F'").withColumn("all", F.lit(0)), ["all"]).drop("all")
+        if mode != "hamming":
+            packed = sites.packed_model(true, ["cluster"]) if mode == "wam" else sites.packed_pwm(sites.train_pwm(of_true, ["cluster"]), ["cluster"])
+            every = content.best_cluster(every.drop("cluster", "dist"), packed)
+        return sites.predict_llkr(content.with_cluster_llkr(every, true, false, static=static))
+
+    return run
+
+
+for _mode, _static in (("hamming", True), ("pwm", False), ("pwm", True), ("wam", False), ("wam", True)):
+    query(f"f15_{'static' if _static else 'modulating'}_{_mode}", mode_sql(_mode, _static))(cluster_mode(_mode, _static))
+
+
+@query(
+    "f3_pwm_score",
+    f"""WITH {T.LABELLED}, ct AS (SELECT hyp AS g, site FROM lab), {PWM_SQL}, k AS (SELECT seq_id, pos, site, CAST(unnest(range(0, 11)) AS INT) AS k FROM mets)
+    SELECT seq_id, k.pos AS pos, g AS hyp, round(sum(ln(p)), 6) AS score FROM k JOIN wp ON wp.pos = k.k AND base = substr(site, k.k + 1, 1) GROUP BY ALL""",
+)
+def f3(spark, d):
+    found = sites.met_sites(T.seqs(spark, d))
+    return sites.pwm_score(found, sites.train_pwm(sites.labelled_sites(found), ["hyp"]), "hyp").select("seq_id", "pos", "hyp", F.round("score", 6).alias("score"))
+
+
+@query("h2_sort_report", ORACLE["a13_tis_report"])
+def h2(spark, d):
+    return a13(spark, d).orderBy("tis", "seq_id")
+
+
+@query("h6_distinct_coordinates", f"WITH {T.EXONS} SELECT DISTINCT contig_id, strand, start, stop, md5({T.slice_sql('start', 'stop')}) AS digest FROM exons JOIN contigs c USING (contig_id)")
+def h6(spark, d):
+    rows = structure.with_slices(T.exons(spark, d), T.contigs(spark, d)).select("contig_id", "strand", "start", "stop", F.md5(F.col("piece").cast("binary")).alias("digest"))
+    return rows.dropDuplicates(["contig_id", "strand", "start", "stop", "digest"])
+
+
+@query("h9_union", f"WITH {T.LABELLED} SELECT hyp, seq_id, pos FROM lab WHERE hyp = 'T' UNION ALL SELECT hyp, seq_id, pos FROM lab WHERE hyp = 'F'")
+def h9(spark, d):
+    rows = e1(spark, d).select("hyp", "seq_id", "pos")
+    return rows.where("hyp = 'T'").unionByName(rows.where("hyp = 'F'"))
+
+
 @query("d15_best_tallies", f"WITH {CLASSIFIED_SQL} SELECT best, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cl GROUP BY best")
 def d15(spark, d):
     return kmers.best_tallies(f19(spark, d))

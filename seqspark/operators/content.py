@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
-from seqspark.operators import kmers, sites
+from seqspark.operators import kmers, sites, structure
 
 #: Priors of each coding phase and of noncoding.
 CODING_PRIOR, NONCODING_PRIOR = 1 / 6, 1 / 2
@@ -137,6 +137,29 @@ def maximal_orf(genes: DataFrame, contigs: DataFrame, up: int = S.UPSTREAM, down
     return rows.select(*rest, turned(F.col("x")).cast("long").alias("start"), turned(F.col("y")).cast("long").alias("stop"))
 
 
+def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, predict=sites.predict_llkr, whole_codons: bool = True) -> DataFrame:
+    """(gene, start_codon, stop_codon, score, met_seen) of gene structures: ends moved to the widest frame,
+    exons spliced with flanks, start sites predicted and mapped back to the contig.
+
+    Without a predicted site the start is that of the widest frame and met_seen is false; the stop codon is
+    given by its first base. whole_codons false takes frames that are no multiple of three as well (isoforms of
+    alternative splicing). Genes whose widest frame leaves the contig are dropped."""
+    ends = exons.groupBy("gene", "contig_id", "strand").agg(F.min_by("start", "exon_no").alias("start"), F.max_by("stop", "exon_no").alias("stop"))
+    frames = maximal_orf(ends, contigs).select("gene", "strand", F.col("start").alias("orf_start"), F.col("stop").alias("orf_stop"))
+    own = Window.partitionBy("gene")
+    wide = exons.withColumn("__first", F.col("exon_no") == F.min("exon_no").over(own)).withColumn("__last", F.col("exon_no") == F.max("exon_no").over(own)).join(frames.drop("strand"), "gene")
+    wide = wide.select(
+        "gene", "contig_id", "strand", "exon_no", F.when(F.col("__first"), F.col("orf_start")).otherwise(F.col("start")).alias("start"), F.when(F.col("__last"), F.col("orf_stop")).otherwise(F.col("stop")).alias("stop")
+    )
+    seqs = structure.splice(structure.with_flanks(wide), contigs)
+    best = predict(sites.with_llkr(sites.met_sites(seqs, "gene", whole_codons), wam), "gene")
+    place = best.where("tis > 0").select("gene", (F.col("tis") - S.FLANK - S.UPSTREAM).alias("at"))
+    found = structure.genomic_position(wide, place).select("gene", "position")
+    rows = frames.join(best.select("gene", "score"), "gene", "left").join(found, "gene", "left")
+    sign = F.when(F.col("strand") == "-", -1).otherwise(1)
+    return rows.select("gene", F.coalesce("position", "orf_start").alias("start_codon"), (F.col("orf_stop") - 2 * sign).alias("stop_codon"), "score", F.col("position").isNotNull().alias("met_seen"))
+
+
 def save_model(model: DataFrame, path: str, by: list[str] | None = None) -> None:
     """A model is an ordinary table; by names its partition columns, one folder a cluster or hypothesis."""
     writer = model.write.mode("overwrite")

@@ -11,12 +11,13 @@ from seqspark.functions import seq as S
 CHUNK = 4096
 
 
-def met_sites(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Every in-frame, scorable ATG of flanked sequences (key, seq): (key, pos, site, len).
+def met_sites(seqs: DataFrame, key: str = "seq_id", whole_codons: bool = True) -> DataFrame:
+    """Every in-frame, scorable ATG of flanked sequences (key, seq): (key, pos, site, len). Coding parts that
+    are no multiple of three give none if whole_codons, else those of their whole codons.
 
     Codons are filtered inside the array, so only real sites become rows."""
     n = F.length("seq")
-    rows = seqs.where(S.cds_eligible(n)).select(key, "seq", n.alias("len"))
+    rows = seqs.where(S.cds_eligible(n) if whole_codons else n > 2 * S.FLANK + S.UPSTREAM + S.DOWNSTREAM).select(key, "seq", n.alias("len"))
     coding = F.substring("seq", F.lit(S.FIRST_CODON), F.col("len") - 2 * S.FLANK - S.UPSTREAM - S.DOWNSTREAM)
     found = F.filter(F.transform(S.codons(coding), lambda c, i: F.when(S.is_met(c), i * 3 + S.FIRST_CODON)), lambda p: p.isNotNull())
     rows = rows.select(key, "len", "seq", F.explode(found).alias("pos"))

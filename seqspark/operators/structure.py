@@ -180,13 +180,35 @@ def splice_sites(exons: DataFrame, contigs: DataFrame, donor: str = "GT", accept
     return with_slices(rows, contigs).where("piece IS NOT NULL").select("gene", "intron_no", "terminal", F.col("piece").alias("site"))
 
 
-def false_splice_sites(pieces: DataFrame, motif: str, side: int = 50) -> DataFrame:
-    """pieces(kind, seq) as (kind, site): every motif with side bases on either side inside the piece."""
-    n = F.length("seq")
-    # As bytes a slice costs its own length only; as text it would be counted off from the start.
-    rows = pieces.where(n >= 2 * side + 2).select("kind", n.alias("n"), F.col("seq").cast("binary").alias("b"))
-    words = F.transform(F.sequence(F.lit(1), F.col("n") - 2 * side - 1), lambda i: F.substring("b", i, F.lit(2 * side + 2)).cast("string"))
-    return rows.select("kind", F.explode(words).alias("site")).where(F.substring("site", side + 1, 2) == motif)
+def phase_relabel(phase: Column) -> Column:
+    """Phases 0, 1, 2 as 1, 2, 0."""
+    return F.pmod(phase + 1, F.lit(3)).cast("int")
+
+
+def false_splice_sites(exons: DataFrame, contigs: DataFrame, donor: str = "GT", acceptor: str = "AG", side: int = 50) -> DataFrame:
+    """(gene, terminal, kind, part, at, site): every donor and acceptor dinucleotide inside an intron (kind Fi)
+    or an exon (F0 to F2 by its phase) that is no true one, with side bases of the contig on either side.
+
+    part is the number of the intron or exon, at the zero-based place in it on its strand. Motifs are found in
+    a slice with its surroundings, so only hits become rows."""
+    parts = exon_phase(exons).select("gene", "contig_id", "strand", F.concat(F.lit("F"), F.col("phase").cast("string")).alias("kind"), F.col("exon_no").alias("part"), "start", "stop")
+    gaps = introns(exons).where(F.abs(F.col("stop") - F.col("start")) >= 3)
+    parts = parts.union(gaps.select("gene", "contig_id", "strand", F.lit("Fi"), "intron_no", "start", "stop"))
+    rows = parts.join(contigs.select("contig_id", F.col("seq").alias("__seq")), "contig_id")
+    lo, hi, n = F.least("start", "stop"), F.greatest("start", "stop"), F.length("__seq")
+    rows = rows.where((lo >= 1) & (hi <= n)).withColumn("a", F.greatest(F.lit(1), lo - side)).withColumn("b", F.least(n, hi + side))
+    lead = F.when(F.col("strand") == "-", F.col("b") - hi).otherwise(lo - F.col("a")).cast("int")
+    rows = rows.select("gene", "kind", "part", (hi - lo + 1).cast("int").alias("n"), lead.alias("lead"), S.subseq(F.col("__seq"), F.col("a"), F.col("b"), F.col("strand")).alias("piece"))
+
+    def hits(motif: str, true_at: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col("n") - 2), lambda p: (F.substring("piece", F.col("lead") + p + 1, F.lit(2)) == motif) & ((F.col("kind") != "Fi") | (p != true_at)))
+        return F.when(F.col("n") >= 2, places).otherwise(F.array().cast("array<int>"))
+
+    ends = F.array(F.struct(F.lit("donor").alias("terminal"), hits(donor, F.lit(0)).alias("places")), F.struct(F.lit("acceptor").alias("terminal"), hits(acceptor, F.col("n") - 2).alias("places")))
+    rows = rows.select("gene", "kind", "part", "lead", "piece", F.explode(ends).alias("e")).select("gene", "e.terminal", "kind", "part", "lead", "piece", F.explode("e.places").alias("at"))
+    first = F.col("lead") + F.col("at") - side + 1
+    rows = rows.where((first >= 1) & (first + 2 * side + 1 <= F.length("piece")))
+    return rows.select("gene", "terminal", "kind", "part", "at", F.substring("piece", first, F.lit(2 * side + 2)).alias("site"))
 
 
 def locus_join(isoforms: DataFrame, loci: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -477,27 +477,40 @@ def e17(spark, d):
     return structure.splice_sites(T.exons(spark, d), T.contigs(spark, d))
 
 
+FALSE_SITE_SQL = f"""{SITE_SQL}, fp AS (SELECT gene, contig_id, strand, 'F' || CAST(coalesce(sum(abs(stop - start) + 1) OVER (PARTITION BY gene ORDER BY exon_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3 AS INT) AS kind, exon_no AS part, start, stop FROM exons
+      UNION ALL SELECT gene, contig_id, strand, 'Fi', intron_no, start, stop FROM introns WHERE abs(stop - start) >= 3),
+    fq AS (SELECT gene, kind, part, strand, seq, abs(stop - start) + 1 AS n, CASE WHEN strand = '-' THEN length(seq) - start + 1 ELSE start END AS p, CASE WHEN strand = '-' THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS s FROM fp JOIN contigs USING (contig_id) WHERE least(start, stop) >= 1 AND greatest(start, stop) <= length(seq)),
+    fw AS (SELECT gene, kind, part, n, CAST(unnest(range(0, n - 1)) AS INT) AS place, p, s FROM fq), fd AS (SELECT *, substr(s, CAST(p + place AS INT), 2) AS two, substr(s, CAST(p + place - 50 AS INT), 102) AS site FROM fw WHERE p + place - 50 >= 1 AND p + place + 51 <= length(s)),
+    fs AS (SELECT gene, CASE WHEN two = 'GT' THEN 'donor' ELSE 'acceptor' END AS terminal, kind, part, place, site FROM fd WHERE (two = 'GT' AND NOT (kind = 'Fi' AND place = 0)) OR (two = 'AG' AND NOT (kind = 'Fi' AND place = n - 2)))"""
+
+
 @query(
     "e20_train_bssm",
-    f"""WITH {SITE_SQL}, ts AS (SELECT * FROM (SELECT terminal AS g, {T.slice_sql('a', 'b')} AS site FROM ge JOIN contigs c USING (contig_id)) WHERE site IS NOT NULL), td AS (SELECT * FROM ts WHERE g = 'donor'), ta AS (SELECT * FROM ts WHERE g = 'acceptor'),
-    {wam_sql('wd', 'td', 102, 50, 'GT', False)}, {wam_sql('wa', 'ta', 102, 50, 'AG', False)} SELECT g AS terminal, pos, prev, base, round(p, 9) AS p FROM (SELECT * FROM wd UNION ALL SELECT * FROM wa)""",
+    f"""WITH {FALSE_SITE_SQL}, ts AS (SELECT terminal, 'T' AS g, site FROM (SELECT terminal, {T.slice_sql('a', 'b')} AS site FROM ge JOIN contigs c USING (contig_id)) WHERE site IS NOT NULL UNION ALL SELECT terminal, kind, site FROM fs), td AS (SELECT g, site FROM ts WHERE terminal = 'donor'), ta AS (SELECT g, site FROM ts WHERE terminal = 'acceptor'),
+    {wam_sql('wd', 'td', 102, 50, 'GT', False)}, {wam_sql('wa', 'ta', 102, 50, 'AG', False)} SELECT terminal, g AS hyp, pos, prev, base, round(p, 9) AS p FROM (SELECT 'donor' AS terminal, * FROM wd UNION ALL SELECT 'acceptor', * FROM wa)""",
 )
 def e20(spark, d):
-    rows = structure.splice_sites(T.exons(spark, d), T.contigs(spark, d))
-    donor = sites.train_wam(rows.where("terminal = 'donor'"), ["terminal"], 102, 50, "GT", smooth_first=False)
-    return donor.union(sites.train_wam(rows.where("terminal = 'acceptor'"), ["terminal"], 102, 50, "AG", smooth_first=False)).withColumn("p", F.round("p", 9))
+    """One matrix for each terminal and hypothesis: true sites, and false ones by kind."""
+    exons, contigs = T.exons(spark, d), T.contigs(spark, d)
+    rows = structure.splice_sites(exons, contigs).select("terminal", F.lit("T").alias("hyp"), "site")
+    rows = rows.union(structure.false_splice_sites(exons, contigs).select("terminal", "kind", "site"))
+    parts = [sites.train_wam(rows.where(F.col("terminal") == t), ["terminal", "hyp"], 102, 50, motif, smooth_first=False) for t, motif in (("donor", "GT"), ("acceptor", "AG"))]
+    return parts[0].union(parts[1]).withColumn("p", F.round("p", 9))
 
 
 @query(
     "e18_false_splice_sites",
-    f"""WITH {T.INTRONS}, p AS (SELECT 'Fi' AS kind, {T.slice_sql('start', 'stop')} AS seq FROM introns JOIN contigs c USING (contig_id) WHERE abs(stop - start) >= 3), q AS (SELECT 'whole' AS kind, seq FROM contigs),
-    w AS (SELECT kind, seq, CAST(unnest(range(51, length(seq) - 50)) AS INT) AS p FROM (SELECT * FROM p UNION ALL SELECT * FROM q) WHERE length(seq) >= 102) SELECT kind, count(*) AS n, count(DISTINCT substr(seq, p - 50, 102)) AS n_distinct FROM w WHERE substr(seq, p, 2) = 'GT' GROUP BY ALL""",
+    f"WITH {FALSE_SITE_SQL} SELECT gene, terminal, kind, count(*) AS n, md5(string_agg(site, ',' ORDER BY part, place)) AS digest FROM fs GROUP BY ALL",
 )
 def e18(spark, d):
-    contigs = T.contigs(spark, d)
-    gaps = structure.with_slices(structure.introns(T.exons(spark, d)).where(F.abs(F.col("stop") - F.col("start")) >= 3), contigs).where("piece IS NOT NULL")
-    pieces = gaps.select(F.lit("Fi").alias("kind"), F.col("piece").alias("seq")).union(contigs.select(F.lit("whole"), "seq"))
-    return structure.false_splice_sites(pieces, "GT").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("site").alias("n_distinct"))
+    rows = structure.false_splice_sites(T.exons(spark, d), T.contigs(spark, d))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "site"))), lambda x: x["site"]), ",")
+    return rows.groupBy("gene", "terminal", "kind").agg(F.count("*").alias("n"), F.md5(listed.cast("binary")).alias("digest"))
+
+
+@query("e19_phase_relabel", ORACLE["g1_exon_phase"].replace("SELECT gene, exon_no, CAST(", "SELECT gene, exon_no, CAST((1 + ").replace(" % 3 AS INT) AS phase, CAST((coalesce(sum(l) OVER w, 0) + l) % 3 AS INT) AS after", ") % 3 AS INT) AS label"))
+def e19(spark, d):
+    return structure.exon_phase(T.exons(spark, d)).select("gene", "exon_no", structure.phase_relabel(F.col("phase")).alias("label"))
 
 
 @query(
@@ -803,6 +816,32 @@ def f16(spark, d):
     return content.maximal_orf(genes, T.contigs(spark, d)).select("gene", "strand", "start", "stop")
 
 
+def structure_sql(whole_codons: bool) -> str:
+    frames = ORACLE["f16_maximal_orf"][len(f"WITH {T.EXONS}"):].replace(" SELECT gene, strand, CASE", ", mx AS (SELECT gene, strand, CASE") + ")"
+    fits = "length(seq) > 200" + (" AND (length(seq) - 200) % 3 = 0" if whole_codons else "")
+    return f"""WITH {T.WAM}{T.EXONS[len(T.CONTIGS):]}{frames},
+    xw AS (SELECT e.gene, contig_id, e.strand, exon_no, CASE WHEN e.strand = '-' THEN -1 ELSE 1 END AS s, exon_no = min(exon_no) OVER w AS f, exon_no = max(exon_no) OVER w AS l, e.start AS es, e.stop AS ee, mx.start AS ms, mx.stop AS me FROM exons e JOIN mx USING (gene) WINDOW w AS (PARTITION BY e.gene)),
+    wd AS (SELECT *, CASE WHEN f THEN ms ELSE es END AS start, CASE WHEN l THEN me ELSE ee END AS stop FROM xw),
+    fl AS (SELECT gene, contig_id, strand, exon_no, CASE WHEN f THEN start - 101 * s ELSE start END AS start, CASE WHEN l THEN stop + 99 * s ELSE stop END AS stop FROM wd),
+    pc AS (SELECT gene, exon_no, {T.slice_sql('start', 'stop')} AS piece FROM fl JOIN contigs c USING (contig_id)), sp AS (SELECT gene, string_agg(piece, '' ORDER BY exon_no) AS seq FROM pc GROUP BY gene HAVING count(piece) = count(*)),
+    mt AS (SELECT gene, pos, substr(seq, pos - 5, 11) AS site, length(seq) AS len FROM (SELECT gene, seq, CAST(unnest(range(102, length(seq) - 100, 3)) AS INT) AS pos FROM sp WHERE {fits}) WHERE substr(seq, pos, 3) = 'ATG' AND pos + 5 <= length(seq) AND pos + 2 <= length(seq) - 99),
+    sg AS (SELECT gene, m.pos AS pos, any_value(len) AS len, round(sum(ln(p)) FILTER (hyp = 'T') - sum(ln(p)) FILTER (hyp = 'F'), 6) AS llkr FROM (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM mt) m JOIN wam w ON w.pos = m.k AND w.base = substr(m.site, m.k + 1, 1) AND w.prev = CASE WHEN m.k = 0 THEN '-' ELSE substr(m.site, m.k, 1) END GROUP BY gene, m.pos),
+    bs AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY llkr DESC, pos) AS r FROM sg WHERE (len - 98 - pos) // 3 >= 50),
+    gt AS (SELECT *, coalesce(sum(abs(stop - start) + 1) OVER (PARTITION BY gene ORDER BY exon_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM wd),
+    gp AS (SELECT gene, start + s * (pos - 101 - t - 1) AS position FROM gt JOIN bs USING (gene) WHERE r = 1 AND llkr >= 0 AND pos - 101 > t AND pos - 101 <= t + abs(stop - start) + 1)
+    SELECT mx.gene, CAST(coalesce(position, mx.start) AS BIGINT) AS start_codon, mx.stop - 2 * CASE WHEN mx.strand = '-' THEN -1 ELSE 1 END AS stop_codon, llkr AS score, position IS NOT NULL AS met_seen FROM mx LEFT JOIN bs ON bs.gene = mx.gene AND r = 1 LEFT JOIN gp ON gp.gene = mx.gene"""
+
+
+@query("f17_predict_structures", structure_sql(True))
+def f17(spark, d):
+    return content.predict_structures(T.exons(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
+
+
+@query("f18_predict_isoforms", structure_sql(False))
+def f18(spark, d):
+    return content.predict_structures(T.exons(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]), whole_codons=False)
+
+
 @query(
     "d17_gc_quantiles",
     ORACLE["d16_gc_histogram"].replace(" SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM w GROUP BY ALL", ", h AS (SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM w GROUP BY ALL)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from seqspark.functions import seq as S
 #: Order of the models, pseudocount, reliable histogram count, least confidence, null bounds.
 ORDER, PSEUDO, RELIABLE, CONFIDENCE, NULL_BOUND, NULL_FIX = 5, 5, 400, 0.5, 1e-5, 5e-5
 NONCODING = 3
+#: Ratio of a bucket's counts, held-out counts that it needs, share of equal probabilities at the start.
+BUCKET_RATIO, HELD_OUT, EVEN_SHARE = 1.2, 50, 1e-5
 
 
 def hexamers(seqs: DataFrame, model: Column, *keep: str) -> DataFrame:
@@ -112,6 +116,134 @@ def train_chi2_imm(kmers: DataFrame) -> DataFrame:
     return out
 
 
+def induce_pseudocounts(kmers: DataFrame) -> DataFrame:
+    """kmers in which every hexamer that does not occur counts once, and so do its prefixes: an absent word of
+    k bases gets 4^(6-k). Tables are model-sized."""
+    six = kmers.where(F.col("k") == ORDER + 1).select("model", "hist", "base", "n")
+    rows = full_grid(six, ORDER).join(six, ["model", "hist", "base"], "left")
+    rows = rows.select("model", F.concat("hist", "base").alias("w"), F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
+    rows = rows.groupBy("model", "k", F.substring("w", F.lit(1), F.col("k")).alias("w")).agg(F.sum("n").alias("n"))
+    return rows.select("model", "k", F.substring("w", F.lit(1), F.col("k") - 1).alias("hist"), F.substring("w", F.col("k"), F.lit(1)).alias("base"), "n")
+
+
+def with_gc_bin(seqs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """seqs with q, the first of bounds(q, bound) that the integer GC percent of the sequence does not exceed,
+    the last one if it exceeds all; a handful of bounds travels as one array row."""
+    table = bounds.agg(F.array_sort(F.collect_list(F.struct("q", "bound"))).alias("__bounds"))
+    n = F.length("seq")
+    gc = F.floor(100 * (n - F.length(F.translate("seq", "GC", ""))) / n)
+    fits = F.filter("__bounds", lambda b: b["bound"] >= gc)
+    q = F.when(F.size(fits) > 0, fits[0]["q"]).otherwise(F.element_at("__bounds", -1)["q"])
+    return seqs.crossJoin(F.broadcast(table)).withColumn("q", q).drop("__bounds")
+
+
+def train_gc_fixed_order(binned: DataFrame) -> DataFrame:
+    """(q, model, hist, base, p): one 3-periodic order-5 chain for each GC bin of binned(q, seq)."""
+    six = hexamers(binned, F.col("q") * 10 + F.pmod(F.col("i"), F.lit(3)), "q").groupBy("model", "hexamer").agg(F.count("*").alias("n"))
+    six = six.select("model", F.lit(ORDER + 1).alias("k"), F.substring("hexamer", 1, ORDER).alias("hist"), F.substring("hexamer", ORDER + 1, 1).alias("base"), "n")
+    rows = train_fixed_order(six)
+    return rows.select(F.floor(F.col("model") / 10).cast("int").alias("q"), (F.col("model") % 10).cast("int").alias("model"), "hist", "base", "p")
+
+
+def gc_loglik(binned: DataFrame, chains: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, q, loglik) of phase 0 under the chain of the sequence's own GC bin; bins without a chain give none.
+
+    Chains have 4,096 rows a bin and model, which bounds what is broadcast."""
+    table = chains.select("q", "model", F.concat("hist", "base").alias("hexamer"), S.log_or_inf(F.col("p")).alias("ln"))
+    rows = hexamers(binned, F.pmod(F.col("i"), F.lit(3)), key, "q").join(F.broadcast(table), ["q", "model", "hexamer"])
+    return rows.groupBy(key, "q").agg(F.sum("ln").alias("loglik"))
+
+
+def history_buckets(counts: list[int], held: list[int]) -> list[list[int]]:
+    """Histories that occur, by rising training count, in buckets that share one weight: a bucket takes counts
+    up to BUCKET_RATIO times its first one and at least HELD_OUT held-out counts; a last one that would be
+    narrower than that ratio is pooled with the one before. Lists indexes of counts."""
+    order = sorted((i for i, n in enumerate(counts) if n > 0), key=lambda i: (counts[i], i))
+    out: list[list[int]] = []
+    at = 0
+    while at < len(order):
+        stop, till, seen = math.ceil(BUCKET_RATIO * counts[order[at]]), at, 0
+        if math.ceil(BUCKET_RATIO * stop) > counts[order[-1]]:
+            till = len(order)
+        while till < len(order) and (counts[order[till]] <= stop or seen < HELD_OUT):
+            seen += held[order[till]]
+            till += 1
+        out.append(order[at:till])
+        at = till
+    return out
+
+
+def best_weight(held, longer, shorter) -> float:
+    """The weight l in 0 to 1 that gives held-out counts the highest likelihood under l * longer + (1 - l) * shorter.
+
+    The likelihood has one maximum, so its slope is bisected."""
+    import numpy as np
+
+    use = (held > 0) & (longer + shorter > 0)
+    c, d, s = held[use].astype(float), (longer - shorter)[use], shorter[use]
+    slope = lambda x: float((c * d / np.maximum(x * d + s, 1e-300)).sum())
+    if not len(c) or slope(1.0) >= 0:
+        return 1.0
+    if slope(0.0) <= 0:
+        return 0.0
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if slope(middle) > 0 else (lo, middle)
+    return (lo + hi) / 2
+
+
+def _interpolated(top_down: bool):
+    def train(pdf):
+        import numpy as np
+        import pandas as pd
+
+        own = {k: np.zeros((2, 4 ** (k - 1), 4), dtype=np.int64) for k in range(1, ORDER + 2)}
+        digits = {b: i for i, b in enumerate(S.BASES)}
+        for k, hist, base, n, held in zip(pdf["k"], pdf["hist"], pdf["base"], pdf["n"], pdf["held"], strict=True):
+            at = 0
+            for b in hist:
+                at = at * 4 + digits[b]
+            own[k][:, at, digits[base]] += (n, held)
+        ml = {k: x[0] / np.maximum(x[0].sum(axis=1, keepdims=True), 1) for k, x in own.items()}
+        before, rows = np.full((1, 4), 0.25), []
+        for k in range(1, ORDER + 2):
+            seen, held = own[k]
+            size = len(seen)
+            short = before[np.arange(size) % len(before)]  # a history without its first base
+            p = short.copy()  # histories that do not occur take the shorter one's
+            for bucket in history_buckets(seen.sum(axis=1).tolist(), held.sum(axis=1).tolist()):
+                if top_down:
+                    weight = best_weight(held[bucket], short[bucket], ml[k][bucket])
+                    p[bucket] = weight * short[bucket] + (1 - weight) * ml[k][bucket]
+                    continue
+                mixed = (1 - EVEN_SHARE) * ml[k][bucket] + EVEN_SHARE * 0.25
+                for j in range(k - 1, -1, -1):
+                    other = ml[j][np.array(bucket) % 4 ** max(0, j - 1)] if j else np.full((len(bucket), 4), 0.25)
+                    weight = best_weight(held[bucket], mixed, other)
+                    mixed = weight * mixed + (1 - weight) * other
+                p[bucket] = mixed
+            before = p
+            names = ["".join(S.BASES[i // 4**j % 4] for j in range(k - 2, -1, -1)) for i in range(size)]
+            rows.append(pd.DataFrame({"model": pdf["model"].iloc[0], "k": k, "hist": np.repeat(names, 4), "base": list(S.BASES) * size, "p": p.ravel()}))
+        return pd.concat(rows).astype({"model": "int32", "k": "int32"})
+
+    return train
+
+
+def train_deleted_interpolation(kmers: DataFrame, held_out: DataFrame, top_down: bool = True) -> DataFrame:
+    """(model, k, hist, base, p): each order mixed with shorter ones by weights that held-out counts choose,
+    one for each bucket of histories.
+
+    Top-down, an order leans on the finished next shorter one. Bottom-up, its own shares, slightly evened, are
+    mixed with those of every shorter order in turn, down to equal ones. A group is one model: at most 5,460
+    rows, whatever the input."""
+    names = ["model", "k", "hist", "base"]
+    both = kmers.select(*names, "n", F.lit(0).cast("long").alias("held")).union(held_out.select(*names, F.lit(0).cast("long"), "n"))
+    sums = both.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return sums.groupBy("model").applyInPandas(_interpolated(top_down), "model int, k int, hist string, base string, p double")
+
+
 def wide_model(chain: DataFrame) -> DataFrame:
     """(hexamer, l0, l1, l2, l3): log probabilities of a fixed-order chain by model; 4,096 rows."""
     logs = [S.log_or_inf(F.max(F.when(F.col("model") == m, F.col("p")))).alias(f"l{m}") for m in range(4)]

@@ -346,6 +346,22 @@ def e6(spark, d):
     return kmers.train_chi2_imm(periodic(spark, d)).withColumn("p", F.round("p", 9))
 
 
+def split_counts(spark, d):
+    """Counts of parts 0 to 8 for training and of part 9 held out."""
+    seqs = T.seqs(spark, d).withColumn("part", sampling.partition_of(F.col("seq_id"), 10))
+    return [kmers.count_kmers(seqs.where(c), F.pmod(F.col("i"), F.lit(3))) for c in ("part < 9", "part = 9")]
+
+
+@query("e8_train_top_down")
+def e8(spark, d):
+    return kmers.train_deleted_interpolation(*split_counts(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query("e9_train_bottom_up")
+def e9(spark, d):
+    return kmers.train_deleted_interpolation(*split_counts(spark, d), top_down=False).withColumn("p", F.round("p", 9))
+
+
 CLASSIFIED_SQL = f"""{FIXED_SQL}, nsix AS (SELECT substr(s, CAST(i AS INT) + 1, 6) AS h, count(*) AS n FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM (SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS s FROM seqs)) GROUP BY ALL),
     nfo AS (SELECT hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY hist) AS p FROM (SELECT hist, base FROM hh, {T.BASES}) LEFT JOIN (SELECT substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, n FROM nsix) USING (hist, base)),
     w AS MATERIALIZED (SELECT seq_id, i, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs)),
@@ -832,6 +848,54 @@ def structure_sql(whole_codons: bool) -> str:
     SELECT mx.gene, CAST(coalesce(position, mx.start) AS BIGINT) AS start_codon, mx.stop - 2 * CASE WHEN mx.strand = '-' THEN -1 ELSE 1 END AS stop_codon, llkr AS score, position IS NOT NULL AS met_seen FROM mx LEFT JOIN bs ON bs.gene = mx.gene AND r = 1 LEFT JOIN gp ON gp.gene = mx.gene"""
 
 
+@query(
+    "e10_induce_pseudocounts",
+    f"WITH {KMERS_SQL}, {GRID5}, ig AS (SELECT model, hist || base AS w, coalesce(n, 1) AS n FROM (SELECT model, hist, base FROM (SELECT DISTINCT model FROM km), hh, {T.BASES}) LEFT JOIN (SELECT * FROM km WHERE k = 6) USING (model, hist, base)) "
+    "SELECT model, k, substr(w, 1, k - 1) AS hist, substr(w, k, 1) AS base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT model, w, n, CAST(unnest(range(1, 7)) AS INT) AS k FROM ig) GROUP BY ALL",
+)
+def e10(spark, d):
+    return kmers.induce_pseudocounts(periodic(spark, d))
+
+
+BINNED_SQL = f"""{T.SEQS}, bw AS (SELECT length(s) - length(translate(s, 'GC', '')) AS gc FROM (SELECT substr(seq, CAST(p AS INT), 100) AS s FROM (SELECT seq, unnest(range(1, length(seq) - 98)) AS p FROM contigs WHERE length(seq) >= 100))
+      UNION ALL SELECT 100 * (length(seq) - length(translate(seq, 'GC', ''))) // length(seq) FROM contigs WHERE length(seq) BETWEEN 1 AND 99), bh AS (SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM bw GROUP BY ALL),
+    bc AS (SELECT gc, sum(n) OVER (ORDER BY gc) AS t, sum(n) OVER () AS a FROM bh), bb AS MATERIALIZED (SELECT CAST(q AS INT) AS q, min(gc) AS bound FROM bc, range(1, 5) r(q) WHERE t * 4 >= q * a GROUP BY ALL),
+    bs AS MATERIALIZED (SELECT seq_id, seq, coalesce((SELECT min(q) FROM bb WHERE bound >= gc), (SELECT max(q) FROM bb)) AS q FROM (SELECT *, 100 * (length(seq) - length(translate(seq, 'GC', ''))) // length(seq) AS gc FROM seqs)),
+    bk AS MATERIALIZED (SELECT seq_id, q, CAST(i % 3 AS INT) AS model, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, q, seq, unnest(range(0, length(seq) - 5)) AS i FROM bs)), bn AS (SELECT q, model, substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, count(*) AS n FROM bk GROUP BY ALL), {GRID5},
+    bf AS (SELECT q, model, hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY q, model, hist) AS p FROM (SELECT q, model, hist, base FROM (SELECT DISTINCT q, model FROM bn), hh, {T.BASES}) LEFT JOIN bn USING (q, model, hist, base))"""
+
+
+def binned(spark, d):
+    return kmers.with_gc_bin(T.seqs(spark, d), d17(spark, d))
+
+
+@query("e12_gc_fixed_order", f"WITH {BINNED_SQL} SELECT q, model, hist, base, round(p, 9) AS p FROM bf")
+def e12(spark, d):
+    return kmers.train_gc_fixed_order(binned(spark, d)).withColumn("p", F.round("p", 9))
+
+
+@query("f22_gc_loglik", f"WITH {BINNED_SQL} SELECT seq_id, q, round(sum(ln(p)), 4) AS loglik FROM bk JOIN bf USING (q, model) WHERE bf.hist = substr(h, 1, 5) AND bf.base = substr(h, 6, 1) GROUP BY ALL")
+def f22(spark, d):
+    rows = binned(spark, d)
+    return kmers.gc_loglik(rows, kmers.train_gc_fixed_order(rows)).withColumn("loglik", F.round("loglik", 4))
+
+
+@query(
+    "f20_pmmm",
+    ORACLE["f8_dynamic_loglik"].replace("SELECT seq_id, round(sum(n * ln(lo + greatest(0, least(hi - lo, rest)))) FILTER (n > 0), 4) AS loglik FROM sp GROUP BY ALL", "")
+    + f""", dy AS (SELECT seq_id, sum(n * ln(lo + greatest(0, least(hi - lo, rest)))) FILTER (n > 0) AS c FROM sp GROUP BY ALL),
+    nx AS (SELECT substr(s, CAST(i AS INT) + 1, 6) AS h, count(*) AS n FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM (SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS s FROM seqs)) GROUP BY ALL),
+    ny AS (SELECT hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY hist) AS p FROM (SELECT hist, base FROM hh, {T.BASES}) LEFT JOIN (SELECT substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, n FROM nx) USING (hist, base)),
+    nz AS (SELECT seq_id, sum(n * ln(p)) AS f FROM fn JOIN ny USING (hist, base) GROUP BY ALL) SELECT seq_id, round(c - f, 4) AS ratio, c >= f AS coding FROM dy JOIN nz USING (seq_id)""",
+)
+def f20(spark, d):
+    """Coding by the dynamic model's best likelihood, noncoding by a fixed-order chain."""
+    noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3)))
+    rows = content.dynamic_loglik(T.seqs(spark, d), cloud(spark, d)).withColumnRenamed("loglik", "c")
+    rows = rows.join(kmers.fo_loglik(T.seqs(spark, d), noncoding, periodic=False).select("seq_id", F.col("loglik").alias("f")), "seq_id")
+    return rows.select("seq_id", F.round(F.col("c") - F.col("f"), 4).alias("ratio"), (F.col("c") >= F.col("f")).alias("coding"))
+
+
 @query("f17_predict_structures", structure_sql(True))
 def f17(spark, d):
     return content.predict_structures(T.exons(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))

@@ -103,3 +103,51 @@ def test_quantiles_and_calls(spark):
     assert {r["q"]: r["bound"] for r in kmers.gc_quantiles(h).collect()} == {1: 10, 2: 20, 3: 30, 4: 40}
     p = spark.createDataFrame([(1, 0, 0.3), (1, 4, 0.3), (1, 3, 0.4), (2, 3, 0.9), (2, 1, 0.1)], "seq_id long, model int, posterior double")
     assert {r["seq_id"]: r["coding"] for r in kmers.coding_call(p).collect()} == {1: True, 2: False}
+
+
+def test_buckets_of_histories():
+    counts, held = [0, 10, 11, 12, 13, 40, 100, 101], [9, 30, 30, 0, 60, 70, 80, 1]
+    got = kmers.history_buckets(counts, held)
+    assert sorted(i for b in got for i in b) == [1, 2, 3, 4, 5, 6, 7]  # only those that occur, each once
+    assert got[0] == [1, 2, 3] and all(sum(held[i] for i in b) >= 50 for b in got[:-1]) and got[-1] == [6, 7]
+
+
+def test_weights_are_the_best_of_a_grid():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        held, a, b = rng.integers(0, 9, (7, 4)), rng.dirichlet(np.ones(4), 7), rng.dirichlet(np.ones(4), 7)
+        value = lambda x: (held * np.log(x * a + (1 - x) * b)).sum()  # noqa: B023, E731
+        assert value(kmers.best_weight(held, a, b)) >= max(value(x) for x in np.linspace(0, 1, 201)) - 1e-9
+
+
+@pytest.mark.parametrize("top_down", [True, False])
+def test_deleted_interpolation(spark, top_down):
+    """Rows sum to one, and order 2 agrees with the definition worked out by hand."""
+    import numpy as np
+
+    df, _ = chain(spark)
+    train, held = (kmers.count_kmers(df.where(c), F.lit(0)) for c in ("seq_id < 4", "seq_id >= 4"))
+    rows = kmers.train_deleted_interpolation(train, held, top_down).collect()
+    table = {(r["k"], r["hist"], r["base"]): r["p"] for r in rows}
+    assert len(table) == sum(4**k for k in range(1, 7)) and len(rows) == len(table)
+    for k, hist in {(r["k"], r["hist"]) for r in rows}:
+        assert sum(table[k, hist, b] for b in "ACGT") == pytest.approx(1)
+    n, c = ({(r["k"], r["hist"], r["base"]): r["n"] for r in x.collect()} for x in (train, held))
+    of = lambda x, k, h: np.array([x.get((k, h, b), 0) for b in "ACGT"])
+    share = lambda k, h: of(n, k, h) / max(1, of(n, k, h).sum())
+    hists = ["A", "C", "G", "T"]
+    first = np.array([table[1, "", b] for b in "ACGT"])
+    for bucket in kmers.history_buckets([int(of(n, 2, h).sum()) for h in hists], [int(of(c, 2, h).sum()) for h in hists]):
+        own, seen = np.array([share(2, hists[i]) for i in bucket]), np.array([of(c, 2, hists[i]) for i in bucket])
+        if top_down:
+            w = kmers.best_weight(seen, np.array([first] * len(bucket)), own)
+            want = w * first + (1 - w) * own
+        else:
+            want = (1 - 1e-5) * own + 1e-5 * 0.25
+            for other in (np.array([share(1, "")] * len(bucket)), np.full((len(bucket), 4), 0.25)):
+                w = kmers.best_weight(seen, want, other)
+                want = w * want + (1 - w) * other
+        for i, p in zip(bucket, want, strict=True):
+            assert [table[2, hists[i], b] for b in "ACGT"] == pytest.approx(list(p))

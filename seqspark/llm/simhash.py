@@ -48,6 +48,19 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of 64-bit shingle hashes, each counted as often as it is there; none: zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def apart(a, b):
+    """Bits in which two fingerprint columns differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs(doc_id, text) as (doc_id, fp), fp the fingerprint as a signed long."""
 

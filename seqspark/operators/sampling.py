@@ -19,10 +19,22 @@ def sample_without_replacement(df: DataFrame, key: str, n: int, seed: str = "s")
 
 
 def balance(df: DataFrame, label: str, key: str, by: str, seed: str = "s") -> DataFrame:
-    """As many negatives as positives (label true) in each group of `by`, picked by hash."""
-    n = F.sum(F.col(label).cast("int")).over(Window.partitionBy(by))
-    rank = F.row_number().over(Window.partitionBy(by, label).orderBy(draw(F.col(key), seed), key))
-    return df.withColumn("__n", n).withColumn("__r", rank).where(F.col(label) | (F.col("__r") <= F.col("__n"))).drop("__n", "__r")
+    """As many negatives as positives (label true) in each group of `by`, the first ones by hash.
+
+    The cut is found from counts by the leading three hexadecimal digits of the hash, so that a large group
+    is ranked in 4,096 parts and never in one task."""
+    rows = df.withColumn("__h", draw(F.col(key), seed)).withColumn("__part", F.substring("__h", 1, 3))
+    counts = rows.groupBy(F.col(by).alias("__by"), F.col(label).alias("__label"), "__part").count()
+    wanted = counts.where("__label").groupBy(F.col("__by").alias("__own")).agg(F.sum("count").alias("__n"))
+    so_far = Window.partitionBy("__by").orderBy("__part")
+    others = counts.where("NOT __label").withColumn("__till", F.sum("count").over(so_far)).join(wanted, F.col("__by").eqNullSafe(F.col("__own")), "left")
+    n = F.coalesce("__n", F.lit(0))
+    edge = others.where(F.col("__till") >= n).groupBy("__by").agg(F.min(F.struct("__part", (n - F.col("__till") + F.col("count")).alias("need"))).alias("__edge"))
+    rank = F.row_number().over(Window.partitionBy(by, label, "__part").orderBy("__h", key))
+    rows = rows.withColumn("__r", rank).join(edge, F.col(by).eqNullSafe(F.col("__by")), "left")
+    last = F.col("__edge.__part")
+    kept = F.col("__edge").isNull() | (F.col("__part") < last) | ((F.col("__part") == last) & (F.col("__r") <= F.col("__edge.need")))
+    return rows.where(F.col(label) | (~F.col(label) & kept)).select(*df.columns)
 
 
 def partition_of(key: Column, n: int, seed: str = "s") -> Column:

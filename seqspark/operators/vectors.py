@@ -10,22 +10,96 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def distance(a: Column, b: Column, metric: str = "euclid", weight: Column | None = None) -> Column:
     """Distance of two arrays under per-place weights; places with a null on either side are left out.
 
     euclid and cityblock are weighted means over the places used; correlation metrics are 1 - r, the
-    absolute ones 1 - |r|, uncentred ones take means as zero."""
+    absolute ones 1 - |r|, uncentred ones take means as zero; spearman is 1 - r of the ranks (equal values
+    share their mean rank), kendall 1 - tau, both without weights."""
     w = weight if weight is not None else F.transform(a, lambda _: F.lit(1.0))
     rows = F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), w.alias("w")), lambda t: t["a"].isNotNull() & t["b"].isNotNull())
-    of = lambda f: _sum(F.transform(rows, lambda t: (f(t["a"].cast("double"), t["b"].cast("double")) * t["w"]).cast("double")))
-    total = of(lambda x, y: F.lit(1.0))
+    rows = F.transform(rows, lambda t: F.struct(t["a"].cast("double").alias("a"), t["b"].cast("double").alias("b"), t["w"].cast("double").alias("w")))
+    return _let(rows, lambda own: _distance(own, metric))
+
+
+def _distance(rows: Column, metric: str) -> Column:
+    of = lambda f: _sum(F.transform(rows, lambda t: f(t["a"], t["b"]) * t["w"]))
     if metric in ("euclid", "cityblock"):
-        return F.try_divide(of((lambda x, y: (x - y) * (x - y)) if metric == "euclid" else (lambda x, y: F.abs(x - y))), total)
-    mean_a, mean_b = (F.lit(0.0), F.lit(0.0)) if "uncentred" in metric else (of(lambda x, y: x) / total, of(lambda x, y: y) / total)
-    r = of(lambda x, y: (x - mean_a) * (y - mean_b)) / F.sqrt(of(lambda x, y: (x - mean_a) * (x - mean_a)) * of(lambda x, y: (y - mean_b) * (y - mean_b)))
+        return F.try_divide(of((lambda x, y: (x - y) * (x - y)) if metric == "euclid" else (lambda x, y: F.abs(x - y))), of(lambda x, y: F.lit(1.0)))
+    if metric == "kendall":
+        return 1 - kendall_tau(rows)
+    if metric == "spearman":
+        ranked = _let(F.transform(rows, lambda t: t["a"]), lambda x: _let(F.transform(rows, lambda t: t["b"]), lambda y: F.arrays_zip(ranks(x).alias("a"), ranks(y).alias("b"))))
+        return _let(F.transform(ranked, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"), F.lit(1.0).alias("w"))), lambda own: _distance(own, "correlation"))
+    mean = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    if "uncentred" not in metric:
+        total = of(lambda x, y: F.lit(1.0))
+        mean = F.struct((of(lambda x, y: x) / total).alias("a"), (of(lambda x, y: y) / total).alias("b"))
+    r = _let(mean, lambda m: of(lambda x, y: (x - m["a"]) * (y - m["b"])) / F.sqrt(of(lambda x, y: (x - m["a"]) * (x - m["a"])) * of(lambda x, y: (y - m["b"]) * (y - m["b"]))))
     return 1 - (F.abs(r) if "absolute" in metric else r)
 
 
+def ranks(values: Column) -> Column:
+    """Ranks from 1 on; equal values share their mean rank."""
+    below = lambda v: F.size(F.filter(values, lambda w: w < v))
+    same = lambda v: F.size(F.filter(values, lambda w: w == v))
+    return F.transform(values, lambda v: (below(v) + (same(v) + 1) / 2).cast("double"))
+
+
+def kendall_tau(rows: Column) -> Column:
+    """Concordant less discordant pairs of rows(a, b) over the root of the pairs untied on either side."""
+    of = lambda f: _sum(F.transform(rows, lambda s, i: _sum(F.transform(F.slice(rows, F.lit(1), i), lambda t: f(F.signum(s["a"] - t["a"]), F.signum(s["b"] - t["b"]))))))
+    return F.try_divide(of(lambda u, v: u * v), F.sqrt(of(lambda u, v: F.abs(u)) * of(lambda u, v: F.abs(v))))
+
+
+def kmeans(df: DataFrame, key: str, vec: str, k: int, seed: int = 1, rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """((key, cluster, dist), (cluster, centre)): k-means under Euclidean distance, clusters from 1 on; vectors
+    that are null or hold nulls are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())).select(key, vec, array_to_vector(F.col(vec).cast("array<double>")).alias("__v"))
+    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="__v", predictionCol="__c").fit(rows)
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters(), 1)]
+    table = df.sparkSession.createDataFrame(centres, "cluster int, centre array<double>")
+    placed = model.transform(rows).select(key, vec, (F.col("__c") + 1).alias("cluster")).join(F.broadcast(table), "cluster")  # k rows
+    return placed.select(key, "cluster", distance(F.col(vec), F.col("centre")).alias("dist")), table
+
+
+def singular_values(df: DataFrame, vec: str) -> DataFrame:
+    """(k, value, direction): singular values of the matrix of vectors, largest first, with their right directions.
+
+    Products of columns are summed over all rows, map-side first; only that square table, whose side is the
+    vectors' length, reaches the driver."""
+    import numpy as np
+
+    def products(batches):
+        import pandas as pd
+
+        total = None
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_list()).astype(float)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()}).astype({"i": "int32", "j": "int32"})
+
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())).select(F.col(vec).cast("array<double>").alias("v"))
+    sums = rows.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    n = 1 + max((r["i"] for r in sums), default=-1)
+    gram = np.zeros((n, n))
+    for r in sums:
+        gram[r["i"], r["j"]] = r["s"]
+    value, direction = np.linalg.eigh(gram)
+    out = [(k + 1, float(np.sqrt(max(0.0, value[n - 1 - k]))), [float(x) for x in direction[:, n - 1 - k]]) for k in range(n)]
+    return df.sparkSession.createDataFrame(out, "k int, value double, direction array<double>")
+
+
 def cluster_means(df: DataFrame, label: str, vec: str) -> DataFrame:
     """(label, mean array, n): place by place, summed map-side."""
     rows = df.select(label, F.posexplode(vec).alias("k", "x")).groupBy(label, "k").agg(F.avg("x").alias("m"), F.count("*").alias("n"))

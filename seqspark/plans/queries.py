@@ -592,6 +592,43 @@ def v3(spark, d):
     return vectors.mean_distances(means, "label").withColumn("dist", F.round("dist", 6))
 
 
+_PAIR = "list_sum(list_transform(range(1, len(x) + 1), lambda i: {}))"
+_RANK = "list_transform({0}, lambda v: len(list_filter({0}, lambda w: w < v)) + (len(list_filter({0}, lambda w: w = v)) + 1) / 2.0)"
+
+
+def _correlation_sql(x: str, y: str) -> str:
+    of = lambda e: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {e}))"
+    u, v = f"({x}[i] - list_avg({x}))", f"({y}[i] - list_avg({y}))"
+    return f"1 - {of(f'{u} * {v}')} / sqrt({of(f'{u} * {u}')} * {of(f'{v} * {v}')})"
+
+
+@query(
+    "v1_distances",
+    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, list(m ORDER BY k) AS y FROM (SELECT label, k, avg(v) AS m FROM (SELECT label, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS v FROM e) GROUP BY ALL) GROUP BY ALL),
+    p AS (SELECT vec_id, x, y, {_RANK.format('x')} AS rx, {_RANK.format('y')} AS ry FROM e JOIN m USING (label))
+    SELECT vec_id, round({_PAIR.format('(x[i] - y[i]) * (x[i] - y[i])')} / len(x), 6) AS euclid, round({_PAIR.format('abs(x[i] - y[i])')} / len(x), 6) AS cityblock, round({_correlation_sql('x', 'y')}, 6) AS correlation,
+      round(1 - {_PAIR.format('x[i] * y[i]')} / sqrt({_PAIR.format('x[i] * x[i]')} * {_PAIR.format('y[i] * y[i]')}), 6) AS uncentred, round({_correlation_sql('rx', 'ry')}, 6) AS spearman,
+      round(1 - list_sum(list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(range(1, len(x) + 1), lambda j: sign(x[i] - x[j]) * sign(y[i] - y[j]))))) / (len(x) * (len(x) - 1)), 6) AS kendall FROM p""",
+)
+def v1(spark, d):
+    """Every vector and the mean of its label under six metrics."""
+    rows = T.read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = vectors.cluster_means(rows, "label", "x").select("label", F.col("mean").alias("y"))
+    names = {"euclid": "euclid", "cityblock": "cityblock", "correlation": "correlation", "uncentred correlation": "uncentred", "spearman": "spearman", "kendall": "kendall"}
+    return rows.join(means, "label").select("vec_id", *(F.round(vectors.distance(F.col("x"), F.col("y"), m), 6).alias(n) for m, n in names.items()))
+
+
+@query("v2_kmeans")
+def v2(spark, d):
+    placed, _ = vectors.kmeans(T.read(spark, d, "embeddings"), "vec_id", "embedding", 8)
+    return placed.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("dist"), 6).alias("dist"))
+
+
+@query("v5_singular_values")
+def v5(spark, d):
+    return vectors.singular_values(T.read(spark, d, "embeddings"), "embedding").select("k", F.round("value", 6).alias("value"))
+
+
 # Content scores, clusters, reading frames
 
 

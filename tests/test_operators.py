@@ -172,3 +172,96 @@ def test_documents(spark, tmp_path):
     (tmp_path / "w.xml").write_text('<x><kmedoids stringsize="3" k="3" error="4"><medoid id="1">AAA</medoid><medoid id="2">CCC</medoid></kmedoids></x>')
     with pytest.raises(ValueError):
         xml.read_medoids(spark, str(tmp_path / "w.xml"))
+
+
+def test_predicted_frames_and_curated_models(spark, tmp_path):
+    orf = """<x><orf_entry><gDNA id="c1" strand="-"/><serials PGL_serial="1" AGS_serial="2" PPS_serial="3"/><orf_info><exon_boundaries><exon start="90" stop="61"/><exon start="50" stop="21"/></exon_boundaries>
+    <frame>1</frame><number_coding_nucleotides>60</number_coding_nucleotides><number_encoded_amino_acids>19</number_encoded_amino_acids></orf_info><predicted_protein_sequence>MA*</predicted_protein_sequence></orf_entry></x>"""
+    (tmp_path / "o.xml").write_text(orf)
+    got = xml.read_gth_orfs(spark, str(tmp_path / "o.xml")).first()
+    assert (got["gdna_id"], got["strand"], got["pgl"], got["ags"], got["pps"], got["n_nt"], got["n_aa"], got["peptide"]) == ("c1", "-", 1, 2, 3, 60, 19, "MA*")
+    assert [tuple(e) for e in got["exons"]] == [(90, 61), (50, 21)]
+    part = lambda a, b: f"<EXON><CDS><COORDSET><END5>{a}</END5><END3>{b}</END3></COORDSET></CDS></EXON>"
+    model = lambda name, curated, n, exons: f'<MODEL CURATED="{curated}"><FEAT_NAME>{name}</FEAT_NAME>{exons}<PROTEIN_SEQUENCE>{"M" * n}*</PROTEIN_SEQUENCE></MODEL>'
+    (tmp_path / "t.xml").write_text("<x>" + model("m1", 1, 100, part(1, 30) + "<EXON></EXON>" + part(41, 70)) + model("m2", 0, 200, part(5, 9)) + model("m3", 1, 99, part(5, 9)) + "</x>")
+    got = xml.read_tigr_models(spark, str(tmp_path / "t.xml")).orderBy("exon_no").collect()
+    assert [tuple(r) for r in got] == [("m1", 1, 1, 30), ("m1", 2, 41, 70)]
+
+
+def test_gff_lines_and_versions(spark):
+    rows = spark.createDataFrame([("c", "CDSpart", 9, 2, "-", ".", "M", 7)], "contig string, feature string, start int, stop int, strand string, frame string, kind string, gene int")
+    assert fasta.gff_lines(rows).first()[0] == "c\tseqspark\tCDSpart\t2\t9\t.\t-\t.\tsrc=M;grp=gene.7;pri=10"
+    got = one(spark, fasta.strip_version(F.col("s")), s="AC037425.12")
+    assert got == "AC037425"
+
+
+def test_accepted_starts(spark):
+    rows = spark.createDataFrame([(101 + 44, 100), (101 + 45, 100), (101 + 45, 1000)], "tis int, n int")
+    assert [r[0] for r in rows.select(S.accept_tis(F.col("tis"), F.col("n"))).collect()] == [True, False, True]
+
+
+def test_long_sequences_are_scanned_in_pieces(spark):
+    import random
+    import re
+    import time
+
+    random.seed(2)
+    text = "".join(random.choices("ACGT", k=300_000))
+    df = spark.createDataFrame([(1, text), (2, "ATG"), (3, "ACGTAATGCCA")], "seq_id long, seq string")
+    began = time.time()
+    got = sorted((r["strand"], r["pos"], r["site"]) for r in sites.all_frame_sites(df).where("seq_id = 1").collect())
+    assert time.time() - began < 60
+    turned = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    n = len(text)
+    want = [("+", m.start() + 1, text[m.start() - 5 : m.start() + 6]) for m in re.finditer("ATG", text) if m.start() >= 5 and m.start() + 6 <= n]
+    want += [("-", n - m.start(), turned[m.start() - 5 : m.start() + 6]) for m in re.finditer("ATG", turned) if m.start() >= 5 and m.start() + 6 <= n]
+    assert got == sorted(want)
+    assert [r["pos"] for r in sites.all_frame_sites(df).where("seq_id = 3").collect()] == [6]
+
+
+def test_chi_square_far_out(spark):
+    got = [r[0] for r in spark.createDataFrame([(7.815,), (99.0,), (500.0,), (1000.0,)], "x double").select(kmers.chi2_confidence(F.col("x"))).collect()]
+    assert got[0] == pytest.approx(0.95, abs=1e-4) and got[1:] == pytest.approx([1, 1, 1])
+
+
+def test_rank_metrics(spark):
+    import random
+
+    random.seed(6)
+    a, b = [random.randint(0, 5) for _ in range(15)], [random.randint(0, 5) for _ in range(15)]
+    got = spark.createDataFrame([(a, b)], "a array<int>, b array<int>").select(*(vectors.distance(F.col("a"), F.col("b"), m) for m in ("spearman", "kendall"))).first()
+    rank = lambda x: [sum(w < v for w in x) + (x.count(v) + 1) / 2 for v in x]
+    mean = 8.0
+    ra, rb = rank(a), rank(b)
+    r = sum((p - mean) * (q - mean) for p, q in zip(ra, rb, strict=True)) / math.sqrt(sum((p - mean) ** 2 for p in ra) * sum((q - mean) ** 2 for q in rb))
+    sign = lambda x: (x > 0) - (x < 0)
+    pairs = [(sign(a[i] - a[j]), sign(b[i] - b[j])) for i in range(15) for j in range(i)]
+    tau = sum(u * v for u, v in pairs) / math.sqrt(sum(abs(u) for u, _ in pairs) * sum(abs(v) for _, v in pairs))
+    assert got[0] == pytest.approx(1 - r) and got[1] == pytest.approx(1 - tau)
+
+
+def test_kmeans_and_singular_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.1, (20, 3)) for c in (0, 5, 9)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    placed, centres = vectors.kmeans(df, "vec_id", "embedding", 3)
+    by = {r["vec_id"]: r["cluster"] for r in placed.collect()}
+    assert len(by) == 60 and all(len({by[20 * g + i] for i in range(20)}) == 1 for g in range(3)) and len(set(by.values())) == 3 and centres.count() == 3
+    got = [r["value"] for r in vectors.singular_values(df, "embedding").orderBy("k").collect()]
+    assert got == pytest.approx(list(np.linalg.svd(x, compute_uv=False)))
+
+
+def test_balance_takes_the_first_by_hash(spark):
+    import hashlib
+
+    rows = [(i, "ab"[i % 2], i % 7 == 0) for i in range(300)] + [(i, "c", True) for i in range(300, 310)] + [(i, None, i % 3 == 0) for i in range(310, 330)] + [(i, "d", False) for i in range(330, 340)]
+    got = sorted(tuple(r) for r in sampling.balance(spark.createDataFrame(rows, "k long, g string, pos boolean"), "pos", "k", "g").select("k", "pos").collect())
+    want = []
+    for g in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == g]
+        n = sum(r[2] for r in own)
+        negative = sorted((r for r in own if not r[2]), key=lambda r: hashlib.md5(f"{r[0]}s".encode()).hexdigest())[:n]
+        want += [(r[0], r[2]) for r in own if r[2]] + [(r[0], False) for r in negative]
+    assert got == sorted(want)

@@ -4,8 +4,8 @@ P(word | before) = P(class | before) * P(word | class, before). Words are put in
 CLUSTERED most frequent words by k-means on what stands one and two places before them, all others
 by the class that words of the same ending mostly have. Every word is hashed into one of SLOTS slots
 of its class. P(class | before) is a softmax over hashed features of the words before: the n-gram
-(word slot one back, and its class), the skip (word slot two back, and its class), both together
-hashed into PAIR_SLOTS, and a bias. P(word | class, before) is a softmax over the words of the class;
+(word slot one back, and its class), the skip (class of the word two back), both together hashed into
+PAIR_SLOTS, and a bias. P(word | class, before) is a softmax over the words of the class;
 its features are the word itself, whose weight is its smoothed count, and for the TOP most frequent
 words the n-gram with the word slot one back.
 
@@ -42,15 +42,15 @@ FOLDS, FOLD = 5, 1
 HEAD, CLUSTERED, ANCHORS = 200_000, 32_768, 64
 CLUSTERS, ENDING_CLASSES, ENDING = 48, 16, 3
 CLASSES = CLUSTERS + ENDING_CLASSES
-#: Word slots of a class one back and two back; contexts are pairs of them, the last of each for no word.
-SLOTS, FAR_SLOTS = 16, 2
-NEAR, FAR = CLASSES * SLOTS + 1, CLASSES * FAR_SLOTS + 1
+#: Word slots of a class. Contexts are a slot one back and a class two back, the last of each for no word.
+SLOTS = 8
+NEAR, FAR = CLASSES * SLOTS + 1, CLASSES + 1
 #: Slots of both together; words with n-gram weights within their class; updates and shrinking of both softmaxes.
-PAIR_SLOTS, TOP, UPDATES, INNER_UPDATES, SHRINK = 1 << 12, 4096, 20, 15, 1.0
+PAIR_SLOTS, TOP, UPDATES, INNER_UPDATES, SHRINK, MOMENTUM = 1 << 11, 4096, 12, 15, 1.0, 0.5
 END = b" "  # no word holds a blank
 WORDS_KEPT, FLUSH_WORDS, BUCKET_WORDS = 250_000, 400_000, 500_000
 #: Packed sums added up at once; parts of the sums of a task, and of those by word slot (a divisor of NEAR).
-FAN, BLOCKS, INNER_BLOCKS = 128, 48, 41
+FAN, BLOCKS, INNER_BLOCKS = 128, 48, 27
 
 
 def held_out(doc_id: Column) -> Column:
@@ -214,34 +214,33 @@ class Classes:
         return CLUSTERS + self.endings.get(end, 0)
 
 
-#: Where each kind of class feature starts: bias, class and slot one back, class and slot two back, both slots hashed.
-_FIRST = np.cumsum([0, 1, CLASSES + 1, NEAR, CLASSES + 1, FAR, PAIR_SLOTS])
+#: Where each kind of class feature starts: bias, class and slot one back, class two back, both together hashed.
+_FIRST = np.cumsum([0, 1, CLASSES + 1, NEAR, FAR, PAIR_SLOTS])
 N_FEATURES = int(_FIRST[-1])
 
 
 def _pairs(far: int) -> np.ndarray:
-    """Hashed slots of the word slot two back together with each one back."""
+    """Hashed slots of the class two back together with each word slot one back."""
     mixed = np.arange(NEAR, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.uint64(far + 1) * np.uint64(0x85EBCA77)
     return ((mixed >> np.uint64(7)) % np.uint64(PAIR_SLOTS)).astype(np.int64)
 
 
 def log_classes(weights: np.ndarray, far: int) -> np.ndarray:
-    """Natural log of P(class | context) for the contexts of one word slot two back, a sum of hashed weights."""
-    part = [weights[_FIRST[k] : _FIRST[k + 1]] for k in range(6)]
-    score = part[2] + part[1][np.arange(NEAR) // SLOTS] + part[5][_pairs(far)] + (part[0][0] + part[3][far // FAR_SLOTS] + part[4][far])
+    """Natural log of P(class | context) for the contexts of one class two back, a sum of hashed weights."""
+    part = [weights[_FIRST[k] : _FIRST[k + 1]] for k in range(5)]
+    score = part[2] + part[1][np.arange(NEAR) // SLOTS] + part[4][_pairs(far)] + (part[0][0] + part[3][far])
     score -= score.max(axis=1, keepdims=True)
     return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
 
 def _add_features(out: np.ndarray, values: np.ndarray, far: int) -> None:
-    """Add values (contexts of one slot two back, classes) to the features of each context."""
+    """Add values (contexts of one class two back, classes) to the features of each context."""
     every = values.sum(axis=0)
     out[_FIRST[0]] += every
     out[_FIRST[1] : _FIRST[2]] += np.add.reduceat(values, np.arange(0, NEAR, SLOTS), axis=0)
     out[_FIRST[2] : _FIRST[3]] += values
-    out[_FIRST[3] + far // FAR_SLOTS] += every
-    out[_FIRST[4] + far] += every
-    np.add.at(out, _FIRST[5] + _pairs(far), values)
+    out[_FIRST[3] + far] += every
+    np.add.at(out, _FIRST[4] + _pairs(far), values)
 
 
 def _gradients(weights):
@@ -271,6 +270,7 @@ def train(stats: DataFrame, class_counts: np.ndarray) -> np.ndarray:
     spark = stats.sparkSession
     weights = np.zeros((N_FEATURES, CLASSES))
     weights[0] = np.log(class_counts + 0.5) - np.log(class_counts.sum() + 1)
+    step = np.zeros_like(weights)
     for _ in range(UPDATES):
         shared = spark.sparkContext.broadcast(weights.astype(np.float32))
         slope, curve = -SHRINK * weights, np.full_like(weights, SHRINK)
@@ -279,8 +279,9 @@ def train(stats: DataFrame, class_counts: np.ndarray) -> np.ndarray:
             g, h = unpack(r["data"], "<f4")[0].reshape(2, N_FEATURES, CLASSES)
             slope += g
             curve += h
-        # Six features meet in each context, so a full step on each would go six times too far.
-        weights = weights + np.clip(slope / curve / 6, -1, 1)
+        # Five features meet in each context, so a full step on each would go five times too far; steps keep some momentum.
+        step = np.clip(slope / curve / 5, -1, 1) + MOMENTUM * step
+        weights = weights + step
         shared.unpersist()
     return weights
 
@@ -391,15 +392,10 @@ def _neighbour_keys(numbers):
     return keys
 
 
-def _far(slot: np.ndarray) -> np.ndarray:
-    """The coarser slots of words two back."""
-    return np.where(slot == NEAR - 1, FAR - 1, slot // SLOTS * FAR_SLOTS + slot % FAR_SLOTS)
-
-
 def _contexts(slot: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context, word slot one back) of every token."""
     one, two = (_before(slot, starts, k, NEAR - 1).astype(np.int64) for k in (1, 2))
-    return _far(two) * NEAR + one, one
+    return two // SLOTS * NEAR + one, one
 
 
 def _slots(shared) -> Places:

@@ -53,7 +53,8 @@ def test_run_against_stages_by_brute_force(spark, tmp_path):
     rows = [r for r in rows if not any(all(len(p & own[r[0]]) >= 0.8 * len(p) for p in ps) for ps in parts)]
     # Mixing: copies as the report of the same rows has them.
     source = spark.createDataFrame(rows, schema)
-    plan = mixing.with_copies(source, mixing.plan(mixing.sizes_of(source))).select("doc_id", "__times").collect()
+    sizes = mixing.sizes_of(source)
+    plan = mixing.with_copies(sizes, mixing.plan(sizes)).select("doc_id", "__times").collect()
     times = {r["doc_id"]: r["__times"] for r in plan}
     encoder = token_parquet.TextEncoder(token_parquet.default_tokenizer())
     want, start = [], 0
@@ -75,3 +76,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[1:-1]:
             out = stage(spark, rows, str(tmp_path))
             assert sorted(out.columns) == sorted(df.columns) and out.count() <= 3 * rows.count()
+
+
+def test_texts_that_share_an_id_keep_their_own_fate(spark):
+    """Only near copies are merged, and of those the smallest id stays; clean texts under one id all stay."""
+    random.seed(4)
+    words = [f"w{k}" for k in range(500)]
+    texts = [" ".join(random.choices(words, k=60)) for _ in range(5)]
+    near = texts[0].split()
+    near[30] = "changed"
+    rows = [(1, texts[0]), (1, texts[1]), (2, " ".join(near)), (0, texts[2]), (3, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[1])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (None, texts[3]), (None, texts[4])], key=str)

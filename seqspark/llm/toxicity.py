@@ -4,8 +4,8 @@ Features of a text (see FEATURES): densities of lexicon words and stems, their w
 they stand to second-person words, capitals, punctuation and obfuscation. The lexicon is learned
 from all labelled training rows: words and word stems whose share among toxic texts exceeds that
 among others by far; it is joined with a short list of English insults. An entry stands in MIN_DOCS
-toxic texts at least and in MIN_SHARE of them, which bounds the lexicon by the entries of a text
-divided by MIN_SHARE. Trees and calibration are fitted on at most about MAX_LABELLED of these rows,
+toxic texts at least and in min_share of them (MIN_SHARE: one in 10,000, whatever the size of the
+table). Before the lexicon is sent to the workers its bytes are checked against LEXICON_BYTES. Trees and calibration are fitted on at most about MAX_LABELLED of these rows,
 picked by a hash of the id.
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are never read. Of the rest,
@@ -39,6 +39,8 @@ from seqspark.llm.common import cut
 MAX_LABELLED, MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS = 20_000, 5, 1e-4, 3.0
 FOLDS, STEM_SIZES, NEAR, WORDS_KEPT, ENTRIES_KEPT, FIELDS = 5, (4, 5, 6), 5, 250_000, 300_000, 7
 ROUNDS, DEPTH = 20, 4
+#: Most bytes of the lexicon in a worker, and what an entry takes there besides its text.
+LEXICON_BYTES, ENTRY_BYTES = 256 << 20, 150
 
 #: Insults, and words for the second person in four languages.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool dumb imbecile jerk".split()
@@ -166,32 +168,38 @@ def _picked(rows: DataFrame, n: int, most: int) -> DataFrame:
 
 def _entry_counts(batches):
     """Documents of either kind that hold a lexicon entry, summed within the task as far as memory allows."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    clean, toxic = counts = (Counter(), Counter())
 
     def rows():
-        parts = [pd.DataFrame({"entry": list(c.keys()), "clean": 0, "toxic": 0}).assign(**{kind: list(c.values())}) for kind, c in zip(("clean", "toxic"), counts, strict=True)]
+        names = list(clean.keys() | toxic.keys())
+        frame = pd.DataFrame({"entry": pd.Series(names, dtype="object"), "clean": [clean[x] for x in names], "toxic": [toxic[x] for x in names]})
         for c in counts:
             c.clear()
-        return pd.concat(parts).astype({"clean": "int64", "toxic": "int64"})
+        return frame.astype({"clean": "int64", "toxic": "int64"})
 
     for pdf in batches:
-        for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+        for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
             words = set(_LETTERS.findall((text or "").lower()))
-            counts[bool(toxic)].update({k for w in words for k in entries(w)})
-            if len(counts[0]) + len(counts[1]) > ENTRIES_KEPT:
+            counts[bool(label)].update({k for w in words for k in entries(w)})
+            if len(clean) + len(toxic) > ENTRIES_KEPT:
                 yield rows()
-    yield rows()
+    if clean or toxic:
+        yield rows()
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """entry -> log odds, of all rows(text, toxic)."""
+def learn_lexicon(rows: DataFrame, min_share: float = MIN_SHARE) -> dict[str, float]:
+    """entry -> log odds, of all rows(text, toxic); raises where the entries exceed LEXICON_BYTES."""
     lexicon = {w: 2.0 for w in INSULTS}
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return lexicon
     counts = rows.mapInPandas(_entry_counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1.0)) - F.log((F.col("c") + 0.5) / (n[0] + 1.0))
-    best = counts.where(F.col("t") >= max(MIN_DOCS, MIN_SHARE * n[1])).select("entry", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
+    best = counts.where(F.col("t") >= max(MIN_DOCS, min_share * n[1])).select("entry", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS)
+    best = cut(best, "lexicon")
+    size = best.agg(F.sum(F.octet_length("entry") + ENTRY_BYTES)).first()[0] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"the lexicon takes {size} bytes in every worker, more than {LEXICON_BYTES}; raise min_share")
     return lexicon | {r["entry"]: r["odds"] for r in best.collect()}
 
 

@@ -78,3 +78,69 @@ def test_texts_that_share_an_id_are_all_learned_from(spark):
     rows = toxicity.training_rows(docs, labels).collect()
     assert sorted(r["text"] for r in rows) in (["one", "two"], [])  # id 1 may be held out
     assert len(rows) == 2
+
+
+def test_partitions_without_rows_and_flush_on_the_last_row(spark, monkeypatch):
+    rows = [(k, f"calm words {'zarkwad' if k < 6 else 'only'} {k}", "x") for k in range(1, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, 0, int(k < 6)) for k in range(1, 12)], "doc_id long, quality int, toxic int")
+    for parts in (8, 24):
+        got = toxicity.report(docs.repartition(parts, "doc_id"), labels).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(1, 12))
+    import pandas as pd
+
+    monkeypatch.setattr(toxicity, "ENTRIES_KEPT", 1)
+    frames = list(toxicity._entry_counts([pd.DataFrame({"text": ["one two", None, "two"], "toxic": [1, 0, 0]}), pd.DataFrame({"text": [], "toxic": []})]))
+    sums = pd.concat(frames).groupby("entry").sum()
+    assert sums.loc["two"].tolist() == [1, 1] and sums.loc["one"].tolist() == [0, 1] and all(len(f) for f in frames)
+    assert list(toxicity._entry_counts([])) == []
+
+
+def test_a_lexicon_too_large_to_send_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON_BYTES", 100)
+    rows = [("zarkwad calm", 1)] * 9 + [("calm", 0)] * 99
+    with pytest.raises(ValueError, match="min_share"):
+        toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+
+
+def test_score_matches_trees_and_isotonic_steps_worked_out_by_hand(spark, tables):
+    """The score of every row is recomputed in Python from the fitted trees' splits and the isotonic table."""
+    import bisect
+    import math
+    import re
+
+    docs, labels = tables
+    model = toxicity.Model(docs, labels)
+    rows = {r["doc_id"]: r for r in toxicity.with_features(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), model.lexicon).collect()}
+
+    def leaf(lines, x, depth=0):
+        """Walks the printed form of a tree: If/Else lines indented by depth, then Predict."""
+        at = 0
+        while True:
+            line = lines[at].strip()
+            if line.startswith("Predict"):
+                return float(line.split(":")[1])
+            k, sign, bound = re.match(r"If \(feature (\d+) (<=|>) ([-\d.E]+)\)", line).groups()
+            if (x[int(k)] <= float(bound)) == (sign == "<="):
+                at += 1
+                continue
+            indent = len(lines[at]) - len(lines[at].lstrip())
+            at = next(i for i in range(at + 1, len(lines)) if lines[i].strip().startswith("Else") and len(lines[i]) - len(lines[i].lstrip()) == indent) + 1
+
+    trees = [t.toDebugString.split("\n")[1:] for t in model.trees.trees]
+    edges, values = model.calibration.boundaries.toArray().tolist(), model.calibration.predictions.toArray().tolist()
+
+    def by_hand(x):
+        total = sum(w * leaf(t, x) for w, t in zip(model.trees.treeWeights, trees, strict=True))
+        raw = 1 / (1 + math.exp(-2 * total))
+        k = bisect.bisect_left(edges, raw)
+        if k < len(edges) and edges[k] == raw or k in (0, len(edges)):
+            step = values[min(k, len(edges) - 1)]
+        else:
+            step = values[k - 1] + (values[k] - values[k - 1]) * (raw - edges[k - 1]) / (edges[k] - edges[k - 1])
+        return 0.999 * step + 0.001 * raw
+
+    got = {r["doc_id"]: r["score"] for r in model.score(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
+    assert len(got) == len(rows) > 600
+    for i, r in rows.items():
+        assert got[i] == pytest.approx(by_hand(r["features"]), abs=1e-9)

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,3 +119,43 @@ def components(edges: DataFrame) -> DataFrame:
                 stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = now
+
+
+def numbered(rows: DataFrame, order: list[str], group: str | None = None, name: str = "place") -> DataFrame:
+    """rows with name, their number from 0 on in the order of the columns `order`, gapless over the whole table or
+    within each value of the integer column `group`.
+
+    Rows are dealt by ranges of (group, order) and counted within each range, so no task holds a whole group;
+    the ranges' counts, a row for each range and group, give where each begins. Rows that are equal in all of
+    order cannot be parted into ranges: let order end in a column that tells rows apart, such as row_id().
+    rows should be a written table, as it is read twice."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    keys = [*([group] if group else []), *order]
+
+    def count(batches):
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            own = np.asarray(batch.column(batch.schema.get_field_index(group))) if group else np.zeros(n, np.int64)
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            starts = np.nonzero(new)[0]
+            at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            first = n if len(starts) == 1 else starts[1]
+            if own[0] == last:
+                at[:first] += seen
+            last, seen = own[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(at.astype(np.int64))], names=[*batch.schema.names, "__part", "__at"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(count, schema), "numbered")
+    by = [*([group] if group else []), "__part"]
+    before = Window.partitionBy(*by[:-1]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by).agg(F.count("*").alias("__n"))
+    bases = counts.select(*by, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    out = placed.join(F.broadcast(bases), by)  # a row for each range, and one more for each group
+    return out.select(*rows.columns, (F.col("__base") + F.col("__at")).alias(name))

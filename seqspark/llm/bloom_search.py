@@ -4,7 +4,7 @@ The index. Documents of similar length form blocks; every document sets the bits
 its (term, level): level l stands for 2**l occurrences or more. The filters of a block's documents are cut into
 slices: slice b is a bitmap with bit b of all the block's documents. Filters are as wide as the longest of a
 block needs, a power of two with BITS bits a key at least. An index row is a block: ids, keys, lengths,
-largest occurrence counts, slices. The index holds the document frequencies of all terms as well.
+largest occurrence counts, slices. The index holds the document frequencies of all terms as well, by two 64-bit hashes of a term.
 
 The search. For an item's term and a level, the bitmaps of the term's slices are joined by AND: a set bit is a
 document that may hold the term so often, a bit not set one that does not. So the highest level of a document
@@ -37,57 +37,52 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import cut
 from seqspark.llm.token_parquet import pieces
+from seqspark.llm.words import FOLD, slices
 
 TOP = 10
 #: Bits of a filter for each key, hash functions, levels of occurrence counts.
 BITS, HASHES, LEVELS = 10, 3, 7
-#: Bits of a block's slices, about, and its documents at most; terms counted, and hashes kept, in a task before they are let go.
-BLOCK_BITS, BLOCK_ROWS, TERMS_KEPT = 1 << 23, 2048, 300_000
+#: Bits of a block's slices, about, and its documents at most; terms of documents that a task counts up before it lets them go.
+BLOCK_BITS, BLOCK_ROWS, TERMS_KEPT = 1 << 22, 2048, 1 << 20
 SHARD_BYTES, BROADCAST_ROWS, PIECE_BYTES = 16 << 20, 200_000, 1 << 20
 #: Numbers of (term, document) that are held at once while bounds are added up.
 CELLS = 1 << 21
 #: Bytes of an item's term beside its text in a worker.
 TERM_BYTES = 200
 
-#: Lower case for A-Z; white space for every other ASCII byte that is no letter or digit.
-_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
-
 BLOCK = "ids array<long>, keys array<long>, sizes array<long>, most array<long>, width int, slices binary"
-INDEX = f"{BLOCK}, term binary, df long"
-_TYPES = [pa.list_(pa.int64())] * 4 + [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-_NAMES = ["ids", "keys", "sizes", "most", "width", "slices", "term", "df"]
+INDEX = f"{BLOCK}, h long, g long, df long"
+_TYPES = [pa.list_(pa.int64())] * 4 + [pa.int32(), pa.binary()] + [pa.int64()] * 3
+_NAMES = ["ids", "keys", "sizes", "most", "width", "slices", "h", "g", "df"]
 
 
 def term_counts(text: bytes | None) -> Counter:
     counts: Counter = Counter()
-    for piece in pieces((text or b"").translate(_FOLD), PIECE_BYTES):
+    for piece in pieces((text or b"").translate(FOLD), PIECE_BYTES):
         counts.update(piece.split())
     return counts
 
 
-class Hashes(dict):
-    """term -> 64-bit hash, kept for TERMS_KEPT terms."""
-
-    def __missing__(self, term: bytes) -> int:
-        import xxhash
+def level_keys(h: np.ndarray, g: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each term and level that it reaches."""
+    keys = [h]
+    for level in range(1, LEVELS):
+        more = np.nonzero(tf >= 1 << level)[0]
+        if not len(more):
+            break
+        keys.append(level_key(h[more], g[more], level))
+    return np.concatenate(keys)
 
-        if len(self) > TERMS_KEPT:
-            self.clear()
-        self[term] = value = xxhash.xxh3_64_intdigest(term)
-        return value
 
-    def of(self, terms) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, terms), np.uint64, len(terms))
+def level_key(h: np.ndarray, g: np.ndarray, level: int) -> np.ndarray:
+    return h + np.uint64(level) * (g | np.uint64(1))
 
 
-def slice_numbers(hashes: np.ndarray, level: int, width: int) -> np.ndarray:
-    """The HASHES slices of each key: a row for each hash; width is a power of two."""
-    x = hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    return ((x[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(width - 1)).astype(np.int64)
+def slice_numbers(keys: np.ndarray, width: int):
+    """The HASHES slices of each key, an array for each hash; width is a power of two."""
+    step, mask = (keys >> np.uint64(32)) | np.uint64(1), np.uint64(width - 1)
+    for k in range(HASHES):
+        yield ((keys + np.uint64(k) * step) & mask).view(np.int64)
 
 
 class Block:
@@ -98,22 +93,19 @@ class Block:
         self.start()
 
     def start(self) -> None:
-        self.slices = np.zeros((self.width, (self.rows + 7) // 8), np.uint8)
+        self.bits = np.zeros((self.rows, self.width), bool)
         self.docs: list[tuple] = []
 
-    def add(self, doc: tuple, hashes: np.ndarray, tf: np.ndarray) -> bool:
-        k = len(self.docs)
-        for level in range(LEVELS):
-            own = hashes[tf >= 1 << level]
-            if not len(own):
-                break
-            self.slices[slice_numbers(own, level, self.width).ravel(), k >> 3] |= np.uint8(128 >> (k & 7))
+    def add(self, doc: tuple, keys: np.ndarray) -> bool:
+        own = self.bits[len(self.docs)]
+        for numbers in slice_numbers(keys, self.width):
+            own[numbers] = True
         self.docs.append(doc)
         return len(self.docs) == self.rows
 
     def row(self) -> tuple:
-        used = np.ascontiguousarray(self.slices[:, : (len(self.docs) + 7) // 8])
-        out = (*map(list, zip(*self.docs, strict=True)), self.width, used.tobytes(), None, None)
+        slices = np.packbits(self.bits[: len(self.docs)].T, axis=1)
+        out = (*map(list, zip(*self.docs, strict=True)), self.width, slices.tobytes(), None, None, None)
         self.start()
         return out
 
@@ -122,31 +114,73 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
+class Frequencies:
+    """Documents that hold each term, summed up in the task."""
+
+    def __init__(self) -> None:
+        self.h, self.g, self.held = [], [], 0
+
+    def add(self, h: np.ndarray, g: np.ndarray) -> bool:
+        self.h.append(h)
+        self.g.append(g)
+        self.held += len(h)
+        return self.held > TERMS_KEPT
+
+    def batch(self) -> pa.RecordBatch:
+        h, g = np.concatenate(self.h), np.concatenate(self.g)
+        order = np.lexsort((g, h))
+        h, g = h[order], g[order]
+        new = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))[0]
+        df = np.diff(np.append(new, len(h)))
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.nulls(len(new), t) for t in _TYPES[:6]] + [pa.array(x) for x in (h[new].view(np.int64), g[new].view(np.int64), df)], names=_NAMES)
+
+
+def _documents(ids: list, keys: list, texts: list):
+    """(id, key, h, g, tf) of every text with a term: its distinct terms by hash, and how often they occur."""
+    held: dict[int, list] = defaultdict(list)
+    at = 0
+    for words in slices(texts):
+        h, g = words.hashes()
+        edges = [*np.searchsorted(words.text, np.unique(words.text)).tolist(), len(words)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            i = int(words.text[a])
+            while at < i:  # the texts before are complete
+                if at in held:
+                    yield ids[at], keys[at], *_together(held.pop(at))
+                at += 1
+            names, first, tf = np.unique(h[a:b], return_index=True, return_counts=True)
+            held[i].append((names, g[a:b][first], tf))
+    for i in sorted(held):
+        yield ids[i], keys[i], *_together(held[i])
+
+
+def _together(parts: list[tuple]) -> tuple:
+    if len(parts) == 1:
+        return parts[0]
+    h, g, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, first, slot = np.unique(h, return_index=True, return_inverse=True)
+    return names, g[first], np.bincount(slot, tf).astype(np.int64)
+
+
 def _index(batches):
-    hashes, blocks, df = Hashes(), {}, Counter()
-    terms = lambda: _batch([(None,) * 6 + x for x in df.items()])
+    blocks: dict[int, Block] = {}
+    counts = Frequencies()
     for batch in batches:
-        for i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts = term_counts(text)
-            if not counts:
-                continue
-            df.update(counts.keys())
-            tf = np.fromiter(counts.values(), np.int64, len(counts))
-            n_keys = sum(int((tf >= 1 << level).sum()) for level in range(LEVELS))
-            width = 1 << max(6, (n_keys * BITS - 1).bit_length())
+        for i, key, h, g, tf in _documents(*(c.to_pylist() for c in batch.columns)):
+            own = level_keys(h, g, tf)
+            width = 1 << max(6, (len(own) * BITS - 1).bit_length())
             if width not in blocks:
                 blocks[width] = Block(width)
-            block = blocks[width]
-            if block.add((i, key, int(tf.sum()), int(tf.max())), hashes.of(counts), tf):
-                yield _batch([block.row()])
-            if len(df) > TERMS_KEPT:
-                yield terms()
-                df.clear()
+            if blocks[width].add((i, key, int(tf.sum()), int(tf.max())), own):
+                yield _batch([blocks[width].row()])
+            if counts.add(h, g):
+                yield counts.batch()
     for block in blocks.values():
         if block.docs:
             yield _batch([block.row()])
-    if df:
-        yield terms()
+    if counts.held:
+        yield counts.batch()
 
 
 def key() -> Column:
@@ -155,13 +189,13 @@ def key() -> Column:
 
 
 class Index:
-    """The written index of docs(doc_id, text): blocks, terms(term, df), the number of documents and of their terms."""
+    """The written index of docs(doc_id, text): blocks, terms(h, g, df) by their two hashes, the number of documents and of their terms."""
 
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         rows = cut(self.docs.select("doc_id", key().alias("key"), "text").mapInArrow(_index, INDEX), "signatures")
-        self.blocks = rows.where("term IS NULL").select(*_NAMES[:6])
-        self.terms = cut(rows.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")), "terms")
+        self.blocks = rows.where("h IS NULL").select(*_NAMES[:6])
+        self.terms = cut(rows.where("h IS NOT NULL").groupBy("h", "g").agg(F.sum("df").alias("df")), "terms")
         total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
         self.n, self.length = (x or 0 for x in self.blocks.agg(F.sum(F.size("sizes")), F.sum(total)).first())
 
@@ -234,10 +268,10 @@ class Queries:
     """Items as sparse rows over their vocabulary: terms' hashes and weights."""
 
     def __init__(self, items: dict[int, dict[bytes, int]]) -> None:
-        self.items = items
+        self.items = items  # item -> term -> weight
         self.vocabulary = sorted({t for own in items.values() for t in own})
         number = dict(zip(self.vocabulary, range(len(self.vocabulary))))
-        self.hashes = Hashes().of(self.vocabulary)
+        self.h, self.g = (np.concatenate(x) for x in zip(*(w.hashes() for w in slices([b" ".join(self.vocabulary)])), strict=True))
         self.starts = np.cumsum([0, *(len(own) for own in items.values())])
         self.term = np.array([number[t] for own in items.values() for t in own], np.int64)
         self.weight = np.array([w for own in items.values() for w in own.values()], np.int64)
@@ -246,8 +280,8 @@ class Queries:
         """(first item, array of items x documents) of upper bounds, some items at a time."""
         here, levels = np.arange(len(self.vocabulary)), []
         for level in range(LEVELS):
-            bits = block.slices[slice_numbers(self.hashes[here], level, block.width)]
-            bits = np.bitwise_and.reduce(bits, axis=1)
+            own = level_key(self.h[here], self.g[here], level)
+            bits = np.bitwise_and.reduce([block.slices[numbers] for numbers in slice_numbers(own, block.width)])
             if level:
                 bits &= levels[-1][1][np.searchsorted(levels[-1][0], here)]
             some = bits.any(axis=1)
@@ -352,8 +386,11 @@ def _reached(at: tuple[np.ndarray, int], sums: np.ndarray, block: _Read, least:
 
 def _item_terms(batches):
     for pdf in batches:
-        rows = [(i, t) for i, text in zip(pdf["item"], pdf["text"], strict=True) for t in term_counts(text)]
-        yield pd.DataFrame(rows, columns=["item", "term"]).astype({"item": "int64"})
+        for item, text in zip(pdf["item"], pdf["text"], strict=True):
+            terms = list(term_counts(text))
+            if terms:
+                h, g = (np.concatenate(x).view(np.int64) for x in zip(*(w.hashes() for w in slices([b" ".join(terms)])), strict=True))
+                yield pd.DataFrame({"item": item, "term": terms, "h": h, "g": g})
 
 
 def _ranked(scores: DataFrame, top: int) -> DataFrame:
@@ -370,7 +407,7 @@ def search(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) ->
         return empty
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     rows = cut(rows.withColumn("item", F.monotonically_increasing_id()), "items")
-    terms = rows.select("item", "text").mapInPandas(_item_terms, "item long, term binary").join(index.terms, "term")
+    terms = rows.select("item", "text").mapInPandas(_item_terms, "item long, term binary, h long, g long").join(index.terms, ["h", "g"])
     weight = F.floor(1000 * F.log(F.lit(2.0 * index.n + 2) / (2 * F.col("df") + 1)))
     terms = cut(terms.select("item", "term", weight.cast("long").alias("weight")), "weights")
     size = terms.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0

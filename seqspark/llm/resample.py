@@ -11,8 +11,9 @@ advance column by column, and the buckets are scattered back to the features and
 Features beyond LONG bytes, for which a matrix would be a few rows of very many columns, take the same CRC one
 by one.
 
-Two passes over the texts: counts of buckets (at most BUCKETS rows a task, summed map-side) and weights. What
-the workers get in between is one number a bucket, whatever the input. The order of the drawn documents comes
+Texts are read once: the buckets of each document's features, two or so bytes each, are a written table, of which
+the counts of buckets (at most BUCKETS rows a task, summed map-side) and the weights are short passes. What the
+workers get in between is one number a bucket, whatever the input. The order of the drawn documents comes
 from ranges of scores that are counted one by one, so no task holds them all.
 
 Defined results for odd rows: a null or blank text has no words, no features and weight 0; a null doc_id is
@@ -23,23 +24,21 @@ equal shares for all buckets; an empty table gives an empty table; other columns
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqspark.llm.common import cut, numbered
-from seqspark.llm.token_parquet import pieces
+from seqspark.llm.common import cut, drop, numbered
+from seqspark.llm.words import SLICE_BYTES, Words, slices
 
 ORDERS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 2, 10_000, 7, 20, 25
-#: Bytes of text whose features are told apart at once, of a CRC matrix, and of a feature that gets no matrix.
-SLICE_BYTES, MATRIX_BYTES, LONG = 1 << 20, 4 << 20, 256
-
-#: Lower case for A-Z; white space for every other ASCII byte that is no letter or digit.
-_FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
+#: Bytes of a CRC matrix, and of a feature that gets no matrix; texts that are taken at once, at most.
+MATRIX_BYTES, LONG, ROWS = 4 << 20, 256, 1 << 15
 
 
 def _crc_table() -> np.ndarray:
@@ -82,116 +81,109 @@ def crc32_slices(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> n
     return out
 
 
-class Part:
-    """Features of some words in a row: which text each belongs to, and its bucket."""
-
-    def __init__(self, words: list[bytes], text: np.ndarray, counted: np.ndarray, orders: int, buckets: int) -> None:
-        """text: of each word; counted: whether the word is new (false: it only begins longer features)."""
-        number = dict(zip(dict.fromkeys(words), range(len(words))))
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        buffer = np.frombuffer(b" ".join(words), np.uint8)
-        owners, found = [], []
-        code = ids
-        for n in range(1, orders + 1):
-            last = len(words) - n + 1
-            if last <= 0:
-                break
-            if n > 1:
-                # The code of a run is that of the run without its last word, told apart among those seen, and that word.
-                code = np.unique(code[:last], return_inverse=True)[1] * len(number) + ids[n - 1 :]
-            use = np.nonzero((text[:last] == text[n - 1 :]) & counted[n - 1 :])[0]
-            _, first, slot = np.unique(code[use], return_index=True, return_inverse=True)
-            at = use[first]
-            own = crc32_slices(buffer, starts[at], starts[at + n - 1] + sizes[at + n - 1] - starts[at]) % np.uint32(buckets)
-            owners.append(text[use])
-            found.append(own[slot].astype(np.int64))
-        self.text, self.bucket = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owners, found))
-
-
-def parts(texts: list[bytes | None], orders: int = ORDERS, buckets: int = BUCKETS) -> Iterator[tuple[Part, np.ndarray]]:
-    """The features of texts, a few texts or a part of a long one at a time, and the numbers of new words by text."""
-    words: list[bytes] = []
-    owner: list[np.ndarray] = []
-    counted: list[np.ndarray] = []
-    size = 0
-
-    def flush():
-        text, new = np.concatenate(owner), np.concatenate(counted)
-        return Part(words, text, new, orders, buckets), np.bincount(text[new], minlength=len(texts))
-
-    for i, text in enumerate(texts):
-        tail: list[bytes] = []
-        for piece in pieces((text or b"").translate(_FOLD), SLICE_BYTES):
-            own = piece.split()
-            if not own:
-                continue
-            words += tail + own
-            owner.append(np.full(len(tail) + len(own), i, np.int64))
-            counted.append(np.arange(len(tail) + len(own)) >= len(tail))
-            tail = (tail + own)[-(orders - 1) :] if orders > 1 else []
-            size += len(piece)
-            if size >= SLICE_BYTES:
-                yield flush()
-                words, owner, counted, size = [], [], [], 0
-    if words:
-        yield flush()
-
-
-def _texts(df: DataFrame) -> DataFrame:
-    return df.select(F.col("text").cast("binary").alias("text"))
-
-
-def bucket_counts(df: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): features of all texts of df by bucket; at most `buckets` rows a task are shuffled."""
+def features(words: Words, orders: int = ORDERS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of every feature of some words."""
+    ids, n_ids = words.numbers()
+    texts, found = [], []
+    code = ids
+    for n in range(1, orders + 1):
+        last = len(words) - n + 1
+        if last <= 0:
+            break
+        if n > 1:
+            # The code of a run is that of the run without its last word, told apart among those seen, and that word.
+            code = (code[:last] if n == 2 else np.unique(code[:last], return_inverse=True)[1]) * n_ids + ids[n - 1 :]
+        use = np.nonzero((words.text[:last] == words.text[n - 1 :]) & words.new[n - 1 :])[0]
+        _, first, slot = np.unique(code[use], return_index=True, return_inverse=True)
+        at = use[first]
+        end = words.starts[at + n - 1] + words.sizes[at + n - 1]
+        own = crc32_slices(words.buffer, words.starts[at], end - words.starts[at]) % np.uint32(buckets)
+        texts.append(words.text[use])
+        found.append(own[slot].astype(np.int64))
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (texts, found))
+
+
+FEATURES = "doc_id long, tie long, n_words long, buckets array<int>"
+WEIGHTS = "doc_id long, tie long, n_words long, n_features long, weight long"
+_names = lambda schema: [x.split()[0] for x in schema.split(", ")]
+
+
+def with_features(docs: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
+    """docs(doc_id, text) as FEATURES: the bucket of each feature, in no order; tie is a hash of the text."""
+
+    def hash_(batches):
+        for batch in batches:
+            for a, b in _rows(batch):
+                n_words = np.zeros(b - a, np.int64)
+                parts = []
+                for words in slices(batch.column(2).slice(a, b - a).to_pylist(), orders - 1):
+                    n_words += np.bincount(words.text[words.new], minlength=b - a)
+                    parts.append(features(words, orders, buckets))
+                text, bucket = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
+                order = np.argsort(text.astype(np.uint16), kind="stable")  # at most ROWS texts
+                edges = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=b - a))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n_words), lists], names=_names(FEATURES))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(hash_, FEATURES)
+
+
+def _rows(batch: pa.RecordBatch):
+    """Ranges of rows with about 4 SLICE_BYTES of text, ROWS at most."""
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(2)).to_pylist()):
+        size += n or 0
+        if size >= 4 * SLICE_BYTES or i + 1 - at == ROWS:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(batch):
+        yield at, len(batch)
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, values) of a list column without nulls."""
+    edges = np.asarray(column.offsets)
+    return edges - edges[0], np.asarray(column.values)[edges[0] : edges[-1]]
+
+
+def bucket_counts(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): features of all rows(buckets) by bucket; at most `buckets` rows a task are shuffled."""
 
     def count(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for part, _ in parts(batch.column(0).to_pylist(), orders, buckets):
-                total += np.bincount(part.bucket, minlength=buckets)
+            total += np.bincount(_lists(batch.column(0))[1], minlength=buckets)
         seen = np.nonzero(total)[0]
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
 
-    return _texts(df).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-
+    return rows.select("buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
-def gains(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: int = BUCKETS) -> np.ndarray:
-    """floor(1000 ln) of each bucket's share in the target over that in docs, one added to every bucket."""
-    import math
 
+def gains(own_rows: DataFrame, target_rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """floor(1000 ln) of each bucket's share in the target over that in the documents, one added to every bucket."""
     own, wanted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for counts, df in ((own, docs), (wanted, target)):
-        for r in bucket_counts(df, orders, buckets).collect():  # `buckets` rows at most
+    for counts, rows in ((own, own_rows), (wanted, target_rows)):
+        for r in bucket_counts(rows, buckets).collect():  # `buckets` rows at most
             counts[r["bucket"]] = r["n"]
     s_all, t_all = float(own.sum() + buckets), float(wanted.sum() + buckets)
     return np.array([math.floor(1000 * math.log((t + 1.0) * s_all / ((s + 1.0) * t_all))) for s, t in zip(own.tolist(), wanted.tolist(), strict=True)], dtype=np.int64)
 
 
-WEIGHTS = "doc_id long, tie long, n_words long, n_features long, weight long"
-
-
-def weights(docs: DataFrame, gain: np.ndarray, orders: int = ORDERS) -> DataFrame:
-    """docs(doc_id, text) as WEIGHTS, a row for each row; tie is a hash of the text."""
+def weights(rows: DataFrame, gain: np.ndarray) -> DataFrame:
+    """FEATURES as WEIGHTS: the floored mean of the gains of a row's features."""
 
     def weigh(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            words, n, total = (np.zeros(len(texts), np.int64) for _ in range(3))
-            for part, new in parts(texts, orders, len(gain)):
-                words += new
-                n += np.bincount(part.text, minlength=len(texts))
-                order = np.argsort(part.text, kind="stable")
-                text = part.text[order]
-                begin = np.concatenate([[0], np.nonzero(np.diff(text))[0] + 1])
-                if len(text):
-                    total[text[begin]] += np.add.reduceat(gain[part.bucket[order]], begin)
-            weight = total // np.maximum(n, 1)  # floors go down
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), pa.array(n), pa.array(weight)], names=[x.split()[0] for x in WEIGHTS.split(", ")])
+            edges, bucket = _lists(batch.column(3))
+            n = np.diff(edges).astype(np.int64)
+            some = np.nonzero(n)[0]
+            total = np.zeros(len(n), np.int64)
+            if len(some):
+                total[some] = np.add.reduceat(gain[bucket], edges[:-1][some])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array(total // np.maximum(n, 1))], names=_names(WEIGHTS))  # floors go down
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(weigh, WEIGHTS)
 
 
@@ -205,9 +197,11 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score, rank): rank from 1 on for the drawn percent of the documents of
     least_words words or more, null for the others."""
-    rows = weights(docs, gains(docs, target))
+    hashed = cut(with_features(docs), "features")
+    rows = weights(hashed, gains(hashed, with_features(target.withColumn("doc_id", F.lit(0)))))
     rows = rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows, "weights")
+    drop(hashed)
     able = F.col("n_words") >= least_words
     drawn = rows.where(able).count() * percent // 100
     keys = {"__unable": ~able, "__fall": -F.col("score"), "__none": F.col("doc_id").isNull()}

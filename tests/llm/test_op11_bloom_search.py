@@ -61,9 +61,14 @@ def test_bounds_are_never_below_scores_and_exclude_most():
     docs, items = tables()
     batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(i, k, (t or "").encode()) for k, (i, t) in enumerate(docs)]), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "text"])
     rows = [r for b in bs._index([batch]) for r in b.to_pylist()]
-    blocks = [r for r in rows if r["term"] is None]
+    blocks = [r for r in rows if r["h"] is None]
     n, length = sum(len(r["keys"]) for r in blocks), sum(sum(r["sizes"]) for r in blocks)
-    df = {r["term"]: r["df"] for r in rows if r["term"] is not None}
+    by_hash = Counter()
+    for r in rows:
+        if r["h"] is not None:
+            by_hash[r["h"], r["g"]] += r["df"]
+    df = Counter(t for _, text in docs for t in bs.term_counts((text or "").encode()))
+    assert sorted(by_hash.values()) == sorted(df.values())
     queries = bs.Queries({k: {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in sorted(bs.term_counts((text or "").encode())) if t in df} for k, (_, text) in enumerate(items)})
     seen, close = 0, 0
     for r in blocks:
@@ -85,7 +90,7 @@ def test_small_blocks_and_chunks(spark, monkeypatch):
 
     monkeypatch.setattr(bs, "BLOCK_ROWS", 11)
     batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[(i, k, (t or "").encode()) for k, (i, t) in enumerate(docs[:100])]), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "text"])
-    blocks = [r for b in bs._index([batch]) for r in b.to_pylist() if r["term"] is None]
+    blocks = [r for b in bs._index([batch]) for r in b.to_pylist() if r["h"] is None]
     assert max(len(r["keys"]) for r in blocks) == 11
     queries = bs.Queries({k: dict.fromkeys(bs.term_counts((t or "").encode()), 100 + k) for k, (_, t) in enumerate(items[:10])})
     for r in blocks:

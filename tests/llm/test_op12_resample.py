@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seqspark.llm import resample
+from seqspark.llm.words import Words, slices
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -79,21 +80,28 @@ def test_crc_matrices(words):
 
 
 @pytest.mark.parametrize("orders", [1, 2, 3])
-def test_long_texts_in_parts(monkeypatch, orders):
-    monkeypatch.setattr(resample, "SLICE_BYTES", 40)
-    texts = [b"a bb ccc dddd " * 30, b"", None, b"one two three", b"x"]
+@pytest.mark.parametrize("size", [10, 40, 1 << 20])
+def test_long_texts_in_parts(orders, size):
+    texts = [b"a bb ccc dddd " * 30, b"", None, b"one two three", b"x", b" ,", "Ünï-Code A1".encode() * 9]
     seen = [[] for _ in texts]
     n = np.zeros(len(texts), int)
-    for part, new in resample.parts(texts, orders, 997):
-        n += new
-        for t, b in zip(part.text.tolist(), part.bucket.tolist()):
+    for words in slices(texts, orders - 1, size):
+        n += np.bincount(words.text[words.new], minlength=len(texts))
+        for t, b in zip(*(x.tolist() for x in resample.features(words, orders, 997))):
             seen[t].append(b)
     for t, text in enumerate(texts):
-        words = (text or b"").split()
+        words = WORD.findall((text or b"").lower())
         want = [zlib.crc32(b" ".join(words[i : i + k])) % 997 for k in range(1, orders + 1) for i in range(len(words) - k + 1)]
         assert sorted(seen[t]) == sorted(want) and n[t] == len(words)
 
 
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(Words, "hashes", lambda self: (np.zeros(len(self), np.uint64),) * 2)
+    (words,) = slices([b"ab cd ab abcdefghij abcdefghik abcdefghij " + b"q" * 99])
+    numbers, n = words.numbers()
+    assert n == 5 and numbers[0] == numbers[2] and numbers[3] == numbers[5] and len(set(numbers.tolist())) == 4
+
+
 def test_same_draw_whatever_the_partitions(spark):
     docs = spark.createDataFrame(rows_of(), "doc_id long, text string")
     bench = spark.createDataFrame([("alpha",)], "text string")

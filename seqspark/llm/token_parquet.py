@@ -6,7 +6,7 @@ columns beside them delta-encoded (Parquet format 2), row groups and pages have
 carry column and offset indexes, so that a reader takes single columns, row groups or pages.
 
 Defined results for odd rows: a null or empty text is one end id; a null doc_id comes first;
-repeated doc_ids are ordered by text; other columns are ignored; an empty table gives no rows.
+repeated doc_ids are ordered by a hash of the text; other columns are ignored; an empty table gives no rows.
 Texts of any length are encoded whole: they are taken in pieces cut at ASCII white space, where
 this tokenizer never joins characters.
 """
@@ -32,10 +32,8 @@ END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2000
 #: Bytes of text that are split at once; distinct pieces remembered by one Python worker.
 PIECE_BYTES, WORDS_KEPT = 1 << 19, 500_000
-#: Bits for the number of token ids of one piece of text.
-SIZE_BITS = 22
-#: Bytes of text that part rows of one doc_id into ranges.
-HEAD_BYTES = 32
+#: Bits for the number of token ids of one piece of text; a text has fewer than 2**31 bytes, and so has each piece.
+SIZE_BITS = 31
 TOKENIZER = "word_bpe_49k.json"
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
@@ -196,9 +194,10 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
                 start, at = start + int(offsets[-1]), till
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    # Ranges by id and the start of the text: many equal or null ids are split, and order is that of (id, text).
-    rows = rows.withColumn("head", F.substring("text", 1, HEAD_BYTES))
-    return rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
+    # Ranges by id, hash of the text and row: many equal or null ids are split, even with equal texts.
+    rows = rows.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "tie", "row"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, FILE_SCHEMA)
 
 
 def write_tokens(encoded: DataFrame, path: str) -> None:

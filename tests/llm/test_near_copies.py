@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from seqspark.llm import near_copies, simhash
 
@@ -16,7 +18,17 @@ def test_two_texts_under_one_id_are_two_documents(spark):
     assert sorted(got, key=str) == sorted([(7, one), (3, two), (9, three), (None, one + " " + three), (5, four), (5, four + " " + one)], key=str)
 
 
-def test_groups_are_those_of_brute_force_jaccard(spark):
+def test_rows_that_differ_in_other_columns_only(spark):
+    rows = [(1, "some words here", s, None) for s in ("b", "a", None, "c")] + [(2, "other text", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    for parts in (1, 4):
+        got = corpus_pipeline.near_copies(spark, docs.repartition(parts), "").collect()
+        assert sorted(map(tuple, got)) == [(1, "some words here", None, None), (2, "other text", "z", 1)]
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_groups_are_those_of_brute_force_jaccard(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "TILE", tile)
     random.seed(6)
     lexicon = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ab", "en", "il", "oro", "us")]
     texts = [random.choices(lexicon, k=random.randint(80, 200)) for _ in range(25)]
@@ -41,3 +53,16 @@ def test_groups_are_those_of_brute_force_jaccard(spark):
     kept = corpus_pipeline.near_copies(spark, docs.withColumnRenamed("key", "doc_id"), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(label.values()))
     assert near_copies.near_copies(docs.where("false")).collect() == []
+
+
+def test_a_bucket_of_alike_texts_that_are_no_near_copies(spark, monkeypatch):
+    """Texts with a passage in common: many pairs in one bucket, compared in tiles; only true near copies link."""
+    random.seed(9)
+    lexicon = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ab", "en", "il", "oro", "us")]
+    passage = random.choices(lexicon, k=120)
+    texts = [passage + random.choices(lexicon, k=60) for _ in range(120)]
+    texts += [t[:-1] + ["zz"] for t in texts[:5]]
+    monkeypatch.setattr(near_copies, "TILE", 32)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "key long, text string").repartition(4)
+    got = dict(map(tuple, near_copies.near_copies(docs).collect()))
+    assert got == {i: i - 120 if i >= 120 else i for i in range(125)}

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import xxhash
 
 from seqspark.llm import token_parquet as tp
 
@@ -28,7 +29,8 @@ def test_files_and_checksums(spark, tmp_path):
     rows = [(None if i == 4 else 100 - 7 * i, t, i) for i, t in enumerate(TEXTS)] + [(2, "tie b", 0), (2, "tie a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int")
     got = [tuple(r) for r in tp.round_trip(docs, str(tmp_path / "t")).orderBy("start").collect()]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    tie = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))  # noqa: E731  Spark's hash
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
     start, want = 0, []
     for (doc_id, _, _), ids in zip(order, brute([t for _, t, _ in order]), strict=True):
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -40,6 +42,22 @@ def test_files_and_checksums(spark, tmp_path):
     assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and columns["doc_id"].has_column_index
 
 
+def test_one_unbroken_text_of_many_tokens():
+    text = "".join(chr(0x4E00 + k * 7 % 20_000) for k in range(1_700_000))
+    (ids,) = brute([text])
+    assert len(ids) > 1 << 22
+    assert np.array_equal(tp.TextEncoder(tp.default_tokenizer()).encode(text.encode()), ids[:-1])
+
+
+def test_rows_that_are_equal_fall_into_several_files(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("CAST(NULL AS long) doc_id", "'one text for all rows' text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tp.write_tokens(tp.encode_documents(docs), str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() > 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
 from seqspark.operators import kmers, sites, structure
+from seqspark.sources.fasta import contig_store
 
 #: Priors of each coding phase and of noncoding.
 CODING_PRIOR, NONCODING_PRIOR = 1 / 6, 1 / 2
@@ -117,24 +118,66 @@ def dynamic_loglik(seqs: DataFrame, cloud: DataFrame, phase: int = 0, key: str =
     return rows.withColumn("p", p).groupBy(key).agg(F.sum(F.when(F.col("n") > 0, F.col("n") * S.log_or_inf(F.col("p"))).otherwise(0.0)).alias("loglik"))
 
 
+#: Bases of a block of the stop index.
+BLOCK = 4_096
+
+
+def stop_index(contigs: DataFrame) -> DataFrame:
+    """(contig_id, strand, frame, block, n, stops, before, after): the stop codons of each reading frame by blocks of BLOCK bases.
+
+    stops are the sorted one-based first places, on the plus strand, of the frame's stop codons that begin in the block
+    (on the minus strand those of their reverse complements), frame their remainder by three; before and after are
+    the nearest ones in other blocks, n is the length of the contig. Every block has a row."""
+    rows = contig_store(contigs.select("contig_id", "seq"), BLOCK, S.CODON - 1).select("contig_id", F.col("chunk_no").alias("block"), "n", F.length("seq").alias("m"), F.col("seq").cast("binary").alias("b"))
+    codons = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("m") - 2)), lambda i: F.substring("b", i, F.lit(S.CODON)).cast("string"))
+    rows = rows.select("contig_id", "block", "n", codons.alias("codons"))
+    origin = F.col("block").cast("long") * BLOCK + 1
+    hits = lambda words: F.filter(F.transform("codons", lambda c, i: F.when(c.isin(*words), origin + i)), lambda p: p.isNotNull())
+    rows = rows.select("contig_id", "block", "n", *(hits(words).alias(name) for name, words in STOPS.items()))
+    in_frame = lambda name, k: F.filter(F.col(f"`{name}`"), lambda p: p % 3 == k)
+    groups = [F.struct(F.lit(name).alias("strand"), F.lit(k).alias("frame"), in_frame(name, k).alias("stops")) for name in STOPS for k in range(3)]
+    rows = rows.select("contig_id", "block", "n", F.explode(F.array(*groups)).alias("x")).select("contig_id", "block", "n", "x.*")
+    own = Window.partitionBy("contig_id", "strand", "frame").orderBy("block")
+    before = F.max(F.array_max("stops")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.array_min("stops")).over(own.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("before", before).withColumn("after", after)
+
+
+#: Stop codons, and their reverse complements as they stand on the plus strand.
+STOPS = {"+": ("TAA", "TAG", "TGA"), "-": ("TTA", "CTA", "TCA")}
+
+
 def maximal_orf(genes: DataFrame, contigs: DataFrame, up: int = S.UPSTREAM, down: int = S.DOWNSTREAM) -> DataFrame:
     """genes(gene, contig_id, strand, start, stop) with the ends moved to the widest frame: start to just
     after the nearest stop codon upstream, stop to the first one from the last codon on; both scans run on
-    the contig. Without a stop an end stays. Genes whose flanks leave the contig are dropped."""
-    rows = genes.join(contigs.select("contig_id", F.col("seq").alias("g")), "contig_id").withColumn("n", F.length("g"))
+    the contig. Without a stop an end stays. Genes whose flanks leave the contig are dropped.
+
+    Both ends look their block of the stop index up, so no gene meets a contig's bases, and the work is that of one
+    scan for stops whatever the number of genes."""
+    index = stop_index(contigs)
     minus = F.col("strand") == "-"
-    turned = lambda c: F.when(minus, F.col("n") - c + 1).otherwise(c)
-    rows = rows.withColumn("a", turned(F.col("start")).cast("int")).withColumn("b", turned(F.col("stop")).cast("int"))
-    rows = rows.where("a >= 1 AND b <= n AND b - a >= 2").withColumn("g", F.when(minus, S.revcomp(F.col("g"))).otherwise(F.col("g")))
-    shift = ((F.col("a") - 1) % 3).cast("int")
-    before = S.codons(F.substring("g", shift + 1, F.col("a") - 1 - shift))
-    after = S.codons(F.substring("g", F.col("b") - 2, F.col("n")))
-    stops = lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(S.is_stop(c), i + 1)), lambda i: i.isNotNull())
-    rows = rows.select(*genes.columns, "n", "a", "b", shift.alias("shift"), F.array_max(stops(before)).alias("k"), F.array_min(stops(after)).alias("j"))
-    rows = rows.withColumn("x", F.coalesce(F.col("shift") + 3 * F.col("k") + 1, F.col("a"))).withColumn("y", F.coalesce(F.col("b") - 3 + 3 * F.col("j"), F.col("b")))
-    rows = rows.where((F.col("x") - up >= 1) & (F.col("y") + down <= F.col("n")))
+    a, b = F.col("start").cast("long"), F.col("stop").cast("long")
+    rows = genes.where(F.when(minus, a - b).otherwise(b - a) >= 2)
+
+    def nearest(rows: DataFrame, place: Column, own: int, frame: Column, rising: Column, name: str) -> DataFrame:
+        """rows with n and name: the frame's first stop from place on (rising) or last one up to it; own 1: place itself is none."""
+        keyed = rows.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).withColumn("frame", F.pmod(frame, F.lit(3)).cast("int"))
+        joined = keyed.join(index.withColumnRenamed("n", "__n"), ["contig_id", "strand", "frame", "block"])
+        on = F.coalesce(F.array_min(F.filter("stops", lambda p: p >= place + own)), F.col("after"))
+        back = F.coalesce(F.array_max(F.filter("stops", lambda p: p <= place - own)), F.col("before"))
+        return joined.select(*rows.columns, F.col("__n").alias(f"n_{name}"), F.when(rising, on).otherwise(back).alias(name))
+
+    # A stop before the first codon: on the plus strand it begins at start - 3 or before, in start's frame; on the minus strand
+    # it ends above start. From the last codon on: it begins at stop - 2 or after; on the minus strand at stop or before.
+    rows = nearest(rows, a, 1, F.when(minus, a + 1).otherwise(a), minus, "k")
+    rows = nearest(rows, F.when(minus, b).otherwise(b - 2), 0, F.when(minus, b).otherwise(b - 2), ~minus, "j")
+    n = F.col("n_k")
+    x = F.coalesce(F.when(minus, F.col("k") - 1).otherwise(F.col("k") + 3), a)
+    y = F.coalesce(F.when(minus, F.col("j")).otherwise(F.col("j") + 2), b)
+    rows = rows.where((F.least("start", "stop") >= 1) & (F.greatest("start", "stop") <= n)).withColumn("x", x).withColumn("y", y)
+    rows = rows.where(F.when(minus, (F.col("x") + up <= n) & (F.col("y") - down >= 1)).otherwise((F.col("x") - up >= 1) & (F.col("y") + down <= n)))
     rest = [c for c in genes.columns if c not in ("start", "stop")]
-    return rows.select(*rest, turned(F.col("x")).cast("long").alias("start"), turned(F.col("y")).cast("long").alias("stop"))
+    return rows.select(*rest, F.col("x").cast("long").alias("start"), F.col("y").cast("long").alias("stop"))
 
 
 def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, predict=sites.predict_llkr, whole_codons: bool = True) -> DataFrame:

@@ -12,6 +12,8 @@ from seqspark.functions import seq as S
 #: Order of the models, pseudocount, reliable histogram count, least confidence, null bounds.
 ORDER, PSEUDO, RELIABLE, CONFIDENCE, NULL_BOUND, NULL_FIX = 5, 5, 400, 0.5, 1e-5, 5e-5
 NONCODING = 3
+#: Fixed value: bases of a GC window.
+GC_WIDTH = 100
 #: Ratio of a bucket's counts, held-out counts that it needs, share of equal probabilities at the start.
 BUCKET_RATIO, HELD_OUT, EVEN_SHARE = 1.2, 50, 1e-5
 
@@ -21,12 +23,36 @@ def hexamers(seqs: DataFrame, model: Column, *keep: str) -> DataFrame:
     return _windows(seqs, *keep).select(*keep, model.cast("int").alias("model"), "i", "hexamer")
 
 
+def _cut(rows: DataFrame, keep: list[str], size: int, overlap: int, lead: int) -> DataFrame:
+    """rows(keep, at, first, n, seq) in parts of `size` starts: at is the zero-based place of the part's first start,
+    first the place in it of that start, seq the part with up to lead letters before and overlap after."""
+    n = F.length("seq")
+    starts = n - F.col("first") - overlap  # in this row
+    count = F.greatest(F.lit(1), F.ceil(starts / size)).cast("int")
+
+    def part(k: Column) -> Column:
+        begin = F.col("first") + k * size
+        before = F.least(begin, F.lit(lead))
+        return F.struct((F.col("at") + k * size).alias("at"), before.cast("int").alias("first"), F.substring("seq", (begin - before + 1).cast("int"), F.lit(size + overlap) + before.cast("int")).alias("seq"))
+
+    return rows.select(*keep, "n", F.explode(F.transform(F.sequence(F.lit(0), count - 1), part)).alias("x")).select(*keep, "n", "x.*")
+
+
+def chunks(seqs: DataFrame, *keep: str, size: int = 1 << 11, overlap: int = ORDER, lead: int = 0) -> DataFrame:
+    """(keep, n, at, first, seq): sequences of more than overlap letters in parts of `size` starts of windows, n the whole
+    length; see _cut(). Two steps of cutting keep the work linear in the sequence: each slice is counted
+    off from the beginning of what it is cut from."""
+    rows = seqs.where(F.length("seq") > overlap).select(*keep, F.length("seq").alias("n"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("first"), "seq")
+    return _cut(_cut(rows, [*keep], 1 << 18, overlap, lead), [*keep], size, overlap, lead)
+
+
 def _windows(seqs: DataFrame, *keep: str) -> DataFrame:
-    """(keep, i, hexamer); the words are cut inside the array, so rows do not carry the sequence, and from
-    bytes, where a slice costs its own length instead of being counted off from the start."""
-    rows = seqs.where(F.length("seq") > ORDER).select(*keep, F.length("seq").alias("n"), F.col("seq").cast("binary").alias("b"))
-    words = F.transform(F.sequence(F.lit(1), F.col("n") - ORDER), lambda i: F.substring("b", i, F.lit(ORDER + 1)).cast("string"))
-    return rows.select(*keep, F.posexplode(words).alias("i", "hexamer"))
+    """(keep, i, hexamer); the words are cut inside the array, from short parts of the sequence, so rows do not carry it."""
+    rows = chunks(seqs, *keep)
+    rows = rows.select(*keep, "at", F.length("seq").alias("m"), F.col("seq").cast("binary").alias("b"))  # a slice of bytes is not counted off
+    words = F.transform(F.sequence(F.lit(1), F.col("m") - ORDER), lambda i: F.substring("b", i, F.lit(ORDER + 1)).cast("string"))
+    rows = rows.select(*keep, "at", F.posexplode(words).alias("j", "hexamer"))
+    return rows.select(*keep, (F.col("at") + F.col("j")).cast("int").alias("i"), "hexamer")
 
 
 def count_kmers(seqs: DataFrame, model: Column) -> DataFrame:
@@ -281,17 +307,100 @@ def best_tallies(classified: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def gc_windows(seqs: DataFrame, width: int = 100) -> DataFrame:
-    """(gc, n): integer GC percent of every window of `width` bases; shorter sequences count once, whole."""
+def _gc(s: Column) -> Column:
+    return F.length(s) - F.length(F.translate(s, "GC", ""))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _gc_counts(seq: Column, width: int, body) -> Column:
+    """body(counts), counts the array of G and C in each window of width letters: sums of tens of letters, then of tens."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    ones = F.transform(F.split(seq, ""), lambda c: c.isin("G", "C").cast("int"))
+    tens = lambda o: F.transform(F.sequence(F.lit(1), F.size(o) - 9), lambda i: total(F.slice(o, i, F.lit(10))))
+    places = F.array(*(F.lit(k) for k in range(0, width - 9, 10)))
+
+    def windows(o: Column, t: Column) -> Column:
+        count = lambda i: F.aggregate(places, F.lit(0), lambda s, k: s + F.get(t, i + k))
+        rest = (lambda i: total(F.slice(o, i + width - width % 10 + 1, F.lit(width % 10)))) if width % 10 else None
+        return F.transform(F.sequence(F.lit(0), F.size(o) - width), lambda i: count(i) + rest(i) if rest else count(i))
+
+    return _let(ones, lambda o: _let(tens(o), lambda t: _let(windows(o, t), body)))
+
+
+def gc_windows(seqs: DataFrame, width: int = GC_WIDTH) -> DataFrame:
+    """(gc, n): integer GC percent of every window of `width` bases (10 at least); shorter sequences count once, whole."""
     n = F.length("seq")
-    count = lambda s: F.length(s) - F.length(F.replace(F.replace(s, F.lit("G"), F.lit("")), F.lit("C"), F.lit("")))
-    long = seqs.where(n >= width).select(n.alias("n"), F.col("seq").cast("binary").alias("b"))
-    windows = F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda p: F.substring("b", p, F.lit(width)).cast("string"))
-    long = long.select(F.explode(windows).alias("w")).select(count(F.col("w")).alias("gc"))
-    short = seqs.where((n < width) & (n > 0)).select(F.floor(100 * count(F.col("seq")) / n).cast("int").alias("gc"))
+    long = chunks(seqs, overlap=width - 1).select(F.explode(_gc_counts(F.col("seq"), width, lambda c: c)).alias("gc"))
+    short = seqs.where((n < width) & (n > 0)).select(F.floor(100 * _gc(F.col("seq")) / n).cast("int").alias("gc"))
     return long.select(F.floor(100 * F.col("gc") / width).cast("int").alias("gc")).union(short).groupBy("gc").agg(F.count("*").alias("n"))
 
 
+def _bins(bounds: DataFrame) -> DataFrame:
+    """(gc, q) for every integer percent: the first of bounds(q, bound) that it does not exceed, else the last; 101 rows."""
+    table = bounds.agg(F.array_sort(F.collect_list(F.struct("q", "bound"))).alias("b"))
+    fits = lambda g: F.filter("b", lambda x: x["bound"] >= g)
+    q = lambda g: F.when(F.size(fits(g)) > 0, fits(g)[0]["q"]).otherwise(F.element_at("b", -1)["q"])
+    return table.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda g: F.struct(g.alias("gc"), q(g).alias("q")))).alias("x")).select("x.*")
+
+
+def gc_hexamers(seqs: DataFrame, bounds: DataFrame, *keep: str, edges: bool = False, width: int = GC_WIDTH) -> DataFrame:
+    """(keep, i, hexamer, q): every hexamer with the GC bin of the window of `width` bases in whose middle it stands.
+
+    Hexamers nearer to an end than half a window are left out; with edges they take the bin of the first or last
+    window. Sequences shorter than a window take the bin of the whole sequence for all hexamers. The work is
+    linear: a part of a sequence has the letters around it that its windows need."""
+    side = (width - ORDER - 1) // 2
+    rest = width - side - ORDER - 1
+    n = F.col("n")
+    last = lambda x: F.least(F.greatest(x, F.lit(0)), (n - width).cast("long"))  # noqa: E731  start of a window
+    lead = width - ORDER - 1
+    rows = chunks(seqs.where(F.length("seq") >= width), *keep, overlap=width - 1, lead=lead)
+    # The last part of a sequence has its last starts in the overlap, the others only their own.
+    ends = F.col("at") - F.col("first") + F.length("seq") == n
+    own = F.when(ends, F.length("seq") - F.col("first") - ORDER).otherwise(F.length("seq") - F.col("first") - width + 1)
+    words = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.substring("b", (F.col("first") + j + 1).cast("int"), F.lit(ORDER + 1)).cast("string"))
+    start = lambda j: (last(F.col("at") + j - side) - F.col("at") + F.col("first")).cast("int")  # noqa: E731  of the window, in the part
+    percents = _gc_counts(F.col("seq"), width, lambda c: F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda j: F.floor(100 * F.get(c, start(j)) / width).cast("int")))
+    rows = rows.select(*keep, "n", "at", "first", own.alias("own"), "seq", F.col("seq").cast("binary").alias("b"))
+    rows = rows.select(*keep, "n", "at", F.posexplode(F.arrays_zip(words.alias("hexamer"), percents.alias("gc"))).alias("j", "x"))
+    rows = rows.select(*keep, "n", (F.col("at") + F.col("j")).cast("int").alias("i"), "x.hexamer", "x.gc")
+    if not edges:
+        rows = rows.where((F.col("i") >= side) & (F.col("i") + ORDER + 1 + rest <= n))
+    whole = seqs.where((F.length("seq") < width) & (F.length("seq") > ORDER)).withColumn("gc", F.floor(100 * _gc(F.col("seq")) / F.length("seq")).cast("int"))
+    short = _windows(whole, *keep, "gc").select(*keep, "i", "hexamer", "gc")
+    return rows.select(*keep, "i", "hexamer", "gc").union(short).join(F.broadcast(_bins(bounds)), "gc").select(*keep, "i", "hexamer", "q")
+
+
+def count_gc_kmers(seqs: DataFrame, bounds: DataFrame, model: Column) -> DataFrame:
+    """(q, model, k, hist, base, n): count_kmers() by the GC bin of each position's window; model may use i."""
+    six = gc_hexamers(seqs, bounds).select("q", model.cast("int").alias("model"), "hexamer").groupBy("q", "model", "hexamer").agg(F.count("*").alias("n"))
+    rows = six.select("q", "model", "hexamer", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
+    rows = rows.groupBy("q", "model", "k", F.substring("hexamer", F.lit(1), F.col("k")).alias("w")).agg(F.sum("n").alias("n"))
+    return rows.select("q", "model", "k", F.substring("w", F.lit(1), F.col("k") - 1).alias("hist"), F.substring("w", F.col("k"), F.lit(1)).alias("base"), "n")
+
+
+def train_by_bin(train, *counts: DataFrame) -> DataFrame:
+    """The tables that train(*counts) makes, for every GC bin of counts(q, model, k, hist, base, n) in one pass: bin and
+    model travel as one number. train is any trainer whose result has a model column."""
+    both = [c.withColumn("model", (F.col("q") * 100 + F.col("model")).cast("int")).drop("q") for c in counts]
+    out = train(*both)
+    rest = [c for c in out.columns if c != "model"]
+    return out.select(F.floor(F.col("model") / 100).cast("int").alias("q"), (F.col("model") % 100).cast("int").alias("model"), *rest)
+
+
+def gc_window_loglik(seqs: DataFrame, bounds: DataFrame, chains: DataFrame, model: Column, key: str = "seq_id") -> DataFrame:
+    """(key, loglik): each hexamer under the order-5 chain of chains(q, model, hist, base, p) for the GC bin of its own
+    window; model may use i. Positions whose bin has no chain add nothing. Chains have 4,096 rows a bin and
+    model, which bounds what is broadcast."""
+    table = chains.select("q", "model", F.concat("hist", "base").alias("hexamer"), S.log_or_inf(F.col("p")).alias("ln"))
+    rows = gc_hexamers(seqs, bounds, key, edges=True).withColumn("model", model.cast("int"))
+    return rows.join(F.broadcast(table), ["q", "model", "hexamer"]).groupBy(key).agg(F.sum("ln").alias("loglik"))
+
+
 def partition_stats(models: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, population deviation and range of p over training splits, and the clipped band around the mean."""
     out = models.groupBy(*keys).agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("sd"), F.min("p").alias("lo_rng"), F.max("p").alias("hi_rng"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
+from seqspark.sources.fasta import contig_store
 
 MIN_INTRON, MAX_INTRON, SHRINK = 41, 350_000, 15
 GRAMMAR = "^exonpart,start,(intronpart,dss,ass,exonpart,)*stop$"
@@ -52,12 +53,48 @@ def exon_phase(exons: DataFrame) -> DataFrame:
     return exons.withColumn("phase", F.pmod(done, F.lit(3)).cast("int")).withColumn("after", F.pmod(done + exon_length(), F.lit(3)).cast("int"))
 
 
-def with_slices(features: DataFrame, contigs: DataFrame) -> DataFrame:
-    """features with piece, their bases on their strand, from contigs(contig_id, seq); null out of range.
-
-    One shuffle on contig_id at most; Spark broadcasts small contig tables by its own size check."""
-    rows = features.join(contigs.select("contig_id", F.col("seq").alias("__seq")), "contig_id")
-    return rows.select(*features.columns, S.subseq(F.col("__seq"), F.col("start"), F.col("stop"), F.col("strand")).alias("piece"))
+#: Bases of a chunk of a contig, and how far it reaches into the next one.
+CHUNK, OVERLAP = 12_288, 4_096
+
+
+def with_slices(features: DataFrame, contigs: DataFrame, margin: int = 0) -> DataFrame:
+    """features with piece, their bases on their strand, from contigs(contig_id, seq) or a contig_store() of them; null where
+    start or stop lie outside the contig or there is no such contig.
+
+    With margin the piece has up to so many bases more on either side, as far as the contig goes, and lead is the
+    number of those before the feature on its strand. Slices meet the chunks of a contig, not the contig: its
+    key is (contig_id, chunk_no), so a contig with very many features is many keys. A slice that is longer than
+    a chunk's overlap is put together from several chunks."""
+    store = contigs if "chunk_no" in contigs.columns else contig_store(contigs, CHUNK, OVERLAP)
+    store = store.select("contig_id", "chunk_no", F.col("n").alias("__n"), F.col("seq").alias("__seq"))
+    lo, hi = F.greatest(F.least("start", "stop") - margin, F.lit(1)), F.greatest("start", "stop") + margin
+    rows = features.withColumn("__lo", lo.cast("long")).withColumn("__hi", hi.cast("long"))
+    long = F.col("__hi") - F.col("__lo") >= OVERLAP
+    first = F.floor((F.col("__lo") - 1) / CHUNK).cast("int")
+    extra = ["lead"] if margin else []
+
+    def out(joined: DataFrame, piece: Column) -> DataFrame:
+        end = F.least("__hi", "__n") if margin else F.col("__hi")
+        inside = (F.least("start", "stop") >= 1) & (F.greatest("start", "stop") <= F.col("__n"))
+        turned = F.when(F.col("strand") == "-", S.revcomp(piece)).otherwise(piece)
+        lead = F.when(F.col("strand") == "-", end - F.greatest("start", "stop")).otherwise(F.least("start", "stop") - F.col("__lo"))
+        named = {"piece": F.when(inside, turned), "lead": F.when(inside, lead.cast("int"))}
+        return joined.select(*features.columns, *(named[c].alias(c) for c in ["piece", *extra]))
+
+    at = (F.col("__lo") - F.col("chunk_no") * F.lit(CHUNK)).cast("int")
+    size = (F.col("__hi") - F.col("__lo") + 1).cast("int")
+    short = rows.where(~long).withColumn("chunk_no", first).join(store, ["contig_id", "chunk_no"], "left")
+    short = out(short, F.substring("__seq", at, size))
+    # Long slices: one row for each chunk, the chunks' own bases joined in order; equal rows count as often as they occur.
+    some = rows.where(long).groupBy(*rows.columns).agg(F.count("*").alias("__copies"))
+    keys = some.withColumn("chunk_no", F.explode(F.sequence(first, F.floor((F.col("__hi") - 1) / CHUNK).cast("int"))))
+    begin = F.greatest(at, F.lit(1))
+    till = F.least(F.col("__hi") - F.col("chunk_no") * F.lit(CHUNK), F.lit(CHUNK)).cast("int")
+    part = F.struct("chunk_no", F.substring("__seq", begin, till - begin + 1).alias("s"))
+    parts = keys.join(store, ["contig_id", "chunk_no"], "left").groupBy(*some.columns).agg(F.max("__n").alias("__n"), F.array_sort(F.collect_list(part)).alias("__parts"))
+    parts = parts.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    whole = out(parts, F.array_join(F.transform("__parts", lambda p: p["s"]), ""))
+    return short.union(whole)
 
 
 def splice(exons: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -194,11 +231,8 @@ def false_splice_sites(exons: DataFrame, contigs: DataFrame, donor: str = "GT",
     parts = exon_phase(exons).select("gene", "contig_id", "strand", F.concat(F.lit("F"), F.col("phase").cast("string")).alias("kind"), F.col("exon_no").alias("part"), "start", "stop")
     gaps = introns(exons).where(F.abs(F.col("stop") - F.col("start")) >= 3)
     parts = parts.union(gaps.select("gene", "contig_id", "strand", F.lit("Fi"), "intron_no", "start", "stop"))
-    rows = parts.join(contigs.select("contig_id", F.col("seq").alias("__seq")), "contig_id")
-    lo, hi, n = F.least("start", "stop"), F.greatest("start", "stop"), F.length("__seq")
-    rows = rows.where((lo >= 1) & (hi <= n)).withColumn("a", F.greatest(F.lit(1), lo - side)).withColumn("b", F.least(n, hi + side))
-    lead = F.when(F.col("strand") == "-", F.col("b") - hi).otherwise(lo - F.col("a")).cast("int")
-    rows = rows.select("gene", "kind", "part", (hi - lo + 1).cast("int").alias("n"), lead.alias("lead"), S.subseq(F.col("__seq"), F.col("a"), F.col("b"), F.col("strand")).alias("piece"))
+    rows = with_slices(parts, contigs, side).where("piece IS NOT NULL")
+    rows = rows.select("gene", "kind", "part", (F.abs(F.col("stop") - F.col("start")) + 1).cast("int").alias("n"), "lead", "piece")
 
     def hits(motif: str, true_at: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.col("n") - 2), lambda p: (F.substring("piece", F.col("lead") + p + 1, F.lit(2)) == motif) & ((F.col("kind") != "Fi") | (p != true_at)))

@@ -110,3 +110,209 @@ def mean_distances(means: DataFrame, label: str, metric: str = "euclid") -> Data
     """(a, b, dist) between cluster means; one row per cluster on either side."""
     left, right = means.select(F.col(label).alias("a"), F.col("mean").alias("x")), means.select(F.col(label).alias("b"), F.col("mean").alias("y"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", distance(F.col("x"), F.col("y"), metric).alias("dist"))
+
+
+#: Vectors of a tile; numbers of pairs worked on at once.
+TILE, CELLS = 512, 1 << 20
+
+
+def _pairwise(x, y, metric: str):
+    """Matrix of distances of the rows of two arrays without nulls."""
+    import numpy as np
+
+    if metric == "euclid":
+        d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+        # The product loses digits of small distances: those are worked out from differences.
+        close = np.argwhere(d < 1e-6 * ((x * x).sum(1)[:, None] + (y * y).sum(1)[None]))
+        for at in range(0, len(close), 4096):
+            i, j = close[at : at + 4096].T
+            d[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+        return np.maximum(d, 0) / x.shape[1]
+    if metric == "cityblock":
+        out = np.empty((len(x), len(y)))
+        step = max(1, CELLS // max(1, y.size))
+        for at in range(0, len(x), step):
+            out[at : at + step] = np.abs(x[at : at + step, None] - y[None]).mean(2)
+        return out
+    if metric == "kendall":
+        sign = lambda a: np.sign(a[:, :, None] - a[:, None, :]).reshape(len(a), -1)
+        return 1 - _cosine(sign(x), sign(y))
+    if metric == "spearman":
+        x, y = _rank_rows(x), _rank_rows(y)
+    if "uncentred" not in metric:
+        x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    r = _cosine(x, y)
+    return 1 - (np.abs(r) if "absolute" in metric else r)
+
+
+def _cosine(x, y):
+    import numpy as np
+
+    return x @ y.T / np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None])
+
+
+def _rank_rows(x):
+    import numpy as np
+
+    out = np.empty(x.shape)
+    for i, row in enumerate(x):
+        _, slot, count = np.unique(row, return_inverse=True, return_counts=True)
+        out[i] = (np.cumsum(count) - (count - 1) / 2)[slot]
+    return out
+
+
+def _whole(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, x) of vectors without nulls."""
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
+    return rows.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("x"))
+
+
+def _tiled(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """rows(by, key, x) as rows (by, tile, name) of about TILE vectors, dealt by a hash of the key."""
+    n = rows.count()
+    tile = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // TILE)))).cast("int")
+    return rows.groupBy(*by, tile.alias("tile")).agg(F.collect_list(F.struct("key", "x")).alias(name))
+
+
+def _matrix(items):
+    import numpy as np
+
+    keys = np.array([r["key"] for r in items])
+    return keys, np.array([r["x"] for r in items], dtype=float)
+
+
+def nearest(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, metric: str = "euclid") -> DataFrame:
+    """(a, rank, b, dist): for each row a of queries its k nearest rows b of df with another key, equal distances by key.
+
+    A stated set of queries meets all rows in blocks: tiles of queries go to every tile of rows, a product of two
+    tiles is one matrix, and k rows a query leave it. Vectors that are null or hold nulls are left out; weights
+    and places that are missing on one side are those of distance()."""
+    import numpy as np
+    import pandas as pd
+
+    left = _tiled(_whole(queries, key, vec), "left").withColumnRenamed("tile", "i")
+    right = _tiled(_whole(df, key, vec), "right")
+
+    def best(batches):
+        for pdf in batches:
+            for one, two in zip(pdf["left"], pdf["right"], strict=True):
+                (a, x), (b, y) = _matrix(one), _matrix(two)
+                d = np.round(_pairwise(x, y, metric), 12)
+                d[a[:, None] == b[None]] = np.inf
+                order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :k]
+                own = np.take_along_axis(d, order, 1)
+                p, q = np.nonzero(np.isfinite(own))
+                yield pd.DataFrame({"a": a[p], "b": b[order[p, q]], "dist": own[p, q]})
+
+    kind = dict(df.dtypes)[key]
+    pairs = left.crossJoin(right).select("left", "right").mapInPandas(best, f"a {kind}, b {kind}, dist double")
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "rank", "b", "dist")
+
+
+def within(df: DataFrame, key: str, vec: str, cutoff: float) -> DataFrame:
+    """(a, b, dist): ordered pairs of rows of different keys whose mean squared difference is below cutoff.
+
+    A similarity join that prunes by pivot distance: by the triangle inequality two vectors closer than
+    r = sqrt(cutoff x length) have norms that differ by less than r, and so have their distances to any fixed pivot.
+    Rows are dealt into cells of width r by norm and by distance to two pivots; a row meets the cells around its
+    own, and pairs of a cell are compared exactly. No pair is lost. Cells with many vectors are cut
+    into tiles."""
+    import numpy as np
+    import pandas as pd
+
+    rows = _whole(df, key, vec)
+    size = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    r = float(np.sqrt(cutoff * size)) or 1.0
+    rng = np.random.default_rng(3)
+    pivots = [np.zeros(size), *(rng.normal(size=size) for _ in range(2))]
+    far = lambda p: F.sqrt(_sum(F.transform(F.arrays_zip(F.col("x").alias("u"), F.lit(p.tolist()).alias("v")), lambda t: (t["u"] - t["v"]) * (t["u"] - t["v"]))))
+    cell = F.array(*(F.floor(far(p) / (r * (1 + 1e-9))) for p in pivots))
+    rows = rows.withColumn("cell", cell)
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(counts, "cell").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    tiles = rows.groupBy("cell", "tile").agg(F.collect_list(F.struct("key", "x")).alias("items"))
+    steps = F.array(*(F.array(*(F.lit(v) for v in s)) for s in np.ndindex(3, 3, 3)))
+    near = tiles.select(F.col("items").alias("left"), F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, x: c + x - 1))).alias("cell"))
+    pairs = near.join(tiles.select("cell", F.col("items").alias("right")), "cell").select("left", "right")
+
+    def close(batches):
+        for pdf in batches:
+            for one, two in zip(pdf["left"], pdf["right"], strict=True):
+                (a, x), (b, y) = _matrix(one), _matrix(two)
+                d = _pairwise(x, y, "euclid")
+                i, j = np.nonzero((d < cutoff) & (a[:, None] != b[None]))
+                yield pd.DataFrame({"a": a[i], "b": b[j], "dist": d[i, j]})
+
+    kind = dict(df.dtypes)[key]
+    return pairs.mapInPandas(close, f"a {kind}, b {kind}, dist double")
+
+
+def density_weights(df: DataFrame, key: str, vec: str, cutoff: float, exponent: float) -> DataFrame:
+    """(key, weight): 1 over the sum of (1 - d / cutoff) ** exponent over all vectors closer than cutoff, itself included."""
+    sums = within(df, key, vec, cutoff).groupBy(F.col("a").alias(key)).agg(F.sum(F.pow(1 - F.col("dist") / cutoff, F.lit(exponent))).alias("__s"))
+    rows = _whole(df, key, vec).select(F.col("key").alias(key)).join(sums, key, "left")
+    return rows.select(key, (1 / (1 + F.coalesce("__s", F.lit(0.0)))).alias("weight"))
+
+
+def linkage(df: DataFrame, label: str, vec: str, metric: str = "euclid") -> DataFrame:
+    """(a, b, smallest, largest, average, means, medians) of every two labels.
+
+    Tiles of vectors of two labels are one matrix each, of which four numbers leave the task; no pair is written.
+    Medians are exact, place by place. All tiles of two labels meet, in blocks: that is the operation."""
+    import pandas as pd
+
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
+    rows = rows.select(F.col(label).alias("label"), F.monotonically_increasing_id().alias("key"), F.col(vec).cast("array<double>").alias("x"))
+    tiles = _tiled(rows, "items", "label")
+    pairs = tiles.select(F.col("label").alias("a"), F.col("items").alias("left")).join(tiles.select(F.col("label").alias("b"), F.col("items").alias("right")), F.col("a") < F.col("b"))
+
+    def reduce(batches):
+        for pdf in batches:
+            out = []
+            for a, b, one, two in zip(pdf["a"], pdf["b"], pdf["left"], pdf["right"], strict=True):
+                d = _pairwise(_matrix(one)[1], _matrix(two)[1], metric)
+                out.append((a, b, d.min(), d.max(), d.sum(), d.size))
+            yield pd.DataFrame(out, columns=["a", "b", "lo", "hi", "total", "n"])
+
+    kind = dict(df.dtypes)[label]
+    sums = pairs.mapInPandas(reduce, f"a {kind}, b {kind}, lo double, hi double, total double, n long")
+    sums = sums.groupBy("a", "b").agg(F.min("lo").alias("smallest"), F.max("hi").alias("largest"), (F.sum("total") / F.sum("n")).alias("average"))
+    for name, middle in (("means", F.avg("v")), ("medians", F.expr("percentile(v, 0.5)"))):
+        centres = rows.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(middle.alias("m"))
+        centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("mean"))
+        sums = sums.join(mean_distances(centres, "label", metric).withColumnRenamed("dist", name), ["a", "b"])
+    return sums
+
+
+def kmedians(df: DataFrame, key: str, vec: str, k: int, seed: int = 1, rounds: int = 50) -> tuple[DataFrame, DataFrame, bool]:
+    """((key, cluster, dist), (cluster, centre), converged): clusters around medians, place by place, under city-block distance.
+
+    It begins with k vectors drawn by a hash of the key and goes on until no centre moves. A round is one pass: each
+    vector goes to its nearest centre (k centres travel), and medians are selected exactly by value counts of
+    (cluster, place), which combine map-side. An empty cluster keeps its centre."""
+    rows = _whole(df, key, vec)
+    spark = df.sparkSession
+    drawn = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(k).collect()  # k rows
+    centres = {i: list(r["x"]) for i, r in enumerate(drawn, 1)}
+
+    def place(rows: DataFrame) -> DataFrame:
+        table = F.array(*(F.struct(F.lit(i).alias("cluster"), F.lit(c).alias("c")) for i, c in centres.items()))
+        found = F.array_min(F.transform(table, lambda t: F.struct(distance(F.col("x"), t["c"], "cityblock").alias("dist"), t["cluster"].alias("cluster"))))
+        return rows.withColumn("found", found).select("key", "x", "found.cluster", "found.dist")
+
+    converged = not centres
+    for _ in range(rounds if centres else 0):
+        medians = place(rows).select("cluster", F.posexplode("x").alias("k", "v")).groupBy("cluster", "k").agg(F.expr("percentile(v, 0.5)").alias("m"))
+        new = {i: list(c) for i, c in centres.items()}
+        for r in medians.collect():  # k times the length of a vector
+            new[r["cluster"]][r["k"]] = r["m"]
+        converged, centres = new == centres, new
+        if converged:
+            break
+    table = spark.createDataFrame(list(centres.items()), "cluster int, centre array<double>")
+    if not centres:
+        return rows.select(F.col("key").alias(key), F.lit(0).alias("cluster"), F.lit(0.0).alias("dist")), table, True
+    return place(rows).select(F.col("key").alias(key), "cluster", "dist"), table, converged

@@ -950,3 +950,86 @@ def f18(spark, d):
 )
 def d17(spark, d):
     return kmers.gc_quantiles(d16(spark, d))
+
+
+# GC bins by position
+
+_QB = f"""{T.SEQS}, bw AS (SELECT length(s) - length(translate(s, 'GC', '')) AS gc FROM (SELECT substr(seq, CAST(p AS INT), 100) AS s FROM (SELECT seq, unnest(range(1, length(seq) - 98)) AS p FROM contigs WHERE length(seq) >= 100))
+      UNION ALL SELECT 100 * (length(seq) - length(translate(seq, 'GC', ''))) // length(seq) FROM contigs WHERE length(seq) BETWEEN 1 AND 99), bh AS (SELECT CAST(gc AS INT) AS gc, count(*) AS n FROM bw GROUP BY ALL),
+    bc AS (SELECT gc, sum(n) OVER (ORDER BY gc) AS t, sum(n) OVER () AS a FROM bh), bb AS MATERIALIZED (SELECT CAST(q AS INT) AS q, min(gc) AS bound FROM bc, range(1, 5) r(q) WHERE t * 4 >= q * a GROUP BY ALL),
+    qp AS (SELECT seq_id, i, substr(seq, CAST(i AS INT) + 1, 6) AS h, i BETWEEN 47 AND length(seq) - 53 AS inside, substr(seq, CAST(least(greatest(i - 47, 0), length(seq) - 100) AS INT) + 1, 100) AS w
+        FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs)),
+    qg AS (SELECT *, length(w) - length(translate(w, 'GC', '')) AS gc FROM qp), qm AS (SELECT gc, coalesce((SELECT min(q) FROM bb WHERE bound >= gc), (SELECT max(q) FROM bb)) AS q FROM (SELECT DISTINCT gc FROM qg)),
+    qh AS MATERIALIZED (SELECT seq_id, CAST(i % 3 AS INT) AS model, h, inside, q FROM qg JOIN qm USING (gc)), q6 AS (SELECT q, model, h, count(*) AS n FROM qh WHERE inside GROUP BY ALL)"""
+
+
+def gc_counts(spark, d):
+    return kmers.count_gc_kmers(T.seqs(spark, d), d17(spark, d), F.pmod(F.col("i"), F.lit(3)))
+
+
+@query("d5_gc_window_counts", f"WITH {_QB} SELECT q, model, k, substr(h, 1, k - 1) AS hist, substr(h, k, 1) AS base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, CAST(unnest(range(1, 7)) AS INT) AS k FROM q6) GROUP BY ALL")
+def d5(spark, d):
+    """Hexamers, and the shorter words at their heads, by the GC bin of the window in whose middle each stands."""
+    return gc_counts(spark, d)
+
+
+@query(
+    "f22_gc_window_loglik",
+    f"""WITH {_QB}, {GRID5}, qc AS (SELECT q, model, hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY q, model, hist) AS p FROM (SELECT q, model, hist, base FROM (SELECT DISTINCT q, model FROM q6), hh, {T.BASES})
+      LEFT JOIN (SELECT q, model, substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, n FROM q6) USING (q, model, hist, base))
+    SELECT seq_id, round(sum(ln(p)), 4) AS loglik FROM qh JOIN qc USING (q, model) WHERE qc.hist = substr(h, 1, 5) AND qc.base = substr(h, 6, 1) GROUP BY ALL""",
+)
+def f22_windows(spark, d):
+    """Every hexamer under the chain of its own window's GC bin; chains are trained on the counts of d5."""
+    chains = kmers.train_by_bin(kmers.train_fixed_order, gc_counts(spark, d))
+    rows = kmers.gc_window_loglik(T.seqs(spark, d), d17(spark, d), chains, F.pmod(F.col("i"), F.lit(3)))
+    return rows.withColumn("loglik", F.round("loglik", 4))
+
+
+# Pairs of vectors
+
+_E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+_MSD = "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) / len(a.x)"
+
+
+def embeddings(spark, d):
+    return T.read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+
+
+@query(
+    "v1_nearest_by_metric",
+    f"""WITH {_E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.x AS x, b.x AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+    m AS (SELECT a, b, unnest(['euclid', 'cityblock', 'correlation', 'absolute correlation', 'uncentred correlation', 'absolute uncentred correlation']) AS metric,
+      unnest([{_PAIR.format('(x[i] - y[i]) * (x[i] - y[i])')} / len(x), {_PAIR.format('abs(x[i] - y[i])')} / len(x), {_correlation_sql('x', 'y')}, 1 - abs(1 - ({_correlation_sql('x', 'y')})),
+        1 - {_PAIR.format('x[i] * y[i]')} / sqrt({_PAIR.format('x[i] * x[i]')} * {_PAIR.format('y[i] * y[i]')}), 1 - abs({_PAIR.format('x[i] * y[i]')} / sqrt({_PAIR.format('x[i] * x[i]')} * {_PAIR.format('y[i] * y[i]')}))]) AS dist FROM p)
+    SELECT a, metric, rank, b, round(dist, 6) AS dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY metric, a ORDER BY dist, b) AS INT) AS rank FROM m) WHERE rank <= 5""",
+)
+def v1_nearest(spark, d):
+    """The five nearest of all vectors for every twentieth, under six metrics; a search whose queries are fixed rows."""
+    rows = embeddings(spark, d)
+    found = None
+    for metric in ("euclid", "cityblock", "correlation", "absolute correlation", "uncentred correlation", "absolute uncentred correlation"):
+        own = vectors.nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, metric).withColumn("metric", F.lit(metric))
+        found = own if found is None else found.union(own)
+    return found.select("a", "metric", "rank", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(
+    "v4_density_weights",
+    f"""WITH {_E}, p AS (SELECT a.vec_id AS a, {_MSD} AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+    SELECT e.vec_id, round(1 / (1 + coalesce(sum(pow(1 - d / {{c}}, 2)) FILTER (d < {{c}}), 0)), 6) AS weight FROM e LEFT JOIN p ON p.a = e.vec_id GROUP BY ALL""".format(c=0.01),
+)
+def v4(spark, d):
+    return vectors.density_weights(embeddings(spark, d), "vec_id", "embedding", 0.01, 2).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "v3_linkage",
+    f"""WITH {_E}, p AS (SELECT a.label AS a, b.label AS b, {_MSD} AS d FROM e a JOIN e b ON a.label < b.label), k AS (SELECT label, k, avg(v) AS m, median(v) AS md FROM (SELECT label, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS v FROM e) GROUP BY ALL),
+    c AS (SELECT a.label AS a, b.label AS b, avg((a.m - b.m) * (a.m - b.m)) AS means, avg((a.md - b.md) * (a.md - b.md)) AS medians FROM k a JOIN k b ON a.k = b.k AND a.label < b.label GROUP BY ALL)
+    SELECT a, b, round(min(d), 6) AS smallest, round(max(d), 6) AS largest, round(avg(d), 6) AS average, round(means, 6) AS means, round(medians, 6) AS medians FROM p JOIN c USING (a, b) GROUP BY a, b, means, medians""",
+)
+def v3_linkage(spark, d):
+    """Distances of clusters: smallest, largest and average pair, between means, between medians."""
+    out = vectors.linkage(embeddings(spark, d), "label", "embedding")
+    return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("smallest", "largest", "average", "means", "medians")))

@@ -62,13 +62,20 @@ def strip_version(seq_id: Column) -> Column:
     return F.regexp_replace(seq_id, r"\.\d+$", "")
 
 
-def contig_store(seqs: DataFrame, chunk: int = 1 << 20, overlap: int = 101) -> DataFrame:
-    """Contigs (contig_id, seq) in chunks (contig_id, chunk_no, chunk_start, seq) that overlap, so that a
-    giant contig is many rows and windows up to overlap bases need one chunk only."""
-    n = F.greatest(F.lit(1), F.ceil(F.length("seq") / chunk)).cast("int")
-    rows = seqs.select("contig_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
-    start = F.col("chunk_no") * chunk + 1
-    return rows.select("contig_id", "chunk_no", start.alias("chunk_start"), F.substring("seq", start, F.lit(chunk + overlap)).alias("seq"))
+def contig_store(seqs: DataFrame, chunk: int = 12_288, overlap: int = 4_096) -> DataFrame:
+    """Contigs (contig_id, seq) as rows (contig_id, chunk_no, n, seq): chunk_no from 0 on, n the length of the contig, seq
+    the chunk and the first overlap bases of the next. A giant contig is many rows under many keys, and a
+    slice of up to overlap bases needs one of them. Work is linear: chunks are cut from parts of 256 of them."""
+    step = chunk * 256
+
+    def cut(rows: DataFrame, size: int, most: Column) -> DataFrame:
+        count = F.greatest(F.lit(1), F.ceil(F.least(most, F.col("n") - F.col("at")) / size)).cast("int")
+        part = lambda k: F.struct((F.col("at") + k * size).alias("at"), F.substring("seq", (k * size + 1).cast("int"), F.lit(size + overlap)).alias("seq"))
+        return rows.select("contig_id", "n", F.explode(F.transform(F.sequence(F.lit(0), count - 1), part)).alias("x")).select("contig_id", "n", "x.*")
+
+    rows = seqs.select("contig_id", F.length("seq").alias("n"), F.lit(0).cast("long").alias("at"), "seq")
+    rows = cut(cut(rows, step, F.col("n")), chunk, F.lit(step))
+    return rows.select("contig_id", F.floor(F.col("at") / chunk).cast("int").alias("chunk_no"), "n", "seq")
 
 
 def gff_lines(features: DataFrame) -> DataFrame:

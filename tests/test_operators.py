@@ -1,12 +1,13 @@
 """Hand-checked small cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
-from seqspark.operators import kmers, sampling, sites, structure, vectors
+from seqspark.operators import content, kmers, sampling, sites, structure, vectors
 from seqspark.sources import fasta, xml
 
 
@@ -265,3 +266,103 @@ def test_balance_takes_the_first_by_hash(spark):
         negative = sorted((r for r in own if not r[2]), key=lambda r: hashlib.md5(f"{r[0]}s".encode()).hexdigest())[:n]
         want += [(r[0], r[2]) for r in own if r[2]] + [(r[0], False) for r in negative]
     assert got == sorted(want)
+
+
+def test_slices_over_chunks_of_a_long_contig(spark):
+    random.seed(12)
+    seq = "".join(random.choices("ACGT", k=60_000))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    edge = structure.CHUNK
+    spans = [(1, 60_000), (edge - 3, edge + 3), (edge, edge), (edge + 1, edge + 1), (5, edge + structure.OVERLAP + 9), (59_990, 60_000), (59_990, 60_001), (0, 4), (70_000, 70_010), (30_000, 35_000), (30_000, 35_000)]
+    rows = [(k, "c", "-" if k % 2 else "+", *((b, a) if k % 2 else (a, b))) for k, (a, b) in enumerate(spans)] + [(99, "none", "+", 1, 5)]
+    features = spark.createDataFrame(rows, "k int, contig_id string, strand string, start long, stop long")
+    contigs = spark.createDataFrame([("c", seq), ("d", "ACGT")], "contig_id string, seq string")
+    for source in (contigs, fasta.contig_store(contigs, structure.CHUNK, structure.OVERLAP)):
+        got = {r["k"]: r["piece"] for r in structure.with_slices(features, source).collect()}
+        for k, (a, b) in enumerate(spans):
+            piece = seq[a - 1 : b]
+            assert got[k] == ((turn(piece) if k % 2 else piece) if a >= 1 and b <= 60_000 else None)
+        assert got[99] is None and len(got) == len(rows)
+    wide = {r["k"]: (r["lead"], r["piece"]) for r in structure.with_slices(features, contigs, 50).collect()}
+    for k, (a, b) in enumerate(spans):
+        if a >= 1 and b <= 60_000:
+            lo, hi = max(1, a - 50), min(60_000, b + 50)
+            assert wide[k] == (hi - b if k % 2 else a - lo, turn(seq[lo - 1 : hi]) if k % 2 else seq[lo - 1 : hi])
+
+
+def test_equal_long_features_stay_apart(spark):
+    contigs = spark.createDataFrame([("c", "ACGT" * 5000)], "contig_id string, seq string")
+    features = spark.createDataFrame([("g", "c", "+", 3, 9000)] * 3, "gene string, contig_id string, strand string, start long, stop long")
+    assert [len(r["piece"]) for r in structure.with_slices(features, contigs).collect()] == [8998] * 3
+
+
+def test_hexamers_and_gc_windows_of_long_sequences(spark):
+    random.seed(13)
+    seqs = {k: "".join(random.choices("ACGT", weights=w, k=n)) for k, (n, w) in enumerate([(300_000, (1, 1, 1, 1)), (5000, (1, 4, 1, 1)), (100, (3, 1, 1, 1)), (101, (1, 1, 1, 1)), (99, (1, 2, 2, 1)), (6, (1, 1, 1, 1)), (5, (1, 1, 1, 1)), (2048 + 5, (1, 1, 1, 1)), (2147, (1, 1, 1, 1))])}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id int, seq string")
+    got = {}
+    for r in kmers._windows(df, "seq_id").collect():
+        got.setdefault(r["seq_id"], {})[r["i"]] = r["hexamer"]
+    assert got == {k: {i: s[i : i + 6] for i in range(len(s) - 5)} for k, s in seqs.items() if len(s) > 5}
+    bounds = [(1, 40), (2, 48), (3, 55), (4, 70)]
+    table = spark.createDataFrame(bounds, "q int, bound int")
+    bin_of = lambda s: next((q for q, b in bounds if b >= 100 * sum(c in "GC" for c in s) // len(s)), 4)
+    for edges in (False, True):
+        rows = {}
+        for r in kmers.gc_hexamers(df, table, "seq_id", edges=edges).collect():
+            rows.setdefault(r["seq_id"], {})[r["i"]] = (r["hexamer"], r["q"])
+        for k, s in seqs.items():
+            want = {}
+            for i in range(len(s) - 5):
+                if len(s) < 100:
+                    want[i] = (s[i : i + 6], bin_of(s))
+                elif edges or 47 <= i <= len(s) - 53:
+                    w = min(max(i - 47, 0), len(s) - 100)
+                    want[i] = (s[i : i + 6], bin_of(s[w : w + 100]))
+            assert rows.get(k, {}) == want
+    gc = {}
+    for s in seqs.values():
+        for w in [s[i : i + 100] for i in range(len(s) - 99)] if len(s) >= 100 else [s]:
+            g = 100 * sum(c in "GC" for c in w) // len(w)
+            gc[g] = gc.get(g, 0) + 1
+    assert {r["gc"]: r["n"] for r in kmers.gc_windows(df).collect()} == gc
+
+
+@pytest.mark.parametrize("kind", ["chi2", "deleted", "fixed"])
+def test_trainers_by_bin_are_those_of_each_bin(spark, kind):
+    random.seed(14)
+    seqs = spark.createDataFrame([(k, "".join(random.choices("ACGT", weights=(1, 1 + k % 3, 1, 1), k=900))) for k in range(12)], "seq_id int, seq string")
+    table = spark.createDataFrame([(1, 50), (2, 100)], "q int, bound int")
+    counts = kmers.count_gc_kmers(seqs, table, F.lit(3)).cache()
+    held = kmers.count_gc_kmers(seqs.where("seq_id % 2 = 0"), table, F.lit(3)).cache()
+    train = {"chi2": kmers.train_chi2_imm, "deleted": kmers.train_deleted_interpolation, "fixed": kmers.train_fixed_order}[kind]
+    own = (counts, held) if kind == "deleted" else (counts,)
+    rows = lambda df: {tuple(r[c] for c in df.columns if c not in ("p", "q")): round(r["p"], 12) for r in df.collect()}
+    both = kmers.train_by_bin(train, *own)
+    for q in (1, 2):
+        assert rows(both.where(F.col("q") == q)) == rows(train(*(c.where(F.col("q") == q).drop("q") for c in own)))
+
+
+def test_widest_frames_on_a_long_contig(spark):
+    random.seed(15)
+    seq = "".join(random.choices("ACGT", k=40_000))
+    genes = []
+    for k in range(300):
+        a = random.randint(1, 39_900)
+        b = a + random.randint(2, 90)
+        genes.append((k, "c", "+", a, b) if k % 2 else (k, "c", "-", b, a))
+    genes += [(900, "c", "+", 0, 9), (901, "c", "+", 39_999, 40_001), (902, "none", "+", 50, 80), (903, "c", "+", 7, 8)]
+    df = spark.createDataFrame(genes, "gene int, contig_id string, strand string, start long, stop long")
+    got = {r["gene"]: (r["start"], r["stop"]) for r in content.maximal_orf(df, spark.createDataFrame([("c", seq)], "contig_id string, seq string")).collect()}
+    want, n = {}, len(seq)
+    for k, contig, strand, start, stop in genes:
+        g = seq if strand == "+" else seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        a, b = (start, stop) if strand == "+" else (n - start + 1, n - stop + 1)
+        if contig != "c" or a < 1 or b > n or b - a < 2:
+            continue
+        stops = ("TAA", "TAG", "TGA")
+        x = next((p + 3 for p in range(a - 3, 0, -3) if g[p - 1 : p + 2] in stops), a)
+        y = next((p + 2 for p in range(b - 2, n - 1, 3) if g[p - 1 : p + 2] in stops), b)
+        if x - 5 >= 1 and y + 3 <= n:
+            want[k] = (x, y) if strand == "+" else (n - x + 1, n - y + 1)
+    assert got == want

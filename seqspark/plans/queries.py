@@ -1017,10 +1017,10 @@ def v1_nearest(spark, d):
 @query(
     "v4_density_weights",
     f"""WITH {_E}, p AS (SELECT a.vec_id AS a, {_MSD} AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
-    SELECT e.vec_id, round(1 / (1 + coalesce(sum(pow(1 - d / {{c}}, 2)) FILTER (d < {{c}}), 0)), 6) AS weight FROM e LEFT JOIN p ON p.a = e.vec_id GROUP BY ALL""".format(c=0.01),
+    SELECT e.vec_id, round(1 / (1 + coalesce(sum(pow(1 - d / {{c}}, 2)) FILTER (d < {{c}}), 0)), 6) AS weight FROM e LEFT JOIN p ON p.a = e.vec_id GROUP BY ALL""".format(c=0.025),
 )
 def v4(spark, d):
-    return vectors.density_weights(embeddings(spark, d), "vec_id", "embedding", 0.01, 2).withColumn("weight", F.round("weight", 6))
+    return vectors.density_weights(embeddings(spark, d), "vec_id", "embedding", 0.025, 2).withColumn("weight", F.round("weight", 6))
 
 
 @query(

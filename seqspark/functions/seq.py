@@ -88,6 +88,16 @@ def cds_eligible(length: Column) -> Column:
     return (length > 2 * FLANK + UPSTREAM + DOWNSTREAM) & ((length - 2 * FLANK - UPSTREAM - DOWNSTREAM) % 3 == 0)
 
 
+def training_reject(length: Column, first: Column | int = FIRST_CODON, after: Column | int = DOWNSTREAM + FLANK, bound: int = FLANK + 1) -> Column:
+    """Why a sequence cannot be trained on, null where it can: 'short' (under bound bases), 'first codon' (it lacks bases
+    behind it to be scored), 'order' (the stop codon lies before the first codon), 'frame' (the coding part is no multiple of three).
+
+    first is the one-based place of the first codon, after the number of bases behind the coding part."""
+    first, after = (c if isinstance(c, Column) else F.lit(c) for c in (first, after))
+    reason = F.when(length < bound, "short").when(length < first + CODON - 1 + DOWNSTREAM, "first codon").when(length - 2 - after < first, "order")
+    return reason.when((length - after - first + 1) % 3 != 0, "frame")
+
+
 def clean_training(seq: Column) -> Column:
     return seq.rlike("^[ACGTacgt]+$") & (F.length(seq) > 6)
 

@@ -181,11 +181,11 @@ def maximal_orf(genes: DataFrame, contigs: DataFrame, up: int = S.UPSTREAM, down
 
 
 def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, predict=sites.predict_llkr, whole_codons: bool = True) -> DataFrame:
-    """(gene, start_codon, stop_codon, score, met_seen) of gene structures: ends moved to the widest frame,
+    """(gene, orf_amino_bound, start_codon, stop_codon, score, met_seen) of gene structures: ends moved to the widest frame,
     exons spliced with flanks, start sites predicted and mapped back to the contig.
 
-    Without a predicted site the start is that of the widest frame and met_seen is false; the stop codon is
-    given by its first base. whole_codons false takes frames that are no multiple of three as well (isoforms of
+    orf_amino_bound is the first base of the widest frame. Without a predicted site the start is that too and met_seen is
+    false; the stop codon is given by its first base. whole_codons false takes frames that are no multiple of three as well (isoforms of
     alternative splicing). Genes whose widest frame leaves the contig are dropped."""
     ends = exons.groupBy("gene", "contig_id", "strand").agg(F.min_by("start", "exon_no").alias("start"), F.max_by("stop", "exon_no").alias("stop"))
     frames = maximal_orf(ends, contigs).select("gene", "strand", F.col("start").alias("orf_start"), F.col("stop").alias("orf_stop"))
@@ -200,7 +200,7 @@ def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, pre
     found = structure.genomic_position(wide, place).select("gene", "position")
     rows = frames.join(best.select("gene", "score"), "gene", "left").join(found, "gene", "left")
     sign = F.when(F.col("strand") == "-", -1).otherwise(1)
-    return rows.select("gene", F.coalesce("position", "orf_start").alias("start_codon"), (F.col("orf_stop") - 2 * sign).alias("stop_codon"), "score", F.col("position").isNotNull().alias("met_seen"))
+    return rows.select("gene", F.col("orf_start").alias("orf_amino_bound"), F.coalesce("position", "orf_start").alias("start_codon"), (F.col("orf_stop") - 2 * sign).alias("stop_codon"), "score", F.col("position").isNotNull().alias("met_seen"))
 
 
 def save_model(model: DataFrame, path: str, by: list[str] | None = None) -> None:

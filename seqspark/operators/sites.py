@@ -170,6 +170,16 @@ def predict_llkr(scored: DataFrame, key: str = "seq_id") -> DataFrame:
     return best.select(key, F.when(F.col("llkr") >= 0, F.col("pos")).otherwise(-1).alias("tis"), F.col("llkr").alias("score"))
 
 
+def tis_report(seqs: DataFrame, best: DataFrame, unfit: Column | None = None, key: str = "seq_id") -> DataFrame:
+    """(key, tis, reason) of every one of seqs: the predicted start or -1, and why there is none.
+
+    best is what a predict function returns. reason is what unfit, a column over seqs, says (a text where the sequence was not
+    fit for prediction), else 'no site' without a scorable start codon, 'score' where none was good enough, null with a start."""
+    rows = seqs.select(key, (F.lit(None) if unfit is None else unfit).cast("string").alias("__unfit")).join(best.select(key, "tis"), key, "left")
+    reason = F.when(F.col("tis") > 0, F.lit(None)).when(F.col("__unfit").isNotNull(), F.col("__unfit")).when(F.col("tis").isNull(), "no site").otherwise("score")
+    return rows.select(key, F.coalesce("tis", F.lit(-1)).alias("tis"), reason.alias("reason"))
+
+
 def predict_wllkr(scored: DataFrame, key: str = "seq_id") -> DataFrame:
     """As predict_llkr, ranked with the weight of the position; the plain ratio decides."""
     rows = candidates(scored).withColumn("weighted", F.round(F.col("llkr") + 3 * F.log(position_weight()), 6)).where("weighted IS NOT NULL")

@@ -257,14 +257,32 @@ def remap_ids(features: DataFrame, idmap: DataFrame) -> DataFrame:
     return rows.withColumn("contig_id", F.coalesce("new_id", "contig_id")).drop("new_id")
 
 
-def annotate(structures: DataFrame, predictions: DataFrame, method: str) -> DataFrame:
-    """structures(gene, ..., [annots]) with one more annotation of predictions(gene, start_codon,
-    stop_codon, score, met_seen); earlier annotations stay."""
+def annotate(structures: DataFrame, predictions: DataFrame, method: str | None = None) -> DataFrame:
+    """structures(gene, ..., [annots]) with the annotations of predictions(gene, [orf_amino_bound], start_codon,
+    stop_codon, score, met_seen) behind those they have; sources.xml writes and reads them.
+
+    Without method, predictions name it in a column of their own, and one gene may have several, which are
+    added by method in one join."""
+    bound = F.col("orf_amino_bound") if "orf_amino_bound" in predictions.columns else F.lit(None)
     item = F.struct(
-        F.lit(method).alias("method"), F.abs(F.col("stop_codon") - F.col("start_codon")).alias("orf_extent"), "start_codon", "stop_codon",
-        F.col("score").alias("best_tis_score"), F.col("met_seen").alias("met_seen"),
+        (F.col("method") if method is None else F.lit(method)).alias("method"), bound.cast("bigint").alias("orf_amino_bound"), *(F.col(c).cast("bigint").alias(c) for c in ("start_codon", "stop_codon")),
+        F.col("score").cast("double").alias("best_tis_score"), F.col("met_seen").cast("boolean").alias("met_seen"),
     )
-    new = predictions.select("gene", F.array(item).alias("__new"))
+    new = predictions.select("gene", item.alias("a")).groupBy("gene").agg(F.array_sort(F.collect_list("a")).alias("__new"))
     rows = structures.join(new, "gene", "left").withColumn("__new", F.coalesce("__new", F.array()))
     kept = F.concat("annots", "__new") if "annots" in structures.columns else F.col("__new")
     return rows.withColumn("annots", kept).drop("__new")
+
+
+def splice_report(exons: DataFrame, contigs: DataFrame, up: int = S.FLANK + S.UPSTREAM, down: int = S.DOWNSTREAM + S.FLANK, require_start: bool = False) -> DataFrame:
+    """(gene, seq, reason) of every gene, spliced with its flanks; reason is null where that went well.
+
+    'contig': an exon or flank leaves the contig, or there is none (seq is null). 'start': with require_start, as for
+    curated models, the first codon is no start codon (seq stays)."""
+    rows = with_slices(with_flanks(exons, up, down), contigs)
+    grouped = rows.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("exon_no", "piece"))).alias("parts"), (F.count("piece") == F.count("*")).alias("whole"))
+    seq = F.when(F.col("whole"), F.array_join(F.transform("parts", lambda p: p["piece"]), ""))
+    reason = F.when(F.col("seq").isNull(), "contig")
+    if require_start:
+        reason = reason.when(~S.is_met(F.substring("seq", up + 1, S.CODON)), "start")
+    return grouped.select("gene", seq.alias("seq")).withColumn("reason", reason)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqspark.functions import seq as S
 from seqspark.operators import content, kmers, sampling, sites, structure, vectors
 from seqspark.plans import tables as T
+from seqspark.sources import shared, xml
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -882,7 +883,7 @@ def structure_sql(whole_codons: bool) -> str:
     bs AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY llkr DESC, pos) AS r FROM sg WHERE (len - 98 - pos) // 3 >= 50),
     gt AS (SELECT *, coalesce(sum(abs(stop - start) + 1) OVER (PARTITION BY gene ORDER BY exon_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM wd),
     gp AS (SELECT gene, start + s * (pos - 101 - t - 1) AS position FROM gt JOIN bs USING (gene) WHERE r = 1 AND llkr >= 0 AND pos - 101 > t AND pos - 101 <= t + abs(stop - start) + 1)
-    SELECT mx.gene, CAST(coalesce(position, mx.start) AS BIGINT) AS start_codon, mx.stop - 2 * CASE WHEN mx.strand = '-' THEN -1 ELSE 1 END AS stop_codon, llkr AS score, position IS NOT NULL AS met_seen FROM mx LEFT JOIN bs ON bs.gene = mx.gene AND r = 1 LEFT JOIN gp ON gp.gene = mx.gene"""
+    SELECT mx.gene, CAST(mx.start AS BIGINT) AS orf_amino_bound, CAST(coalesce(position, mx.start) AS BIGINT) AS start_codon, mx.stop - 2 * CASE WHEN mx.strand = '-' THEN -1 ELSE 1 END AS stop_codon, llkr AS score, position IS NOT NULL AS met_seen FROM mx LEFT JOIN bs ON bs.gene = mx.gene AND r = 1 LEFT JOIN gp ON gp.gene = mx.gene"""
 
 
 @query(
@@ -1033,3 +1034,84 @@ def v3_linkage(spark, d):
     """Distances of clusters: smallest, largest and average pair, between means, between medians."""
     out = vectors.linkage(embeddings(spark, d), "label", "embedding")
     return out.select("a", "b", *(F.round(c, 6).alias(c) for c in ("smallest", "largest", "average", "means", "medians")))
+
+
+# Rejects and documents
+
+
+@query(
+    "b9_training_rejects",
+    f"""WITH {T.CONTIGS} SELECT contig_id, CASE WHEN length(seq) < 97 THEN 'short' WHEN length(seq) < 107 THEN 'first codon' WHEN length(seq) - 101 < 102 THEN 'order'
+      WHEN (length(seq) - 99 - 102 + 1) % 3 <> 0 THEN 'frame' END AS reason FROM contigs""",
+)
+def b9_rejects(spark, d):
+    return T.contigs(spark, d).select("contig_id", S.training_reject(F.length("seq")).alias("reason"))
+
+
+@query(
+    "c2_splice_rejects",
+    ORACLE["c2_splice_with_flanks"].replace(SPLICE, "SELECT gene, md5(seq) AS digest, CASE WHEN seq IS NULL THEN 'contig' WHEN substr(seq, 102, 3) <> 'ATG' THEN 'start' END AS reason FROM (SELECT gene, CASE WHEN count(piece) = count(*) THEN string_agg(piece, '' ORDER BY exon_no) END AS seq FROM p GROUP BY gene)"),
+)
+def c2_rejects(spark, d):
+    rows = structure.splice_report(T.exons(spark, d), T.contigs(spark, d), require_start=True)
+    return rows.select("gene", F.md5(F.col("seq").cast("binary")).alias("digest"), "reason")
+
+
+@query(
+    "a13_tis_rejects",
+    f"""WITH {T.SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY llkr DESC, pos) AS r FROM cand)
+    SELECT c.contig_id AS seq_id, CASE WHEN length(c.seq) < 350 THEN 'short' WHEN llkr IS NULL THEN 'no site' ELSE 'score' END AS reason
+    FROM contigs c LEFT JOIN b ON b.seq_id = c.contig_id AND r = 1 WHERE llkr IS NULL OR llkr < 0""",
+)
+def a13_rejects(spark, d):
+    all_of = T.contigs(spark, d).select(F.col("contig_id").alias("seq_id"), F.length("seq").alias("n"))
+    report = sites.tis_report(all_of, sites.predict_llkr(scored(spark, d)), F.when(F.col("n") < 350, "short"))
+    return report.where("reason IS NOT NULL").select("seq_id", "reason")
+
+
+@query("h2_first_of_report", f"SELECT seq_id, tis, CAST(row_number() OVER (ORDER BY tis DESC, seq_id) AS INT) AS place FROM ({ORACLE['a13_tis_report']}) ORDER BY tis DESC, seq_id LIMIT 100")
+def h2_first(spark, d):
+    """The hundred last starts, in order."""
+    top = a13(spark, d).orderBy(F.desc("tis"), "seq_id").limit(100)
+    return top.select("seq_id", "tis", F.row_number().over(Window.orderBy(F.desc("tis"), "seq_id")).alias("place"))  # of a hundred rows
+
+
+def documents_of(spark, d, annotated: bool) -> str:
+    """Path of XML documents: every gene as a reading frame, with two annotations or none; up to four genes of a contig are one parent."""
+    exons, n = T.exons(spark, d), T.read(spark, d, "documents").count()
+    parts = F.array_sort(F.collect_list(F.struct("exon_no", F.struct("start", "stop").alias("e"))))
+    genes = exons.groupBy("gene", "contig_id", "strand").agg(parts.alias("parts"), F.sum(structure.exon_length()).alias("n_nt"))
+    genes = genes.select(
+        "gene", F.col("contig_id").alias("gdna_id"), "strand", F.floor(F.col("gene") / (4 * n)).alias("pgl"), F.lit(1).alias("ags"), F.col("gene").alias("pps"), (F.col("gene") % 3).alias("frame"),
+        F.transform("parts", lambda p: p["e"]).alias("exons"), "n_nt", F.floor(F.col("n_nt") / 3).alias("n_aa"), F.concat(F.lit("M"), F.col("gene").cast("string"), F.lit("<&*")).alias("peptide"),
+    )
+    if annotated:
+        found = content.predict_structures(exons, T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
+        twice = found.withColumn("method", F.explode(F.when(F.col("met_seen"), F.array(F.lit("log-likelihood ratios"), F.lit("starts only"))).otherwise(F.array(F.lit("log-likelihood ratios")))))
+        genes = structure.annotate(genes, twice)
+    path = shared.new_path(spark, "frames")
+    xml.write_gth_orfs(genes, path)
+    return path
+
+
+@query(
+    "a14_annotated_documents",
+    f"""WITH {T.EXONS}, pr AS ({ORACLE['f17_predict_structures']}), gn AS (SELECT gene, contig_id, strand, md5(string_agg(start || '-' || stop, ',' ORDER BY exon_no)) AS exons FROM exons GROUP BY ALL)
+    SELECT gn.gene, CAST(contig_id AS VARCHAR) AS gdna_id, strand, CAST(gn.gene % 3 AS INT) AS frame, 'M' || gn.gene || '<&*' AS peptide, exons, method, orf_amino_bound, start_codon, stop_codon, score, met_seen
+    FROM gn LEFT JOIN (SELECT 'log-likelihood ratios' AS method, * FROM pr UNION ALL SELECT 'starts only', * FROM pr WHERE met_seen) p USING (gene)""",
+)
+def a14(spark, d):
+    """Annotations written into documents, and read back from them."""
+    rows = xml.read_gth_orfs(spark, documents_of(spark, d, True))
+    pairs = F.array_join(F.transform("exons", lambda e: F.concat(e["start"].cast("string"), F.lit("-"), e["stop"].cast("string"))), ",")
+    rows = rows.select(F.col("pps").alias("gene"), "gdna_id", "strand", "frame", "peptide", F.md5(pairs.cast("binary")).alias("exons"), F.explode_outer("annots").alias("a"))
+    return rows.select("gene", "gdna_id", "strand", "frame", "peptide", "exons", "a.method", "a.orf_amino_bound", "a.start_codon", "a.stop_codon", F.col("a.best_tis_score").alias("score"), "a.met_seen")
+
+
+@query(
+    "a3_first_frames",
+    f"WITH {T.EXONS} SELECT CAST(contig_id AS VARCHAR) AS gdna_id, strand, gene // (4 * (SELECT count(*) FROM documents)) AS pgl, min(gene) AS gene FROM exons GROUP BY ALL",
+)
+def a3(spark, d):
+    """The first reading frame of each parent element."""
+    return xml.read_gth_orfs(spark, documents_of(spark, d, False), first_only=True).select("gdna_id", "strand", "pgl", F.col("pps").alias("gene"))

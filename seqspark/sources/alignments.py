@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _EXON = "array<struct<_start: bigint, _stop: bigint>>"
+_FRAME = "gDNA: struct<_id: string, _strand: string>, exon_boundaries: struct<exon: " + _EXON + ">"
 STRUCTURE = (
     "`exon-intron_info` struct<exon: array<struct<gDNA_exon_boundary: struct<_g_start: bigint, _g_stop: bigint>, reference_exon_boundary: struct<_r_score: double>>>>, MATCH_line struct<_ref_id: string>"
 )
 LOCATION = (
-    "PGL_line struct<_PGL_serial: bigint>, AGS_information array<struct<supporting_evidence: struct<PGS_line: array<struct<gDNA_exon_coordinates: struct<exon: " + _EXON + ">, referenceDNA: struct<_id: string>>>>, "
-    "three_phase_translation: struct<probable_ORFs: struct<orf_entry: array<struct<gDNA: struct<_id: string, _strand: string>, exon_boundaries: struct<exon: " + _EXON + ">, predicted_protein_sequence: string>>>>>>"
+    "PGL_line struct<_PGL_serial: bigint>, AGS_information array<struct<supporting_evidence: struct<PGS_line: array<struct<gDNA_exon_coordinates: struct<exon: " + _EXON + ">, referenceDNA: struct<_id: string>, referenceProtein: struct<_id: string>>>>, "
+    "three_phase_translation: struct<probable_ORFs: struct<orf_entry: array<struct<id_line: struct<" + _FRAME + ", orf_info: struct<exon_boundaries: struct<exon: " + _EXON + ">>>, " + _FRAME + ", predicted_protein_sequence: string>>>>>>"
 )
 
 
@@ -68,8 +69,11 @@ def read_xml_locations(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "predicted_gene_location").schema(LOCATION).load(path)
     orf = F.get(F.filter(F.flatten(F.transform("AGS_information", lambda a: F.coalesce(a["three_phase_translation"]["probable_ORFs"]["orf_entry"], F.array()))), lambda o: o.isNotNull()), F.lit(0))
     rows = rows.select(F.concat(F.input_file_name(), F.lit("#"), F.col("PGL_line._PGL_serial")).alias("pgl"), "AGS_information", orf.alias("o"))
-    bounds = F.array_join(F.transform("o.exon_boundaries.exon", lambda e: F.concat(e["_start"].cast("string"), F.lit("  "), e["_stop"].cast("string"))), ",")
-    head = F.when(F.col("o").isNotNull(), F.concat(F.lit(">"), F.col("o.gDNA._id"), F.col("o.gDNA._strand"), F.lit(" ("), bounds, F.lit(")")))
+    # The frame's id and exons stand in an id_line, the exons there in orf_info; or both without one.
+    exons = F.coalesce(F.col("o.id_line.orf_info.exon_boundaries.exon"), F.col("o.id_line.exon_boundaries.exon"), F.col("o.exon_boundaries.exon"))
+    gdna = F.coalesce(F.col("o.id_line.gDNA"), F.col("o.gDNA"))
+    bounds = F.array_join(F.transform(exons, lambda e: F.concat(e["_start"].cast("string"), F.lit("  "), e["_stop"].cast("string"))), ",")
+    head = F.when(F.col("o").isNotNull(), F.concat(F.lit(">"), gdna["_id"], gdna["_strand"], F.lit(" ("), bounds, F.lit(")")))
     lines = F.flatten(F.transform("AGS_information", lambda a: F.coalesce(a["supporting_evidence"]["PGS_line"], F.array())))
     rows = rows.select("pgl", head.alias("orf"), F.col("o.predicted_protein_sequence").alias("peptide"), F.explode(lines).alias("l"))
-    return rows.select("pgl", F.col("l.referenceDNA._id").alias("ref"), _exons(F.col("l.gDNA_exon_coordinates.exon")).alias("exons"), "orf", "peptide")
+    return rows.select("pgl", F.coalesce("l.referenceDNA._id", "l.referenceProtein._id").alias("ref"), _exons(F.col("l.gDNA_exon_coordinates.exon")).alias("exons"), "orf", "peptide")

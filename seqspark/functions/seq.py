@@ -106,6 +106,11 @@ def masked_share(seq: Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(F.upper(seq), "[^X]", "")), F.length(seq))
 
 
+def mask_reject(seq: Column, max_share: float) -> Column:
+    """'masked' where more than max_share of the residues are X, 'empty' where there are none, else null."""
+    return F.when(F.coalesce(F.length(seq), F.lit(0)) == 0, "empty").when(masked_share(seq) > max_share, "masked")
+
+
 def lead_flank_ok(seq: Column) -> Column:
     return F.regexp_count(F.substring(seq, 1, FLANK + UPSTREAM), F.lit("[^ACGTacgt]")) < (FLANK + UPSTREAM) // 10
 
@@ -116,6 +121,11 @@ def canonical_start_stop(seq: Column) -> Column:
     return is_met(F.substring(seq, FIRST_CODON, 3)) & is_stop(last)
 
 
+def canonical_reject(seq: Column) -> Column:
+    """'start' without a start codon at FIRST_CODON, 'stop' without a stop codon before the last flank, null for a canonical frame."""
+    return F.when(~is_met(F.substring(seq, FIRST_CODON, CODON)), "start").when(~canonical_start_stop(seq), "stop")
+
+
 def hard_mask(seq: Column) -> Column:
     return F.translate(seq, "acgt", "NNNN")
 

@@ -222,9 +222,7 @@ def count_kmers_shadow(cds: DataFrame) -> DataFrame:
     """Counts of models 3 to 5 on the reverse complement, in phase with the forward strand."""
     rows = cds.select(S.revcomp(F.col("seq")).alias("seq"))
     first = shadow_phase(F.length("seq"))
-    rows = rows.select("seq", (first - 3).alias("f"))
-    parts = [kmers.count_kmers(rows.where(F.col("f") == f).select("seq"), F.pmod(F.col("i") + f, F.lit(3)) + 3) for f in range(3)]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("model", "k", "hist", "base").agg(F.sum("n").alias("n"))
+    return kmers.count_kmers(rows.select("seq", (first - 3).alias("f")), F.pmod(F.col("i") + F.col("f"), F.lit(3)) + 3, "f")
 
 
 def supported_structures(structures: DataFrame, members: DataFrame, min_exons: int = 3, min_score: float = 1.0) -> DataFrame:

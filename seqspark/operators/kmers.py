@@ -12,6 +12,8 @@ from seqspark.functions import seq as S
 #: Order of the models, pseudocount, reliable histogram count, least confidence, null bounds.
 ORDER, PSEUDO, RELIABLE, CONFIDENCE, NULL_BOUND, NULL_FIX = 5, 5, 400, 0.5, 1e-5, 5e-5
 NONCODING = 3
+#: Fixed value: number of the noncoding model where models 3 to 5 are those of the reverse strand.
+BOTH_NONCODING = 6
 #: Fixed value: bases of a GC window.
 GC_WIDTH = 100
 #: Ratio of a bucket's counts, held-out counts that it needs, share of equal probabilities at the start.
@@ -55,11 +57,11 @@ def _windows(seqs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, (F.col("at") + F.col("j")).cast("int").alias("i"), "hexamer")
 
 
-def count_kmers(seqs: DataFrame, model: Column) -> DataFrame:
+def count_kmers(seqs: DataFrame, model: Column, *use: str) -> DataFrame:
     """(model, k, hist, base, n) for k = 1..6; hexamers are counted once, shorter words from their prefixes.
 
-    model may use i, so pmod(i, 3) counts by codon phase. All orders see the same start places."""
-    six = hexamers(seqs, model).groupBy("model", "hexamer").agg(F.count("*").alias("n"))
+    model may use i and the columns use of seqs, so pmod(i, 3) counts by codon phase. All orders see the same start places."""
+    six = hexamers(seqs, model, *use).groupBy("model", "hexamer").agg(F.count("*").alias("n"))
     rows = six.select("model", "hexamer", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
     word = F.substring("hexamer", F.lit(1), F.col("k"))
     rows = rows.groupBy("model", "k", word.alias("w")).agg(F.sum("n").alias("n"))
@@ -270,9 +272,9 @@ def train_deleted_interpolation(kmers: DataFrame, held_out: DataFrame, top_down:
     return sums.groupBy("model").applyInPandas(_interpolated(top_down), "model int, k int, hist string, base string, p double")
 
 
-def wide_model(chain: DataFrame) -> DataFrame:
-    """(hexamer, l0, l1, l2, l3): log probabilities of a fixed-order chain by model; 4,096 rows."""
-    logs = [S.log_or_inf(F.max(F.when(F.col("model") == m, F.col("p")))).alias(f"l{m}") for m in range(4)]
+def wide_model(chain: DataFrame, models: int = NONCODING + 1) -> DataFrame:
+    """(hexamer, l0, l1, ...): log probabilities of a fixed-order chain by model; 4,096 rows."""
+    logs = [S.log_or_inf(F.max(F.when(F.col("model") == m, F.col("p")))).alias(f"l{m}") for m in range(models)]
     return chain.groupBy(F.concat("hist", "base").alias("hexamer")).agg(*logs)
 
 
@@ -290,6 +292,34 @@ def fo_loglik(seqs: DataFrame, model: DataFrame, key: str = "seq_id", periodic:
     return sums.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(3)))).alias("x")).select(key, "x.*")
 
 
+def both_strand_loglik(seqs: DataFrame, chain: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, model, loglik) under the seven models of a fixed-order chain: the phases of the forward strand (0 to 2), of the
+    reverse strand (3 to 5, from content.count_kmers_shadow()) and noncoding (6).
+
+    Models m and m + 3 take table (i - 5 + m) mod 3 of their strand at base i. As in fo_loglik(), a hexamer meets the
+    model once and adds to all seven sums."""
+    rows = _windows(seqs, key).join(F.broadcast(wide_model(chain, BOTH_NONCODING + 1)), "hexamer")
+
+    def phase(m: int) -> Column:
+        at, first = (F.col("i") + m) % 3, m - m % 3
+        return F.sum(F.when(at == 0, F.col(f"l{first}")).when(at == 1, F.col(f"l{first + 1}")).otherwise(F.col(f"l{first + 2}")))
+
+    sums = rows.groupBy(key).agg(*(phase(m).alias(f"s{m}") for m in range(BOTH_NONCODING)), F.sum(f"l{BOTH_NONCODING}").alias(f"s{BOTH_NONCODING}"))
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(BOTH_NONCODING + 1)))
+    return sums.select(key, F.explode(each).alias("x")).select(key, "x.*")
+
+
+def posteriors(logs: DataFrame, noncoding: int = NONCODING, key: str = "seq_id") -> DataFrame:
+    """(key, model, posterior) of logs(key, model, loglik): noncoding has prior one half, the coding models share the other half.
+
+    A model whose likelihood is zero has posterior 0; sequences for which all have are left out."""
+    prior = F.when(F.col("model") == noncoding, 0.5).otherwise(0.5 / noncoding)
+    own = Window.partitionBy(key)
+    rows = logs.withColumn("w", F.col("loglik") + F.log(prior)).withColumn("top", F.max("w").over(own)).where(F.col("top") > float("-inf"))
+    rows = rows.withColumn("e", F.exp(F.col("w") - F.col("top")))
+    return rows.select(key, "model", (F.col("e") / F.sum("e").over(own)).alias("posterior"))
+
+
 def classify_coding(seqs: DataFrame, coding: DataFrame, noncoding: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, best, posterior): posterior of each phase and of noncoding with priors 1/6 and 1/2."""
     logs = fo_loglik(seqs, coding, key).union(fo_loglik(seqs, noncoding, key, False).withColumn("model", F.lit(NONCODING)))
@@ -418,7 +448,9 @@ def gc_quantiles(histogram: DataFrame, parts: int = 4) -> DataFrame:
     return cuts.where(F.col("till") * parts >= F.col("q") * F.col("total")).groupBy("q").agg(F.min("gc").alias("bound"))
 
 
-def coding_call(posteriors: DataFrame, key: str = "seq_id") -> DataFrame:
-    """(key, coding): whether the posteriors(key, model, posterior) of all coding models exceed one half."""
-    total = F.sum(F.when(F.col("model") != NONCODING, F.col("posterior")).otherwise(0.0))
-    return posteriors.groupBy(key).agg((total > 0.5).alias("coding"))
+def coding_call(posteriors: DataFrame, key: str = "seq_id", noncoding: int = NONCODING) -> DataFrame:
+    """(key, coding, p_coding, best): whether p_coding, the sum of posteriors(key, model, posterior) of all coding models,
+    exceeds one half; best is the most probable model, the lowest on ties at six digits."""
+    total = F.sum(F.when(F.col("model") != noncoding, F.col("posterior")).otherwise(0.0))
+    best = F.max_by("model", F.struct(F.round("posterior", 6), -F.col("model")))
+    return posteriors.groupBy(key).agg((total > 0.5).alias("coding"), total.alias("p_coding"), best.alias("best"))

@@ -152,6 +152,20 @@ def dedupe_sequences(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("seq").agg(joined.alias("descr"))
 
 
+def sequence_classes(seqs: DataFrame) -> DataFrame:
+    """seqs(descr, seq, ...) without seq, with first, the least description of an equal sequence, and copies, how many rows have it.
+
+    Membership instead of one row a group: nothing is gathered, so a sequence may have any number of copies. Rows
+    travel with the SHA-256 of their sequence, not with the sequence; null sequences are no copies of each other."""
+    rest = [c for c in seqs.columns if c != "seq"]
+    rows = seqs.select(*rest, F.sha2(F.col("seq").cast("binary"), 256).alias("__digest"))
+    named = rows.where("__digest IS NOT NULL").groupBy("__digest").agg(F.min("descr").alias("__first"), F.count("*").alias("__copies"))
+    # Only sequences with copies are joined: the others are their own first.
+    again = named.where("__copies > 1")
+    out = rows.join(again, "__digest", "left")
+    return out.select(*rest, F.coalesce("__first", "descr").alias("first"), F.coalesce("__copies", F.lit(1)).alias("copies"))
+
+
 def shrink_cds_part() -> tuple[Column, Column]:
     """Ends moved inwards by SHRINK; ends that would cross become the middle."""
     lo, hi = F.least("start", "stop"), F.greatest("start", "stop")

@@ -132,6 +132,22 @@ def b15(spark, d):
     return rows.groupBy("met", "canonical").agg(F.count("*").alias("n"))
 
 
+@query(
+    "b15_canonical_rejects",
+    f"WITH {T.SEQS} SELECT seq_id, CASE WHEN substr(seq, 102, 3) <> 'ATG' THEN 'start' WHEN substr(seq, length(seq) - 101, 3) NOT IN ('TAA', 'TAG', 'TGA') THEN 'stop' END AS reason FROM seqs",
+)
+def b15_rejects(spark, d):
+    return T.seqs(spark, d).select("seq_id", S.canonical_reject(F.col("seq")).alias("reason"))
+
+
+@query(
+    "b13_masked_rejects",
+    f"WITH {RAW_SQL} SELECT seq_id, CASE WHEN coalesce(length(seq), 0) = 0 THEN 'empty' WHEN length(regexp_replace(seq, '[^Xx]', '', 'g')) / length(seq) > 0.002 THEN 'masked' END AS reason FROM raw",
+)
+def b13_rejects(spark, d):
+    return raw(spark, d).select("seq_id", S.mask_reject(F.col("seq"), 0.002).alias("reason"))
+
+
 @query("b18_site_at", f"WITH {T.SEQS} SELECT substr(seq, 97, 11) AS site, count(*) AS n FROM seqs GROUP BY ALL")
 def b18(spark, d):
     return T.seqs(spark, d).groupBy(S.site_at(F.col("seq")).alias("site")).agg(F.count("*").alias("n"))
@@ -233,6 +249,19 @@ def f4(spark, d):
     return rows.groupBy("strand").agg(F.count("*").alias("n"), F.round(F.sum(F.col("llk_true") - F.col("llk_false")), 3).alias("total"))
 
 
+@query(
+    "f4_six_frame_sites",
+    f"""WITH {T.WAM}, s AS (SELECT seq_id, '+' AS strand, seq AS s FROM seqs UNION ALL SELECT seq_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM seqs),
+    h AS (SELECT seq_id, strand, CAST(CASE WHEN strand = '+' THEN p ELSE length(s) - p + 1 END AS INT) AS pos, substr(s, CAST(p AS INT) - 5, 11) AS site FROM (SELECT *, unnest(range(6, length(s) - 4)) AS p FROM s) WHERE substr(s, CAST(p AS INT), 3) = 'ATG'),
+    k AS (SELECT *, CAST(unnest(range(0, 11)) AS INT) AS k FROM h),
+    l AS (SELECT seq_id, strand, k.pos, hyp, sum(ln(p)) AS l FROM k JOIN wam w ON w.pos = k.k AND w.base = substr(site, k + 1, 1) AND w.prev = CASE WHEN k = 0 THEN '-' ELSE substr(site, k, 1) END GROUP BY ALL)
+    SELECT seq_id, strand, pos, round(max(l) FILTER (hyp = 'T') - max(l) FILTER (hyp = 'F'), 6) AS llkr FROM l GROUP BY ALL""",
+)
+def f4_sites(spark, d):
+    rows = sites.with_llkr(sites.all_frame_sites(T.seqs(spark, d)), sites.train_wam(training(spark, d), ["hyp"]))
+    return rows.select("seq_id", "strand", "pos", "llkr")
+
+
 @query("f5_candidate_sites", f"WITH {T.SITES} SELECT seq_id, pos FROM mets WHERE (len - 98 - pos) // 3 >= 50")
 def f5(spark, d):
     return sites.candidates(sites.met_sites(T.seqs(spark, d))).select("seq_id", "pos")
@@ -546,6 +575,12 @@ def d7(spark, d):
     return rows.select(F.md5(F.col("seq").cast("binary")).alias("digest"), "descr")
 
 
+@query("d7_sequence_classes", f"WITH {T.CONTIGS} SELECT contig_id, min(contig_id) OVER (PARTITION BY seq) AS first, count(*) OVER (PARTITION BY seq) AS copies FROM contigs")
+def d7_classes(spark, d):
+    rows = structure.sequence_classes(T.contigs(spark, d).withColumnRenamed("contig_id", "descr"))
+    return rows.withColumnRenamed("descr", "contig_id")
+
+
 # Sampling and sets
 
 
@@ -630,6 +665,13 @@ def v5(spark, d):
     return vectors.singular_values(T.read(spark, d, "embeddings"), "embedding").select("k", F.round("value", 6).alias("value"))
 
 
+@query("v5_squares", "SELECT round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS squares FROM embeddings")
+def v5_squares(spark, d):
+    """The squares of the singular values sum to those of all components."""
+    values = vectors.singular_values(T.read(spark, d, "embeddings"), "embedding")
+    return values.agg(F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares"))
+
+
 # Content scores, clusters, reading frames
 
 
@@ -654,6 +696,40 @@ def f9(spark, d):
     return rows.select("seq_id", "pos", F.round("post_up", 6).alias("post_up"), F.round("post_down", 6).alias("post_down"), "mcratio")
 
 
+SEVEN_SQL = f"""{FIXED_SQL}, sh AS (SELECT 3 + CAST((i + (3 - length(s) % 3) % 3) % 3 AS INT) AS model, substr(s, CAST(i AS INT) + 1, 6) AS h, count(*) AS n
+      FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM (SELECT reverse(translate(seq, 'ACGT', 'TGCA')) AS s FROM seqs)) GROUP BY ALL
+      UNION ALL SELECT 6, substr(s, CAST(i AS INT) + 1, 6), count(*) FROM (SELECT s, unnest(range(0, length(s) - 5)) AS i FROM (SELECT reverse(seq) AS s FROM seqs)) GROUP BY ALL),
+    ch AS MATERIALIZED (SELECT model, hist, base, p FROM fo UNION ALL SELECT model, hist, base, (coalesce(n, 0) + 5) / sum(coalesce(n, 0) + 5) OVER (PARTITION BY model, hist) FROM
+      (SELECT model, hist, base FROM hh, {T.BASES}, (SELECT unnest([3, 4, 5, 6]) AS model)) LEFT JOIN (SELECT model, substr(h, 1, 5) AS hist, substr(h, 6, 1) AS base, n FROM sh) USING (model, hist, base)),
+    sw AS (SELECT seq_id, i, substr(seq, CAST(i AS INT) + 1, 6) AS h FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 5)) AS i FROM seqs)),
+    s7 AS (SELECT seq_id, m AS model, sum(ln(p)) AS loglik FROM (SELECT *, CASE WHEN m = 6 THEN 6 ELSE m // 3 * 3 + (i + m) % 3 END AS t FROM sw, (SELECT unnest(range(0, 7)) AS m)) JOIN ch ON ch.model = t AND ch.hist = substr(h, 1, 5) AND ch.base = substr(h, 6, 1) GROUP BY ALL),
+    w7 AS (SELECT seq_id, model, loglik + ln(CASE WHEN model = 6 THEN 0.5 ELSE 1.0::DOUBLE / 12 END) AS w FROM s7), e7 AS (SELECT *, exp(w - max(w) OVER (PARTITION BY seq_id)) AS e FROM w7),
+    p7 AS (SELECT seq_id, model, e / sum(e) OVER (PARTITION BY seq_id) AS posterior FROM e7)"""
+
+
+def seven_models(spark, d):
+    """Chains of both strands and of noncoding sequence, for which reversed sequences stand."""
+    seqs = T.seqs(spark, d)
+    noncoding = kmers.count_kmers(seqs.select(F.reverse("seq").alias("seq")), F.lit(kmers.BOTH_NONCODING))
+    return kmers.train_fixed_order(periodic(spark, d).union(content.count_kmers_shadow(seqs)).union(noncoding))
+
+
+@query("f21_seven_model_loglik", f"WITH {SEVEN_SQL} SELECT seq_id, CAST(model AS INT) AS model, round(loglik, 4) AS loglik FROM s7")
+def f21_loglik(spark, d):
+    return kmers.both_strand_loglik(T.seqs(spark, d), seven_models(spark, d)).withColumn("loglik", F.round("loglik", 4))
+
+
+@query(
+    "f21_coding_call",
+    f"""WITH {SEVEN_SQL} SELECT seq_id, sum(posterior) FILTER (model <> 6) > 0.5 AS coding, round(sum(posterior) FILTER (model <> 6), 6) AS p_coding,
+      CAST(arg_max(model, 10 * round(posterior, 6) - model / 1e8) AS INT) AS best FROM p7 GROUP BY ALL""",
+)
+def f21(spark, d):
+    logs = kmers.both_strand_loglik(T.seqs(spark, d), seven_models(spark, d))
+    called = kmers.coding_call(kmers.posteriors(logs, kmers.BOTH_NONCODING), noncoding=kmers.BOTH_NONCODING)
+    return called.withColumn("p_coding", F.round("p_coding", 6))
+
+
 def content_scored(spark, d):
     wam = sites.train_wam(training(spark, d), ["hyp"])
     flanked = content.flank_posteriors(content.flanked_sites(T.seqs(spark, d)), kmers.train_fixed_order(periodic(spark, d)))

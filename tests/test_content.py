@@ -60,6 +60,43 @@ def test_models_are_stored_as_tables(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, model.collect()))
 
 
+def test_seven_models_by_hand(spark):
+    """Likelihoods, posteriors and the call of both strands' models against the definition, base by base."""
+    seqs = spark.createDataFrame([(k, "ACGGTTACCATG" * (3 + k) + "AC"[: k % 3] + "GT" * k) for k in range(5)], "seq_id long, seq string")
+    noncoding = kmers.count_kmers(seqs.select(F.reverse("seq").alias("seq")), F.lit(kmers.BOTH_NONCODING))
+    counts = kmers.count_kmers(seqs, F.pmod(F.col("i"), F.lit(3))).union(content.count_kmers_shadow(seqs)).union(noncoding)
+    chain = kmers.train_fixed_order(counts)
+    table = {(r["model"], r["hist"] + r["base"]): r["p"] for r in chain.collect()}
+    logs = kmers.both_strand_loglik(seqs, chain)
+    got = {(r["seq_id"], r["model"]): r["loglik"] for r in logs.collect()}
+    calls = {r["seq_id"]: r for r in kmers.coding_call(kmers.posteriors(logs, 6), noncoding=6).collect()}
+    for r in seqs.collect():
+        s = r["seq"]
+        want = [sum(math.log(table[m if m == 6 else (i + m) % 3 + (3 if m > 2 else 0), s[i : i + 6]]) for i in range(len(s) - 5)) for m in range(7)]
+        assert [got[r["seq_id"], m] for m in range(7)] == pytest.approx(want)
+        like = [math.exp(x - max(want)) * (0.5 if m == 6 else 1 / 12) for m, x in enumerate(want)]
+        call = calls[r["seq_id"]]
+        assert call["p_coding"] == pytest.approx(sum(like[:6]) / sum(like)) and call["coding"] == (sum(like[:6]) > like[6])
+        assert like[call["best"]] == pytest.approx(max(like))
+
+
+def test_posteriors_of_impossible_models(spark):
+    logs = spark.createDataFrame([(1, 0, -5.0), (1, 3, float("-inf")), (2, 0, float("-inf")), (2, 3, float("-inf"))], "seq_id long, model int, loglik double")
+    assert sorted(map(tuple, kmers.posteriors(logs).collect())) == [(1, 0, 1.0), (1, 3, 0.0)]
+
+
+def test_shadow_counts_of_mixed_lengths(spark):
+    texts = ["ACGGTTACCATGA", "TTACCATGAC", "GGCATTACGTTACG"]
+    want = {}
+    for t in texts:
+        s = t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        for i in range(len(s) - 5):
+            cell = (3 + (i - len(s)) % 3, s[i : i + 6])
+            want[cell] = want.get(cell, 0) + 1
+    got = content.count_kmers_shadow(spark.createDataFrame([(t,) for t in texts], "seq string")).where("k = 6").collect()
+    assert {(r["model"], r["hist"] + r["base"]): r["n"] for r in got} == want
+
+
 def test_shadow_phases(spark):
     df = spark.createDataFrame([(n,) for n in (6, 7, 8)], "n int")
     assert [r[0] for r in df.select(content.shadow_phase(F.col("n"))).collect()] == [3, 5, 4]

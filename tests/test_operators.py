@@ -116,6 +116,21 @@ def test_longest_orf_and_dedupe(spark):
     assert {r["seq"]: r["descr"] for r in structure.dedupe_sequences(df).collect()} == {"AC": "b AND a", "G": "c"}
 
 
+def test_sequence_classes(spark):
+    df = spark.createDataFrame([("b", "AC", 1), ("a", "AC", 2), ("c", "G", 3), ("d", None, 4), ("e", None, 5), ("f", "", 6), ("b", "AC", 1)], "descr string, seq string, n int")
+    got = sorted(map(tuple, structure.sequence_classes(df).collect()))
+    assert got == [("a", 2, "a", 3), ("b", 1, "a", 3), ("b", 1, "a", 3), ("c", 3, "c", 1), ("d", 4, "d", 1), ("e", 5, "e", 1), ("f", 6, "f", 1)]
+    assert structure.sequence_classes(df.where("false")).collect() == []
+
+
+def test_rejects_of_columns(spark):
+    df = spark.createDataFrame([(1, "AXxC"), (2, "ACGT"), (3, ""), (4, None)], "k int, seq string")
+    assert [r[0] for r in df.orderBy("k").select(S.mask_reject(F.col("seq"), 0.25)).collect()] == ["masked", None, "empty", "empty"]
+    whole = "A" * 101 + "ATG" + "CCC" + "TAA" + "A" * 99
+    df = spark.createDataFrame([(1, whole), (2, whole.replace("ATG", "ATC")), (3, whole.replace("TAA", "TCA"))], "k int, seq string")
+    assert [r[0] for r in df.orderBy("k").select(S.canonical_reject(F.col("seq"))).collect()] == [None, "start", "stop"]
+
+
 def test_sampling(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
     assert sampling.sample_without_replacement(df, "k", 5).count() == 5

@@ -87,11 +87,22 @@ def full_grid(models: DataFrame, k: int) -> DataFrame:
     return grid.withColumn("base", F.explode(F.array(*map(F.lit, S.BASES))))
 
 
+def _absent_words(k: int) -> Column:
+    """Array of (w, n) with every word of k bases and the count 0."""
+    letter = lambda i, j: F.substring(F.lit(S.BASES), F.shiftright(i, 2 * j).bitwiseAND(F.lit(3)) + 1, F.lit(1))
+    word = lambda i: F.struct(F.concat(*(letter(i, j) for j in range(k))).alias("w"), F.lit(0).cast("long").alias("n"))
+    return F.transform(F.sequence(F.lit(0), F.lit(4**k - 1)), word)
+
+
 def train_fixed_order(kmers: DataFrame) -> DataFrame:
     """(model, hist, base, p): order-5 chain with PSEUDO added to every count."""
-    six = kmers.where(F.col("k") == ORDER + 1).select("model", "hist", "base", "n")
-    rows = full_grid(six, ORDER).join(six, ["model", "hist", "base"], "left")
-    rows = rows.withColumn("c", F.coalesce("n", F.lit(0)) + PSEUDO)
+    word = F.concat("hist", "base")
+    six = kmers.where((F.col("k") == ORDER + 1) & word.rlike(f"^[{S.BASES}]+$"))
+    # Words that do not occur join as zeros in the model's own row, so the counts behind it are worked out once, not
+    # once more for the list of models; a model has at most 4,096 words.
+    seen = six.groupBy("model").agg(F.collect_list(F.struct(word.alias("w"), F.col("n").cast("long").alias("n"))).alias("seen"))
+    rows = seen.select("model", F.explode(F.concat("seen", _absent_words(ORDER + 1))).alias("x")).groupBy("model", "x.w").agg((F.sum("x.n") + PSEUDO).alias("c"))
+    rows = rows.select("model", F.substring("w", 1, ORDER).alias("hist"), F.substring("w", ORDER + 1, 1).alias("base"), "c")
     return rows.select("model", "hist", "base", (F.col("c") / F.sum("c").over(Window.partitionBy("model", "hist"))).alias("p"))
 
 

@@ -20,8 +20,9 @@ which is twice the item's length at least; items of one such class have their in
 Items without an answer of their own give the last fifth of their words (a shingle at least) as the
 answer and the rest as the question. As that cut is arbitrary, they are leaks also where OVERLAP of
 the shingles of the whole item occur in such a passage. All items go into one pass over the
-documents up to SHARD_BYTES of their text, which bounds what is broadcast; more take a pass for each
-SHARD_BYTES. Document frequencies always count all items.
+documents up to SHARD_BYTES of their text; more take a pass for each SHARD_BYTES. That bounds what is
+broadcast: the index is flat arrays, 16 bytes a posting and 4 a word, and a dictionary of the words; the
+shingles of an item are made when a passage reaches its threshold, and kept for KEPT items. Document frequencies always count all items.
 
 Defined results for odd rows: null and blank texts and items match nothing; an item of fewer than
 SHINGLE words is one shingle; repeated rows of documents give repeated rows, of items one; empty
@@ -44,7 +45,7 @@ from seqspark.llm.token_parquet import pieces
 
 K1, B = 1.2, 0.75
 SHINGLE, OVERLAP = 5, 0.8
-PASSAGE_WORDS, BLOCK, SHARD_BYTES = 128, 8, 32 << 20
+PASSAGE_WORDS, BLOCK, SHARD_BYTES, KEPT = 128, 8, 16 << 20, 4096
 #: Bytes of text searched at once, and split into words at once; how far sums may be off by rounding.
 SLICE_BYTES, PIECE_BYTES, ROUNDING = 4 << 20, 1 << 20, 1e-9
 UNKNOWN, PART = -1, -2
@@ -83,24 +84,27 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class Class:
     """Block-max index of the items of one passage length: (item_id, question, answer, whether the
-    answer was cut off) with words as numbers, and each item's raw BM25 weights."""
+    answer was cut off) with words as arrays of numbers, and each item's terms and raw BM25 weights."""
 
-    def __init__(self, passage: int, items: list[tuple], weights: list[dict[int, float]], n_terms: int) -> None:
+    def __init__(self, passage: int, items: list[tuple], weights: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
         self.step = passage // 2
         self.ids = [i for i, *_ in items]
-        self.question = [shingles(q) for _, q, _, _ in items]
-        self.answer = [shingles(a) for _, _, a, _ in items]
-        self.whole = [shingles(q + a) if cut_off else None for _, q, a, cut_off in items]
+        self.words = np.concatenate([x for _, q, a, _ in items for x in (q, a)])
+        self.edges = np.concatenate([[0], np.cumsum([len(x) for _, q, a, _ in items for x in (q, a)])])  # of questions and answers in turn
+        self.cut_off = np.array([c for *_, c in items])
+        self.kept: dict[int, tuple] = {}
         threshold = []
-        for k, raw in enumerate(weights):
-            most = max(_may_miss(self.question[k]) + _may_miss(self.answer[k]), _may_miss(self.whole[k] or set()))
-            total = sum(raw.values())
+        for k, (_, raw) in enumerate(weights):
+            question, answer, whole = self._shingles(k)
+            most = max(_may_miss(question) + _may_miss(answer), _may_miss(whole or set()))
+            total = raw.sum()
             # At least one shingle, so one word, is there.
-            threshold.append(max(1 - sum(sorted(raw.values(), reverse=True)[:most]) / total, min(raw.values()) / total))
+            threshold.append(max(1 - np.sort(raw)[::-1][:most].sum() / total, raw.min() / total))
         self.threshold = np.array(threshold)
         # Impacts divided by the item's threshold: the bound is 1 for all.
-        rows = [(w, k, x / sum(raw.values()) / threshold[k]) for k, raw in enumerate(weights) for w, x in raw.items()]
-        term, item, value = (np.array(x) for x in zip(*rows, strict=True))
+        term = np.concatenate([terms for terms, _ in weights])
+        item = np.repeat(np.arange(len(items)), [len(terms) for terms, _ in weights])
+        value = np.concatenate([raw / raw.sum() / threshold[k] for k, (_, raw) in enumerate(weights)])
         order = np.lexsort((item, term))
         term, self.items, self.values = term[order], item[order], value[order]
         self.starts = np.searchsorted(term, np.arange(n_terms + 1))
@@ -111,6 +115,19 @@ class Class:
         self.most = np.zeros(n_terms)
         np.maximum.at(self.most, term, self.values)
 
+    def _shingles(self, k: int) -> tuple[set, set, set | None]:
+        """Shingles of item k's question, of its answer, and of both where the answer was cut off."""
+        a, b, c = self.edges[2 * k : 2 * k + 3]
+        words = self.words[a:c].tolist()
+        return shingles(words[: b - a]), shingles(words[b - a :]), shingles(words) if self.cut_off[k] else None
+
+    def _parts(self, k: int) -> tuple[set, set, set | None]:
+        if k not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[k] = self._shingles(k)
+        return self.kept[k]
+
     def passages(self, words: np.ndarray, begin: np.ndarray):
         """(first passage of each text, passage, term) with each passage's distinct terms in ascending order."""
         at = np.nonzero(words >= 0)[0]
@@ -183,8 +200,9 @@ class Class:
             at = (p - int(first[text])) * self.step
             part = words[begin[text] + at : min(begin[text] + at + 2 * self.step, begin[text + 1])].tolist()
             own = shingles(part) if len(part) >= SHINGLE else {tuple(part)}
-            share = [self._share(x[k], own, part) for x in (self.question, self.answer)]
-            whole = self._share(self.whole[k], own, part) if self.whole[k] else None
+            question, answer, both = self._parts(k)
+            share = [self._share(x, own, part) for x in (question, answer)]
+            whole = self._share(both, own, part) if both else None
             if min(share) >= OVERLAP or (whole or 0.0) >= OVERLAP:
                 n[text, k] += 1
                 found = (round(score * self.threshold[k], 9), round(share[0], 9), round(share[1], 9), -at, whole)
@@ -207,16 +225,15 @@ class Index:
     def __init__(self, items: list[tuple[int, list[bytes], list[bytes], bool]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
         vocabulary = sorted({w for _, q, a, _ in items for w in q + a}, key=lambda w: (-df[w], w))
         self.numbers = {w: k for k, w in enumerate(vocabulary)} | {_PART: PART}
-        idf = [math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) for w in vocabulary]
+        frequency = np.array([df[w] for w in vocabulary], float)
+        idf = np.log(1 + (n_items - frequency + 0.5) / (frequency + 0.5))
         classes: dict[int, list] = defaultdict(list)
         for i, q, a, cut_off in items:
-            numbers = [[self.numbers[w] for w in x] for x in (q, a)]
-            counts: dict[int, int] = defaultdict(int)
-            for w in numbers[0] + numbers[1]:
-                counts[w] += 1
+            numbers = [np.fromiter(map(self.numbers.__getitem__, x), np.int32, len(x)) for x in (q, a)]
+            terms, c = np.unique(np.concatenate(numbers), return_counts=True)
             norm = K1 * (1 - B + B * len(q + a) / mean_words)
             passage = PASSAGE_WORDS << max(0, math.ceil(math.log2(2 * len(q + a) / PASSAGE_WORDS)))
-            classes[passage].append(((i, *numbers, cut_off), {w: idf[w] * c * (K1 + 1) / (c + norm) for w, c in counts.items()}))
+            classes[passage].append(((i, *numbers, cut_off), (terms, idf[terms] * c * (K1 + 1) / (c + norm))))
         self.classes = [Class(passage, *map(list, zip(*own, strict=True)), len(vocabulary)) for passage, own in sorted(classes.items())]
 
     def numbers_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import pickle
 import random
 import time
 
@@ -112,6 +113,29 @@ def test_retrieval_equals_scoring_every_item():
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want) and len(want) >= len(own.ids)
 
 
+def test_index_is_flat():
+    """What is broadcast stays a small multiple of the items' text, also where few words repeat; shingles kept do not travel."""
+    random.seed(7)
+    for n_words, most in ((3_000, 5), (60_000, 10)):
+        lexicon = [b"word%d" % i for i in range(n_words)]
+        items = [(k, random.choices(lexicon, k=60), [], True) for k in range(3000)]
+        df = {}
+        for _, q, _, _ in items:
+            for w in set(q):
+                df[w] = df.get(w, 0) + 1
+        index = dc.Index(items, df, len(items), 60.0)
+        size = len(pickle.dumps(index))
+        assert size < most * sum(len(b" ".join(q)) for _, q, _, _ in items)
+        assert [x[:2] for x in index.search([b" ".join(items[7][1])])] == [(0, 7)] and sum(len(c.kept) for c in index.classes) == 1
+    # More items than are kept at once.
+    texts = [b" ".join(q) for _, q, _, _ in items]
+    kept, dc.KEPT = dc.KEPT, 10
+    try:
+        assert sorted(x[:2] for x in index.search(texts)) == [(k, k) for k in range(3000)] and all(len(c.kept) <= 10 for c in index.classes)
+    finally:
+        dc.KEPT = kept
+
+
 def test_long_text_and_many_items():
     random.seed(6)
     lexicon = [b"word%d" % i for i in range(30_000)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
-from seqspark.operators import kmers, sites, structure
+from seqspark.operators import arrays, kmers, sites, structure
 from seqspark.sources.fasta import contig_store
 
 #: Priors of each coding phase and of noncoding.
@@ -14,32 +16,56 @@ CODING_PRIOR, NONCODING_PRIOR = 1 / 6, 1 / 2
 
 
 def flanked_sites(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Scorable start sites with whole flanks: (key, pos, site, len, up, down), flanks of FLANK bases."""
-    found = sites.met_sites(seqs, key).where(S.met_scorable(F.col("pos"), F.col("len"), S.FLANK))
-    rows = found.join(seqs.select(key, "seq"), key)
-    up = F.substring("seq", F.col("pos") - S.UPSTREAM - S.FLANK, F.lit(S.FLANK))
-    down = F.substring("seq", F.col("pos") + S.CODON + S.DOWNSTREAM, F.lit(S.FLANK))
-    return rows.select(*found.columns, up.alias("up"), down.alias("down"))
-
-
-def flank_posteriors(flanked: DataFrame, chain: DataFrame, key: str = "seq_id", compat: bool = True) -> DataFrame:
-    """flanked with post_up and post_down, the posterior of coding of either flank, and mcratio.
-
-    compat keeps a known habit: the noncoding likelihood is read from the table of phase 0. Hexamers of
-    both flanks meet one broadcast table of 4,096 rows; sums combine map-side."""
-    ends = F.array(F.struct(F.lit("up").alias("side"), F.col("up").alias("s")), F.struct(F.lit("down").alias("side"), F.col("down").alias("s")))
-    rows = flanked.select(key, "pos", F.explode(ends).alias("e")).select(key, "pos", "e.side", "e.s")
-    rows = rows.select(key, "pos", "side", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(S.FLANK - kmers.ORDER)), lambda i: F.substring("s", i, F.lit(kmers.ORDER + 1)))).alias("i", "hexamer"))
-    rows = rows.join(F.broadcast(kmers.wide_model(chain)), "hexamer")
-    turn = F.col("i") % 3
-    phase = lambda m: F.sum(F.when((turn + m) % 3 == 0, F.col("l0")).when((turn + m) % 3 == 1, F.col("l1")).otherwise(F.col("l2")))
-    sums = rows.groupBy(key, "pos", "side").agg(*(phase(m).alias(f"s{m}") for m in range(3)), F.sum("l3").alias("s3"))
-    non = F.col("s0") if compat else F.col("s3")
-    top = F.greatest("s0", "s1", "s2", non)
-    coding = sum(CODING_PRIOR * F.exp(F.col(f"s{m}") - top) for m in range(3))
-    sums = sums.select(key, "pos", "side", (coding / (coding + NONCODING_PRIOR * F.exp(non - top))).alias("post"))
-    wide = sums.groupBy(key, "pos").agg(*(F.max(F.when(F.col("side") == x, F.col("post"))).alias(f"post_{x}") for x in ("up", "down")))
-    return flanked.join(wide, [key, "pos"]).withColumn("mcratio", F.round(F.log(F.col("post_down") / F.col("post_up")), 6))
+    """Scorable start sites with whole flanks: (key, pos, site, len, up, down), flanks of FLANK bases; a row for each site of each row of seqs."""
+    return sites.met_sites(seqs, key, flank=S.FLANK)
+
+
+def flank_posteriors(flanked: DataFrame, chain: DataFrame, compat: bool = True) -> DataFrame:
+    """flanked with post_up and post_down, the posterior of coding of either flank, and mcratio; rows with a flank that holds no
+    known hexamer are left out.
+
+    compat keeps a known habit: the noncoding likelihood is read from the table of phase 0. Both flanks are scored
+    in the task that holds the row, with a table of 4,096 rows."""
+    known, logs = kmers.word_logs(chain)
+    table = np.where(known[:, None], logs, 0.0)
+
+    def posterior(texts):
+        """(posterior, whether the flank holds a known word) of flanks; the place of a word is counted from 0."""
+        post, fine = np.zeros(len(texts)), np.zeros(len(texts), bool)
+        sizes = np.array([len(t or b"") for t in texts])
+        for size in np.unique(sizes[sizes > kmers.ORDER]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            plain = np.array([texts[k].isascii() for k in rows])
+            for own in (rows[plain], *rows[~plain, None]):  # texts of one length are one matrix
+                if not len(own):
+                    continue
+                code = arrays.letters(b"".join(texts[k] for k in own)).reshape(len(own), -1)[:, : S.FLANK]
+                n = code.shape[1] - kmers.ORDER
+                if n < 1:
+                    continue
+                word = np.zeros((len(own), n), np.int16)
+                bad = np.zeros((len(own), n), bool)
+                for k in range(kmers.ORDER + 1):
+                    word = word * 4 + code[:, k : k + n]
+                    bad |= code[:, k : k + n] == arrays.NONE
+                word[bad] = arrays.OTHER
+                fine[own] = known[word].any(axis=1)
+                by = [table[word[:, r::3]].sum(axis=1) for r in range(3)]
+                s = [sum(by[r][:, (r + m) % 3] for r in range(3)) for m in range(3)]
+                non = s[0] if compat else sum(by[r][:, kmers.NONCODING] for r in range(3))
+                top = np.maximum.reduce([*s, non])
+                with np.errstate(invalid="ignore"):
+                    coding = sum(CODING_PRIOR * np.exp(x - top) for x in s)
+                    post[own] = coding / (coding + NONCODING_PRIOR * np.exp(non - top))
+        return post, fine
+
+    def body(batch):
+        up, down = (posterior(arrays.column(batch, side)) for side in ("up", "down"))
+        index = np.flatnonzero(up[1] & down[1])
+        return index, [pa.array(up[0][index]), pa.array(down[0][index])]
+
+    rows = arrays.extend(flanked, flanked.columns, "post_up double, post_down double", body, "up", "down")
+    return rows.withColumn("mcratio", F.round(F.log(F.col("post_down") / F.col("post_up")), 6))
 
 
 def predict_content(scored: DataFrame, neuron: DataFrame | None = None, key: str = "seq_id", sigmoid: bool = False) -> DataFrame:
@@ -104,13 +130,43 @@ def dynamic_loglik(seqs: DataFrame, cloud: DataFrame, phase: int = 0, key: str =
     """(key, loglik): the best likelihood that probabilities within the cloud can give.
 
     For each history, bases in falling order of their counts (then by letter) are raised from the low
-    to the high end of their range until the row sums to one."""
+    to the high end of their range until the row sums to one. A row is worked out where it is; sequences that share
+    their key, whose counts belong together, go through a shuffle of their counts. The cloud has 4,096 rows for
+    each of three phases."""
+    lo_hi = cloud_table(cloud, band)
+
+    def body(batch):
+        index, sums = [], []
+        for k, seq in enumerate(arrays.column(batch)):
+            if seq is None:
+                continue
+            code = arrays.letters(seq)
+            found = _best_in_cloud(*_word_counts(code, phase), *lo_hi)
+            if found is None and not _in_cloud(code, phase, lo_hi[2]):
+                continue
+            index.append(k)
+            sums.append(found or 0.0)
+        return index, [pa.array(sums, pa.float64())]
+
+    rows = arrays.extend(seqs, [key], "loglik double", body)
+    each = rows.groupBy(key).agg(F.sum("loglik").alias("loglik"), F.count("*").alias("__rows")).persist()  # a number a key
+    again = each.where("__rows > 1").select(F.col(key).alias("__key"))
+    out = each.where("__rows = 1").select(key, "loglik")
+    if again.isEmpty():
+        return out
+    mine = seqs.join(again, F.col(key).eqNullSafe(F.col("__key")), "left_semi").select(key, "seq")
+    return out.union(_dynamic_loglik_of_counts(mine, cloud, phase, key, band))
+
+
+def _dynamic_loglik_of_counts(seqs: DataFrame, cloud: DataFrame, phase: int, key: str, band: str) -> DataFrame:
+    """dynamic_loglik() with the counts of all sequences of a key as rows."""
     lo, hi = F.col(f"lo_{band}"), F.col(f"hi_{band}")
-    found = kmers.hexamers(seqs, F.pmod(F.col("i") + phase, F.lit(3)), key).groupBy(key, "model", "hexamer").agg(F.count("*").alias("n"))
+    found = arrays.count_words(seqs, [key], 3).groupBy(key, F.pmod(F.col("i") + phase, F.lit(3)).cast("int").alias("model"), "hexamer").agg(F.sum("n").alias("n"))
     hists = found.select(key, "model", F.substring("hexamer", 1, kmers.ORDER).alias("hist")).distinct()
     rows = hists.join(F.broadcast(cloud), ["model", "hist"])  # 4,096 rows for each of at most 7 models
-    found = found.select(key, "model", F.substring("hexamer", 1, kmers.ORDER).alias("hist"), F.substring("hexamer", kmers.ORDER + 1, 1).alias("base"), "n")
-    rows = rows.join(found, [key, "model", "hist", "base"], "left").fillna(0, ["n"])
+    found = found.select(F.col(key).alias("__key"), "model", F.substring("hexamer", 1, kmers.ORDER).alias("hist"), F.substring("hexamer", kmers.ORDER + 1, 1).alias("base"), "n")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    rows = rows.alias("r").join(found.alias("f"), same & (F.col("r.model") == F.col("f.model")) & (F.col("r.hist") == F.col("f.hist")) & (F.col("r.base") == F.col("f.base")), "left").select("r.*", "f.n").fillna(0, ["n"])
     own = Window.partitionBy(key, "model", "hist")
     spent = F.coalesce(F.sum(hi - lo).over(own.orderBy(F.desc("n"), "base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = 1 - F.sum(lo).over(own) - spent
@@ -118,6 +174,61 @@ def dynamic_loglik(seqs: DataFrame, cloud: DataFrame, phase: int = 0, key: str =
     return rows.withColumn("p", p).groupBy(key).agg(F.sum(F.when(F.col("n") > 0, F.col("n") * S.log_or_inf(F.col("p"))).otherwise(0.0)).alias("loglik"))
 
 
+def cloud_table(cloud: DataFrame, band: str):
+    """(lo, hi, has) of a cloud by phase, history and base, zero and false where it has no row."""
+    lo, hi, has = (np.zeros((3, 4**kmers.ORDER, 4), t) for t in (float, float, bool))
+    for r in cloud.select("model", "hist", "base", f"lo_{band}", f"hi_{band}").where(F.col("model").isin(0, 1, 2)).collect():
+        at = int(arrays.words(arrays.letters((r["hist"] + r["base"]).encode()))[0])
+        if at < arrays.OTHER:
+            place = r["model"], at // 4, at % 4
+            lo[place], hi[place], has[place] = r[3], r[4], True
+    return lo, hi, has
+
+
+def _word_counts(code, phase: int):
+    """(models, histories, counts of the four bases) of the words of code."""
+    codes = []
+    for at in range(0, len(code) - kmers.ORDER, arrays.PIECE):
+        word = arrays.words(code[at : at + arrays.PIECE + kmers.ORDER]).astype(np.int32)
+        model = (np.arange(len(word), dtype=np.int32) + (at + phase) % 3) % 3
+        codes.append((word + model * arrays.OTHER)[word < arrays.OTHER])
+    both = np.concatenate(codes) if codes else np.empty(0, np.int32)
+    value, n = np.unique(both, return_counts=True) if len(both) < 3 * arrays.OTHER else _counted(both)
+    hist, row = np.unique(value // 4, return_inverse=True)
+    counts = np.zeros((len(hist), 4), np.int64)
+    counts[row, value % 4] = n
+    return hist // 4**kmers.ORDER, hist % 4**kmers.ORDER, counts
+
+
+def _counted(codes):
+    n = np.bincount(codes)
+    value = np.flatnonzero(n)
+    return value, n[value]
+
+
+def _best_in_cloud(model, hist, counts, lo, hi, has) -> float | None:
+    """The best likelihood of counts; None where the cloud has none of the histories."""
+    low, high, there = lo[model, hist], hi[model, hist], has[model, hist]
+    if not there.any():
+        return None
+    order = np.argsort(np.where(there, -counts, 1), axis=1, kind="stable")  # falling counts, then by letter
+    low, high, there, n = (np.take_along_axis(x, order, 1) for x in (low, high, there, counts))
+    room = high - low
+    spent = np.cumsum(room, axis=1) - room
+    p = low + np.maximum(0.0, np.minimum(room, 1 - low.sum(axis=1, keepdims=True) - spent))
+    use = there & (n > 0)
+    with np.errstate(divide="ignore"):
+        return float((n[use] * np.where(p[use] > 0, np.log(np.maximum(p[use], 5e-324)), -np.inf)).sum())
+
+
+def _in_cloud(code, phase: int, has) -> bool:
+    """Whether the cloud has a history of code, whatever symbol follows it."""
+    known = has.any(axis=2)
+    word = arrays.words(code, kmers.ORDER)[: max(0, len(code) - kmers.ORDER)]
+    model, fine = (np.arange(len(word)) + phase) % 3, word < 4**kmers.ORDER
+    return bool(known[model[fine], word[fine]].any())
+
+
 #: Bases of a block of the stop index.
 BLOCK = 4_096
 
@@ -128,15 +239,20 @@ def stop_index(contigs: DataFrame) -> DataFrame:
     stops are the sorted one-based first places, on the plus strand, of the frame's stop codons that begin in the block
     (on the minus strand those of their reverse complements), frame their remainder by three; before and after are
     the nearest ones in other blocks, n is the length of the contig. Every block has a row."""
-    rows = contig_store(contigs.select("contig_id", "seq"), BLOCK, S.CODON - 1).select("contig_id", F.col("chunk_no").alias("block"), "n", F.length("seq").alias("m"), F.col("seq").cast("binary").alias("b"))
-    codons = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("m") - 2)), lambda i: F.substring("b", i, F.lit(S.CODON)).cast("string"))
-    rows = rows.select("contig_id", "block", "n", codons.alias("codons"))
-    origin = F.col("block").cast("long") * BLOCK + 1
-    hits = lambda words: F.filter(F.transform("codons", lambda c, i: F.when(c.isin(*words), origin + i)), lambda p: p.isNotNull())
-    rows = rows.select("contig_id", "block", "n", *(hits(words).alias(name) for name, words in STOPS.items()))
-    in_frame = lambda name, k: F.filter(F.col(f"`{name}`"), lambda p: p % 3 == k)
-    groups = [F.struct(F.lit(name).alias("strand"), F.lit(k).alias("frame"), in_frame(name, k).alias("stops")) for name in STOPS for k in range(3)]
-    rows = rows.select("contig_id", "block", "n", F.explode(F.array(*groups)).alias("x")).select("contig_id", "block", "n", "x.*")
+    rows = contig_store(contigs.select("contig_id", "seq"), BLOCK, S.CODON - 1).select("contig_id", F.col("chunk_no").alias("block"), "n", "seq")
+
+    def body(batch):
+        index, strands, frames, stops = [], [], [], []
+        for k, (seq, block) in enumerate(zip(arrays.column(batch), arrays.column(batch, "block"), strict=True)):
+            word = arrays.words(arrays.letters(seq or b""), S.CODON)
+            for strand, known in codes.items():
+                place = np.flatnonzero(np.isin(word, known)) + block * BLOCK + 1
+                for frame in range(3):
+                    index.append(k), strands.append(strand), frames.append(frame), stops.append(place[place % 3 == frame])
+        return index, [pa.array(strands, pa.string()), pa.array(frames, pa.int32()), pa.array(stops, pa.list_(pa.int64()))]
+
+    codes = {strand: [int(arrays.words(arrays.letters(w.encode()), S.CODON)[0]) for w in words] for strand, words in STOPS.items()}
+    rows = arrays.extend(rows, ["contig_id", "block", "n"], "strand string, frame int, stops array<bigint>", body)
     own = Window.partitionBy("contig_id", "strand", "frame").orderBy("block")
     before = F.max(F.array_max("stops")).over(own.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.array_min("stops")).over(own.rowsBetween(1, Window.unboundedFollowing))
@@ -222,7 +338,7 @@ def count_kmers_shadow(cds: DataFrame) -> DataFrame:
     """Counts of models 3 to 5 on the reverse complement, in phase with the forward strand."""
     rows = cds.select(S.revcomp(F.col("seq")).alias("seq"))
     first = shadow_phase(F.length("seq"))
-    return kmers.count_kmers(rows.select("seq", (first - 3).alias("f")), F.pmod(F.col("i") + F.col("f"), F.lit(3)) + 3, "f")
+    return kmers.count_kmers(rows.select("seq", (first - 3).alias("f")), F.pmod(F.col("i") + F.col("f"), F.lit(3)) + 3, "f", period=3)
 
 
 def supported_structures(structures: DataFrame, members: DataFrame, min_exons: int = 3, min_score: float = 1.0) -> DataFrame:

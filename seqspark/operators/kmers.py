@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
+from seqspark.operators import arrays
 
 #: Order of the models, pseudocount, reliable histogram count, least confidence, null bounds.
 ORDER, PSEUDO, RELIABLE, CONFIDENCE, NULL_BOUND, NULL_FIX = 5, 5, 400, 0.5, 1e-5, 5e-5
@@ -57,11 +60,23 @@ def _windows(seqs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, (F.col("at") + F.col("j")).cast("int").alias("i"), "hexamer")
 
 
-def count_kmers(seqs: DataFrame, model: Column, *use: str) -> DataFrame:
+def count_hexamers(seqs: DataFrame, model: Column, *use: str, period: int | None = None) -> DataFrame:
+    """(model, hexamer, n); model may use i and the columns use of seqs.
+
+    With period, model depends on i only by its remainder by period: tasks then count words as numbers, and a few sums
+    of each task are what is shuffled. Without it every place is a row."""
+    if period is None:
+        return hexamers(seqs, model, *use).groupBy("model", "hexamer").agg(F.count("*").alias("n"))
+    rows = arrays.count_words(seqs, list(use), period)
+    return rows.groupBy(model.cast("int").alias("model"), "hexamer").agg(F.sum("n").alias("n"))
+
+
+def count_kmers(seqs: DataFrame, model: Column, *use: str, period: int | None = None) -> DataFrame:
     """(model, k, hist, base, n) for k = 1..6; hexamers are counted once, shorter words from their prefixes.
 
-    model may use i and the columns use of seqs, so pmod(i, 3) counts by codon phase. All orders see the same start places."""
-    six = hexamers(seqs, model, *use).groupBy("model", "hexamer").agg(F.count("*").alias("n"))
+    model may use i and the columns use of seqs, so pmod(i, 3) counts by codon phase (with period 3, see count_hexamers()). All
+    orders see the same start places."""
+    six = count_hexamers(seqs, model, *use, period=period)
     rows = six.select("model", "hexamer", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
     word = F.substring("hexamer", F.lit(1), F.col("k"))
     rows = rows.groupBy("model", "k", word.alias("w")).agg(F.sum("n").alias("n"))
@@ -178,7 +193,7 @@ def with_gc_bin(seqs: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def train_gc_fixed_order(binned: DataFrame) -> DataFrame:
     """(q, model, hist, base, p): one 3-periodic order-5 chain for each GC bin of binned(q, seq)."""
-    six = hexamers(binned, F.col("q") * 10 + F.pmod(F.col("i"), F.lit(3)), "q").groupBy("model", "hexamer").agg(F.count("*").alias("n"))
+    six = count_hexamers(binned, F.col("q") * 10 + F.pmod(F.col("i"), F.lit(3)), "q", period=3)
     six = six.select("model", F.lit(ORDER + 1).alias("k"), F.substring("hexamer", 1, ORDER).alias("hist"), F.substring("hexamer", ORDER + 1, 1).alias("base"), "n")
     rows = train_fixed_order(six)
     return rows.select(F.floor(F.col("model") / 10).cast("int").alias("q"), (F.col("model") % 10).cast("int").alias("model"), "hist", "base", "p")
@@ -187,10 +202,47 @@ def train_gc_fixed_order(binned: DataFrame) -> DataFrame:
 def gc_loglik(binned: DataFrame, chains: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, q, loglik) of phase 0 under the chain of the sequence's own GC bin; bins without a chain give none.
 
-    Chains have 4,096 rows a bin and model, which bounds what is broadcast."""
-    table = chains.select("q", "model", F.concat("hist", "base").alias("hexamer"), S.log_or_inf(F.col("p")).alias("ln"))
-    rows = hexamers(binned, F.pmod(F.col("i"), F.lit(3)), key, "q").join(F.broadcast(table), ["q", "model", "hexamer"])
-    return rows.groupBy(key, "q").agg(F.sum("ln").alias("loglik"))
+    Chains have 4,096 rows a bin and model, which bounds what tasks are given."""
+    tables = bin_logs(chains)
+
+    def body(batch):
+        index, sums = [], []
+        for k, (seq, q) in enumerate(zip(arrays.column(batch), arrays.column(batch, "q"), strict=True)):
+            if seq is None or q not in tables:
+                continue
+            total, found = _phased(arrays.letters(seq), tables[q])
+            if found:
+                index.append(k)
+                sums.append(total)
+        return index, [pa.array(sums, pa.float64())]
+
+    rows = arrays.extend(binned, [key, "q"], "loglik double", body)
+    return rows.groupBy(key, "q").agg(F.sum("loglik").alias("loglik"))
+
+
+def bin_logs(chains: DataFrame) -> dict:
+    """{q: (known, logs)} of chains(q, model, hist, base, p) by phase and word, 0 where a chain lacks a word."""
+    out: dict = {}
+    for r in chains.select("q", "model", F.concat("hist", "base").alias("w"), S.log_or_inf(F.col("p")).alias("ln")).where(F.col("model").isin(0, 1, 2)).collect():
+        known, logs = out.setdefault(r["q"], (np.zeros((3, arrays.OTHER + 1), bool), np.zeros((3, arrays.OTHER + 1))))
+        at = int(arrays.words(arrays.letters(r["w"].encode()))[0])
+        if at < arrays.OTHER:
+            known[r["model"], at], logs[r["model"], at] = True, r["ln"]
+    return out
+
+
+def _phased(code, table, use=None) -> tuple[float, bool]:
+    """(sum, whether there is a word) of all words of code (those of use, if given) under the table of their place's remainder by three."""
+    known, logs = table
+    total, found = 0.0, False
+    for at in range(0, len(code) - ORDER, arrays.PIECE):
+        word = arrays.words(code[at : at + arrays.PIECE + ORDER])
+        for r in range(3):
+            own = word[r::3] if use is None else word[r::3][use[at : at + len(word)][r::3]]
+            phase = (at + r) % 3
+            total += float(logs[phase, own].sum())
+            found = found or bool(known[phase, own].any())
+    return total, found
 
 
 def history_buckets(counts: list[int], held: list[int]) -> list[list[int]]:
@@ -292,32 +344,39 @@ def wide_model(chain: DataFrame, models: int = NONCODING + 1) -> DataFrame:
 def fo_loglik(seqs: DataFrame, model: DataFrame, key: str = "seq_id", periodic: bool = True) -> DataFrame:
     """(key, model, loglik) under each phase table of a fixed-order chain; table (i - 5 + model) mod 3.
 
-    Each hexamer meets the model once, in a join on 4,096 rows, and adds to all phases; sums are combined
-    map-side."""
-    rows = _windows(seqs, key).join(F.broadcast(wide_model(model)), "hexamer")
+    A task sums the logarithms of a sequence's words for all phases at once; the table has 4,096 rows."""
+    known, logs = word_logs(model)
     if not periodic:
-        return rows.groupBy(key).agg(F.sum("l3").alias("loglik")).select(key, F.lit(0).alias("model"), "loglik")
-    turn = F.col("i") % 3
-    phase = lambda m: F.sum(F.when((turn + m) % 3 == 0, F.col("l0")).when((turn + m) % 3 == 1, F.col("l1")).otherwise(F.col("l2")))
-    sums = rows.groupBy(key).agg(*(phase(m).alias(f"s{m}") for m in range(3)))
-    return sums.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(3)))).alias("x")).select(key, "x.*")
+        rows = arrays.phase_sums(seqs, [key], known, logs, [[NONCODING] * 3])
+        return rows.groupBy(key).agg(F.sum("s0").alias("loglik")).select(key, F.lit(0).alias("model"), "loglik")
+    return _by_model(arrays.phase_sums(seqs, [key], known, logs, [[(r + m) % 3 for r in range(3)] for m in range(3)]), key, 3)
+
+
+def word_logs(chain: DataFrame, models: int = NONCODING + 1):
+    """(known, logs) of wide_model() by word, the last row for words with other symbols: 4,097 rows."""
+    known, logs = np.zeros(arrays.OTHER + 1, bool), np.zeros((arrays.OTHER + 1, models))
+    for r in wide_model(chain, models).collect():
+        at = int(arrays.words(arrays.letters(r["hexamer"].encode()))[0])
+        if at < arrays.OTHER:
+            known[at], logs[at] = True, r[1:]
+    return known, logs
+
+
+def _by_model(rows: DataFrame, key: str, models: int) -> DataFrame:
+    """rows(key, s0, s1, ...) as (key, model, loglik); rows of one key add up."""
+    sums = rows.groupBy(key).agg(*(F.sum(f"s{m}").alias(f"s{m}") for m in range(models)))
+    return sums.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(models)))).alias("x")).select(key, "x.*")
 
 
 def both_strand_loglik(seqs: DataFrame, chain: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, model, loglik) under the seven models of a fixed-order chain: the phases of the forward strand (0 to 2), of the
     reverse strand (3 to 5, from content.count_kmers_shadow()) and noncoding (6).
 
-    Models m and m + 3 take table (i - 5 + m) mod 3 of their strand at base i. As in fo_loglik(), a hexamer meets the
-    model once and adds to all seven sums."""
-    rows = _windows(seqs, key).join(F.broadcast(wide_model(chain, BOTH_NONCODING + 1)), "hexamer")
-
-    def phase(m: int) -> Column:
-        at, first = (F.col("i") + m) % 3, m - m % 3
-        return F.sum(F.when(at == 0, F.col(f"l{first}")).when(at == 1, F.col(f"l{first + 1}")).otherwise(F.col(f"l{first + 2}")))
-
-    sums = rows.groupBy(key).agg(*(phase(m).alias(f"s{m}") for m in range(BOTH_NONCODING)), F.sum(f"l{BOTH_NONCODING}").alias(f"s{BOTH_NONCODING}"))
-    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"s{m}").alias("loglik")) for m in range(BOTH_NONCODING + 1)))
-    return sums.select(key, F.explode(each).alias("x")).select(key, "x.*")
+    Models m and m + 3 take table (i - 5 + m) mod 3 of their strand at base i. As in fo_loglik(), a word adds to all seven
+    sums at once."""
+    known, logs = word_logs(chain, BOTH_NONCODING + 1)
+    turns = [[m - m % 3 + (r + m) % 3 for r in range(3)] for m in range(BOTH_NONCODING)] + [[BOTH_NONCODING] * 3]
+    return _by_model(arrays.phase_sums(seqs, [key], known, logs, turns), key, BOTH_NONCODING + 1)
 
 
 def posteriors(logs: DataFrame, noncoding: int = NONCODING, key: str = "seq_id") -> DataFrame:
@@ -373,11 +432,50 @@ def _gc_counts(seq: Column, width: int, body) -> Column:
 
 
 def gc_windows(seqs: DataFrame, width: int = GC_WIDTH) -> DataFrame:
-    """(gc, n): integer GC percent of every window of `width` bases (10 at least); shorter sequences count once, whole."""
-    n = F.length("seq")
-    long = chunks(seqs, overlap=width - 1).select(F.explode(_gc_counts(F.col("seq"), width, lambda c: c)).alias("gc"))
-    short = seqs.where((n < width) & (n > 0)).select(F.floor(100 * _gc(F.col("seq")) / n).cast("int").alias("gc"))
-    return long.select(F.floor(100 * F.col("gc") / width).cast("int").alias("gc")).union(short).groupBy("gc").agg(F.count("*").alias("n"))
+    """(gc, n): integer GC percent of every window of `width` bases; shorter sequences count once, whole.
+
+    Tasks count windows from running sums; at most 101 rows of each are shuffled."""
+
+    def count(batches):
+        counts = np.zeros(101, np.int64)
+        for batch in batches:
+            for seq in arrays.column(batch):
+                if seq:
+                    counts += np.bincount(_window_gc(arrays.letters(seq), width), minlength=101)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["gc", "n"])
+
+    rows = seqs.select(F.col("seq").cast("binary").alias("seq")).mapInArrow(count, "gc int, n long")
+    return rows.groupBy("gc").agg(F.sum("n").alias("n"))
+
+
+def _window_gc(code, width: int):
+    """Integer GC percent of every window of `width` codes, of all codes where they are fewer."""
+    till = np.concatenate(([0], np.cumsum((code == 1) | (code == 2), dtype=np.int64)))
+    size = min(width, len(code))
+    return 100 * (till[size:] - till[:-size]) // size
+
+
+def _gc_bins(bounds: DataFrame, width: int, edges: bool):
+    """A function of a sequence's codes that gives every hexamer the GC bin of gc_hexamers(), -1 where that leaves it out, and the
+    names of the bins. bounds has a handful of rows."""
+    listed = sorted((r["q"], r["bound"]) for r in bounds.select("q", "bound").collect())
+    names = [q for q, _ in listed]
+    of_percent = np.array([next((k for k, (_, b) in enumerate(listed) if b >= g), len(listed) - 1) for g in range(101)])
+    side = (width - ORDER - 1) // 2
+
+    def find(code):
+        n = len(code) - ORDER
+        bins = of_percent[_window_gc(code, width)]
+        if len(bins) == 1 and len(code) < width:
+            return np.full(n, bins[0])
+        out = bins[np.clip(np.arange(n) - side, 0, len(bins) - 1)]
+        if not edges:
+            out[:side] = -1
+            out[side + len(bins) :] = -1
+        return out
+
+    return find, names
 
 
 def _bins(bounds: DataFrame) -> DataFrame:
@@ -416,9 +514,16 @@ def gc_hexamers(seqs: DataFrame, bounds: DataFrame, *keep: str, edges: bool = Fa
     return rows.select(*keep, "i", "hexamer", "gc").union(short).join(F.broadcast(_bins(bounds)), "gc").select(*keep, "i", "hexamer", "q")
 
 
-def count_gc_kmers(seqs: DataFrame, bounds: DataFrame, model: Column) -> DataFrame:
-    """(q, model, k, hist, base, n): count_kmers() by the GC bin of each position's window; model may use i."""
-    six = gc_hexamers(seqs, bounds).select("q", model.cast("int").alias("model"), "hexamer").groupBy("q", "model", "hexamer").agg(F.count("*").alias("n"))
+def count_gc_kmers(seqs: DataFrame, bounds: DataFrame, model: Column, period: int | None = None) -> DataFrame:
+    """(q, model, k, hist, base, n): count_kmers() by the GC bin of each position's window; model may use i, and period
+    is that of count_hexamers()."""
+    if period is None:
+        six = gc_hexamers(seqs, bounds).select("q", model.cast("int").alias("model"), "hexamer").groupBy("q", "model", "hexamer").agg(F.count("*").alias("n"))
+    else:
+        find, names = _gc_bins(bounds, GC_WIDTH, False)
+        rows = arrays.count_words(seqs, [], period, find, "at int")
+        q = F.element_at(F.array(*(F.lit(q).cast(bounds.schema["q"].dataType) for q in names)), F.col("at") + 1) if names else F.lit(None).cast(bounds.schema["q"].dataType)
+        six = rows.groupBy(q.alias("q"), model.cast("int").alias("model"), "hexamer").agg(F.sum("n").alias("n"))
     rows = six.select("q", "model", "hexamer", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("k"))
     rows = rows.groupBy("q", "model", "k", F.substring("hexamer", F.lit(1), F.col("k")).alias("w")).agg(F.sum("n").alias("n"))
     return rows.select("q", "model", "k", F.substring("w", F.lit(1), F.col("k") - 1).alias("hist"), F.substring("w", F.col("k"), F.lit(1)).alias("base"), "n")
@@ -433,13 +538,27 @@ def train_by_bin(train, *counts: DataFrame) -> DataFrame:
     return out.select(F.floor(F.col("model") / 100).cast("int").alias("q"), (F.col("model") % 100).cast("int").alias("model"), *rest)
 
 
-def gc_window_loglik(seqs: DataFrame, bounds: DataFrame, chains: DataFrame, model: Column, key: str = "seq_id") -> DataFrame:
+def gc_window_loglik(seqs: DataFrame, bounds: DataFrame, chains: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, loglik): each hexamer under the order-5 chain of chains(q, model, hist, base, p) for the GC bin of its own
-    window; model may use i. Positions whose bin has no chain add nothing. Chains have 4,096 rows a bin and
-    model, which bounds what is broadcast."""
-    table = chains.select("q", "model", F.concat("hist", "base").alias("hexamer"), S.log_or_inf(F.col("p")).alias("ln"))
-    rows = gc_hexamers(seqs, bounds, key, edges=True).withColumn("model", model.cast("int"))
-    return rows.join(F.broadcast(table), ["q", "model", "hexamer"]).groupBy(key).agg(F.sum("ln").alias("loglik"))
+    window, and the model of its place's remainder by three. Positions whose bin has no chain add nothing. Chains have
+    4,096 rows a bin and model, which bounds what tasks are given."""
+    find, names = _gc_bins(bounds, GC_WIDTH, True)
+    tables = bin_logs(chains)
+
+    def body(batch):
+        index, sums = [], []
+        for k, seq in enumerate(arrays.column(batch)):
+            code = arrays.letters(seq or b"")
+            if len(code) <= ORDER or not names:
+                continue
+            bins = find(code)
+            each = [_phased(code, tables[names[q]], bins == q) for q in np.unique(bins).tolist() if names[q] in tables]
+            if any(found for _, found in each):
+                index.append(k)
+                sums.append(sum(total for total, _ in each))
+        return index, [pa.array(sums, pa.float64())]
+
+    return arrays.extend(seqs, [key], "loglik double", body).groupBy(key).agg(F.sum("loglik").alias("loglik"))
 
 
 def partition_stats(models: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqspark.functions import seq as S
+from seqspark.operators import arrays
 
 #: Sites of one piece of a sequence that is searched on all frames.
 CHUNK = 4096
 
 
-def met_sites(seqs: DataFrame, key: str = "seq_id", whole_codons: bool = True) -> DataFrame:
+def met_sites(seqs: DataFrame, key: str = "seq_id", whole_codons: bool = True, flank: int = 0) -> DataFrame:
     """Every in-frame, scorable ATG of flanked sequences (key, seq): (key, pos, site, len). Coding parts that
-    are no multiple of three give none if whole_codons, else those of their whole codons.
-
-    Codons are filtered inside the array, so only real sites become rows."""
-    n = F.length("seq")
-    rows = seqs.where(S.cds_eligible(n) if whole_codons else n > 2 * S.FLANK + S.UPSTREAM + S.DOWNSTREAM).select(key, "seq", n.alias("len"))
-    coding = F.substring("seq", F.lit(S.FIRST_CODON), F.col("len") - 2 * S.FLANK - S.UPSTREAM - S.DOWNSTREAM)
-    found = F.filter(F.transform(S.codons(coding), lambda c, i: F.when(S.is_met(c), i * 3 + S.FIRST_CODON)), lambda p: p.isNotNull())
-    rows = rows.select(key, "len", "seq", F.explode(found).alias("pos"))
-    return rows.where(S.met_scorable(F.col("pos"), F.col("len"))).select(key, "pos", S.site_at(F.col("seq"), F.col("pos")).alias("site"), "len")
+    are no multiple of three give none if whole_codons, else those of their whole codons. With flank only sites that have so many
+    bases more around them, and up and down, the bases next to what scores a site.
+
+    Codons are compared inside the task, so only real sites become rows."""
+    n, around = F.length("seq"), 2 * S.FLANK + S.UPSTREAM + S.DOWNSTREAM
+    rows = seqs.where(S.cds_eligible(n) if whole_codons else n > around).select(key, "seq")
+    atg = np.frombuffer(b"ATG", np.uint8)
+
+    def body(batch):
+        index, places, lengths, found = [], [], [], []
+        for k, seq in enumerate(arrays.column(batch)):
+            points = arrays.points(seq)
+            n = len(points)
+            coding = points[S.FIRST_CODON - 1 : S.FIRST_CODON - 1 + (n - around) // 3 * 3].reshape(-1, S.CODON)
+            pos = np.flatnonzero((coding == atg).all(axis=1)) * S.CODON + S.FIRST_CODON
+            pos = pos[(pos - S.UPSTREAM - flank >= 1) & (pos + S.CODON - 1 + S.DOWNSTREAM + flank <= n)].tolist()
+            text = seq if seq.isascii() else seq.decode()
+            index += [k] * len(pos)
+            places += pos
+            lengths += [n] * len(pos)
+            found += [(text, p) for p in pos]
+        first = S.UPSTREAM + 1
+        cuts = [[t[p - first : p - first + S.SITE] for t, p in found]]
+        if flank:
+            cuts += [[t[p - first - flank : p - first] for t, p in found], [t[p - first + S.SITE : p - first + S.SITE + flank] for t, p in found]]
+        texts = [pa.array([x if isinstance(x, str) else x.decode() for x in c], pa.string()) for c in cuts]
+        return index, [pa.array(places, pa.int32()), texts[0], pa.array(lengths, pa.int32()), *texts[1:]]
+
+    return arrays.extend(rows, [key], "pos int, site string, len int" + (", up string, down string" if flank else ""), body)
 
 
 def labelled_sites(sites: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -52,45 +76,118 @@ def smoothed(p: Column, rows: Window) -> Column:
     return F.when(most < S.MAX_FAULT, 0.25).when(least < S.MAX_FAULT, raised).otherwise(p)
 
 
-def _grid(groups: DataFrame, length: int, pairs: bool) -> DataFrame:
-    """All (pos, prev, base) of a model for each group; groups and grid are model-sized."""
-    bases = F.array(*map(F.lit, S.BASES))
-    rows = groups.select("*", F.explode(F.sequence(F.lit(1 if pairs else 0), F.lit(length - 1))).alias("pos"))
-    rows = rows.withColumn("base", F.explode(bases))
-    return rows.withColumn("prev", F.explode(bases)) if pairs else rows
+def _counts(sites: DataFrame, by: list[str], length: int, pairs: bool) -> DataFrame:
+    """(by, pos, prev, base, n) with every place, base and, for pairs, base before it (a hyphen at place 0 and without pairs)
+    of a model of each group, n its count, also 0.
+
+    Tasks count the bases of their sites as numbers; what is shuffled is a model's size from each."""
+    width = 25 if pairs else 5
+    schema = StructType([sites.schema[c] for c in by] + StructType.fromDDL("pos int, prev string, base string, n long").fields)
+    names = schema.fieldNames()
+    cells = [(k, S.BASES[c // 5] if k and pairs else "-", S.BASES[c % 5], k * width + c) for k in range(length) for c in range(width) if c % 5 < 4 and (c // 5 < 4 if k else c < 5)]
+    column = lambda j: [c[j] for c in cells]
+    pos, prev, base, cell = column(0), column(1), column(2), np.array(column(3))
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        types = None
+
+        def out():
+            for key, own in sums.items():
+                kept = [pa.array([v] * len(cells), t) for v, t in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos, pa.int32()), pa.array(prev), pa.array(base), pa.array(own[cell])], names=names)
+            sums.clear()
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            keys, group = _groups(batch, by)
+            for rows, code in _matrices(batch.column(batch.schema.get_field_index("site"))):
+                code = code[:, :length].astype(np.int32)
+                size = code.shape[1]
+                shift = np.arange(size, dtype=np.int32) * width
+                step = max(1, (1 << 18) // max(size, 1))
+                for at in range(0, len(rows), step):
+                    part = code[at : at + step]
+                    at_place = part + shift
+                    if pairs:
+                        at_place[:, 1:] += part[:, :-1] * 5
+                    at_place += group[rows[at : at + step], None] * (length * width)
+                    found = np.bincount(at_place.ravel(), minlength=len(keys) * length * width).reshape(len(keys), -1)
+                    for key, own in zip(keys, found, strict=True):
+                        sums[key] = sums[key] + own if key in sums else own.copy()
+            for key in keys:  # a group whose sites have no base that counts is a group
+                sums.setdefault(key, np.zeros(length * width, np.int64))
+            if len(sums) > arrays.HELD:
+                yield from out()
+        yield from out()
+
+    given = sites.select(*by, F.col("site").cast("binary").alias("site"))
+    return given.mapInArrow(run, schema).groupBy(*by, "pos", "prev", "base").agg(F.sum("n").alias("n"))
+
+
+def _groups(batch, by: list[str]) -> tuple[list[tuple], np.ndarray]:
+    """The distinct values of the columns by, and the number of each row's."""
+    codes, values = np.zeros(batch.num_rows, np.int64), []
+    for c in by:
+        coded = batch.column(batch.schema.get_field_index(c)).dictionary_encode(null_encoding="encode")
+        codes = codes * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        values.append(coded.dictionary.to_pylist())
+    kinds, group = np.unique(codes, return_inverse=True)
+    keys = []
+    for kind in kinds.tolist():
+        key = []
+        for v in reversed(values):
+            kind, k = divmod(kind, max(1, len(v)))
+            key.append(v[k])
+        keys.append(tuple(reversed(key)))
+    return keys, group.reshape(-1).astype(np.int32)
+
+
+def _matrices(texts):
+    """(numbers of rows, codes of their bases) of a column of UTF-8 bytes, one matrix for each length; null rows and empty ones have none."""
+    if not texts.null_count and len(texts):
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        sizes = np.diff(ends)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        if sizes[0] and (sizes == sizes[0]).all() and data.max() < 128:
+            yield np.arange(len(texts)), arrays._CODE[data].reshape(len(texts), -1)
+            return
+    by_size: dict[int, tuple[list, list]] = {}
+    for k, text in enumerate(texts.to_pylist()):
+        if text:
+            code = arrays.letters(text)
+            rows, codes = by_size.setdefault(len(code), ([], []))
+            rows.append(k), codes.append(code)
+    for rows, codes in by_size.values():
+        yield np.array(rows), np.array(codes)
 
 
 def train_pwm(sites: DataFrame, by: list[str], length: int = S.SITE, fixed: range = range(5, 8)) -> DataFrame:
     """(by, pos, base, p): position weight matrix; places in fixed are not smoothed."""
-    counts = count_mono(sites, *by)
-    grid = _grid(counts.select(*by).distinct(), length, False)
-    rows = grid.join(counts, [*by, "pos", "base"], "left").fillna(0, ["n"])
+    rows = _counts(sites, by, length, False)
     own = Window.partitionBy(*by, "pos")
     rows = rows.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), F.sum("n").over(own)), F.lit(0.25)))
     p = F.when(F.col("pos").isin(*fixed), F.col("p")).otherwise(smoothed(F.col("p"), own))
     return rows.select(*by, "pos", "base", p.alias("p"))
 
 
-def train_wam(sites: DataFrame, by: list[str], length: int = S.SITE, motif_at: int = S.UPSTREAM, motif: str = "ATG", smooth_first: bool = True) -> DataFrame:
+def train_wam(sites: DataFrame, by: list[str], length: int = S.SITE, motif_at: int = S.UPSTREAM, motif: str | Column = "ATG", smooth_first: bool = True, motif_size: int | None = None) -> DataFrame:
     """(by, pos, prev, base, p): first-order weight array matrix around a fixed motif.
 
     At pos 0 prev is a hyphen and p the base's share. Rows inside the motif are its own transitions;
-    right after it only the row of its last base counts, the others are zero."""
-    mono, di = count_mono(sites, *by).where("pos = 0"), count_di(sites, *by)
-    groups = sites.select(*by).distinct()
-    start = _grid(groups, 1, False).join(mono, [*by, "pos", "base"], "left").withColumn("prev", F.lit("-"))
-    rest = _grid(groups, length, True).join(di, [*by, "pos", "prev", "base"], "left")
-    names = [*by, "pos", "prev", "base", "n"]
-    rows = start.select(*names).union(rest.select(*names)).fillna(0, ["n"])
+    right after it only the row of its last base counts, the others are zero. motif may be a column over by of motif_size bases."""
+    rows = _counts(sites, by, length, True)
     own = Window.partitionBy(*by, "pos", "prev")
     rows = rows.withColumn("p", F.coalesce(F.try_divide(F.col("n").cast("double"), F.sum("n").over(own)), F.lit(0.0)))
     even = smoothed(F.col("p"), own)
-    k, after = F.col("pos"), motif_at + len(motif)
+    size = motif_size or len(motif)
+    letter = lambda i: F.substring(motif, i + 1, 1) if isinstance(motif, Column) else F.lit(motif[i])
+    k, after = F.col("pos"), motif_at + size
     p = F.when(k == 0, even if smooth_first else F.col("p"))
-    p = p.when(k == motif_at, (F.col("base") == motif[0]).cast("double"))
-    for i in range(1, len(motif)):
-        p = p.when(k == motif_at + i, ((F.col("prev") == motif[i - 1]) & (F.col("base") == motif[i])).cast("double"))
-    p = p.when((k == after) & (F.col("prev") != motif[-1]), 0.0)
+    p = p.when(k == motif_at, (F.col("base") == letter(0)).cast("double"))
+    for i in range(1, size):
+        p = p.when(k == motif_at + i, ((F.col("prev") == letter(i - 1)) & (F.col("base") == letter(i))).cast("double"))
+    p = p.when((k == after) & (F.col("prev") != letter(size - 1)), 0.0)
     return rows.select(*by, "pos", "prev", "base", p.otherwise(even).alias("p"))
 
 

@@ -312,12 +312,12 @@ KMERS_SQL = f"""{T.SEQS}, six AS (SELECT CAST(i % 3 AS INT) AS model, substr(seq
 
 
 def periodic(spark, d):
-    return kmers.count_kmers(T.seqs(spark, d), F.pmod(F.col("i"), F.lit(3)))
+    return kmers.count_kmers(T.seqs(spark, d), F.pmod(F.col("i"), F.lit(3)), period=3)
 
 
 @query("d2_count_kmers", f"WITH {KMERS_SQL} SELECT k, hist, base, CAST(sum(n) AS BIGINT) AS n FROM km GROUP BY ALL")
 def d2(spark, d):
-    return kmers.count_kmers(T.seqs(spark, d), F.lit(3)).select("k", "hist", "base", "n")
+    return kmers.count_kmers(T.seqs(spark, d), F.lit(3), period=1).select("k", "hist", "base", "n")
 
 
 @query("d3_count_kmers_3periodic", f"WITH {KMERS_SQL} SELECT * FROM km")
@@ -379,7 +379,7 @@ def e6(spark, d):
 def split_counts(spark, d):
     """Counts of parts 0 to 8 for training and of part 9 held out."""
     seqs = T.seqs(spark, d).withColumn("part", sampling.partition_of(F.col("seq_id"), 10))
-    return [kmers.count_kmers(seqs.where(c), F.pmod(F.col("i"), F.lit(3))) for c in ("part < 9", "part = 9")]
+    return [kmers.count_kmers(seqs.where(c), F.pmod(F.col("i"), F.lit(3)), period=3) for c in ("part < 9", "part = 9")]
 
 
 @query("e8_train_top_down")
@@ -404,7 +404,7 @@ CLASSIFIED_SQL = f"""{FIXED_SQL}, nsix AS (SELECT substr(s, CAST(i AS INT) + 1,
 @query("f19_classify_coding", f"WITH {CLASSIFIED_SQL} SELECT seq_id, best, posterior FROM cl")
 def f19(spark, d):
     chain = kmers.train_fixed_order(periodic(spark, d))
-    noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3)))
+    noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3), period=1))
     return kmers.classify_coding(T.seqs(spark, d), chain, noncoding)
 
 
@@ -710,7 +710,7 @@ SEVEN_SQL = f"""{FIXED_SQL}, sh AS (SELECT 3 + CAST((i + (3 - length(s) % 3) % 3
 def seven_models(spark, d):
     """Chains of both strands and of noncoding sequence, for which reversed sequences stand."""
     seqs = T.seqs(spark, d)
-    noncoding = kmers.count_kmers(seqs.select(F.reverse("seq").alias("seq")), F.lit(kmers.BOTH_NONCODING))
+    noncoding = kmers.count_kmers(seqs.select(F.reverse("seq").alias("seq")), F.lit(kmers.BOTH_NONCODING), period=1)
     return kmers.train_fixed_order(periodic(spark, d).union(content.count_kmers_shadow(seqs)).union(noncoding))
 
 
@@ -831,8 +831,8 @@ def e11(spark, d):
 
 def cloud(spark, d):
     seqs = T.seqs(spark, d).withColumn("part", sampling.partition_of(F.col("seq_id"), 3))
-    parts = [kmers.count_kmers(seqs.where(F.col("part") == k), F.pmod(F.col("i"), F.lit(3))).withColumn("part", F.lit(k)) for k in range(3)]
-    return content.dynamic_model(parts[0].union(parts[1]).union(parts[2]))
+    both = kmers.count_kmers(seqs, F.col("part") * 3 + F.pmod(F.col("i"), F.lit(3)), "part", period=3)  # one pass over all parts
+    return content.dynamic_model(both.withColumn("part", F.floor(F.col("model") / 3).cast("int")).withColumn("model", F.col("model") % 3))
 
 
 @query(
@@ -1004,7 +1004,7 @@ def f22(spark, d):
 )
 def f20(spark, d):
     """Coding by the dynamic model's best likelihood, noncoding by a fixed-order chain."""
-    noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3)))
+    noncoding = kmers.train_fixed_order(kmers.count_kmers(T.seqs(spark, d).withColumn("seq", S.revcomp(F.col("seq"))), F.lit(3), period=1))
     rows = content.dynamic_loglik(T.seqs(spark, d), cloud(spark, d)).withColumnRenamed("loglik", "c")
     rows = rows.join(kmers.fo_loglik(T.seqs(spark, d), noncoding, periodic=False).select("seq_id", F.col("loglik").alias("f")), "seq_id")
     return rows.select("seq_id", F.round(F.col("c") - F.col("f"), 4).alias("ratio"), (F.col("c") >= F.col("f")).alias("coding"))
@@ -1041,7 +1041,7 @@ _QB = f"""{T.SEQS}, bw AS (SELECT length(s) - length(translate(s, 'GC', '')) AS
 
 
 def gc_counts(spark, d):
-    return kmers.count_gc_kmers(T.seqs(spark, d), d17(spark, d), F.pmod(F.col("i"), F.lit(3)))
+    return kmers.count_gc_kmers(T.seqs(spark, d), d17(spark, d), F.pmod(F.col("i"), F.lit(3)), period=3)
 
 
 @query("d5_gc_window_counts", f"WITH {_QB} SELECT q, model, k, substr(h, 1, k - 1) AS hist, substr(h, k, 1) AS base, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, CAST(unnest(range(1, 7)) AS INT) AS k FROM q6) GROUP BY ALL")
@@ -1058,8 +1058,9 @@ def d5(spark, d):
 )
 def f22_windows(spark, d):
     """Every hexamer under the chain of its own window's GC bin; chains are trained on the counts of d5."""
-    chains = kmers.train_by_bin(kmers.train_fixed_order, gc_counts(spark, d))
-    rows = kmers.gc_window_loglik(T.seqs(spark, d), d17(spark, d), chains, F.pmod(F.col("i"), F.lit(3)))
+    bounds = d17(spark, d).persist()  # a handful of rows, which two steps read
+    chains = kmers.train_by_bin(kmers.train_fixed_order, kmers.count_gc_kmers(T.seqs(spark, d), bounds, F.pmod(F.col("i"), F.lit(3)), period=3))
+    rows = kmers.gc_window_loglik(T.seqs(spark, d), bounds, chains)
     return rows.withColumn("loglik", F.round("loglik", 4))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contig_id, seq): every document's letters as bases."""
-    bases = F.regexp_replace(F.translate("text", LETTERS, MAPPED), "[^ACGT]", "")
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("contig_id"), bases.alias("seq"))
+    rows = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_id"), F.col("text").cast("binary").alias("seq")))
+    key = rows.schema["contig_id"].dataType.simpleString()
+    return rows.mapInArrow(_bases, f"contig_id {key}, seq string")
+
+
+_TABLE = bytes.maketrans(LETTERS.encode(), MAPPED.encode())
+_OTHERS = bytes(set(range(256)) - set(LETTERS.encode()))
+
+
+def _bases(batches):
+    """Letters of UTF-8 text as bases, all other bytes left out."""
+    for batch in batches:
+        seqs = [None if x is None else x.translate(_TABLE, _OTHERS).decode() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seqs, pa.string())], names=["contig_id", "seq"])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -540,8 +540,8 @@ def e20(spark, d):
     exons, contigs = T.exons(spark, d), T.contigs(spark, d)
     rows = structure.splice_sites(exons, contigs).select("terminal", F.lit("T").alias("hyp"), "site")
     rows = rows.union(structure.false_splice_sites(exons, contigs).select("terminal", "kind", "site"))
-    parts = [sites.train_wam(rows.where(F.col("terminal") == t), ["terminal", "hyp"], 102, 50, motif, smooth_first=False) for t, motif in (("donor", "GT"), ("acceptor", "AG"))]
-    return parts[0].union(parts[1]).withColumn("p", F.round("p", 9))
+    motif = F.when(F.col("terminal") == "donor", "GT").otherwise("AG")
+    return sites.train_wam(rows, ["terminal", "hyp"], 102, 50, motif, smooth_first=False, motif_size=2).withColumn("p", F.round("p", 9))
 
 
 @query(

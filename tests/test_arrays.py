@@ -81,3 +81,16 @@ def test_matrix_with_a_motif_of_each_group(spark):
     assert both.where("t = 'x'").count() == 4 + 4 * 16
     counts = {(r["pos"], r["prev"], r["base"]): r["n"] for r in sites._counts(rows, ["t"], 5, True).where("t = 'a'").collect()}
     assert counts[0, "-", "T"] == 2 and counts[1, "T", "T"] == 1 and counts[4, "G", "C"] == 1 and sum(counts.values()) == 2 + 1 + 1 + 2 + 2
+
+
+def test_digests_of_false_sites(spark):
+    contig = "ACGTAGGTCCAGTTAGATCGGTAAG" * 30
+    contigs = spark.createDataFrame([("p", contig), ("p", contig[::-1]), ("m", contig)], "contig_id string, seq string")
+    exons = spark.createDataFrame([(1, "p", "+", 1, 101, 140), (1, "p", "+", 2, 201, 260), (2, "m", "-", 1, 400, 351), (2, "m", "-", 2, 300, 230)], "gene long, contig_id string, strand string, exon_no int, start int, stop int")
+    listed: dict = {}
+    for r in structure.false_splice_sites(exons, contigs).collect():
+        assert r["site"][50:52] == {"donor": "GT", "acceptor": "AG"}[r["terminal"]] and len(r["site"]) == 102
+        listed.setdefault((r["gene"], r["terminal"], r["kind"]), []).append((r["part"], r["at"], r["site"]))
+    want = {k: (len(v), hashlib.md5(",".join(x[2] for x in sorted(v)).encode()).hexdigest()) for k, v in listed.items()}
+    got = {(r["gene"], r["terminal"], r["kind"]): (r["n"], r["digest"]) for r in structure.false_site_digests(exons, contigs).collect()}
+    assert got == want and len(want) > 6

@@ -549,9 +549,7 @@ def e20(spark, d):
     f"WITH {FALSE_SITE_SQL} SELECT gene, terminal, kind, count(*) AS n, md5(string_agg(site, ',' ORDER BY part, place)) AS digest FROM fs GROUP BY ALL",
 )
 def e18(spark, d):
-    rows = structure.false_splice_sites(T.exons(spark, d), T.contigs(spark, d))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "site"))), lambda x: x["site"]), ",")
-    return rows.groupBy("gene", "terminal", "kind").agg(F.count("*").alias("n"), F.md5(listed.cast("binary")).alias("digest"))
+    return structure.false_site_digests(T.exons(spark, d), T.contigs(spark, d))
 
 
 @query("e19_phase_relabel", ORACLE["g1_exon_phase"].replace("SELECT gene, exon_no, CAST(", "SELECT gene, exon_no, CAST((1 + ").replace(" % 3 AS INT) AS phase, CAST((coalesce(sum(l) OVER w, 0) + l) % 3 AS INT) AS after", ") % 3 AS INT) AS label"))

@@ -35,9 +35,15 @@ def _bases(batches):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes as fewer splits than there are; larger inputs stay as they are."""
+    """df over all cores where few tasks would hold most of its rows, else as it is.
+
+    A Parquet row group is read by one task, however many splits its file has, so splits tell nothing: rows are counted
+    by task, for which no column is read. Equal rows go together, others are dealt by their hash."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    held = df.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
+    if not held["total"] or held["most"] * cores <= 2 * held["total"]:
+        return df
+    return df.repartition(max(cores, df.rdd.getNumPartitions()), *df.columns)
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ they stand to second-person words, capitals, punctuation and obfuscation. The le
 from all labelled training rows: words and word stems whose share among toxic texts exceeds that
 among others by far; it is joined with a short list of English insults. An entry stands in MIN_DOCS
 toxic texts at least and in min_share of them (MIN_SHARE: one in 10,000, whatever the size of the
-table). Before the lexicon is sent to the workers its bytes are checked against LEXICON_BYTES. Trees and calibration are fitted on at most about MAX_LABELLED of these rows,
-picked by a hash of the id.
+table). Before the lexicon is sent to the workers its bytes are checked against LEXICON_BYTES. Trees and calibration are fitted on
+all of these rows, equal ones once.
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are never read. Of the rest,
 a hash of the id sets a fifth of the rows aside for calibration.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from seqspark.llm.common import cut
 
-#: Rows that trees and calibration are fitted on; support of a lexicon entry among toxic texts, and its log odds.
-MAX_LABELLED, MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS = 20_000, 5, 1e-4, 3.0
+#: Support of a lexicon entry among toxic texts, and its log odds; labelled rows of a partition that trees are fitted on, about.
+MIN_DOCS, MIN_SHARE, MIN_LOG_ODDS, PART_ROWS = 5, 1e-4, 3.0, 20_000
 FOLDS, STEM_SIZES, NEAR, WORDS_KEPT, ENTRIES_KEPT, FIELDS = 5, (4, 5, 6), 5, 250_000, 300_000, 7
 ROUNDS, DEPTH = 20, 4
 #: Most bytes of the lexicon in a worker, and what an entry takes there besides its text.
@@ -135,35 +135,31 @@ def features(text: bytes | None, words: Words) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, lexicon) -> DataFrame:
-    """docs(doc_id, text, ...) as (doc_id, features array<double>); lexicon: a broadcast dict."""
+def with_features(docs: DataFrame, lexicon, *keep: str) -> DataFrame:
+    """docs(doc_id, text, ...) as (doc_id, keep, features array<double>); lexicon: a broadcast dict."""
 
     def compute(batches):
         words = Words(lexicon.value)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "features": [[float(x) for x in features(t, words)] for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), **{c: pdf[c] for c in keep}, "features": [[float(x) for x in features(t, words)] for t in pdf["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(compute, "doc_id long, features array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("text"))
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInPandas(compute, f"doc_id long, {kinds}features array<double>")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """The labelled rows that are not held out, (doc_id, text, toxic), and the number of their ids.
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled rows that are not held out, (doc_id, text, toxic).
 
     The marks are a written table, so Spark knows their size and broadcasts them only where they are small."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = cut(marks.where(~held_out(F.col("doc_id"))), "marks")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id"), marks.count()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """At most about `most` of labelled_rows(); a hash of the id picks them."""
-    return _picked(*labelled_rows(docs, labels), most)
-
-
-def _picked(rows: DataFrame, n: int, most: int) -> DataFrame:
-    share = min(1.0, most / max(1, n))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["doc_id", "text"])
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """labelled_rows(), equal ones once."""
+    return labelled_rows(docs, labels).dropDuplicates(["doc_id", "text"])
 
 
 def _entry_counts(batches):
@@ -206,18 +202,19 @@ def learn_lexicon(rows: DataFrame, min_share: float = MIN_SHARE) -> dict[str, fl
 class Model:
     """A fitted model: lexicon, trees, calibration; or a constant where nothing can be learned."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame) -> None:
         self.trees = None
-        every, n = labelled_rows(docs, labels)
-        rows = cut(_picked(every, n, most), "labelled")
-        counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        rows = labelled_rows(docs, labels)
+        self.lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(rows.select("text", "toxic")))
+        # Equal rows go by a hash of their text, once features stand for it: no text is shuffled.
+        fed = with_features(rows.withColumn("digest", F.xxhash64("text")), self.lexicon, "digest", "toxic").dropDuplicates(["doc_id", "digest"])
+        fed = cut(fed.sortWithinPartitions("doc_id", "digest"), "features")
+        counts = {r["toxic"]: r["count"] for r in fed.groupBy("toxic").count().collect()}
         self.constant = counts.get(1, 0) / max(1, sum(counts.values()))
-        self.lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(every.select("text", "toxic")))
         if not counts.get(1) or not counts.get(0):
             return
-        # The bounded sample as feature rows, in few partitions: each round of boosting is a few small jobs.
-        fed = with_features(rows, self.lexicon).join(rows.select("doc_id", "toxic").distinct(), "doc_id")
-        fed = cut(fed.select("doc_id", "features", F.col("toxic").cast("double").alias("toxic")).coalesce(4), "features")
+        # Each round of boosting is a few jobs over feature rows, in no more partitions than they need.
+        fed = fed.coalesce(max(4, sum(counts.values()) // PART_ROWS)).withColumn("toxic", F.col("toxic").cast("double"))
         fed = fed.select("doc_id", array_to_vector("features").alias("features"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)) == 0).alias("aside"))
         booster = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, seed=7, cacheNodeIds=False)
         learn = fed.where("NOT aside")

@@ -250,11 +250,122 @@ def within(df: DataFrame, key: str, vec: str, cutoff: float) -> DataFrame:
     return pairs.mapInPandas(close, f"a {kind}, b {kind}, dist double")
 
 
+#: Bytes of the vectors of a block, as doubles; rows of the tiles that a pair of blocks is worked out in.
+BLOCK_BYTES, STEP = 32 << 20, 512
+
+
+def _block_pairs(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(keys, x, keys, y) over rows(key, x) against themselves, as a table of its record batches.
+
+    Vectors are dealt to blocks by a hash of their key and packed as bytes; every two blocks, and every block with itself (then the second
+    keys and y are None), are one task, which holds these two. The number of blocks grows with the bytes, and so
+    does what is shuffled: a vector goes to every block. Equal keys are in one block."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = rows.where(F.size("x") > 0)
+    seen = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("size")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-seen["n"] * (seen["size"] or 0) * 8 // BLOCK_BYTES), min(-(-seen["n"] // STEP), int(np.ceil(np.sqrt(6 * cores)))))
+    kind, item = (rows.schema[c].dataType.simpleString() for c in ("key", "x"))
+    dtype = np.float32 if item == "array<float>" else np.float64
+    own = rows.select("key", "x" if dtype is np.float32 else F.col("x").cast("array<double>").alias("x"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
+
+    def pack(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, block = batch.column("x"), batch.column("block").to_numpy()
+            if len(np.unique(x.value_lengths().to_numpy())) > 1:
+                raise ValueError("vectors must have one length")
+            values = x.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(batch), -1)
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(block[order]) > 0))
+            bounds = np.append(starts, len(batch))
+            keys = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), batch.column("key").take(pa.array(order)))
+            data = [values[order[i:j]].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[starts]]), keys, pa.array(data, pa.binary())], names=["block", "keys", "data"])
+
+    packed = own.mapInArrow(pack, f"block int, keys array<{kind}>, data binary")
+    side = lambda o: F.struct((F.least("block", o) * blocks + F.greatest("block", o)).alias("pair"), (F.col("block") <= o).alias("left"))
+    dealt = packed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), side)).alias("to"), "keys", "data").select("to.pair", "to.left", "keys", "data")
+    dealt = dealt.repartitionByRange(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair")
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            (a, x), (b, y) = (joined(held, left) for left in (True, False))
+            held.clear()
+            if a is not None and (b is not None or last % (blocks + 1) == 0):
+                yield from work(a, x, b, y)
+
+        for batch in batches:
+            for k, (pair, left) in enumerate(zip(batch.column("pair").to_pylist(), batch.column("left").to_pylist(), strict=True)):
+                if pair != last and held:
+                    yield from done()
+                last = pair
+                held.append((left, batch.column("keys").slice(k, 1).flatten(), batch.column("data")[k].as_py()))
+        if held:
+            yield from done()
+
+    def joined(held, left):
+        own = [(k, d) for side, k, d in held if side == left]
+        if not own:
+            return None, None
+        keys = pa.concat_arrays([k for k, _ in own])
+        return keys, np.frombuffer(b"".join(d for _, d in own), dtype).reshape(len(keys), -1).astype(float)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def density_weights(df: DataFrame, key: str, vec: str, cutoff: float, exponent: float) -> DataFrame:
-    """(key, weight): 1 over the sum of (1 - d / cutoff) ** exponent over all vectors closer than cutoff, itself included."""
-    sums = within(df, key, vec, cutoff).groupBy(F.col("a").alias(key)).agg(F.sum(F.pow(1 - F.col("dist") / cutoff, F.lit(exponent))).alias("__s"))
-    rows = _whole(df, key, vec).select(F.col("key").alias(key)).join(sums, key, "left")
-    return rows.select(key, (1 / (1 + F.coalesce("__s", F.lit(0.0)))).alias("weight"))
+    """(key, weight): 1 over the sum of (1 - d / cutoff) ** exponent over all vectors closer than cutoff, itself included.
+
+    Every pair is worked out once, in tiles of one product each; of two blocks a number for each vector leaves the task."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(a, x, b, y):
+        same = b is None
+        scale = cutoff * x.shape[1]
+        one = [np.unique(np.array(a.to_pylist()), return_inverse=True)[1]] if same else []
+        y = x if same else y
+        u, v = (x * x).sum(1), (y * y).sum(1)
+        # 1 - d / cutoff of two rows as one product; norms far above the cutoff would cost it its digits.
+        left = np.column_stack([x * (2 / scale), 1 - u / scale, np.ones(len(x))])
+        right = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), -v / scale]).T)
+        exact = u[np.isfinite(u)].max(initial=0) + v[np.isfinite(v)].max(initial=0) > 1e5 * scale
+        # Vectors with values that are not finite are near none.
+        left[~np.isfinite(u)], right[:, ~np.isfinite(v)] = 0, 0
+        left[~np.isfinite(u), -2], right[-1, ~np.isfinite(v)] = -1, -1
+        rows, columns = np.zeros(len(x)), np.zeros(len(y))
+        space = np.empty((STEP, STEP))
+        for i in range(0, len(x), STEP):
+            for j in range(i if same else 0, len(y), STEP):
+                p, q = slice(i, i + STEP), slice(j, j + STEP)
+                t = space[: len(x[p]), : len(y[q])]
+                if exact:
+                    t[:] = np.nan_to_num(1 - _pairwise(x[p], y[q], "euclid") / cutoff, nan=0)
+                else:
+                    np.matmul(left[p], right[:, q], out=t)
+                np.maximum(t, 0, out=t)
+                if same:
+                    t[one[0][p][:, None] == one[0][q][None]] = 0
+                if exponent == 2:
+                    np.multiply(t, t, out=t)
+                else:
+                    np.power(t, exponent, out=t, where=t > 0)
+                rows[p] += t @ np.ones(t.shape[1])
+                if not same or i < j:
+                    columns[q] += np.ones(t.shape[0]) @ t
+        for keys, sums in ((a, rows + columns),) if same else ((a, rows), (b, columns)):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sums)], names=["key", "s"])
+
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())).select(F.col(key).alias("key"), F.col(vec).alias("x"))
+    kind = dict(df.dtypes)[key]
+    sums = _block_pairs(rows.where("key IS NOT NULL"), work, f"key {kind}, s double").groupBy(F.col("key").alias(key)).agg(F.sum("s").alias("__s"))
+    return rows.select(F.col("key").alias(key)).join(sums, key, "left").select(key, (1 / (1 + F.coalesce("__s", F.lit(0.0)))).alias("weight"))
 
 
 def linkage(df: DataFrame, label: str, vec: str, metric: str = "euclid") -> DataFrame:

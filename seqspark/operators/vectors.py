@@ -371,28 +371,66 @@ def density_weights(df: DataFrame, key: str, vec: str, cutoff: float, exponent:
 def linkage(df: DataFrame, label: str, vec: str, metric: str = "euclid") -> DataFrame:
     """(a, b, smallest, largest, average, means, medians) of every two labels.
 
-    Tiles of vectors of two labels are one matrix each, of which four numbers leave the task; no pair is written.
-    Medians are exact, place by place. All tiles of two labels meet, in blocks: that is the operation."""
-    import pandas as pd
-
-    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
-    rows = rows.select(F.col(label).alias("label"), F.monotonically_increasing_id().alias("key"), F.col(vec).cast("array<double>").alias("x"))
-    tiles = _tiled(rows, "items", "label")
-    pairs = tiles.select(F.col("label").alias("a"), F.col("items").alias("left")).join(tiles.select(F.col("label").alias("b"), F.col("items").alias("right")), F.col("a") < F.col("b"))
-
-    def reduce(batches):
-        for pdf in batches:
-            out = []
-            for a, b, one, two in zip(pdf["a"], pdf["b"], pdf["left"], pdf["right"], strict=True):
-                d = _pairwise(_matrix(one)[1], _matrix(two)[1], metric)
-                out.append((a, b, d.min(), d.max(), d.sum(), d.size))
-            yield pd.DataFrame(out, columns=["a", "b", "lo", "hi", "total", "n"])
+    Every pair of vectors is worked out once, in tiles of one product each; of a row of tiles four numbers for every two labels leave the
+    task, and no pair is written. Medians are exact, place by place."""
+    import numpy as np
+    import pyarrow as pa
 
+    rows = df.where(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull())).select(F.col(label).alias("label"), F.col(vec).alias("x"))
     kind = dict(df.dtypes)[label]
-    sums = pairs.mapInPandas(reduce, f"a {kind}, b {kind}, lo double, hi double, total double, n long")
+
+    def work(a, x, b, y):
+        same = b is None
+        a, x, at = by_label(a, x)
+        b, y, bt = (a, x, at) if same else by_label(b, y)
+        if metric == "euclid":
+            u, v = (x * x).sum(1), (y * y).sum(1)
+            left = np.column_stack([x * -2, u, np.ones(len(x))]) / x.shape[1]
+            right = np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), v]).T)
+        space = np.empty((STEP, STEP))
+        for i in range(0, len(x), STEP):
+            p = slice(i, i + STEP)
+            here, first = np.unique(at[p], return_index=True)
+            out = [np.full((len(here), len(b)), z) for z in (np.inf, -np.inf, 0.0, 0)]
+            for j in range(i if same else 0, len(y), STEP):
+                q = slice(j, j + STEP)
+                there, begin = np.unique(bt[q], return_index=True)
+                if len(here) == len(there) == 1 and a[here[0]] == b[there[0]]:
+                    continue
+                if metric == "euclid":
+                    d = np.matmul(left[p], right[:, q], out=space[: len(x[p]), : len(y[q])])
+                    # The product loses digits of small distances: those are worked out again.
+                    if d.min() < 1e-6 * (u[p].max() + v[q].max()) / x.shape[1]:
+                        d = _pairwise(x[p], y[q], metric)
+                else:
+                    d = _pairwise(x[p], y[q], metric)
+                at_once = len(here) == len(there) == 1
+                of = lambda f: f.reduce(d, axis=None).reshape(1, 1) if at_once else f.reduceat(f.reduceat(d, begin, axis=1), first, axis=0)  # noqa: B023, E731
+                n = np.diff(np.append(first, len(x[p])))[:, None] * np.diff(np.append(begin, len(y[q])))[None]
+                if same and i == j:  # both orders of each pair are in this tile
+                    n[here[:, None] >= there[None]] = 0
+                for own, f, new in zip(out, (np.minimum, np.maximum, np.add, np.add), (of(np.minimum), of(np.maximum), of(np.add), n), strict=True):
+                    own[:, there] = np.where(n > 0, f(own[:, there], new), own[:, there])
+            r, c = np.nonzero(out[3])
+            r, c = (z[a[here[r]] != b[c]] for z in (r, c))
+            one, two, turned = a[here[r]], b[c], a[here[r]] > b[c]
+            pair = np.where(turned, two, one), np.where(turned, one, two)
+            yield pa.RecordBatch.from_arrays([*(pa.array(z.tolist(), kinds) for z in pair), *(pa.array(o[r, c]) for o in out[:3]), pa.array(out[3][r, c].astype(np.int64))], names=["a", "b", "lo", "hi", "total", "n"])
+
+    def by_label(labels, x):
+        """(labels in order, rows in their order, number of each row's label)."""
+        values, at = np.unique(np.array(labels.field("label").to_pylist()), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        return values, x[order], at[order]
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = to_arrow_type(df.schema[label].dataType)
+    keyed = rows.where("label IS NOT NULL").select(F.struct("label", F.monotonically_increasing_id().alias("row")).alias("key"), "x")
+    sums = _block_pairs(keyed, work, f"a {kind}, b {kind}, lo double, hi double, total double, n long")
     sums = sums.groupBy("a", "b").agg(F.min("lo").alias("smallest"), F.max("hi").alias("largest"), (F.sum("total") / F.sum("n")).alias("average"))
     for name, middle in (("means", F.avg("v")), ("medians", F.expr("percentile(v, 0.5)"))):
-        centres = rows.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(middle.alias("m"))
+        centres = rows.select("label", F.posexplode(F.col("x").cast("array<double>")).alias("k", "v")).groupBy("label", "k").agg(middle.alias("m"))
         centres = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("mean"))
         sums = sums.join(mean_distances(centres, "label", metric).withColumnRenamed("dist", name), ["a", "b"])
     return sums

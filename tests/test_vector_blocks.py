@@ -27,3 +27,19 @@ def test_density_weights_of_many_blocks(spark, rows, monkeypatch, exponent, shif
     part = np.where((d < 0.8) & (names[:, None] != names[None]), np.maximum(1 - d / 0.8, 0) ** exponent, 0).sum(1)
     want = {str(n): 1 / (1 + part[names == n].sum()) for n in np.unique(names)} | {"nan": 1.0}
     assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["euclid", "cityblock", "correlation"])
+def test_linkage_of_many_blocks(spark, rows, monkeypatch, metric):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 100 * 6 * 8)
+    monkeypatch.setattr(vectors, "STEP", 64)
+    label = np.array([["one", "two", "three", "four"][i % 7 % 4] for i in range(700)])
+    label[5] = "alone"
+    df = spark.createDataFrame([(str(n), v.tolist()) for n, v in zip(label, rows, strict=True)] + [(None, [0.0] * 6), ("five", None)], "label string, v array<double>")
+    d = vectors._pairwise(rows, rows, metric)
+    got = {(r["a"], r["b"]): (r["smallest"], r["largest"], r["average"]) for r in vectors.linkage(df, "label", "v", metric).collect()}
+    names = sorted(set(label.tolist()))
+    want = {(p, q): d[label == p][:, label == q] for p in names for q in names if p < q}
+    assert got.keys() == want.keys()
+    for k, m in want.items():
+        assert got[k] == pytest.approx((m.min(), m.max(), m.mean()), abs=1e-9)

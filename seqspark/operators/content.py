@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqspark.functions import seq as S
 from seqspark.operators import arrays, kmers, sites, structure
+from seqspark.sources import shared
 from seqspark.sources.fasta import contig_store
 
 #: Priors of each coding phase and of noncoding.
@@ -296,13 +297,125 @@ def maximal_orf(genes: DataFrame, contigs: DataFrame, up: int = S.UPSTREAM, down
     return rows.select(*rest, F.col("x").cast("long").alias("start"), F.col("y").cast("long").alias("stop"))
 
 
+#: Bases before a gene that its chunk of the contig holds at least.
+MARGIN = 1_024
+
+
 def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, predict=sites.predict_llkr, whole_codons: bool = True) -> DataFrame:
     """(gene, orf_amino_bound, start_codon, stop_codon, score, met_seen) of gene structures: ends moved to the widest frame,
     exons spliced with flanks, start sites predicted and mapped back to the contig.
 
     orf_amino_bound is the first base of the widest frame. Without a predicted site the start is that too and met_seen is
     false; the stop codon is given by its first base. whole_codons false takes frames that are no multiple of three as well (isoforms of
-    alternative splicing). Genes whose widest frame leaves the contig are dropped."""
+    alternative splicing). Genes whose widest frame leaves the contig are dropped.
+
+    exons are rows, or genes with their exons as parts. A gene is one row that meets one chunk of its contig, where frame,
+    splicing and sites are worked out; what it gives is written. Genes that reach beyond their chunk go through
+    maximal_orf() and structure.splice()."""
+    spark = exons.sparkSession
+    genes = exons
+    if "parts" not in exons.columns:
+        genes = exons.groupBy("gene", "contig_id", "strand").agg(F.array_sort(F.collect_list(F.struct("exon_no", "start", "stop"))).alias("parts"))
+    path = shared.new_path(spark, "genes")
+    _in_chunks(genes, contigs, whole_codons).write.option("compression", "zstd").parquet(path)
+    found = spark.read.parquet(path)
+    frames = found.where("resolved")
+    best = predict(sites.with_llkr(frames.select("gene", F.explode("sites").alias("s"), "len").select("gene", "s.pos", "s.site", "len"), wam), "gene")
+    rows = frames.select("gene", "strand", "orf_start", "orf_stop", F.transform("sites", lambda s: F.struct(s["pos"], s["position"])).alias("sites")).join(best.select("gene", "tis", "score"), "gene", "left")
+    position = F.get(F.filter("sites", lambda s: s["pos"] == F.col("tis")), F.lit(0))["position"]
+    rows = rows.select("gene", "strand", "orf_start", "orf_stop", "score", position.alias("position"))
+    rest = found.where("NOT resolved").select("gene", "contig_id", "strand", F.posexplode(F.arrays_zip("starts", "stops")).alias("k", "e"))
+    rest = rest.select("gene", "contig_id", "strand", (F.col("k") + 1).alias("exon_no"), F.col("e.starts").alias("start"), F.col("e.stops").alias("stop"))
+    if not rest.isEmpty():
+        rows = rows.union(_predict_long(rest, contigs.join(rest.select("contig_id").distinct(), "contig_id", "left_semi"), wam, predict, whole_codons))
+    sign = F.when(F.col("strand") == "-", -1).otherwise(1)
+    return rows.select("gene", F.col("orf_start").alias("orf_amino_bound"), F.coalesce("position", "orf_start").alias("start_codon"), (F.col("orf_stop") - 2 * sign).alias("stop_codon"), "score", F.col("position").isNotNull().alias("met_seen"))
+
+
+_COMPLEMENT = str.maketrans("ACGTacgt", "TGCAtgca")
+
+
+def _in_chunks(genes: DataFrame, contigs: DataFrame, whole_codons: bool) -> DataFrame:
+    """genes(gene, contig_id, strand, parts) as (gene, strand, resolved, orf_start, orf_stop, len, sites): widest frame, length of the spliced
+    and flanked sequence (null where it leaves the contig) and its start sites (pos, site, position on the contig).
+
+    Those that their chunk does not settle are not resolved; only these have contig_id, starts and stops. Genes
+    whose widest frame leaves the contig give no row."""
+    place = lambda c: F.transform("parts", lambda p: p[c].cast("long")).alias(f"{c}s")
+    rows = genes.select("gene", "contig_id", "strand", place("start"), place("stop"))
+    least = F.least(F.array_min("starts"), F.array_min("stops")) - MARGIN
+    rows = rows.withColumn("chunk_no", F.coalesce(F.floor((F.greatest(least, F.lit(1)) - 1) / structure.CHUNK), F.lit(0)).cast("int"))
+    store = contig_store(contigs.select("contig_id", "seq"), structure.CHUNK, structure.OVERLAP)
+    rows = rows.join(store, ["contig_id", "chunk_no"])
+    up, down, size = S.FLANK + S.UPSTREAM, S.DOWNSTREAM + S.FLANK, structure.CHUNK
+
+    def settle(strand, starts, stops, base, n, text):
+        """(orf_start, orf_stop, len, sites) of a gene; False where text, the contig's bases from base + 1 on, does not tell, None where there is no row."""
+        if not starts or None in starts or None in stops:
+            return False
+        turn = (lambda p: n - p + 1) if strand == "-" else (lambda p: p)
+        if strand == "-":
+            text, base = text.translate(_COMPLEMENT)[::-1], n - base - len(text)
+        starts, stops, end = [turn(p) for p in starts], [turn(p) for p in stops], base + len(text)
+        a, b = starts[0], stops[-1]
+        if b - a < 2 or a < 1 or b > n:
+            return None
+        if a <= base or b > end:
+            return False
+        x, y = a - S.CODON, b - 2
+        while x > base and text[x - base - 1 : x - base + 2] not in S.STOPS:
+            x -= S.CODON
+        while y + 2 <= end and text[y - base - 1 : y - base + 2] not in S.STOPS:
+            y += S.CODON
+        if base >= x >= 1 or end < y + 2 <= n:
+            return False
+        x, y = x + S.CODON if x > base else a, y + 2 if y + 2 <= end else b
+        if x - S.UPSTREAM < 1 or y + S.DOWNSTREAM > n:
+            return None
+        starts[0], stops[-1] = x, y
+        wide = list(zip(starts, stops, strict=True))
+        starts[0], stops[-1] = x - up, y + down
+        pieces = [(min(p), max(p)) for p in zip(starts, stops, strict=True)]
+        if any(lo < 1 or hi > n for lo, hi in pieces):
+            return turn(x), turn(y), None, []
+        if any(lo <= base or hi > end for lo, hi in pieces):
+            return False
+        seq = "".join(text[lo - base - 1 : hi - base] for lo, hi in pieces)
+        coding, sites = len(seq) - up - down, []
+        at = seq.find("ATG", up) if coding > 0 and not (whole_codons and coding % S.CODON) else -1
+        while at != -1:
+            k = at - up
+            if k % S.CODON == 0 and k + S.CODON <= coding and at + S.CODON + S.DOWNSTREAM <= len(seq):
+                place = None
+                for start, stop in wide:
+                    if k < abs(stop - start) + 1:
+                        place = turn(start + k)
+                        break
+                    k -= abs(stop - start) + 1
+                sites.append({"pos": at + 1, "site": seq[at - S.UPSTREAM : at - S.UPSTREAM + S.SITE], "position": place})
+            at = seq.find("ATG", at + 1)
+        return turn(x), turn(y), len(seq), sites
+
+    def body(batch):
+        index, out = [], []
+        for k, row in enumerate(zip(*(arrays.column(batch, c) for c in ("strand", "starts", "stops", "chunk_no", "n", "seq")), strict=True)):
+            strand, starts, stops, chunk, n, text = row
+            got = settle(strand, starts, stops, chunk * size, n, (text or b"").decode())
+            if got is not None:
+                index.append(k)
+                out.append((True, *got) if got else (False, None, None, None, []))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("pos", pa.int32()), ("site", pa.string()), ("position", pa.int64())]))
+        return index, [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+
+    more = "resolved boolean, orf_start long, orf_stop long, len int, sites array<struct<pos: int, site: string, position: long>>"
+    rows = arrays.extend(rows, ["gene", "contig_id", "strand", "starts", "stops", "chunk_no", "n"], more, body)
+    once = lambda c: F.when(~F.col("resolved"), F.col(c)).alias(c)
+    return rows.select("gene", "strand", "resolved", "orf_start", "orf_stop", "len", "sites", *(once(c) for c in ("contig_id", "starts", "stops")))
+
+
+def _predict_long(exons: DataFrame, contigs: DataFrame, wam: DataFrame, predict, whole_codons: bool) -> DataFrame:
+    """(gene, strand, orf_start, orf_stop, score, position) as predict_structures() has them, of genes of any length."""
     ends = exons.groupBy("gene", "contig_id", "strand").agg(F.min_by("start", "exon_no").alias("start"), F.max_by("stop", "exon_no").alias("stop"))
     frames = maximal_orf(ends, contigs).select("gene", "strand", F.col("start").alias("orf_start"), F.col("stop").alias("orf_stop"))
     own = Window.partitionBy("gene")
@@ -315,8 +428,7 @@ def predict_structures(exons: DataFrame, contigs: DataFrame, wam: DataFrame, pre
     place = best.where("tis > 0").select("gene", (F.col("tis") - S.FLANK - S.UPSTREAM).alias("at"))
     found = structure.genomic_position(wide, place).select("gene", "position")
     rows = frames.join(best.select("gene", "score"), "gene", "left").join(found, "gene", "left")
-    sign = F.when(F.col("strand") == "-", -1).otherwise(1)
-    return rows.select("gene", F.col("orf_start").alias("orf_amino_bound"), F.coalesce("position", "orf_start").alias("start_codon"), (F.col("orf_stop") - 2 * sign).alias("stop_codon"), "score", F.col("position").isNotNull().alias("met_seen"))
+    return rows.select("gene", "strand", "orf_start", "orf_stop", "score", "position")
 
 
 def save_model(model: DataFrame, path: str, by: list[str] | None = None) -> None:

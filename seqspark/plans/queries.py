@@ -1010,12 +1010,12 @@ def f20(spark, d):
 
 @query("f17_predict_structures", structure_sql(True))
 def f17(spark, d):
-    return content.predict_structures(T.exons(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
+    return content.predict_structures(T.genes(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
 
 
 @query("f18_predict_isoforms", structure_sql(False))
 def f18(spark, d):
-    return content.predict_structures(T.exons(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]), whole_codons=False)
+    return content.predict_structures(T.genes(spark, d), T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]), whole_codons=False)
 
 
 @query(

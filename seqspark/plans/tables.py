@@ -53,8 +53,9 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("contig_id").alias("seq_id"), F.substring("seq", F.lit(1), (200 + 3 * F.floor((n - 200) / 3)).cast("int")).alias("seq"))
 
 
-def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exons of genes from lineitem, on the contig that the order key picks; see EXONS."""
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene, contig_id, strand, parts) with the exons of a gene as parts (exon_no, start, stop), in order: an order's items are shuffled once, by
+    the order key, and only genes meet the contigs' lengths."""
     docs = read(spark, sf_dir, "documents")
     n = docs.count()
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -65,9 +66,15 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     before = Window.partitionBy("gene").orderBy("exon_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("a", 121 + F.coalesce(F.sum(F.col("e") + F.col("i")).over(before), F.lit(0)))
+    rows = rows.groupBy("gene", "contig_id", "strand").agg(F.array_sort(F.collect_list(F.struct("exon_no", "a", (F.col("a") + F.col("e") - 1).alias("b")))).alias("parts"))
     rows = rows.join(contigs(spark, sf_dir).select("contig_id", F.length("seq").alias("n")), "contig_id")
     place = lambda c: F.when(F.col("strand") == "-", F.col("n") - c + 1).otherwise(c)
-    return rows.select("gene", "contig_id", "strand", "exon_no", place(F.col("a")).alias("start"), place(F.col("a") + F.col("e") - 1).alias("stop"))
+    return rows.select("gene", "contig_id", "strand", F.transform("parts", lambda p: F.struct(p["exon_no"].alias("exon_no"), place(p["a"]).alias("start"), place(p["b"]).alias("stop"))).alias("parts"))
+
+
+def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exons of genes from lineitem, on the contig that the order key picks; see EXONS."""
+    return genes(spark, sf_dir).select("gene", "contig_id", "strand", F.explode("parts").alias("p")).select("gene", "contig_id", "strand", "p.*")
 
 
 CONTIGS = f"contigs AS (SELECT doc_id AS contig_id, regexp_replace(translate(text, '{LETTERS}', '{MAPPED}'), '[^ACGT]', '', 'g') AS seq FROM documents)"

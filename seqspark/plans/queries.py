@@ -1153,19 +1153,22 @@ def h2_first(spark, d):
 
 def documents_of(spark, d, annotated: bool) -> str:
     """Path of XML documents: every gene as a reading frame, with two annotations or none; up to four genes of a contig are one parent."""
-    exons, n = T.exons(spark, d), T.read(spark, d, "documents").count()
-    parts = F.array_sort(F.collect_list(F.struct("exon_no", F.struct("start", "stop").alias("e"))))
-    genes = exons.groupBy("gene", "contig_id", "strand").agg(parts.alias("parts"), F.sum(structure.exon_length()).alias("n_nt"))
-    genes = genes.select(
+    rows, n = T.genes(spark, d), T.read(spark, d, "documents").count()
+    if annotated:  # two steps read them
+        genes_path = shared.new_path(spark, "genes")
+        rows.write.option("compression", "zstd").parquet(genes_path)
+        rows = spark.read.parquet(genes_path)
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.coalesce(F.abs(p["stop"] - p["start"]) + 1, F.lit(0)))
+    genes = rows.withColumn("n_nt", length).select(
         "gene", F.col("contig_id").alias("gdna_id"), "strand", F.floor(F.col("gene") / (4 * n)).alias("pgl"), F.lit(1).alias("ags"), F.col("gene").alias("pps"), (F.col("gene") % 3).alias("frame"),
-        F.transform("parts", lambda p: p["e"]).alias("exons"), "n_nt", F.floor(F.col("n_nt") / 3).alias("n_aa"), F.concat(F.lit("M"), F.col("gene").cast("string"), F.lit("<&*")).alias("peptide"),
+        F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"))).alias("exons"), "n_nt", F.floor(F.col("n_nt") / 3).alias("n_aa"), F.concat(F.lit("M"), F.col("gene").cast("string"), F.lit("<&*")).alias("peptide"),
     )
     if annotated:
-        found = content.predict_structures(exons, T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
+        found = content.predict_structures(rows, T.contigs(spark, d), sites.train_wam(training(spark, d), ["hyp"]))
         twice = found.withColumn("method", F.explode(F.when(F.col("met_seen"), F.array(F.lit("log-likelihood ratios"), F.lit("starts only"))).otherwise(F.array(F.lit("log-likelihood ratios")))))
         genes = structure.annotate(genes, twice)
     path = shared.new_path(spark, "frames")
-    xml.write_gth_orfs(genes, path)
+    xml.write_gth_orfs(genes, path, compression="gzip")
     return path
 
 

@@ -91,10 +91,10 @@ def read_gth_orfs(spark: SparkSession, path: str, first_only: bool = False, anno
     )
 
 
-def write_gth_orfs(orfs: DataFrame, path: str, annot: str = "annot") -> None:
+def write_gth_orfs(orfs: DataFrame, path: str, annot: str = "annot", compression: str = "none") -> None:
     """Reading frames, annotated or not, as documents that read_gth_orfs() reads back.
 
-    orfs has that reader's columns; annots may be absent. Each partition is a document of its own with a root. The
+    orfs has that reader's columns; annots may be absent. Each partition is a document of its own with a root, compressed on request. The
     frames of one gene structure (gdna_id, strand, pgl, ags) are one parent element, ordered by pps; a structure
     holds few. Frames without a serial are parents of their own."""
     orfs = orfs if "annots" in orfs.columns else orfs.withColumn("annots", _annots(F.lit(None).cast(ANNOTS)))
@@ -107,7 +107,7 @@ def write_gth_orfs(orfs: DataFrame, path: str, annot: str = "annot") -> None:
     entry = F.struct(line.alias("id_line"), F.col("peptide").alias("predicted_protein_sequence"), _to_annots(F.col("annots")).alias(annot))
     lone = F.when(F.col("pgl").isNull() | F.col("ags").isNull(), F.monotonically_increasing_id())
     rows = orfs.withColumn("__lone", lone).groupBy("gdna_id", "strand", "pgl", "ags", "__lone").agg(F.array_sort(F.collect_list(F.struct(F.col("pps").alias("at"), entry.alias("e")))).alias("x"))
-    rows.select(F.transform("x", lambda x: x["e"]).alias("orf_entry")).write.format("xml").option("rootTag", "reading_frames").option("rowTag", "probable_ORFs").save(path)
+    rows.select(F.transform("x", lambda x: x["e"]).alias("orf_entry")).write.format("xml").option("rootTag", "reading_frames").option("rowTag", "probable_ORFs").option("compression", compression).save(path)
 
 
 def read_tigr_models(spark: SparkSession, path: str, min_peptide: int = 100) -> DataFrame:

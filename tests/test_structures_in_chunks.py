@@ -1,11 +1,14 @@
 """Genes are worked out in one chunk of their contig; those that reach beyond it give the same."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from seqspark.operators import content, sites, structure
 from seqspark.plans import queries as plans
 from seqspark.plans import tables as T
+from seqspark.sources import xml
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +36,11 @@ def test_genes_hold_the_exons_in_order(spark):
     genes = T.genes(spark, SF)
     assert genes.where("parts <> array_sort(parts)").isEmpty()
     assert genes.agg(F.sum(F.size("parts"))).first()[0] == T.read(spark, SF, "lineitem").count()
+
+
+def test_documents_are_written_compressed(spark, tmp_path):
+    rows = spark.range(20).selectExpr("'c' AS gdna_id", "'+' AS strand", "id AS pgl", "1L AS ags", "id AS pps", "0 AS frame", "array(struct(1L AS start, 9L AS stop)) AS exons", "9L AS n_nt", "3L AS n_aa", "'M<&*' AS peptide")
+    xml.write_gth_orfs(rows, str(tmp_path / "o"), compression="gzip")
+    files = glob.glob(str(tmp_path / "o" / "part-*"))
+    assert files and all(f.endswith(".gz") for f in files)
+    assert xml.read_gth_orfs(spark, str(tmp_path / "o")).where("peptide = 'M<&*'").count() == 20
